@@ -126,13 +126,14 @@ FROM live_comments""")(
         F.count_if(filters.times.on_day(F.col("publish_time"), "2024-01-30")).alias("on_day")))
 
 check("b18_texts_with_keyword", """
-WITH latest AS (SELECT id FROM hot_events WHERE id < 50 ORDER BY crawl_time DESC, id LIMIT 10),
+WITH latest AS (SELECT id FROM hot_events WHERE id IN (SELECT event_id FROM replies) ORDER BY crawl_time DESC, id LIMIT 10),
 x AS (SELECT 'comment' AS kind, comment_id AS text_id, event_id, content, publish_time FROM replies
       UNION ALL SELECT 'article', article_id, event_id, content, publish_time FROM articles)
 SELECT kind, text_id, event_id, publish_time FROM x WHERE event_id IN (SELECT id FROM latest)
   AND content <> '' AND contains(lower(content), 'nicht') AND publish_time >= TIMESTAMP '2024-01-01'
 ORDER BY publish_time DESC, kind, text_id LIMIT 300""")(
-    lambda t: (sets.all_texts(t.replies, t.articles, ranking.latest(t.hot_events.filter("id < 50"), 10), LIVE, 30)
+    lambda t: (sets.all_texts(t.replies, t.articles, ranking.latest(t.hot_events.join(
+        t.replies.select(F.col("event_id").alias("id")).distinct(), "id", "left_semi"), 10), LIVE, 30)
                .filter(filters.contains(F.col("content"), "nicht"))
                .orderBy(F.col("publish_time").desc(), "kind", "text_id").limit(300)
                .select("kind", "text_id", "event_id", "publish_time")))
@@ -175,7 +176,7 @@ JOIN hot_events e ON a.event_id = e.id AND contains(lower(e.title), 'plate')""")
     .select("article_id", "event_id", "title", "heat"))
 
 check("c07_live_board", """
-SELECT e.id, e.title, e.heat, e.crawl_time, count(DISTINCT (c.comment_id, c.tie)) AS comment_count,
+SELECT e.id, e.title, e.heat, e.crawl_time, count(c.comment_id) AS comment_count,
        (SELECT count(*) FROM articles a WHERE a.event_id = e.id) AS article_count,
        round(coalesce(CAST(sum(c.sentiment_score) AS DOUBLE) / count(c.sentiment_score), 0.5), 6) AS avg_sentiment
 FROM (SELECT * FROM hot_events WHERE crawl_time >= TIMESTAMP '2001-06-01' ORDER BY heat DESC, crawl_time DESC, id

@@ -60,7 +60,7 @@ def calendar(spark, start, end):
     """One row per date, both ends included."""
     first, last = as_datetime(start).date(), as_datetime(end).date()
     dates = F.sequence(F.lit(first), F.lit(last))
-    return spark.range(1).select(F.explode(dates).cast("string").alias("date"))
+    return spark.range(1).select(F.explode(dates).alias("date")).select(F.col("date").cast("string").alias("date"))
 
 
 def hours_between(later: Column, earlier: Column) -> Column:

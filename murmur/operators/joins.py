@@ -101,8 +101,8 @@ def not_stored(incoming: DataFrame, stored: DataFrame, key: str = "comment_id")
 
 
 def keyword_hits(df: DataFrame, keywords, text: str = "content", ignore_case: bool = False) -> DataFrame:
-    """One row per (row, keyword found in it). Keywords are literals or a scalar array column, at most a few
-    hundred; the text is read once."""
+    """One row per (row, keyword found in it). Keywords are a short list or an array column; the text is read
+    once."""
     array = keywords if isinstance(keywords, Column) else F.array(*[F.lit(k) for k in keywords])
     body = F.lower(F.col(text)) if ignore_case else F.col(text)
 

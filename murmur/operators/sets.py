@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,14 +53,10 @@ def active_dates(df: DataFrame, time: str = "publish_time") -> DataFrame:
 def recent_or_wider(df: DataFrame, as_of, days: int, fallback_days: int = 365, least: int = 100,
                     time: str = "publish_time") -> DataFrame:
     """Rows of the last `days`; of a wider window when there are fewer than `least`; of `fallback_days` when
-    there are none. The cut is chosen by one counting pass and applied as one filter."""
-    end = times.as_datetime(as_of)
-    wider = max(days * 2, 180)
-    n = F.count_if(times.since(F.col(time), as_of, days=days))
-
-    def start(d: int):
-        return times.moment(end - dt.timedelta(days=d))
-
-    fallback = start(fallback_days) if fallback_days > days else start(days)
-    cut = F.when(n == 0, fallback).when(n < least, start(wider)).otherwise(start(days))
-    return df.filter(F.col(time) >= df.agg(cut.alias("cut")).scalar())
+    there are none. One counting pass picks the window; the cut is a literal and reaches the scan."""
+    n = df.filter(times.since(F.col(time), as_of, days=days)).count()
+    if n == 0:
+        days = max(days, fallback_days)
+    elif n < least:
+        days = max(days * 2, 180)
+    return df.filter(times.since(F.col(time), as_of, days=days))
