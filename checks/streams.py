@@ -222,3 +222,94 @@ def streamed_rank(t):
 
 check("a20_latest_snapshot", """
 SELECT DISTINCT title, heat, crawl_time FROM hot_events WHERE crawl_time = (SELECT max(crawl_time) FROM hot_events)""")(streamed_rank)
+
+
+def live_stream(t):
+    """The live comments as a stream of JSON lines."""
+    folder = shared_folder(t.spark, "live")
+    rows = t.live_comments.select("comment_id", "event_id", "content", "like_count", "sentiment_score",
+                                  F.col("publish_time").cast("string").alias("publish_time"))
+    rows.write.json(folder)
+    schema = ("comment_id long, event_id long, content string, like_count int, sentiment_score decimal(4,3), "
+              "publish_time timestamp_ntz")
+    return t.spark.readStream.schema(schema).json(folder)
+
+
+def streamed_hours(t):
+    out = shared_folder(t.spark, "hours")
+    live.start_rolling(live_stream(t), out, shared_folder(t.spark, "marks"), available_now=True, width="hour").awaitTermination()
+    return t.spark.read.parquet(out)
+
+
+check("j09_streamed_hours", """
+SELECT strftime(date_trunc('hour', publish_time), '%Y-%m-%d %H:%M') AS start, event_id, count(*) AS n, CAST(sum(like_count) AS BIGINT) AS likes,
+       round(CAST(sum(sentiment_score) AS DOUBLE) / count(*), 6) AS avg_sentiment,
+       count(*) FILTER (sentiment_score > 0.7) AS positive_count, count(*) FILTER (sentiment_score BETWEEN 0.3 AND 0.7) AS neutral_count,
+       count(*) FILTER (sentiment_score < 0.3) AS negative_count
+FROM live_comments
+WHERE date_trunc('hour', publish_time) + INTERVAL 1 HOUR <= (SELECT max(publish_time) - INTERVAL 10 MINUTE FROM live_comments)
+GROUP BY 1, 2""")(streamed_hours)
+
+
+def streamed_distinct(t):
+    out, marks = shared_folder(t.spark, "distinct"), shared_folder(t.spark, "marks")
+    twice = live_stream(t)
+    rows = decode.distinct_stream(twice.unionByName(live_stream(t)), "comment_id", delay="40 days")
+    (rows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", marks)
+     .trigger(availableNow=True).start().awaitTermination())
+    return t.spark.read.parquet(out).select("comment_id", "event_id", "like_count")
+
+
+check("f05_distinct_stream", "SELECT comment_id, event_id, like_count FROM live_comments WHERE content <> ''")(streamed_distinct)
+
+check("a08_stub_events", """
+SELECT hot_title AS title, CAST(0 AS BIGINT) AS heat, min(publish_time) AS crawl_time FROM messages
+WHERE hot_title NOT IN (SELECT title FROM hot_events) GROUP BY 1""", {"messages": MESSAGES})(
+    lambda t: ingest.stub_events(t.comments.select(hot_title().alias("hot_title"), F.col("publish_time").alias("crawl_time")),
+                                 readers.event_titles(t.hot_events)).drop("sentiment_score"))
+
+
+def backed_up(t):
+    folder = shared_folder(t.spark, "backup")
+    writers.raw_backup(t.comments.select("comment_id", "tie", (F.col("event_id") % 50 + 1).alias("hot_rank")), folder)
+    return t.spark.read.option("header", True).schema("comment_id long, tie double, hot_rank long").csv(folder)
+
+
+check("a16_raw_backup", "SELECT comment_id, tie, event_id % 50 + 1 AS hot_rank FROM comments")(backed_up)
+
+
+def word_list(t):
+    folder = shared_folder(t.spark, "words")
+    t.raw("part").select(F.concat(F.lit("  "), "p_name", F.lit(" "))).write.text(folder)
+    return readers.word_file(t.spark, folder, t.raw("supplier").select(F.col("s_name").alias("word")))
+
+
+check("a17_word_file", "SELECT DISTINCT trim(p_name) AS word FROM part UNION SELECT s_name FROM supplier")(word_list)
+
+check("a19_valid_comments", """
+SELECT comment_id, tie, publish_time, greatest(coalesce(TRY_CAST(l AS INT), 0), 0) AS like_count,
+       CASE WHEN content = '' THEN CAST(0.5 AS DECIMAL(4,3)) ELSE CAST(sentiment_score AS DECIMAL(4,3)) END AS sentiment_score
+FROM (SELECT * EXCLUDE (content), CASE WHEN like_count = 7 THEN '' ELSE content END AS content,
+             CASE WHEN like_count = 9 THEN 'n/a' ELSE CAST(like_count - 5 AS STRING) END AS l FROM comments)""")(
+    lambda t: writers.valid_texts(
+        t.comments.withColumn("content", F.when(F.col("like_count") == 7, "").otherwise(F.col("content")))
+        .withColumn("publish_time", F.date_format("publish_time", "yyyy-MM-dd HH:mm:ss"))
+        .withColumn("like_count", F.when(F.col("like_count") == 9, "n/a").otherwise((F.col("like_count") - 5).cast("string"))),
+        F.col("sentiment_score")).select("comment_id", "tie", "publish_time", "like_count", "sentiment_score"))
+
+check("b02_filled_messages", """
+SELECT CAST(comment_id AS STRING) AS comment_id, coalesce(CASE WHEN like_count <> 3 THEN like_count END, 0) AS like_count,
+       'unknown' AS username, coalesce(CASE WHEN like_count <> 4 THEN content END, 'no content') AS content,
+       coalesce(CASE WHEN like_count <> 5 THEN sentiment_score END, 0.5) AS sentiment_score, 'neutral' AS sentiment_type
+FROM comments""")(
+    lambda t: decode.clean(decode.decode(writers.envelopes(
+        comment_messages(t).withColumn("content", F.when(F.col("like_count") != 4, F.col("content")))
+        .withColumn("sentiment_score", F.when(F.col("like_count") != 5, F.col("sentiment_score")))
+        .withColumn("like_count", F.when(F.col("like_count") != 3, F.col("like_count"))), SENT), "comment"), "comment")
+    .select("comment_id", "like_count", "username", "content", "sentiment_score", "sentiment_type"))
+
+check("h22_extended_lexicon", """
+SELECT DISTINCT word, kind FROM (SELECT content AS word, 'pos' AS kind FROM comments UNION ALL SELECT 'splendid', 'pos'
+UNION ALL SELECT 'dreadful', 'neg')""")(
+    lambda t: readers.extended_lexicon(t.comments.select(F.col("content").alias("word"), F.lit("pos").alias("kind")),
+                                       ["splendid", "splendid"], ["dreadful"]))

@@ -29,3 +29,12 @@ def rolling(comments: DataFrame, width: str = "minute", delay: str = "10 minutes
     start = F.date_format(F.col("window.start"), "yyyy-MM-dd HH:mm").alias("start")
     return grouped.select(start, *(["event_id"] if per_event else []), "n", "likes",
                           F.round(mean, 6).alias("avg_sentiment"), "positive_count", "neutral_count", "negative_count")
+
+
+def start_rolling(comments: DataFrame, folder: str, checkpoint: str, available_now: bool = False,
+                  trigger: str = "5 seconds", **options):
+    """Writes every window once, when the delay has passed over it."""
+    writer = (rolling(comments, **options).writeStream.outputMode("append").format("parquet")
+              .option("path", folder).option("checkpointLocation", checkpoint))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)
+    return writer.start()
