@@ -193,7 +193,9 @@ SELECT n.title, n.heat, coalesce(b.s, 0.5) AS sentiment_score FROM names n LEFT
 def replayed(t):
     """The same epoch written twice gives the table of writing it once."""
     root = shared_folder(t.spark, "tables")
-    rows = decode.clean(decode.decode(writers.envelopes(comment_messages(t), SENT), "comment"), "comment")
+    folder = shared_folder(t.spark, "messages")
+    writers.publish_files(writers.envelopes(comment_messages(t), SENT), folder)
+    rows = decode.clean(decode.decode(t.spark.read.text(folder), "comment"), "comment")
     for epoch in (0, 0, 1):
         ingest.save_texts(rows, epoch, root, "comment", refresh=False)
     return tables.read_table(t.spark, root, "comments").agg(

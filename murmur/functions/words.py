@@ -11,10 +11,11 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.functions.scalars import clean_text
+from murmur.functions.scalars import kept_text
 
 GAPS = r"[\s，。！？]+"
-HAN_OR_OTHER = r"\p{IsHan}+|[^\p{IsHan}\s，。！？]+"
+HAN = r"\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
+HAN_OR_OTHER = rf"[{HAN}]+|[^{HAN}\s，。！？]+"
 
 # Calibration of the base score by lexicon hits.
 BASE_WEIGHT = 0.08
@@ -59,22 +60,33 @@ def member(word: Column, words) -> Column:
     return word.isin(list(words)) if words else F.lit(False)
 
 
-def split_words(clean: Column) -> Column:
-    """Lower-case words of an already cleaned text."""
-    lowered = F.lower(clean)
-    spaced = F.filter(F.split(lowered, GAPS), lambda w: w != "")
+def _bound(value: Column, body) -> Column:
+    """body(value) with the value computed once although the body names it several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+
+def _with_han(lowered: Column) -> Column:
     def pairs(run: Column) -> Column:
-        whole = ~run.rlike(r"^\p{IsHan}{2}")
+        whole = ~run.rlike(f"^[{HAN}]{{2}}")
         return F.when(whole, F.array(run)).otherwise(
             F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2))))
 
-    runs = F.regexp_extract_all(lowered, F.lit(HAN_OR_OTHER), F.lit(0))
-    return F.when(lowered.rlike(r"\p{IsHan}"), F.flatten(F.transform(runs, pairs))).otherwise(spaced)
+    return F.flatten(F.transform(F.regexp_extract_all(lowered, F.lit(HAN_OR_OTHER), F.lit(0)), pairs))
+
+
+def split_words(kept: Column) -> Column:
+    """Lower-case words of a text of which only words, spaces and marks are left."""
+    def split(lowered: Column) -> Column:
+        ascii_only = F.octet_length(lowered) == F.length(lowered)
+        return (F.when(ascii_only, F.array_remove(F.split(lowered, r"\s+"), ""))
+                .when(~lowered.rlike(f"[{HAN}]"), F.array_remove(F.split(lowered, GAPS), ""))
+                .otherwise(_with_han(lowered)))
+
+    return _bound(F.lower(kept), split)
 
 
 def words_of(text: Column, stopwords=()) -> Column:
-    words = split_words(clean_text(text))
+    words = split_words(kept_text(text))
     return F.filter(words, lambda w: ~member(w, stopwords)) if stopwords else words
 
 

@@ -34,7 +34,7 @@ def word_totals(texts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     One explode and one shuffle. Inside a text the words are sorted, so its first occurrence is known without
     grouping by text; counts are combined in the map tasks.
     """
-    ordered = texts.withColumn("_words", F.array_sort(words.split_words(F.col("clean"))))
+    ordered = texts.withColumn("_words", F.sort_array(words.split_words(F.col("clean"))))
 
     def mark(word: Column, i: Column) -> Column:
         first = (i == 0) | (F.get(F.col("_words"), i - 1) != word)

@@ -17,7 +17,8 @@ def decode(messages: DataFrame, kind: str, value: str = "value") -> DataFrame:
     one = F.from_json(body, schemas.ENVELOPE_ONE)["data"]
     items = F.coalesce(many, F.when(F.ltrim(one).startswith("{"), F.array(one)))
     rows = messages.select(F.explode(items).alias("item"))
-    return rows.select(F.from_json("item", schemas.MESSAGES[kind]).alias("d")).select("d.*")
+    # A generator, not a projection: later filters on the fields then do not parse the element again.
+    return rows.select(F.inline(F.array(F.from_json("item", schemas.MESSAGES[kind]))))
 
 
 def clean(rows: DataFrame, kind: str) -> DataFrame:

@@ -38,12 +38,18 @@ def stub_events(rows: DataFrame, known: DataFrame) -> DataFrame:
                       F.lit(None).cast(SCORE).alias("sentiment_score"))
 
 
-def resolved(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Sets event_id: the message's own id, else the id of a known title, else the id its stub gets."""
-    seen = known.join(titles_of(rows), "hot_title", "left_semi")
+def resolved(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Sets event_id: the message's own id, else the id of a known title, else the id its stub gets.
+
+    Without `known` the events are those of this store, whose ids are hashes of the title, and no join is made.
+    """
     own = F.col("event_id") if "event_id" in rows.columns else F.lit(None).cast("bigint")
-    found = F.coalesce(own, F.col("known_id"), F.xxhash64("hot_title"))
-    return rows.join(seen, "hot_title", "left").withColumn("event_id", found).drop("known_id")
+    made = F.xxhash64("hot_title")
+    if known is None:
+        return rows.withColumn("event_id", F.coalesce(own, made))
+    seen = known.join(titles_of(rows), "hot_title", "left_semi")
+    return (rows.join(seen, "hot_title", "left")
+            .withColumn("event_id", F.coalesce(own, F.col("known_id"), made)).drop("known_id"))
 
 
 def refreshed(comments: DataFrame, touched: DataFrame) -> DataFrame:
@@ -65,10 +71,11 @@ def save_texts(batch: DataFrame, epoch: int, root: str, kind: str, refresh: bool
     spark, table = batch.sparkSession, f"{kind}s"
     batch = batch.persist()
     try:
-        titles = known(spark) if known else tables.known_titles(spark, root, kind, epoch)
-        rows = tables.reduced(resolved(batch, titles), table).persist()
-        tables.write_epoch(stub_events(batch.filter(F.col("event_id").isNull()) if "event_id" in batch.columns else batch,
-                                       titles), f"{root}/events", kind, epoch)
+        other = known(spark) if known else None
+        titles = tables.known_titles(spark, root, kind, epoch) if other is None else other
+        unnamed = batch.filter(F.col("event_id").isNull()) if "event_id" in batch.columns else batch
+        rows = tables.reduced(resolved(batch, other), table).persist()
+        tables.write_epoch(stub_events(unnamed, titles), f"{root}/events", kind, epoch)
         tables.write_epoch(rows, f"{root}/{table}", kind, epoch)
         if refresh:
             touched = rows.select(F.col("event_id").alias("id")).distinct()
