@@ -113,6 +113,7 @@ def start(messages: DataFrame, kind: str, root: str, checkpoint: str, available_
 def run(spark: SparkSession, sources: dict[str, DataFrame], root: str, checkpoint: str,
         available_now: bool = False, **options) -> None:
     """Starts one query per kind and waits; when one ends or fails, or on interrupt, the others are stopped."""
+    spark.streams.resetTerminated()
     queries = [start(df, kind, root, checkpoint, available_now, **options) for kind, df in sources.items()]
     try:
         if available_now:
