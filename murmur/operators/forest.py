@@ -115,12 +115,21 @@ def _samples(df: DataFrame, key: str, columns: Sequence[str], n_rows: int, trees
 def fit(df: DataFrame, key: str, columns: Sequence[str], trees: int = TREES, sample: int = SAMPLE,
         contamination: float = CONTAMINATION, seed: int = SEED) -> Forest | None:
     """Grows the forest and sets the cutoff; None when there are too few rows."""
+    names = list(columns)
+    rows = df.select(key, *names).persist()  # read three times below
+    try:
+        return _fit(rows, key, names, trees, sample, contamination, seed)
+    finally:
+        rows.unpersist()
+
+
+def _fit(df: DataFrame, key: str, names: list[str], trees: int, sample: int, contamination: float,
+         seed: int) -> Forest | None:
     n_rows = df.count()
     if n_rows < FEWEST_ROWS:
         return None
     size = min(sample, n_rows)
     limit = max(1, math.ceil(math.log2(size)))
-    names = list(columns)
 
     def grow_tree(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])

@@ -80,6 +80,17 @@ DUCK_VIEWS = {
 }
 
 
+# Text tables and the column they may be spread by.
+TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Work on texts is bound by the processor, and one small file is read by one task. With fewer files than
+    cores the rows are spread first; a table of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 class Tables:
     """The tables of one directory and the views over them. Everything is lazy."""
 
@@ -88,7 +99,8 @@ class Tables:
         self.folder = folder
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
     def _view(self, name: str) -> DataFrame:
         used = {t: self.raw(t) for t in TABLES if f" {t}" in SPARK_VIEWS[name]}

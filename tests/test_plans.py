@@ -50,5 +50,15 @@ def test_pages_are_cut_before_comments_are_counted(t):
     assert "TakeOrderedAndProject" in p and "LeftSemi" in p
 
 
-def test_text_counting_reads_only_the_text(t):
-    assert "ReadSchema: struct<text:string>" in plan(text.word_counts(t.raw("documents"), 5, "text"))
+def test_text_counting_reads_only_the_text(spark, t):
+    docs = spark.read.parquet(f"{t.folder}/documents.parquet")
+    assert "ReadSchema: struct<text:string>" in plan(text.word_counts(docs, 5, "text"))
+
+
+def test_many_files_are_not_spread(spark, tmp_path):
+    from murmur.sources.views import spread
+    folder = str(tmp_path / "many")
+    spark.range(100).repartition(8).write.parquet(folder)
+    assert "Exchange" not in plan(spread(spark.read.parquet(folder), "id"))
+    spark.range(100).coalesce(1).write.parquet(folder + "1")
+    assert "Exchange" in plan(spread(spark.read.parquet(folder + "1"), "id"))
