@@ -122,6 +122,17 @@ check("i07_forecast_long_history", FORECAST.format(table="comments"))(
     lambda t: forecast.forecast(metrics.daily_history(t.comments), 7, digits=6))
 
 check("i08_report")(lambda t: reports.summary(t.hot_events, t.comments, AS_OF, 30, None))
+check("i08_report_totals", f"""
+WITH f AS ({FORECAST.format(table="comments")}),
+top AS (SELECT * FROM ({influence_sql("(SELECT * FROM hot_events ORDER BY heat DESC, id LIMIT 15)")})
+        ORDER BY influence_score DESC, heat DESC, title DESC LIMIT 1),
+s AS (SELECT round(CAST(sum(sentiment_score) AS DOUBLE) / count(*), 3) AS a, {T1} FROM comments)
+SELECT (SELECT count(*) FROM hot_events) AS total_events, (SELECT count(*) FROM comments) AS total_comments,
+       a AS avg_sentiment, CASE WHEN a > 0.6 THEN 'positive' WHEN a < 0.4 THEN 'negative' ELSE 'neutral' END AS mood,
+       (SELECT title FROM top) AS top_title, (SELECT round(influence_score, 2) FROM top) AS top_influence,
+       (SELECT max(current_trend) FROM f) AS current_trend FROM s""")(
+    lambda t: reports.summary(t.hot_events, t.comments, AS_OF, 30, None).select(
+        "total_events", "total_comments", "avg_sentiment", "mood", "top_title", "top_influence", "current_trend"))
 check("i08_recommendations")(
     lambda t: insights.recommendations(reports.summary(t.hot_events, t.comments, AS_OF, 30, None)))
 

@@ -113,14 +113,13 @@ SELECT trim(title) AS title, crawl_time, heat, sentiment_score FROM hot_events W
         SENT).drop("id"))
 
 check("b01_clean_messages", """
-SELECT comment_id, publish_time, location FROM (
-  SELECT CAST(comment_id AS STRING) AS comment_id, publish_time,
-         CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE location END AS location, event_id FROM comments) WHERE event_id % 5 <> 0""")(
-    lambda t: decode.clean(comment_messages(t).withColumn("hot_rank", F.lit(1)).withColumn("username", F.lit(None).cast("string"))
-                           .withColumn("sentiment_type", F.lit(None).cast("string"))
-                           .withColumn("_e", F.floor(F.col("comment_id").cast("long") / 10))
-                           .withColumn("location", F.when(F.expr("_e % 3 <> 0"), F.col("location")))
-                           .withColumn("publish_time", F.when(F.expr("_e % 5 <> 0"), F.col("publish_time"))), "comment")
+SELECT CAST(comment_id AS STRING) AS comment_id, publish_time, CASE WHEN like_count > 40 THEN 'unknown' ELSE location END AS location
+FROM comments WHERE like_count > 10""")(
+    lambda t: decode.clean(
+        comment_messages(t).withColumn("hot_rank", F.lit(1)).withColumn("username", F.lit(None).cast("string"))
+        .withColumn("sentiment_type", F.lit(None).cast("string"))
+        .withColumn("location", F.when(F.col("like_count") <= 40, F.col("location")))
+        .withColumn("publish_time", F.when(F.col("like_count") > 10, F.col("publish_time"))), "comment")
     .select("comment_id", "publish_time", "location"))
 
 check("c02_resolved_titles", """
@@ -315,3 +314,142 @@ SELECT DISTINCT word, kind FROM (SELECT content AS word, 'pos' AS kind FROM comm
 UNION ALL SELECT 'dreadful', 'neg')""")(
     lambda t: readers.extended_lexicon(t.comments.select(F.col("content").alias("word"), F.lit("pos").alias("kind")),
                                        ["splendid", "splendid"], ["dreadful"]))
+
+
+# ---- the single steps of the streams
+
+check("a03_decoded_articles", """
+SELECT CAST(article_id AS STRING) AS article_id, author, content, CAST(like_count AS INT) AS like_count,
+       concat('topic ', author) AS hot_title, CAST(sentiment_score AS DOUBLE) AS sentiment_score FROM articles""")(
+    lambda t: decode.decode(writers.envelopes(article_messages(t), SENT), "article")
+    .select("article_id", "author", "content", "like_count", "hot_title", "sentiment_score"))
+
+check("a04_event_titles", "SELECT title AS hot_title, min(id) AS known_id FROM hot_events GROUP BY 1")(
+    lambda t: readers.event_titles(t.hot_events))
+
+
+def saved_in_two(t, rows, kind, cut):
+    """A table after two batches, the older rows first."""
+    root = shared_folder(t.spark, "tables")
+    older, newer = rows.filter(F.col("crawl_time") < F.lit(cut).cast("timestamp_ntz")), rows.filter(
+        F.col("crawl_time") >= F.lit(cut).cast("timestamp_ntz"))
+    for epoch, batch in enumerate((older, newer)):
+        if kind == "event":
+            ingest.save_events(batch, epoch, root)
+        else:
+            ingest.save_texts(batch, epoch, root, kind, refresh=False)
+    return root
+
+
+def cleaned(t, made, kind):
+    return decode.clean(decode.decode(writers.envelopes(made(t), SENT), kind), kind)
+
+
+check("a05_event_upsert", """
+SELECT title, max(crawl_time) AS crawl_time, arg_max(heat, (crawl_time, heat)) AS heat FROM hot_events GROUP BY 1""")(
+    lambda t: tables.read_events(t.spark, saved_in_two(t, cleaned(t, event_messages, "event"), "event", "1998-01-01"))
+    .select("title", "crawl_time", "heat"))
+
+
+def article_upsert(t):
+    """Every article a second time, with other author, more likes and a later crawl."""
+    rows = cleaned(t, article_messages, "article")
+    again = (rows.withColumn("author", F.lit("someone else")).withColumn("like_count", F.col("like_count") + 1)
+             .withColumn("crawl_time", F.col("crawl_time") + F.expr("INTERVAL 90 DAYS")))
+    root = saved_in_two(t, rows.unionByName(again), "article", "2024-02-15")
+    return tables.read_table(t.spark, root, "articles").select("article_id", "author", "like_count", "publish_time", "crawl_time")
+
+
+check("a06_article_upsert", """
+SELECT CAST(article_id AS STRING) AS article_id, author, CAST(like_count + 1 AS INT) AS like_count, publish_time,
+       publish_time + INTERVAL 90 DAY AS crawl_time FROM articles""")(article_upsert)
+
+check("a07_comment_upsert", f"""
+SELECT CAST(comment_id AS STRING) AS comment_id, arg_max(like_count, {LAST}) AS like_count,
+       arg_max(sentiment_score, {LAST}) AS sentiment_score, arg_min(content, {LAST}) AS content, min(publish_time) AS publish_time
+FROM comments GROUP BY 1""")(
+    lambda t: tables.read_table(
+        t.spark, saved_in_two(t, cleaned(t, comment_messages, "comment"), "comment", "1998-01-01"), "comments")
+    .select("comment_id", "like_count", "sentiment_score", "content", "publish_time"))
+
+
+def named_messages(t):
+    return t.comments.select("comment_id", "tie", hot_title().alias("hot_title"), F.col("publish_time").alias("crawl_time"),
+                             F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("event_id"))
+
+
+check("c03_message_id_first", "SELECT comment_id, tie, own_id AS event_id FROM messages WHERE own_id IS NOT NULL",
+      {"messages": MESSAGES})(
+    lambda t: ingest.resolved(named_messages(t).withColumn("own_id", F.col("event_id")), readers.event_titles(t.hot_events))
+    .filter("own_id IS NOT NULL").select("comment_id", "tie", "event_id"))
+
+
+def resolved_titles(t):
+    """Rows without an own id, with the title of the event, known or stub, they were resolved to."""
+    known = readers.event_titles(t.hot_events)
+    rows = named_messages(t).filter("event_id IS NULL")
+    stubs = ingest.stub_events(rows, known).select(F.col("title").alias("hot_title"), F.xxhash64("title").alias("known_id"))
+    ids = known.unionByName(stubs).select(F.col("known_id").alias("event_id"), F.col("hot_title").alias("title"))
+    return ingest.resolved(rows, known).join(ids, "event_id").select("comment_id", "tie", "title")
+
+
+check("c05_resolved_in_one_pass", "SELECT comment_id, tie, hot_title AS title FROM messages WHERE own_id IS NULL",
+      {"messages": MESSAGES})(resolved_titles)
+
+
+def united(t):
+    known = readers.event_titles(t.hot_events)
+    rows = named_messages(t)
+    seen = rows.join(known, "hot_title", "left_semi").withColumn("is_stub", F.lit(False))
+    new = rows.join(known, "hot_title", "left_anti").withColumn("is_stub", F.lit(True))
+    return seen.unionByName(new).select("comment_id", "tie", "hot_title", "is_stub")
+
+
+check("f02_united_rows", """
+SELECT comment_id, tie, hot_title, hot_title NOT IN (SELECT title FROM hot_events) AS is_stub FROM messages""",
+      {"messages": MESSAGES})(united)
+
+
+def three_streams(t):
+    """Events, articles and comments at the same time, each with its own checkpoint."""
+    root, marks = shared_folder(t.spark, "tables"), shared_folder(t.spark, "marks")
+    sources = {"event": send(t, event_messages(t)), "article": send(t, article_messages(t)), "comment": send(t, comment_messages(t))}
+    ingest.run(t.spark, sources, root, marks, available_now=True, refresh=False)
+    counts = metrics.row_count(tables.read_events(t.spark, root)).withColumn("kind", F.lit("events"))
+    for kind in ("articles", "comments"):
+        counts = counts.unionByName(metrics.row_count(tables.read_table(t.spark, root, kind)).withColumn("kind", F.lit(kind)))
+    return counts
+
+
+check("j05_three_streams", """
+SELECT 'events' AS kind, count(*) AS n FROM (SELECT title FROM hot_events UNION SELECT concat('topic ', author) FROM articles
+  UNION SELECT hot_title FROM messages WHERE own_id IS NULL)
+UNION ALL SELECT 'articles', count(DISTINCT article_id) FROM articles
+UNION ALL SELECT 'comments', count(DISTINCT comment_id) FROM comments""", {"messages": MESSAGES})(three_streams)
+
+
+def capped(t):
+    """The article stream in several capped batches."""
+    folder, root = shared_folder(t.spark, "messages"), shared_folder(t.spark, "tables")
+    writers.publish_files(writers.envelopes(article_messages(t).repartition(4, "article_id"), SENT), folder)
+    source = readers.file_stream(t.spark, folder, max_files=2)
+    ingest.run(t.spark, {"article": source}, root, shared_folder(t.spark, "marks"), available_now=True, refresh=False)
+    return tables.read_table(t.spark, root, "articles").select("article_id", "author", "like_count")
+
+
+check("j08_capped_stream", """
+SELECT CAST(article_id AS STRING) AS article_id, author, CAST(like_count AS INT) AS like_count FROM articles""")(capped)
+
+
+def triggered(t):
+    """The event stream as it runs in service: timed micro-batches, stopped when all messages are in."""
+    root, marks = shared_folder(t.spark, "tables"), shared_folder(t.spark, "marks")
+    query = ingest.start(send(t, event_messages(t)), "event", root, marks, trigger="1 second")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return tables.read_events(t.spark, root).select("title", "heat")
+
+
+check("j04_timed_stream", "SELECT title, arg_max(heat, (crawl_time, heat)) AS heat FROM hot_events GROUP BY 1")(triggered)

@@ -52,10 +52,19 @@ def resolved(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
             .withColumn("event_id", F.coalesce(own, F.col("known_id"), made)).drop("known_id"))
 
 
-def refreshed(comments: DataFrame, touched: DataFrame) -> DataFrame:
-    """(id, score): mean comment score of the touched events (id)."""
+def refreshed(spark: SparkSession, root: str, touched: DataFrame) -> DataFrame:
+    """(id, score): mean comment score of the touched events (id).
+
+    Only comments that some epoch places in a touched event are merged, in all their epochs; a comment counts for
+    the event it was first placed in. The rest of the log is read for its ids and not shuffled.
+    """
+    log = tables.read_log(spark, f"{root}/comments", tables.TABLES["comments"])
+    log = log.select("comment_id", "event_id", "sentiment_score", "epoch")
+    near = joins.only_events(log, touched).select("comment_id").distinct()
+    rows = log.join(near, "comment_id", "left_semi")
+    merged = tables.merged(rows, "comment_id", ["event_id"], ["sentiment_score"], F.col("epoch"))
     mean = F.round(numbers.mean(F.col("sentiment_score")), 3).cast(SCORE)
-    return joins.per_event(joins.only_events(comments, touched), mean.alias("score")).filter(F.col("score").isNotNull())
+    return joins.per_event(joins.only_events(merged, touched), mean.alias("score")).filter(F.col("score").isNotNull())
 
 
 def save_events(batch: DataFrame, epoch: int, root: str) -> None:
@@ -79,8 +88,7 @@ def save_texts(batch: DataFrame, epoch: int, root: str, kind: str, refresh: bool
         tables.write_epoch(rows, f"{root}/{table}", kind, epoch)
         if refresh:
             touched = rows.select(F.col("event_id").alias("id")).distinct()
-            comments = tables.read_table(spark, root, "comments")
-            tables.write_epoch(refreshed(comments, touched), f"{root}/event_scores", kind, epoch)
+            tables.write_epoch(refreshed(spark, root, touched), f"{root}/event_scores", kind, epoch)
         rows.unpersist()
     finally:
         batch.unpersist()
