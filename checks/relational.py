@@ -235,6 +235,14 @@ SELECT a.article_id, k.keyword FROM articles a, (SELECT unnest({KEYWORDS}) AS ke
 WHERE contains(a.content, k.keyword)""")(
     lambda t: joins.keyword_hits(t.articles, KEYWORDS).select("article_id", "keyword"))
 
+check("c14_keyword_hits_by_join", """
+SELECT a.article_id, k.keyword FROM articles a JOIN (SELECT DISTINCT split_part(p_name, ' ', 2) AS keyword FROM part
+  UNION SELECT DISTINCT author FROM articles UNION SELECT DISTINCT left(content, 12) FROM replies) k
+ON k.keyword <> '' AND contains(a.content, k.keyword)""")(
+    lambda t: joins.keyword_hits_by_join(
+        t.articles, "article_id", t.raw("part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("keyword"))
+        .union(t.articles.select("author")).union(t.replies.select(F.substring("content", 1, 12)))))
+
 # ---- aggregates
 
 check("d01_event_count", """

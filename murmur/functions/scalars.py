@@ -21,6 +21,18 @@ CO_WORD_STOPS = ("的是", "是的", "这个", "那个", "什么", "怎么", "
                  "但是", "而且", "或者", "如果")
 HIGH_HEAT = 1000
 
+# A small default rule table (category, pattern); the first match wins. Callers bring their own for real use.
+DEFAULT_RULES = (
+    ("society", "社会|民生|交通|天气|community|traffic|weather|accident"),
+    ("politics", "政策|政府|外交|government|policy|election|minister"),
+    ("economy", "经济|股市|金融|就业|econom|market|bank|price"),
+    ("entertainment", "娱乐|电影|音乐|明星|movie|music|celebrity|concert"),
+    ("sport", "体育|足球|篮球|奥运|sport|football|basketball|olympic"),
+    ("technology", "科技|人工智能|手机|芯片|tech|software|phone|chip"),
+    ("health", "健康|医院|疫苗|疾病|health|hospital|vaccine|disease"),
+    ("education", "教育|学校|高考|大学|education|school|university|exam"),
+)
+
 
 def kept_text(text: Column) -> Column:
     """The text without links, mentions and all but letters, digits, spaces and four marks.
@@ -141,7 +153,7 @@ def plain_words(text: Column, keyword: str, stops: Sequence[str] = CO_WORD_STOPS
     return F.filter(words, lambda w: (F.length(w) >= 2) & (w != F.lit(keyword)) & ~w.isin(list(stops)))
 
 
-def category(title: Column, rules: Sequence[tuple[str, str]], other: str = "other") -> Column:
+def category(title: Column, rules: Sequence[tuple[str, str]] = DEFAULT_RULES, other: str = "other") -> Column:
     """First rule whose pattern is found in the cleaned title, ignoring case."""
     text = clean_text(title)
     out = None

@@ -30,7 +30,8 @@ def heat_ranking(events: DataFrame, comments: DataFrame, k: int) -> DataFrame:
     return joins.with_counts(hottest(events, k), prune=True, comment_count=comments)
 
 
-def with_category(events: DataFrame, rules: Sequence[tuple[str, str]], other: str = "other") -> DataFrame:
+def with_category(events: DataFrame, rules: Sequence[tuple[str, str]] = scalars.DEFAULT_RULES,
+                  other: str = "other") -> DataFrame:
     return events.withColumn("category", scalars.category(F.col("title"), rules, other))
 
 
@@ -48,12 +49,12 @@ def heat_rank_per_category(events: DataFrame, rules, k: int, pool: int = 1000) -
     return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
 
 
-def category_counts(events: DataFrame, rules) -> DataFrame:
+def category_counts(events: DataFrame, rules=scalars.DEFAULT_RULES) -> DataFrame:
     titled = events.filter(F.trim("title") != "")
     return with_category(titled, rules).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-def category_heat(events: DataFrame, rules, pool: int = 1000, digits: int = 2) -> DataFrame:
+def category_heat(events: DataFrame, rules=scalars.DEFAULT_RULES, pool: int = 1000, digits: int = 2) -> DataFrame:
     """Count, total and mean heat of every category among the hottest events, empty categories kept."""
     names = [name for name, _ in rules] + ["other"]
     seen = with_category(hottest(events, pool), rules).groupBy("category").agg(

@@ -27,6 +27,8 @@ def summary(events: DataFrame, comments: DataFrame, as_of, days: int = 30, anoma
     odd = forest.detect(events, comments, as_of, anomaly_days)
     base = base.withColumn("anomalies", forest.severity_counts(odd).agg(
         F.first(F.struct("total", "high", "medium", "low"))).scalar())
+    worst = odd.limit(3).agg(F.sort_array(F.collect_list(F.struct("anomaly_score", "id", "title", "severity"))))
+    base = base.withColumn("recent_anomalies", worst.scalar())
     steps = forecast.forecast(metrics.daily_history(comments), ahead)
     base = base.withColumn("predictions", steps.agg(F.sort_array(F.collect_list(F.struct("step", "prediction")))).scalar())
     base = base.withColumn("current_trend", F.coalesce(steps.agg(F.max("current_trend")).scalar(), F.lit("flat")))

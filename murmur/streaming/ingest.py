@@ -53,7 +53,8 @@ def resolved(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def refreshed(spark: SparkSession, root: str, touched: DataFrame) -> DataFrame:
-    """(id, score): mean comment score of the touched events (id).
+    """(id, score, seen): mean comment score of the touched events (id), and the last comment epoch it rests on.
+    The streams number their epochs on their own; `seen` tells which of two refreshed scores is the newer.
 
     Only comments that some epoch places in a touched event are merged, in all their epochs; a comment counts for
     the event it was first placed in. The rest of the log is read for its ids and not shuffled.
@@ -62,9 +63,10 @@ def refreshed(spark: SparkSession, root: str, touched: DataFrame) -> DataFrame:
     log = log.select("comment_id", "event_id", "sentiment_score", "epoch")
     near = joins.only_events(log, touched).select("comment_id").distinct()
     rows = log.join(near, "comment_id", "left_semi")
-    merged = tables.merged(rows, "comment_id", ["event_id"], ["sentiment_score"], F.col("epoch"))
+    merged = tables.merged(rows, "comment_id", ["event_id"], ["sentiment_score", "epoch"], F.col("epoch"))
     mean = F.round(numbers.mean(F.col("sentiment_score")), 3).cast(SCORE)
-    return joins.per_event(joins.only_events(merged, touched), mean.alias("score")).filter(F.col("score").isNotNull())
+    scores = joins.per_event(joins.only_events(merged, touched), mean.alias("score"), F.max("epoch").alias("seen"))
+    return scores.filter(F.col("score").isNotNull())
 
 
 def save_events(batch: DataFrame, epoch: int, root: str) -> None:

@@ -26,7 +26,8 @@ TABLES = {"articles": schemas.ARTICLES, "comments": schemas.COMMENTS}
 EVENT_LOG = T.StructType([
     T.StructField("title", T.StringType()), T.StructField("heat", T.LongType()),
     T.StructField("crawl_time", T.TimestampNTZType()), T.StructField("sentiment_score", schemas.SCORE)])
-SCORE_LOG = T.StructType([T.StructField("id", T.LongType()), T.StructField("score", schemas.SCORE)])
+SCORE_LOG = T.StructType([T.StructField("id", T.LongType()), T.StructField("score", schemas.SCORE),
+                          T.StructField("seen", T.LongType())])
 
 
 def write_epoch(df: DataFrame, folder: str, source: str, epoch: int) -> None:
@@ -91,8 +92,7 @@ def read_events(spark: SparkSession, root: str) -> DataFrame:
         F.max_by("crawl_time", told).alias("_told"), F.min("crawl_time").alias("_first"),
         F.max_by("heat", told).alias("heat"), F.max_by("sentiment_score", scored).alias("_own"))
     scores = read_log(spark, f"{root}/event_scores", SCORE_LOG)
-    # One refresh per epoch and stream; the comment stream's own refresh wins within an epoch.
-    fresh = scores.groupBy("id").agg(F.max_by("score", F.struct("epoch", "source")).alias("_fresh"))
+    fresh = scores.groupBy("id").agg(F.max_by("score", "seen").alias("_fresh"))
     half = F.lit(0.5).cast(schemas.SCORE)
     return (events.withColumn("id", F.xxhash64("title")).join(fresh, "id", "left")
             .select("id", "title", F.coalesce("_told", "_first").alias("crawl_time"),

@@ -237,14 +237,27 @@ def test_report_has_one_row(t):
     assert len(row) == 1 and len(row[0].predictions) == 7 and row[0].anomalies.total > 0
 
 
-def test_large_keyword_tables_use_the_join(spark):
-    df = texts(spark, [("Red apple", DAY, 0.5), ("green pear", DAY, 0.5)])
-    table = spark.createDataFrame([("apple",), ("green",), ("kiwi",)], "keyword string")
-    got = sorted((r.text_id, r.keyword) for r in joins.keyword_hits_by_join(df, "text_id", table).collect())
-    assert got == [(0, "apple"), (1, "green")]
+def test_large_keyword_tables_use_the_join(spark, t):
+    df = t.articles
+    bodies = {r.article_id: r.content for r in df.select("article_id", "content").collect()}
+    some = sorted({b[i:i + n] for b in list(bodies.values())[:20] for i in (0, 40) for n in (1, 2, 5, 9)} | {"zzzz", ""})
+    table = spark.createDataFrame([(w,) for w in some], "keyword string")
+    want = sorted((k, w) for k, b in bodies.items() for w in some if w and w in b)
+    got = sorted((r.article_id, r.keyword) for r in joins.keyword_hits_by_join(df, "article_id", table).collect())
+    assert got == want
+    small = sorted((r.article_id, r.keyword) for r in joins.sized_keyword_hits(df, "article_id", table.limit(5)).collect())
+    inside = {r.keyword for r in table.limit(5).collect()}
+    assert small == [(k, w) for k, w in want if w in inside]
+    assert joins.sized_keyword_hits(df, "article_id", table.limit(0)).count() == 0
     with pytest.raises(ValueError):
         keywords.as_list([str(i) for i in range(keywords.MAX_KEYWORDS + 1)])
 
 
+def test_default_categories(spark):
+    e = events(spark, [(1, "足球 决赛", 1, DAY, None), (2, "New PHONE", 1, DAY, None), (3, "nothing", 1, DAY, None), (4, " ", 1, DAY, None)])
+    assert {r.category: r.n for r in ranking.category_counts(e).collect()} == {"sport": 1, "technology": 1, "other": 1}
+    assert ranking.category_heat(e).count() == 9
+
+
 def test_band_bounds_are_arguments(spark, talk):
     assert metrics.band_counts(talk, bands.T5).first()[:3] == (4, 1, 0)

@@ -116,6 +116,23 @@ def test_scores_refresh_for_touched_events_only(spark, run):
     assert got == {"t": 0.3, "u": 0.2}
 
 
+def test_newer_score_wins_over_an_older_one_with_a_higher_epoch(spark, run):
+    run("comment", envelope(comment("1", "t", sentiment_score=0.9)))
+    for i in range(3):
+        run("article", envelope(article(f"a{i}", "t")))
+    root = run("comment", envelope(comment("2", "t", sentiment_score=0.1)))
+    assert float(tables.read_events(spark, root).first().sentiment_score) == 0.5
+    run("article", envelope(article("a9", "t")))
+    assert float(tables.read_events(spark, root).first().sentiment_score) == 0.5
+
+
+def test_comment_counts_for_the_event_it_was_first_placed_in(spark, run):
+    run("comment", envelope(comment("1", "t", sentiment_score=0.9), comment("2", "u", sentiment_score=0.3)))
+    root = run("comment", envelope(comment("1", "u", sentiment_score=0.7)))
+    got = {r.title: float(r.sentiment_score) for r in tables.read_events(spark, root).collect()}
+    assert got["u"] == 0.3
+
+
 def test_stub_stands_until_its_event_arrives(spark, run):
     run("comment", envelope(comment("1", "t", sentiment_score=0.9)), refresh=False)
     root = run("event", envelope(event("t", "2024-03-01 00:00:00", heat=99)))
