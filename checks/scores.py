@@ -146,8 +146,7 @@ SELECT id, CASE WHEN total = 0 THEN 'no comments yet' WHEN positive_count > nega
     ELSE 'low risk' END AS risk
 FROM ({EVENT_BANDS}) b JOIN hot_events e USING (id)""")(
     lambda t: insights.rule_insights(
-        metrics.event_bands(t.hot_events, t.comments).join(
-            t.hot_events.select("id", "sentiment_score"), "id")
+        metrics.event_bands(t.hot_events, t.comments, columns=("id", "sentiment_score"))
         .withColumn("health_score", F.col("sentiment_score") * 100)
         .withColumn("risk_level", metrics.bands.risk_level(F.col("sentiment_score"))))
     .select("id", "mood", "health", "risk"))

@@ -69,9 +69,10 @@ def with_band_percents(df: DataFrame, digits: int = 1) -> DataFrame:
     return df
 
 
-def event_bands(events: DataFrame, comments: DataFrame, digits: int = 1) -> DataFrame:
-    """Band counts and percentages of every event, events without comments included."""
-    out = events.select("id").join(band_counts(comments, per_event=True), "id", "left")
+def event_bands(events: DataFrame, comments: DataFrame, digits: int = 1, columns=("id",)) -> DataFrame:
+    """Band counts and percentages of every event, events without comments included. `columns` of the event are
+    kept."""
+    out = events.select(*columns).join(band_counts(comments, per_event=True), "id", "left")
     names = ("positive_count", "neutral_count", "negative_count", "total")
     out = out.fillna(0, list(names))
     return with_band_percents(out, digits)
@@ -297,18 +298,28 @@ def event_hours(comments: DataFrame, by: str = "hour", digits: int = 3) -> DataF
 
 
 def deep_stats(comments: DataFrame, beyond: float = 0.1, digits: int = 6) -> DataFrame:
-    """Per event: likes, bands, mean, and the direction from its first to its last active hour."""
-    stats = joins.per_event(
-        comments, _count().alias("total"), numbers.sum_or_zero(F.col("like_count")).alias("total_likes"),
-        *bands.counts(F.col(SCORE), null_is_neutral=True),
-        F.round(numbers.mean_or(F.col(SCORE), 0.5), digits).alias("avg_sentiment"))
-    hours = event_hours(comments, digits=3).filter(F.col("avg_sentiment").isNotNull())
-    ends = hours.groupBy("id").agg(
-        F.min_by("avg_sentiment", "bucket").alias("first_hour"),
-        F.max_by("avg_sentiment", "bucket").alias("last_hour"), _count().alias("active_hours"))
+    """Per event: likes, bands, mean, and the direction from its first to its last active hour. The comments are
+    read once, into sums by event and hour; the rest works on those."""
+    score, filled = F.col(SCORE), F.coalesce(SCORE, F.lit(0.5).cast("decimal(4,3)"))
+    hours = comments.filter(F.col("event_id").isNotNull()).groupBy(
+        F.col("event_id").alias("id"), times.hour_label(F.col("publish_time")).alias("hour")).agg(
+        _count().alias("n"), numbers.sum_or_zero(F.col("like_count")).alias("likes"),
+        F.sum(filled).alias("filled"), F.round(numbers.mean(score), 3).alias("mean"),
+        *bands.counts(score, null_is_neutral=True))
+    active = F.when(F.col("hour").isNotNull() & F.col("mean").isNotNull(), F.col("hour"))
+
+    def total(name: str) -> Column:
+        return F.sum(name).cast("bigint")
+
+    stats = hours.groupBy("id").agg(
+        total("n").alias("total"), total("likes").alias("total_likes"),
+        *[total(f"{b}_count").alias(f"{b}_count") for b in ("positive", "neutral", "negative")],
+        F.round(F.try_divide(F.sum("filled").cast("double"), total("n").cast("double")), digits).alias("avg_sentiment"),
+        F.min_by("mean", active).alias("first_hour"), F.max_by("mean", active).alias("last_hour"),
+        F.count(active).alias("active_hours"))
     moved = F.round(F.col("last_hour") - F.col("first_hour"), 3)
     direction = F.when(moved > beyond, "up").when(moved < -beyond, "down").otherwise("stable")
-    return with_band_percents(stats, digits).join(ends, "id", "left").withColumn("direction", direction)
+    return with_band_percents(stats, digits).withColumn("direction", direction)
 
 
 def daily_availability(comments: DataFrame, as_of, windows=(7, 14, 30, 60, 90, 180)) -> DataFrame:

@@ -113,9 +113,9 @@ def opinions_on(events: DataFrame, articles: DataFrame, keyword: str, k: int = 2
 
 def event_board(events: DataFrame, comments: DataFrame, digits: int = 1) -> DataFrame:
     """Every event with comment count, band counts, percentages and risk, in one plan."""
-    detail = metrics.event_bands(events, comments, digits).withColumnRenamed("total", "comment_count")
-    return (events.select("id", "title", "crawl_time", "heat", "sentiment_score").join(detail, "id")
-            .withColumn("risk_level", bands.risk_level(F.col("sentiment_score"))))
+    kept = ("id", "title", "crawl_time", "heat", "sentiment_score")
+    board = metrics.event_bands(events, comments, digits, kept).withColumnRenamed("total", "comment_count")
+    return board.withColumn("risk_level", bands.risk_level(F.col("sentiment_score")))
 
 
 def event_board_page(events: DataFrame, comments: DataFrame, number: int, size: int, digits: int = 1) -> DataFrame:

@@ -111,15 +111,18 @@ def newest_rows(df: DataFrame, n: int | None, key: str, time: str = "publish_tim
 
 def overview(events: DataFrame, comments: DataFrame, base: Column, newest: int | None = None,
              key: str = "comment_id", cal: words.Calibration | None = None, digits: int = 3) -> DataFrame:
-    """One row: events, comments, mean likes, mean of the re-scored comments (all, or the newest n)."""
+    """One row: events, comments, mean likes, mean of the re-scored comments (all in one pass, or the newest n)."""
     n_events = metrics.row_count(events).scalar()
-    likes = metrics.mean_likes(comments, digits=digits).scalar()
-    scored = words.with_score(newest_rows(comments, newest, key), base, cal=cal)
-    n_comments = metrics.row_count(comments).scalar()
-    mean = scored.agg(F.round(F.coalesce(F.avg(F.col("score").cast("decimal(4,3)")).cast("double"), F.lit(0.5)), digits)
-                      .alias("avg_sentiment"))
-    return mean.select(n_events.alias("total_events"), n_comments.alias("total_comments"),
-                       likes.alias("avg_likes"), "avg_sentiment")
+    score = F.avg(F.col("score").cast("decimal(4,3)")).cast("double")
+    mean = F.round(F.coalesce(score, F.lit(0.5)), digits).alias("avg_sentiment")
+    likes = F.round(F.coalesce(numbers.mean(F.coalesce("like_count", F.lit(0))), F.lit(0.0)), digits).alias("avg_likes")
+    counts = [F.count(F.lit(1)).alias("total_comments"), likes]
+    if newest is None:
+        rows = words.with_score(comments, base, cal=cal).agg(*counts, mean)
+    else:
+        part = words.with_score(newest_rows(comments, newest, key), base, cal=cal).agg(mean)
+        rows = comments.agg(*counts).withColumn("avg_sentiment", part.scalar())
+    return rows.select(n_events.alias("total_events"), "total_comments", "avg_likes", "avg_sentiment")
 
 
 def rescored_daily(comments: DataFrame, base: Column, newest: int | None = None, key: str = "comment_id",

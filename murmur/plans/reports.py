@@ -7,20 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.functions import bands
+from murmur.functions import bands, numbers, times
 from murmur.operators import (filters, forecast, forest, keywords, metrics, ranking, scoring, sets)
 
 
 def summary(events: DataFrame, comments: DataFrame, as_of, days: int = 30, anomaly_days: int | None = 7,
             ahead: int = 7) -> DataFrame:
     """One row: totals, mood, band counts, most influential event, anomalies and forecast."""
-    mean = F.coalesce(metrics.mean_sentiment(comments).scalar(), F.lit(0.5))
-    totals = metrics.row_count(events, "total_events").withColumn("total_comments", metrics.row_count(comments).scalar())
-    base = totals.withColumn("avg_sentiment", mean).withColumn(
-        "mood", F.when(F.col("avg_sentiment") > 0.6, "positive").when(F.col("avg_sentiment") < 0.4, "negative")
-        .otherwise("neutral"))
-    shares = metrics.period_bands(comments, as_of, days)
-    base = base.withColumn("bands", shares.agg(F.first(F.struct(*shares.columns))).scalar())
+    score, names = F.col("sentiment_score"), ("positive", "neutral", "negative")
+    recent = F.when(times.since(F.col("publish_time"), as_of, days=days), score)
+    talk = comments.agg(
+        F.count(F.lit(1)).alias("total_comments"), F.round(numbers.mean_or(score, 0.5), 3).alias("avg_sentiment"),
+        *bands.counts(recent, bands.T4), F.count(recent).alias("total"))
+    base = talk.select(
+        metrics.row_count(events).scalar().alias("total_events"), "total_comments", "avg_sentiment",
+        F.when(F.col("avg_sentiment") > 0.6, "positive").when(F.col("avg_sentiment") < 0.4, "negative")
+        .otherwise("neutral").alias("mood"),
+        F.struct(*[f"{n}_count" for n in names], "total").alias("bands"))
     best = scoring.influential(events, comments, as_of, 5)
     ordered = F.sort_array(F.collect_list(F.struct("influence_score", "heat", "title")), asc=False)
     base = base.withColumn("top_influential", best.agg(ordered).scalar())
