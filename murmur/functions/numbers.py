@@ -11,9 +11,19 @@ def mean(column: Column) -> Column:
     return F.try_divide(F.sum(column).cast("double"), F.count(column).cast("double"))
 
 
-def mean_or(column: Column, missing: float) -> Column:
-    """Mean with nulls counted as `missing`, and `missing` when there is no row."""
-    filled = F.coalesce(column, F.lit(missing).cast("decimal(4,3)"))
+def wide_score(score: Column) -> Column:
+    """A score whose sum still fits a long-backed decimal(18,3) at 10^15 rows; decimal(4,3) would end at 10^11."""
+    return score.cast("decimal(8,3)")
+
+
+def mean_score(score: Column) -> Column:
+    """Exact mean of three-decimal scores."""
+    return mean(wide_score(score))
+
+
+def mean_or(score: Column, missing: float) -> Column:
+    """Mean score with nulls counted as `missing`, and `missing` when there is no row."""
+    filled = F.coalesce(wide_score(score), wide_score(F.lit(missing)))
     return F.coalesce(mean(filled), F.lit(missing))
 
 

@@ -65,7 +65,7 @@ def low_mean_events(events: DataFrame, comments: DataFrame, below: float = 0.3,
                     digits: int = 6) -> DataFrame:
     """Events whose mean comment score is under the bound, hottest first. The mean is rounded before the
     comparison so that it does not depend on the order of summation."""
-    avg = per_event(comments, F.round(numbers.mean(F.col("sentiment_score")), digits).alias("avg_score"))
+    avg = per_event(comments, F.round(numbers.mean_score(F.col("sentiment_score")), digits).alias("avg_score"))
     out = events.join(avg.filter(F.col("avg_score") < below), "id")
     return out if k is None else out.orderBy(F.col("heat").desc(), F.col("id").asc()).limit(k)
 

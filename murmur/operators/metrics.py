@@ -53,7 +53,7 @@ def mean_sentiment(comments: DataFrame, per_event: bool = False, digits: int = 3
 def known_mean_sentiment(comments: DataFrame, digits: int = 2) -> DataFrame:
     """Null scores are skipped; valid content only; 0.5 when there is no row."""
     valid = comments.filter(scalars.valid_content(F.col("content")))
-    return valid.agg(F.round(F.coalesce(numbers.mean(F.col(SCORE)), F.lit(0.5)), digits).alias("avg_sentiment"))
+    return valid.agg(F.round(F.coalesce(numbers.mean_score(F.col(SCORE)), F.lit(0.5)), digits).alias("avg_sentiment"))
 
 
 def band_counts(comments: DataFrame, band: bands.Band = bands.T1, per_event: bool = False,
@@ -194,13 +194,13 @@ def last_active_days(by_day: DataFrame, n: int, date: str = "date") -> DataFrame
 def sentiment_trend(comments: DataFrame, n_dates: int = 7, digits: int = 2) -> DataFrame:
     """Mean score of the last dates that have data (not calendar days)."""
     valid = comments.filter(scalars.valid_content(F.col("content")))
-    means = daily(valid, F.round(F.coalesce(numbers.mean(F.col(SCORE)), F.lit(0.5)), digits).alias("avg_sentiment"))
+    means = daily(valid, F.round(F.coalesce(numbers.mean_score(F.col(SCORE)), F.lit(0.5)), digits).alias("avg_sentiment"))
     return last_active_days(means, n_dates).withColumn("label", F.substring("date", 6, 5))
 
 
 def daily_sentiment(comments: DataFrame, as_of, days: int, digits: int = 3) -> DataFrame:
     recent = comments.filter(times.since(F.col("publish_time"), as_of, days=days))
-    return daily(recent, F.round(numbers.mean(F.col(SCORE)), digits).alias("avg_sentiment"))
+    return daily(recent, F.round(numbers.mean_score(F.col(SCORE)), digits).alias("avg_sentiment"))
 
 
 def daily_heat(events: DataFrame, as_of, days: int, digits: int = 2) -> DataFrame:
@@ -223,7 +223,7 @@ def by_location(comments: DataFrame, sentiment: bool = False, unknown: str = "un
     if not sentiment:
         return known.groupBy("location").agg(_count().alias("value"))
     scored = known.filter(F.col(SCORE).isNotNull())
-    return scored.groupBy("location").agg(F.round(numbers.mean(F.col(SCORE)), digits).alias("value"))
+    return scored.groupBy("location").agg(F.round(numbers.mean_score(F.col(SCORE)), digits).alias("value"))
 
 
 def event_score_bands(events: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def minute_series(comments: DataFrame, as_of, hours: int = 2, digits: int = 3) -
     """Per event and minute: number of comments and mean score over the last hours."""
     recent = comments.filter(times.since(F.col("publish_time"), as_of, hours=hours))
     return recent.groupBy("event_id", times.minute_label(F.col("publish_time")).alias("minute")).agg(
-        _count().alias("n"), F.round(numbers.mean(F.col(SCORE)), digits).alias("avg_sentiment"))
+        _count().alias("n"), F.round(numbers.mean_score(F.col(SCORE)), digits).alias("avg_sentiment"))
 
 
 def system_stats(events: DataFrame, comments: DataFrame, as_of, hours: int = 24, hot: int = 1_000_000,
@@ -247,7 +247,7 @@ def system_stats(events: DataFrame, comments: DataFrame, as_of, hours: int = 24,
     recent = comments.filter(times.since(F.col("publish_time"), as_of, hours=hours))
     names = ["total_comments", "unique_users", "avg_sentiment", "positive_count", "neutral_count", "negative_count"]
     talk = recent.agg(_count().alias("total_comments"), F.count_distinct(user).alias("unique_users"),
-                      F.round(numbers.mean(F.col(SCORE)), digits).alias("avg_sentiment"),
+                      F.round(numbers.mean_score(F.col(SCORE)), digits).alias("avg_sentiment"),
                       *bands.counts(F.col(SCORE)))
     right = talk.agg(F.first(F.struct(*names)).alias("r")).scalar()
     return left.withColumn("_r", right).select("*", *[F.col("_r")[n].alias(n) for n in names]).drop("_r")
@@ -266,7 +266,7 @@ def daily_history(comments: DataFrame, as_of=None, days: int | None = None, digi
         recent = [times.since(c, as_of, days=days) for c in stamps]
         rows = rows.filter(recent[0] | recent[1] if len(recent) == 2 else recent[0])
     return rows.groupBy(F.coalesce(*[times.day(c) for c in stamps]).alias("date")).agg(
-        F.round(numbers.mean(F.col(SCORE)), digits).alias("avg_sentiment"), _count().alias("comment_count"))
+        F.round(numbers.mean_score(F.col(SCORE)), digits).alias("avg_sentiment"), _count().alias("comment_count"))
 
 
 def event_features(events: DataFrame, comments: DataFrame, as_of=None, days: int | None = None,
@@ -274,7 +274,7 @@ def event_features(events: DataFrame, comments: DataFrame, as_of=None, days: int
     """Per event: comment count, mean score, mean likes; only events crawled in the last days."""
     rows = events if days is None else events.filter(times.since(F.col("crawl_time"), as_of, days=days))
     stats = joins.per_event(comments, _count().alias("comment_count"),
-                            F.round(numbers.mean(F.col(SCORE)), digits).alias("avg_sentiment"),
+                            F.round(numbers.mean_score(F.col(SCORE)), digits).alias("avg_sentiment"),
                             F.round(numbers.mean(F.col("like_count")), digits).alias("avg_likes"))
     zero = F.lit(0).cast("bigint")
     return (rows.select("id", "title", "heat", "crawl_time").join(stats, "id", "left")
@@ -294,17 +294,17 @@ def event_hours(comments: DataFrame, by: str = "hour", digits: int = 3) -> DataF
     stamp = F.col("publish_time")
     bucket = times.hour_label(stamp) if by == "hour" else times.day(stamp)
     return (comments.filter(stamp.isNotNull()).groupBy(F.col("event_id").alias("id"), bucket.alias("bucket"))
-            .agg(F.round(numbers.mean(F.col(SCORE)), digits).alias("avg_sentiment"), _count().alias("n")))
+            .agg(F.round(numbers.mean_score(F.col(SCORE)), digits).alias("avg_sentiment"), _count().alias("n")))
 
 
 def deep_stats(comments: DataFrame, beyond: float = 0.1, digits: int = 6) -> DataFrame:
     """Per event: likes, bands, mean, and the direction from its first to its last active hour. The comments are
     read once, into sums by event and hour; the rest works on those."""
-    score, filled = F.col(SCORE), F.coalesce(SCORE, F.lit(0.5).cast("decimal(4,3)"))
+    score, filled = F.col(SCORE), numbers.wide_score(F.coalesce(SCORE, F.lit(0.5).cast("decimal(4,3)")))
     hours = comments.filter(F.col("event_id").isNotNull()).groupBy(
         F.col("event_id").alias("id"), times.hour_label(F.col("publish_time")).alias("hour")).agg(
         _count().alias("n"), numbers.sum_or_zero(F.col("like_count")).alias("likes"),
-        F.sum(filled).alias("filled"), F.round(numbers.mean(score), 3).alias("mean"),
+        F.sum(filled).alias("filled"), F.round(numbers.mean_score(score), 3).alias("mean"),
         *bands.counts(score, null_is_neutral=True))
     active = F.when(F.col("hour").isNotNull() & F.col("mean").isNotNull(), F.col("hour"))
 
@@ -343,7 +343,7 @@ def duplicate_examples(comments: DataFrame, keys=("event_id", "user_id", "conten
 
 def refreshed_scores(events: DataFrame, comments: DataFrame, title_score: Column, digits: int = 3) -> DataFrame:
     """Event score = mean comment score; the score of its own title where nothing was said."""
-    avg = joins.per_event(comments, F.round(numbers.mean(F.col(SCORE)), digits).alias("_avg"))
+    avg = joins.per_event(comments, F.round(numbers.mean_score(F.col(SCORE)), digits).alias("_avg"))
     return (events.join(avg, "id", "left")
             .withColumn(SCORE, F.coalesce("_avg", title_score.cast("double"))).drop("_avg"))
 

@@ -74,7 +74,7 @@ def heat_and_sentiment(events: DataFrame, k: int) -> DataFrame:
 def high_risk(events: DataFrame, comments: DataFrame, k: int, threshold: float = 0.3, digits: int = 6) -> DataFrame:
     """Events low by their own score or by the mean of their comments."""
     avg = joins.per_event(comments, F.count(F.lit(1)).alias("comment_count"),
-                          F.round(numbers.mean(F.col("sentiment_score")), digits).alias("avg_score"))
+                          F.round(numbers.mean_score(F.col("sentiment_score")), digits).alias("avg_score"))
     low_own = F.coalesce(bands.is_negative(F.col("sentiment_score"), bands.Band(threshold, 1.0)), F.lit(False))
     low_avg = F.coalesce(F.col("avg_score") < threshold, F.lit(False))
     rows = events.join(avg, "id", "left").filter(low_own | low_avg)

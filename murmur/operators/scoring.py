@@ -34,7 +34,7 @@ def influence(events: DataFrame, comments: DataFrame, as_of, per_comment_polariz
     distance = F.abs(score - F.lit(0.5).cast("decimal(4,3)"))
     stats = joins.per_event(
         rows, F.count(F.lit(1)).alias("comment_count"), numbers.sum_or_zero(F.col("like_count")).alias("_likes"),
-        (numbers.mean(distance) if per_comment_polarization else numbers.mean(score)).alias("_mean"))
+        (numbers.mean_score(distance) if per_comment_polarization else numbers.mean_score(score)).alias("_mean"))
     n = F.coalesce("comment_count", F.lit(0)).cast("double")
     likes = F.coalesce("_likes", F.lit(0)).cast("double")
     if per_comment_polarization:

@@ -113,8 +113,7 @@ def overview(events: DataFrame, comments: DataFrame, base: Column, newest: int |
              key: str = "comment_id", cal: words.Calibration | None = None, digits: int = 3) -> DataFrame:
     """One row: events, comments, mean likes, mean of the re-scored comments (all in one pass, or the newest n)."""
     n_events = metrics.row_count(events).scalar()
-    score = F.avg(F.col("score").cast("decimal(4,3)")).cast("double")
-    mean = F.round(F.coalesce(score, F.lit(0.5)), digits).alias("avg_sentiment")
+    mean = F.round(F.coalesce(numbers.mean_score(F.col("score")), F.lit(0.5)), digits).alias("avg_sentiment")
     likes = F.round(F.coalesce(numbers.mean(F.coalesce("like_count", F.lit(0))), F.lit(0.0)), digits).alias("avg_likes")
     counts = [F.count(F.lit(1)).alias("total_comments"), likes]
     if newest is None:
@@ -128,7 +127,7 @@ def overview(events: DataFrame, comments: DataFrame, base: Column, newest: int |
 def rescored_daily(comments: DataFrame, base: Column, newest: int | None = None, key: str = "comment_id",
                    cal: words.Calibration | None = None, digits: int = 3) -> DataFrame:
     scored = words.with_score(newest_rows(comments, newest, key), base, cal=cal)
-    return metrics.daily(scored, F.round(numbers.mean(F.col("score").cast("decimal(4,3)")), digits)
+    return metrics.daily(scored, F.round(numbers.mean_score(F.col("score")), digits)
                          .alias("avg_sentiment"))
 
 

@@ -64,7 +64,7 @@ def refreshed(spark: SparkSession, root: str, touched: DataFrame) -> DataFrame:
     near = joins.only_events(log, touched).select("comment_id").distinct()
     rows = log.join(near, "comment_id", "left_semi")
     merged = tables.merged(rows, "comment_id", ["event_id"], ["sentiment_score", "epoch"], F.col("epoch"))
-    mean = F.round(numbers.mean(F.col("sentiment_score")), 3).cast(SCORE)
+    mean = F.round(numbers.mean_score(F.col("sentiment_score")), 3).cast(SCORE)
     scores = joins.per_event(joins.only_events(merged, touched), mean.alias("score"), F.max("epoch").alias("seen"))
     return scores.filter(F.col("score").isNotNull())
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.functions import bands
+from murmur.functions import bands, numbers
 
 WIDTHS = {"minute": "1 minute", "hour": "1 hour", "day": "24 hours"}
 
@@ -24,7 +24,7 @@ def rolling(comments: DataFrame, width: str = "minute", delay: str = "10 minutes
     score = F.col("sentiment_score").cast("decimal(4,3)")
     grouped = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("like_count", F.lit(0))).alias("likes"),
-        F.sum(score).alias("_sum"), F.count(score).alias("_scored"), *bands.counts(score))
+        F.sum(numbers.wide_score(score)).alias("_sum"), F.count(score).alias("_scored"), *bands.counts(score))
     mean = F.try_divide(F.col("_sum").cast("double"), F.col("_scored").cast("double"))
     start = F.date_format(F.col("window.start"), "yyyy-MM-dd HH:mm").alias("start")
     return grouped.select(start, *(["event_id"] if per_event else []), "n", "likes",
