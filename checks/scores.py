@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import check
-from checks.relational import AS_OF, EVENT_BANDS, FEATURES, LIVE, T1
+from checks.relational import AS_OF, EVENT_BANDS, FEATURES, T1
 from checks.textual import CAL, joins_events, top_sql
 from murmur.functions import words
 from murmur.operators import forecast, forest, insights, keywords, metrics, scoring, text

@@ -9,7 +9,6 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from murmur.functions import bands, numbers, scalars, times
 from murmur.operators import filters, joins

@@ -29,7 +29,8 @@ def word_counts(df: DataFrame, k: int, text: str = "content") -> DataFrame:
 
 
 def word_totals(texts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., word, n, texts): occurrences and number of texts of each word; the null word counts the texts.
+    """(by..., word, n, texts): occurrences and number of texts of each word; the null word counts the texts that
+    are not blank.
 
     One explode and one shuffle. Inside a text the words are sorted, so its first occurrence is known without
     grouping by text; counts are combined in the map tasks.
@@ -40,16 +41,17 @@ def word_totals(texts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         first = (i == 0) | (F.get(F.col("_words"), i - 1) != word)
         return F.struct(word.alias("word"), first.cast("int").alias("first"))
 
-    end = F.array(F.struct(F.lit(None).cast("string").alias("word"), F.lit(1).alias("first")))
+    some = (F.col("clean") != "").cast("int")
+    end = F.array(F.struct(F.lit(None).cast("string").alias("word"), some.alias("first")))
     rows = ordered.select(*by, F.explode(F.concat(F.transform("_words", mark), end)).alias("w"))
     return rows.groupBy(*by, F.col("w.word").alias("word")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("w.first").alias("texts"))
 
 
 def clean_distinct(df: DataFrame, text: str = "content", by: Sequence[str] = ()) -> DataFrame:
-    """Cleaned texts without blanks and repeats (within each group)."""
-    rows = df.select(*by, scalars.clean_text(F.col(text)).alias("clean"))
-    return rows.filter(F.col("clean") != "").distinct()
+    """Cleaned texts without repeats (within each group). The blank text may be among them: a filter here would be
+    pushed below the cleaning and clean every text twice."""
+    return df.select(*by, scalars.clean_text(F.col(text)).alias("clean")).distinct()
 
 
 def weighted_words(df: DataFrame, text: str = "content", idf: DataFrame | None = None,

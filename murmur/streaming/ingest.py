@@ -6,6 +6,7 @@ a replay gives the same id. A batch reads the event titles once and writes each
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -114,7 +115,7 @@ def start(messages: DataFrame, kind: str, root: str, checkpoint: str, available_
         else:
             save_texts(batch, epoch, root, kind, refresh)
 
-    writer = (rows.writeStream.queryName(f"{kind}_stream_{abs(hash(checkpoint)) % 10**8}").outputMode("append")
+    writer = (rows.writeStream.queryName(f"{kind}_{uuid.uuid4().hex}").outputMode("append")
               .option("checkpointLocation", f"{checkpoint}/{kind}").foreachBatch(save))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)
     return writer.start()
