@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +34,11 @@ DEFAULT_RULES = (
 )
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once although the body names it several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def kept_text(text: Column) -> Column:
     """The text without links, mentions and all but letters, digits, spaces and four marks.
 
@@ -106,17 +111,18 @@ def heat_number(raw: Column) -> Column:
 
 def post_time(raw: Column) -> Column:
     """yy-M-d with optional H:mm, anywhere in the text, to 20yy-MM-dd HH:mm; null when there is none."""
-    text = F.regexp_replace(F.regexp_replace(raw, r"[\n\t\r<>\"'\\/]", ""), SPACES, " ")
+    def stamp(text: Column) -> Column:
+        def part(pattern: str, group: int) -> Column:
+            return F.lpad(F.regexp_extract(text, pattern, group), 2, "0")
 
-    def part(group: int, timed: bool) -> Column:
-        return F.lpad(F.regexp_extract(text, POST_DATE_TIME if timed else POST_DATE, group), 2, "0")
+        def date(pattern: str) -> Column:
+            return F.concat(F.lit("20"), part(pattern, 1), F.lit("-"), part(pattern, 2), F.lit("-"), part(pattern, 3))
 
-    def date(timed: bool) -> Column:
-        return F.concat(F.lit("20"), part(1, timed), F.lit("-"), part(2, timed), F.lit("-"), part(3, timed))
+        timed = F.concat(date(POST_DATE_TIME), F.lit(" "), part(POST_DATE_TIME, 4), F.lit(":"), part(POST_DATE_TIME, 5))
+        return (F.when(text.rlike(POST_DATE_TIME), timed)
+                .when(text.rlike(POST_DATE), F.concat(date(POST_DATE), F.lit(" 00:00"))))
 
-    with_clock = F.concat(date(True), F.lit(" "), part(4, True), F.lit(":"), part(5, True))
-    return (F.when(text.rlike(POST_DATE_TIME), with_clock)
-            .when(text.rlike(POST_DATE), F.concat(date(False), F.lit(" 00:00"))))
+    return bound(F.regexp_replace(F.regexp_replace(raw, r"[\n\t\r<>\"'\\/]", ""), SPACES, " "), stamp)
 
 
 def time_part(raw: Column, marker: str = PLACE_MARKER) -> Column:
@@ -153,11 +159,10 @@ def plain_words(text: Column, keyword: str, stops: Sequence[str] = CO_WORD_STOPS
     return F.filter(words, lambda w: (F.length(w) >= 2) & (w != F.lit(keyword)) & ~w.isin(list(stops)))
 
 
-def category(title: Column, rules: Sequence[tuple[str, str]] = DEFAULT_RULES, other: str = "other") -> Column:
+def category(clean_title: Column, rules: Sequence[tuple[str, str]] = DEFAULT_RULES, other: str = "other") -> Column:
     """First rule whose pattern is found in the cleaned title, ignoring case."""
-    text = clean_text(title)
     out = None
     for name, pattern in rules:
-        hit = text.rlike("(?i)" + pattern)
+        hit = clean_title.rlike("(?i)" + pattern)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return F.lit(other) if out is None else out.otherwise(other)

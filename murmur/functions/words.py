@@ -11,7 +11,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.functions.scalars import kept_text
+from murmur.functions.scalars import bound, kept_text
 
 GAPS = r"[\s，。！？]+"
 HAN = r"\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
@@ -60,11 +60,6 @@ def member(word: Column, words) -> Column:
     return word.isin(list(words)) if words else F.lit(False)
 
 
-def _bound(value: Column, body) -> Column:
-    """body(value) with the value computed once although the body names it several times."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _with_han(lowered: Column) -> Column:
     def pairs(run: Column) -> Column:
         whole = ~run.rlike(f"^[{HAN}]{{2}}")
@@ -82,7 +77,7 @@ def split_words(kept: Column) -> Column:
                 .when(~lowered.rlike(f"[{HAN}]"), F.array_remove(F.split(lowered, GAPS), ""))
                 .otherwise(_with_han(lowered)))
 
-    return _bound(F.lower(kept), split)
+    return bound(F.lower(kept), split)
 
 
 def words_of(text: Column, stopwords=()) -> Column:

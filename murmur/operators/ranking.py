@@ -32,7 +32,9 @@ def heat_ranking(events: DataFrame, comments: DataFrame, k: int) -> DataFrame:
 
 def with_category(events: DataFrame, rules: Sequence[tuple[str, str]] = scalars.DEFAULT_RULES,
                   other: str = "other") -> DataFrame:
-    return events.withColumn("category", scalars.category(F.col("title"), rules, other))
+    """Adds the category of the title, cleaned once for all rules."""
+    rows = events.withColumn("_clean", scalars.clean_text(F.col("title")))
+    return rows.withColumn("category", scalars.category(F.col("_clean"), rules, other)).drop("_clean")
 
 
 def heat_rank_of_category(events: DataFrame, rules, name: str | None, k: int, pool: int = 1000) -> DataFrame:
