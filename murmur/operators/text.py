@@ -94,14 +94,17 @@ def keywords_per_event(df: DataFrame, k: int = 30, event: str = "event_id", text
                        stopwords: Sequence[str] = ()) -> DataFrame:
     """The k heaviest words of every event: share within the event, idf over all texts of the table."""
     texts = clean_distinct(df, text, [event])
-    counts = word_totals(texts, [event])
-    is_word = F.col("word").isNotNull()
-    per_event = counts.groupBy(event).agg(F.sum(F.when(is_word, F.col("n"))).alias("_words"))
-    overall = counts.groupBy("word").agg(F.sum("texts").alias("_df"))
-    n_texts = counts.agg(F.sum(F.when(~is_word, F.col("texts")))).scalar()
-    rows = (counts.filter(is_word).join(per_event, event).join(overall, "word").withColumn("_n", n_texts))
-    share = F.col("n").cast("double") / F.col("_words").cast("double")
-    weighted = rows.select(event, "word", (share * words.log_idf(F.col("_n"), F.col("_df"))).alias("weight"))
+    n_texts = texts.agg(F.count_if(F.col("clean") != "")).scalar()
+    counts = word_totals(texts, [event]).filter(F.col("word").isNotNull())
+    # Both sums name both counts, which are never negative: the three uses then have the same columns and share
+    # one pass over the texts and one shuffle.
+    n, held = F.col("n"), F.col("texts")
+    per_event = counts.groupBy(event).agg(F.sum(F.when(held >= 0, n)).alias("_words"))
+    overall = counts.groupBy("word").agg(F.sum(F.when(n >= 0, held)).alias("_df"))
+    rows = counts.join(per_event, event).join(overall, "word").withColumn("_n", n_texts)
+    share = n.cast("double") / F.col("_words").cast("double")
+    idf = F.when(held >= 0, words.log_idf(F.col("_n"), F.col("_df")))
+    weighted = rows.select(event, "word", (share * idf).alias("weight"))
     order = Window.partitionBy(event).orderBy(F.col("weight").desc(), F.col("word").asc())
     top = weighted.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
     return top.filter(~words.member(F.col("word"), stopwords)) if stopwords else top
