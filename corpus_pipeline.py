@@ -7,8 +7,9 @@ columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from murmur.llm import mixing, quality
+from murmur.llm import mixing, packing, quality, secret_scan, simhash
 from murmur.llm.store import written
 
 
@@ -17,17 +18,37 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.accepted(docs)
 
 
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that of the least id."""
+    return simhash.first_of_groups(docs)
+
+
+def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; a mask stands in the place of each secret."""
+    found = secret_scan.scanned(docs)
+    clean = secret_scan.masked(F.col("text"), F.col("spans"))
+    return found.select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; a fractional repetition holds the first words."""
     return mixing.repeated(mixing.mixed(docs))
 
 
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the training sequences, with their ids."""
+    return packing.packed(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("simhash_dedup", simhash_dedup),
+    ("secret_masks", secret_masks),
     ("mix_sources", mix_sources),
+    ("pack_documents", pack_documents),
 ]
 
-#: SQL can't express near duplicates by fingerprint, character models and packing; the tests hold the pipeline against
+#: SQL can't express near-duplicates by fingerprint, character models and packing; the tests hold the pipeline against
 #: a brute-force version.
 ORACLE_SQL = None
 

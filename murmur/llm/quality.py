@@ -42,7 +42,7 @@ MEASURES = {
     "capitals": ("n_capitals", 1000, "word_chars", 60, False, True),
 }
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_WORDS, _HASHES = "_q_words", "_q_hashes"
+_TEXT, _WORDS, _HASHES = "_q_text", "_q_words", "_q_hashes"
 
 
 def _covered(hashes: Column) -> Column:
@@ -69,15 +69,15 @@ def features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source
     """The kept columns with the counts of BASE, n_capitals and base_failed, for every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     n = F.size(_WORDS)
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.filter(F.split(_TEXT, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def paired(name: str, further: str, away: int) -> Column:
         """Hashes of each value with the one so many places further on; beyond the end they mean nothing."""
         return F.zip_with(name, F.slice(further, away + 1, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
 
     # Hashes of one word, of two, of four and of five from each place on; only whole windows are kept.
-    counted = (docs.select(*keep, text.alias("text"))
-               .withColumn(_WORDS, words(F.col("text")))
+    counted = (docs.select(*keep, text.alias(_TEXT))
+               .withColumn(_WORDS, words(F.col(_TEXT)))
                .withColumn("_q_1", F.transform(_WORDS, lambda w: F.xxhash64(w)))
                .withColumn("_q_2", paired("_q_1", "_q_1", 1))
                .withColumn("_q_4", paired("_q_2", "_q_2", 2))
@@ -86,11 +86,11 @@ def features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source
     measured = counted.select(
         *keep, n.cast("long").alias("n_words"),
         F.length(F.array_join(_WORDS, "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count(_TEXT, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct(_HASHES)) == F.size(_HASHES), F.lit(0).cast("long"))
         .otherwise(_covered(F.col(_HASHES))).alias("n_repeat_words"),
-        F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"))
+        F.regexp_count(_TEXT, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return measured.withColumn("base_failed", failed)
 
@@ -134,16 +134,15 @@ def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
 def thresholds(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row for each language and source with the fences that hold for it."""
     bounds = [f"{side}_{name}" for name in MEASURES for side in ("low", "high")]
-    level = []
-    for k, keys in enumerate((["lang", "source"], ["lang"], [])):
-        named = _fences(sketch, keys)
-        level.append(named.select(*[F.col(c).alias(f"k{k}_{c}") for c in keys],
-                                  F.struct("docs", *bounds).alias(f"f{k}")))
-    pairs, langs, every = level
-    joined = (pairs.join(langs, F.col("k0_lang").eqNullSafe(F.col("k1_lang")), "left")
-              .join(every.withColumn("one", F.lit(1)), F.lit(1) == F.col("one"), "left"))
+    pairs, langs = (
+        _fences(sketch, keys).select(*[F.col(c).alias(f"k{k}_{c}") for c in keys],
+                                     F.struct("docs", *bounds).alias(f"f{k}"))
+        for k, keys in enumerate((["lang", "source"], ["lang"])))
+    row = _fences(sketch, []).first().asDict()  # the fences of all texts: one row
+    every = F.struct(*[F.lit(row[c]).cast("long").alias(c) for c in ("docs", *bounds)])
+    joined = pairs.join(langs, F.col("k0_lang").eqNullSafe(F.col("k1_lang")), "left")
     chosen = (F.when(F.col("f0.docs") >= min_docs, F.col("f0")).when(F.col("f1.docs") >= min_docs, F.col("f1"))
-              .otherwise(F.col("f2")))
+              .otherwise(every))
     return joined.select(F.col("k0_lang").alias("t_lang"), F.col("k0_source").alias("t_source"),
                          chosen.alias("fence"))
 

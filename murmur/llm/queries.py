@@ -7,14 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import mixing, quality
+from murmur.llm import kneser_ney, mixing, packing, quality, rollups, secret_scan, sharding, simhash, urls, vectors
+from murmur.llm.store import new_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-DOCUMENTS = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -28,6 +26,66 @@ def query(key: str, sql: str | None = None):
     return add
 
 
+@query("op1_packed_documents")
+def op1_packed_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """SQL has no tokenizer: tested by an exact round trip of all ids."""
+    pieces = packing.packed(table(spark, folder, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
+@query("op2_near_vectors", r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+c AS (
+  SELECT v.r, least(v.vec_id, min(w.vec_id)) AS component_id
+  FROM v LEFT JOIN reach ON reach.a = v.r LEFT JOIN v w ON w.r = reach.b GROUP BY v.r, v.vec_id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id,
+  coalesce(v.vec_id = c.component_id, false) AS kept
+FROM v JOIN c ON c.r = v.r LEFT JOIN n ON n.a = v.r
+""")
+def op2_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.grouped(table(spark, folder, "embeddings"))
+
+
+@query("op3_token_rollup")
+def op3_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents come in with an estimate, a quarter of their bytes; the estimate is revised to the exact count, and
+    documents labelled toxic are deleted. The second batch is committed twice. Tested against sums by hand."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    counts = written(docs.select(
+        "doc_id", "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer"),
+        F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / 4).alias("old_tokens"),
+        rollups.bpe_tokens(F.col("text")).alias("tokens")), "token-counts")
+    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
+    rollup = rollups.Rollup(spark, new_folder(spark, "rollup"))
+    rollup.commit("insert", rollups.inserted(counts.select(*rollups.KEYS, F.col("old_tokens").alias("tokens"))))
+    for _ in range(2):
+        rollup.commit("revise", rollups.revised(counts))
+    rollup.commit("delete", rollups.deleted(counts.join(toxic, "doc_id", "left_semi")))
+    return rollup.totals()
+
+
+@query("op4_kneser_ney")
+def op4_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    """Trained on nine tenths of the documents. Tested against counts by hand, sums of probabilities and the held-out
+    tenth."""
+    docs = table(spark, folder, "documents")
+    out = kneser_ney.held_out(F.col("doc_id"))
+    model = kneser_ney.trained(docs.filter(~out))
+    return (kneser_ney.scored(docs.withColumn("held_out", out), model, ("doc_id", "held_out"))
+            .withColumn("train_tokens", F.lit(model.totals["tokens"]).cast("long"))
+            .select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"))
+
+
 @query("op5_quality_rules", r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
@@ -86,6 +144,41 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents")).select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+@query("op6_simhash_groups")
+def op6_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """SQL has no XXH64: tested against all pairs."""
+    found = simhash.grouped(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op7_balanced_shards")
+def op7_balanced_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """SQL has no best fit: tested against a plain best-fit-decreasing loop."""
+    placed = sharding.assigned(table(spark, folder, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op8_url_verdicts")
+def op8_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """SQL has no regression: rules are tested against a plain loop, the model by held-out accuracy."""
+    return urls.judged(table(spark, folder, "pages"))
+
+
+@query("op9_secret_spans")
+def op9_secret_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """SQL gives no places of matches: tested against a plain loop."""
+    found = secret_scan.scanned(table(spark, folder, "documents").select("doc_id", "text"))
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
+    return found.select("doc_id", *[number(k) for k in secret_scan.BASE_KINDS],
+                        F.sha2(secret_scan.written_spans(base), 256).alias("base_sha256"),
+                        secret_scan.written_spans(F.col("spans")).alias("spans"))
+
+
 @query("op10_mixed_sources", r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
