@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from checks.registry import check
-from murmur.functions import bands
 from murmur.operators import filters, joins, metrics, ranking, sets
 
-AS_OF = "2001-08-01"
-LIVE = "2024-01-31 00:00:00"
+# Both lie inside the data, so a window that runs past them gives other rows.
+AS_OF = "2001-06-01"
+LIVE = "2024-01-20 12:00:00"
+EARLY = "2024-01-06 12:00:00"  # inside the articles of the smallest tables, too
 WORD = "Widget"
 
+
+def before(as_of: str, **ago) -> str:
+    return (dt.datetime.fromisoformat(as_of) - dt.timedelta(**ago)).isoformat(sep=" ")
+
+
+def inside(column: str, as_of: str, **ago) -> str:
+    """The trailing window as SQL, both ends included."""
+    return f"({column} BETWEEN TIMESTAMP '{before(as_of, **ago)}' AND TIMESTAMP '{as_of}')"
+
+
+def on(column: str, day: str) -> str:
+    return f"(CAST({column} AS DATE) = DATE '{day[:10]}')"
+
 # ---- filters and views
 
 check("b06_event_view", """
@@ -66,9 +82,10 @@ WHERE content <> '' AND sentiment_score BETWEEN 0.2 AND 0.6""")(
     lambda t: filters.scored_between(t.comments, 0.6, 0.2).select("comment_id", "event_id", "sentiment_score", "tie"))
 
 check("b12_valid_content", """
-SELECT count(*) FILTER (content IS NOT NULL AND content <> '') AS valid, count(*) AS total FROM articles""")(
-    lambda t: t.articles.agg(F.count_if(F.col("content").isNotNull() & (F.col("content") != "")).alias("valid"),
-                             F.count(F.lit(1)).alias("total")))
+SELECT count(*) FILTER (content IS NOT NULL AND content <> '') AS valid, count(*) AS total FROM (
+  SELECT CASE article_id % 7 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE content END AS content FROM articles)""")(
+    lambda t: filters.valid_count(t.articles.withColumn("content", F.expr(
+        "CASE article_id % 7 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE content END"))))
 
 check("b13_event_by_id", """
 SELECT e.*, (SELECT count(*) FROM comments c WHERE c.event_id = e.id) AS comment_count
@@ -113,10 +130,17 @@ LIMIT 25 OFFSET 50""")(
     lambda t: filters.page(t.live_comments, filters.newest("publish_time", "comment_id"), 3, 25)
     .select("comment_id", "event_id", "publish_time"))
 
-check("b17_trailing_windows", """
-SELECT count(*) FILTER (publish_time >= TIMESTAMP '2024-01-24') AS last_7_days,
-       count(*) FILTER (publish_time >= TIMESTAMP '2024-01-30') AS last_24_hours,
-       count(*) FILTER (publish_time >= TIMESTAMP '2024-01-30 22:00:00') AS last_2_hours,
+check("b16_comment_page_after", """
+SELECT comment_id, event_id, publish_time FROM live_comments
+WHERE publish_time < TIMESTAMP '2024-01-15 06:00:00' OR publish_time = TIMESTAMP '2024-01-15 06:00:00' AND comment_id > 40
+ORDER BY publish_time DESC, comment_id LIMIT 25""")(
+    lambda t: filters.page_after(t.live_comments, "publish_time", "comment_id", "2024-01-15 06:00:00", 40, 25)
+    .select("comment_id", "event_id", "publish_time"))
+
+check("b17_trailing_windows", f"""
+SELECT count(*) FILTER {inside('publish_time', LIVE, days=7)} AS last_7_days,
+       count(*) FILTER {inside('publish_time', LIVE, hours=24)} AS last_24_hours,
+       count(*) FILTER {inside('publish_time', LIVE, hours=2)} AS last_2_hours,
        count(*) FILTER (CAST(publish_time AS DATE) = DATE '2024-01-30') AS on_day
 FROM live_comments""")(
     lambda t: t.live_comments.agg(
@@ -125,18 +149,15 @@ FROM live_comments""")(
         F.count_if(filters.times.since(F.col("publish_time"), LIVE, hours=2)).alias("last_2_hours"),
         F.count_if(filters.times.on_day(F.col("publish_time"), "2024-01-30")).alias("on_day")))
 
-check("b18_texts_with_keyword", """
+check("b18_texts_with_keyword", f"""
 WITH latest AS (SELECT id FROM hot_events WHERE id IN (SELECT event_id FROM replies) ORDER BY crawl_time DESC, id LIMIT 10),
 x AS (SELECT 'comment' AS kind, comment_id AS text_id, event_id, content, publish_time FROM replies
       UNION ALL SELECT 'article', article_id, event_id, content, publish_time FROM articles)
 SELECT kind, text_id, event_id, publish_time FROM x WHERE event_id IN (SELECT id FROM latest)
-  AND content <> '' AND contains(lower(content), 'nicht') AND publish_time >= TIMESTAMP '2024-01-01'
-ORDER BY publish_time DESC, kind, text_id LIMIT 300""")(
-    lambda t: (sets.all_texts(t.replies, t.articles, ranking.latest(t.hot_events.join(
-        t.replies.select(F.col("event_id").alias("id")).distinct(), "id", "left_semi"), 10), LIVE, 30)
-               .filter(filters.contains(F.col("content"), "nicht"))
-               .orderBy(F.col("publish_time").desc(), "kind", "text_id").limit(300)
-               .select("kind", "text_id", "event_id", "publish_time")))
+  AND content <> '' AND contains(lower(content), 'ed') AND {inside('publish_time', LIVE, days=30)}""")(
+    lambda t: sets.texts_of_events(ranking.latest(t.hot_events.join(
+        t.replies.select(F.col("event_id").alias("id")).distinct(), "id", "left_semi"), 10), t.replies, t.articles, "ED",
+        LIVE, 30).select("kind", "text_id", "event_id", "publish_time"))
 
 check("b19_newest_articles_per_event", """
 SELECT article_id, event_id, publish_time, position FROM (
@@ -175,11 +196,11 @@ JOIN hot_events e ON a.event_id = e.id AND contains(lower(e.title), 'plate')""")
     lambda t: joins.articles_of_titled(t.articles, t.hot_events, filters.titled(t.hot_events, "plate"))
     .select("article_id", "event_id", "title", "heat"))
 
-check("c07_live_board", """
+check("c07_live_board", f"""
 SELECT e.id, e.title, e.heat, e.crawl_time, count(c.comment_id) AS comment_count,
        (SELECT count(*) FROM articles a WHERE a.event_id = e.id) AS article_count,
        round(coalesce(CAST(sum(c.sentiment_score) AS DOUBLE) / count(c.sentiment_score), 0.5), 6) AS avg_sentiment
-FROM (SELECT * FROM hot_events WHERE crawl_time >= TIMESTAMP '2001-06-01' ORDER BY heat DESC, crawl_time DESC, id
+FROM (SELECT * FROM hot_events WHERE {inside('crawl_time', AS_OF, days=61)} ORDER BY heat DESC, crawl_time DESC, id
       LIMIT 50) e LEFT JOIN comments c ON c.event_id = e.id GROUP BY 1, 2, 3, 4""")(
     lambda t: joins.live_board(t.hot_events, t.comments, t.articles, AS_OF, 50, hours=24 * 61).select(
         "id", "title", "heat", "crawl_time", "comment_count", "article_count",
@@ -210,9 +231,9 @@ SELECT count(DISTINCT e.id) AS n FROM hot_events e LEFT JOIN comments c ON c.eve
 WHERE c.sentiment_score < 0.3""")(
     lambda t: metrics.row_count(joins.negative_events(t.hot_events, t.comments)))
 
-check("c11_new_negative_events", """
+check("c11_new_negative_events", f"""
 SELECT count(DISTINCT e.id) AS n FROM hot_events e LEFT JOIN comments c ON c.event_id = e.id
-WHERE c.sentiment_score < 0.3 AND e.crawl_time >= TIMESTAMP '2001-07-25'""")(
+WHERE c.sentiment_score < 0.3 AND {inside('e.crawl_time', AS_OF, days=7)}""")(
     lambda t: metrics.row_count(joins.negative_events(t.hot_events, t.comments, 0.3, AS_OF, hours=24 * 7)))
 
 check("c12_risky_or_silent_events", """
@@ -243,6 +264,20 @@ ON k.keyword <> '' AND contains(a.content, k.keyword)""")(
         t.articles, "article_id", t.raw("part").select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("keyword"))
         .union(t.articles.select("author")).union(t.replies.select(F.substring("content", 1, 12)))))
 
+# Ids of comments repeat, and so do their texts; some thousand keywords of all lengths.
+MANY = """
+SELECT DISTINCT substr(content, CAST(i AS INT), CAST(n AS INT)) AS keyword FROM (SELECT DISTINCT content FROM comments) c,
+  range(1, 9) p(i), range(1, 30) l(n)"""
+check("c14_keyword_hits_of_comments", f"""
+SELECT c.comment_id, k.keyword, count(*) AS n FROM comments c JOIN ({MANY}) k ON k.keyword <> '' AND contains(c.content, k.keyword)
+WHERE c.event_id % 50 = 0 GROUP BY 1, 2""")(
+    lambda t: joins.keyword_hits_by_join(
+        t.comments.filter("event_id % 50 = 0"), "comment_id",
+        t.comments.select("content").distinct().select("content", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("i"))
+        .select("content", "i", F.explode(F.sequence(F.lit(1), F.lit(29))).alias("n"))
+        .select(F.expr("substring(content, i, n)").alias("keyword")))
+    .groupBy("comment_id", "keyword").agg(F.count(F.lit(1)).alias("n")))
+
 # ---- aggregates
 
 check("d01_event_count", """
@@ -298,25 +333,29 @@ FROM comments WHERE content <> ''""")(lambda t: metrics.known_mean_sentiment(t.c
 check("d09_mean_heat", "SELECT round(CAST(sum(heat) AS DOUBLE) / count(*), 6) AS avg_heat FROM hot_events")(
     lambda t: metrics.mean_heat(t.hot_events, 6))
 
-check("d10_risk_index", """
+check("d10_risk_index", f"""
 WITH neg AS (SELECT DISTINCT event_id FROM comments WHERE sentiment_score < 0.3),
 s AS (SELECT count(*) AS n_events, count(*) FILTER (id IN (SELECT event_id FROM neg)) AS n_negative,
-             count(*) FILTER (id IN (SELECT event_id FROM neg) AND crawl_time >= TIMESTAMP '2001-07-31 23:00:00')
-               AS n_negative_hour FROM hot_events)
-SELECT *, round(100.0e0 * n_negative / n_events, 6) AS risk_index,
+             count(*) FILTER (id IN (SELECT event_id FROM neg) AND {inside('crawl_time', AS_OF, hours=1)})
+               AS n_negative_hour FROM hot_events),
+x AS (SELECT *, round(100.0e0 * n_negative / n_events, 6) AS risk_index,
        CASE WHEN round(100.0e0 * n_negative / n_events) >= 70 THEN 'high'
-            WHEN round(100.0e0 * n_negative / n_events) >= 30 THEN 'medium' ELSE 'low' END AS risk_level FROM s""")(
-    lambda t: metrics.risk_index(t.hot_events, t.comments, AS_OF, 6).drop("risk_text"))
-
-check("d11_event_coverage", """
-SELECT count(*) FILTER (CAST(crawl_time AS DATE) = DATE '2001-08-01') AS new_today,
+            WHEN round(100.0e0 * n_negative / n_events) >= 30 THEN 'medium' ELSE 'low' END AS risk_level FROM s)
+SELECT *, CASE risk_level WHEN 'high' THEN concat(n_negative_hour, ' new high-risk events in the last hour')
+  WHEN 'medium' THEN concat('about ', CAST(round(100.0e0 * n_negative / n_events) AS BIGINT), '% of events are negative')
+  ELSE 'no event of obvious high risk' END AS risk_text FROM x""")(
+    lambda t: metrics.risk_index(t.hot_events, t.comments, AS_OF, 6))
+
+check("d11_event_coverage", f"""
+SELECT count(*) FILTER {on('crawl_time', AS_OF)} AS new_today,
        (SELECT count(DISTINCT event_id) FROM comments) AS covered_events FROM hot_events""")(
     lambda t: metrics.event_coverage(t.hot_events, t.comments, AS_OF))
 
-check("d12_likes_trend", """
+YESTERDAY = on("publish_time", before(AS_OF, days=1))
+check("d12_likes_trend", f"""
 WITH s AS (SELECT round(CAST(sum(like_count) AS DOUBLE) / count(*), 6) AS mean_all,
-  round(coalesce(CAST(sum(like_count) FILTER (CAST(publish_time AS DATE) = DATE '2001-07-31') AS DOUBLE)
-    / count(*) FILTER (CAST(publish_time AS DATE) = DATE '2001-07-31'), 0), 6) AS mean_yesterday FROM comments)
+  round(coalesce(CAST(sum(like_count) FILTER {YESTERDAY} AS DOUBLE)
+    / count(*) FILTER {YESTERDAY}, 0), 6) AS mean_yesterday FROM comments)
 SELECT *, CASE WHEN mean_yesterday = 0 THEN 'none' WHEN mean_all > mean_yesterday THEN 'up'
                WHEN mean_all < mean_yesterday THEN 'down' ELSE 'flat' END AS trend,
        CASE WHEN mean_yesterday = 0 THEN 0 ELSE round(abs(mean_all - mean_yesterday), 6) END AS difference FROM s""")(
@@ -333,12 +372,12 @@ SELECT strftime(publish_time, '%Y-%m-%d %H:00') AS hour,
        CAST(count(*) + sum(like_count) AS BIGINT) AS spread FROM live_comments GROUP BY 1""")(
     lambda t: metrics.hourly_history(t.live_comments, 6))
 
-check("d15_day_profile", """
+check("d15_day_profile", f"""
 SELECT CAST(h.h AS INT) AS hour, coalesce(s.a, 0.5e0) AS avg_sentiment, coalesce(s.k, 0) AS spread
 FROM range(24) h(h) LEFT JOIN (
   SELECT hour(publish_time) AS h, round(CAST(sum(sentiment_score) AS DOUBLE) / count(*), 6) AS a,
          CAST(count(*) + sum(like_count) AS BIGINT) AS k
-  FROM live_comments WHERE publish_time >= TIMESTAMP '2024-01-30' GROUP BY 1) s ON s.h = h.h""")(
+  FROM live_comments WHERE {inside('publish_time', LIVE, hours=24)} GROUP BY 1) s ON s.h = h.h""")(
     lambda t: metrics.day_profile(t.live_comments, LIVE, 24, 6))
 
 check("d16_sentiment_trend", """
@@ -348,16 +387,16 @@ SELECT CAST(CAST(publish_time AS DATE) AS VARCHAR) AS date,
 FROM comments WHERE content <> '' GROUP BY CAST(publish_time AS DATE) ORDER BY 1 DESC LIMIT 30""")(
     lambda t: metrics.sentiment_trend(t.comments, 30, 6))
 
-check("d17_daily_sentiment", """
+check("d17_daily_sentiment", f"""
 SELECT CAST(CAST(publish_time AS DATE) AS VARCHAR) AS date,
        round(CAST(sum(sentiment_score) AS DOUBLE) / count(sentiment_score), 6) AS avg_sentiment
-FROM live_comments WHERE publish_time >= TIMESTAMP '2024-01-24' GROUP BY 1""")(
+FROM live_comments WHERE {inside('publish_time', LIVE, days=7)} GROUP BY 1""")(
     lambda t: metrics.daily_sentiment(t.live_comments, LIVE, 7, 6))
 
-check("d18_daily_heat", """
+check("d18_daily_heat", f"""
 SELECT CAST(CAST(crawl_time AS DATE) AS VARCHAR) AS date, CAST(sum(heat) AS BIGINT) AS total_heat,
        round(CAST(sum(heat) AS DOUBLE) / count(heat), 6) AS avg_heat
-FROM hot_events WHERE crawl_time >= TIMESTAMP '2001-07-02' GROUP BY 1""")(
+FROM hot_events WHERE {inside('crawl_time', AS_OF, days=30)} GROUP BY 1""")(
     lambda t: metrics.daily_heat(t.hot_events, AS_OF, 30, 6))
 
 check("d19_like_histogram", """
@@ -380,37 +419,43 @@ SELECT count(*) FILTER (sentiment_score > 0.65) AS positive_count,
        count(*) FILTER (sentiment_score < 0.35) AS negative_count, count(*) AS total FROM hot_events""")(
     lambda t: metrics.event_score_bands(t.hot_events))
 
-check("d22_hour_counts", """
+check("d22_hour_counts", f"""
 SELECT CAST(h.h AS INT) AS hour, coalesce(s.n, 0) AS n FROM range(24) h(h) LEFT JOIN (
-  SELECT hour(publish_time) AS h, count(*) AS n FROM live_comments WHERE publish_time >= TIMESTAMP '2024-01-24'
+  SELECT hour(publish_time) AS h, count(*) AS n FROM live_comments WHERE {inside('publish_time', LIVE, days=7)}
   GROUP BY 1) s ON s.h = h.h""")(lambda t: metrics.hour_counts(t.live_comments, LIVE, 7))
 
-check("d23_minute_series", """
+check("d23_minute_series", f"""
 SELECT event_id, strftime(publish_time, '%Y-%m-%d %H:%M') AS minute, count(*) AS n,
        round(CAST(sum(sentiment_score) AS DOUBLE) / count(*), 6) AS avg_sentiment
-FROM live_comments WHERE publish_time >= TIMESTAMP '2024-01-30 22:00:00' GROUP BY 1, 2""")(
+FROM live_comments WHERE {inside('publish_time', LIVE, hours=2)} GROUP BY 1, 2""")(
     lambda t: metrics.minute_series(t.live_comments, LIVE, 2, 6))
 
 check("d24_system_stats", f"""
 WITH e AS (SELECT count(*) AS total_events, count(*) FILTER (heat > 4000) AS high_heat_events,
              round(CAST(sum(heat) AS DOUBLE) / count(heat), 6) AS avg_heat
-           FROM hot_events WHERE crawl_time >= TIMESTAMP '2001-07-25'),
+           FROM hot_events WHERE {inside('crawl_time', AS_OF, days=7)}),
 c AS (SELECT count(*) AS total_comments, count(DISTINCT user_id) AS unique_users,
              round(CAST(sum(sentiment_score) AS DOUBLE) / count(sentiment_score), 6) AS avg_sentiment, {T1}
-      FROM comments WHERE publish_time >= TIMESTAMP '2001-07-25')
+      FROM comments WHERE {inside('publish_time', AS_OF, days=7)})
 SELECT * FROM e, c""")(
     lambda t: metrics.system_stats(t.hot_events, t.comments, AS_OF, 24 * 7, 4000, "user_id"))
 
 check("d25_period_bands", f"""
 SELECT {T4}, count(*) AS total FROM live_comments
-WHERE publish_time >= TIMESTAMP '2024-01-01' AND sentiment_score IS NOT NULL""")(
+WHERE {inside('publish_time', LIVE, days=30)} AND sentiment_score IS NOT NULL""")(
     lambda t: metrics.period_bands(t.live_comments, LIVE, 30))
 
-check("d26_daily_history", """
+check("d26_daily_history", f"""
+SELECT CAST(CAST(publish_time AS DATE) AS VARCHAR) AS date,
+       round(CAST(sum(sentiment_score) AS DOUBLE) / count(*), 6) AS avg_sentiment, count(*) AS comment_count
+FROM comments WHERE {inside('publish_time', AS_OF, days=999)} AND sentiment_score IS NOT NULL GROUP BY 1""")(
+    lambda t: metrics.daily_history(t.comments, AS_OF, 999))
+
+check("d26_daily_history_until", f"""
 SELECT CAST(CAST(publish_time AS DATE) AS VARCHAR) AS date,
        round(CAST(sum(sentiment_score) AS DOUBLE) / count(*), 6) AS avg_sentiment, count(*) AS comment_count
-FROM comments WHERE publish_time >= TIMESTAMP '1974-03-17' AND sentiment_score IS NOT NULL GROUP BY 1""")(
-    lambda t: metrics.daily_history(t.comments, AS_OF, 9999))
+FROM comments WHERE publish_time <= TIMESTAMP '{AS_OF}' AND sentiment_score IS NOT NULL GROUP BY 1""")(
+    lambda t: metrics.daily_history(t.comments, AS_OF))
 
 FEATURES = """
 SELECT e.id, e.title, e.heat, e.crawl_time, coalesce(c.n, 0) AS comment_count, c.s AS avg_sentiment, c.l AS avg_likes
@@ -418,7 +463,7 @@ FROM hot_events e LEFT JOIN (
   SELECT event_id, count(*) AS n, round(CAST(sum(sentiment_score) AS DOUBLE) / count(sentiment_score), 6) AS s,
          round(CAST(sum(like_count) AS DOUBLE) / count(like_count), 6) AS l FROM comments GROUP BY 1) c
 ON c.event_id = e.id"""
-check("d27_event_features", FEATURES + " WHERE e.crawl_time >= TIMESTAMP '2001-05-03'")(
+check("d27_event_features", FEATURES + f" WHERE {inside('e.crawl_time', AS_OF, days=90)}")(
     lambda t: metrics.event_features(t.hot_events, t.comments, AS_OF, 90))
 
 check("d28_comment_stats", """
@@ -471,7 +516,7 @@ FROM (SELECT regexp_replace(title, '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g') AS title
       WHERE trim(title) <> '') GROUP BY 1""")(lambda t: ranking.category_counts(t.hot_events, RULES))
 
 check("d33_category_heat", f"""
-WITH top AS (SELECT {CATEGORY} AS category, heat FROM (SELECT * FROM hot_events ORDER BY heat DESC, id LIMIT 1000)),
+WITH top AS (SELECT {CATEGORY} AS category, heat FROM hot_events),
 s AS (SELECT category, count(*) AS n, CAST(sum(heat) AS BIGINT) AS total_heat FROM top GROUP BY 1)
 SELECT k.category, coalesce(n, 0) AS n, coalesce(total_heat, 0) AS total_heat,
        round(coalesce(CAST(total_heat AS DOUBLE) / n, 0), 6) AS avg_heat
@@ -480,10 +525,8 @@ FROM (SELECT unnest({[n for n, _ in RULES] + ['missing', 'other']}) AS category)
 
 check("d34_titled_by_day", f"""
 SELECT CAST(CAST(crawl_time AS DATE) AS VARCHAR) AS date, count(*) AS n, {T4} FROM hot_events
-WHERE contains(lower(title), 'widget') GROUP BY 1 ORDER BY 1 LIMIT 30""")(
-    lambda t: metrics.daily(filters.titled(t.hot_events, "widget"), F.count(F.lit(1)).alias("n"),
-                            *bands.counts(F.col("sentiment_score"), bands.T4), time="crawl_time")
-    .orderBy("date").limit(30))
+WHERE contains(lower(title), 'widget') GROUP BY 1""")(
+    lambda t: metrics.titled_by_day(t.hot_events, "Widget"))
 
 check("d35_duplicate_groups", """
 SELECT count(*) AS "groups", CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS surplus FROM (
@@ -494,12 +537,12 @@ check("d35_duplicate_examples", """
 SELECT event_id, user_id, content, count(*) AS n FROM live_comments GROUP BY 1, 2, 3 HAVING count(*) > 1
 ORDER BY n DESC, event_id, user_id, content LIMIT 5""")(lambda t: metrics.duplicate_examples(t.live_comments))
 
-check("d37_daily_availability", """
-WITH d AS (SELECT DISTINCT CAST(publish_time AS DATE) AS d FROM live_comments WHERE sentiment_score IS NOT NULL)
-SELECT count(*) FILTER (d >= DATE '2024-01-24') AS days_7, count(*) FILTER (d >= DATE '2024-01-17') AS days_14,
-       count(*) FILTER (d >= DATE '2024-01-01') AS days_30, count(*) FILTER (d >= DATE '2023-12-02') AS days_60,
-       count(*) FILTER (d >= DATE '2023-11-02') AS days_90, count(*) FILTER (d >= DATE '2023-08-04') AS days_180
-FROM d""")(lambda t: metrics.daily_availability(t.live_comments, LIVE))
+DAYS_WITH_DATA = ", ".join(f"count(*) FILTER (d >= DATE '{before(LIVE, days=n)[:10]}') AS days_{n}"
+                           for n in (7, 14, 30, 60, 90, 180))
+check("d37_daily_availability", f"""
+WITH d AS (SELECT DISTINCT CAST(publish_time AS DATE) AS d FROM live_comments
+           WHERE sentiment_score IS NOT NULL AND publish_time <= TIMESTAMP '{LIVE}')
+SELECT {DAYS_WITH_DATA} FROM d""")(lambda t: metrics.daily_availability(t.live_comments, LIVE))
 
 check("d37_last_points", """
 SELECT CAST(CAST(publish_time AS DATE) AS VARCHAR) AS date,
@@ -516,11 +559,11 @@ FROM hot_events e ORDER BY heat DESC, id LIMIT 20""")(lambda t: ranking.heat_ran
 check("e02_hottest", "SELECT * FROM hot_events ORDER BY heat DESC, id LIMIT 10")(
     lambda t: ranking.hottest(t.hot_events, 10))
 
-check("e02_hottest_of_month", """
-SELECT * FROM hot_events WHERE crawl_time >= TIMESTAMP '2001-07-02' ORDER BY heat DESC, id LIMIT 10""")(
+check("e02_hottest_of_month", f"""
+SELECT * FROM hot_events WHERE {inside('crawl_time', AS_OF, days=30)} ORDER BY heat DESC, id LIMIT 10""")(
     lambda t: ranking.hottest(t.hot_events, 10, AS_OF, 30))
 
-POOL = f"(SELECT *, {CATEGORY} AS category FROM (SELECT * FROM hot_events ORDER BY heat DESC, id LIMIT 1000))"
+POOL = f"(SELECT *, {CATEGORY} AS category FROM hot_events)"
 check("e03_heat_rank_of_category", f"""
 SELECT * FROM {POOL} WHERE category = 'kitchen' ORDER BY heat DESC, id LIMIT 20""")(
     lambda t: ranking.heat_rank_of_category(t.hot_events, RULES, "kitchen", 20))
@@ -557,10 +600,10 @@ SELECT event_id, comment_id, position, CASE WHEN length(content) > 100 THEN left
   AS position FROM replies) WHERE position <= 20""")(
     lambda t: ranking.newest_comments(t.replies).select("event_id", "comment_id", "position", "preview"))
 
-check("e09_heatmap", """
+check("e09_heatmap", f"""
 SELECT e.*, (SELECT count(*) FROM comments c WHERE c.event_id = e.id) AS comment_count,
        (SELECT count(*) FROM articles a WHERE a.event_id = e.id) AS article_count
-FROM hot_events e WHERE crawl_time >= TIMESTAMP '2001-07-02' ORDER BY heat DESC, id LIMIT 50""")(
+FROM hot_events e WHERE {inside('crawl_time', AS_OF, days=30)} ORDER BY heat DESC, id LIMIT 50""")(
     lambda t: ranking.heatmap(t.hot_events, t.comments, t.articles, AS_OF, 30, 50))
 
 check("e10_opinions_on", """
@@ -568,8 +611,9 @@ SELECT article_id, CASE WHEN length(content) > 200 THEN left(content, 200) || '.
        CASE WHEN s > 0.6 THEN 'positive' WHEN s < 0.4 THEN 'negative' ELSE 'neutral' END AS sentiment,
        CAST(publish_time AS VARCHAR) AS publish_time
 FROM (SELECT a.*, coalesce(a.sentiment_score, 0.5) AS s FROM articles a JOIN hot_events e ON a.event_id = e.id
-      AND contains(lower(e.title), 'rod') ORDER BY e.heat DESC, a.like_count DESC, a.article_id LIMIT 20)
-WHERE length(content) > 10""")(lambda t: ranking.opinions_on(t.hot_events, t.articles, "rod"))
+      AND contains(lower(e.title), 'rod') WHERE length(a.content) > 10
+      ORDER BY e.heat DESC, a.like_count DESC, a.article_id LIMIT 20)""")(
+    lambda t: ranking.opinions_on(t.hot_events, t.articles, "rod"))
 
 BOARD = f"""
 SELECT e.id, e.title, e.crawl_time, e.heat, e.sentiment_score, b.total AS comment_count, b.positive_count,
@@ -605,6 +649,21 @@ WHERE content <> '' UNION ALL
 SELECT 'article', article_id, event_id, content, publish_time, sentiment_score FROM articles WHERE content <> ''""")(
     lambda t: sets.all_texts(t.replies, t.articles))
 
+check("f01_recent_texts_page", f"""
+WITH x AS (SELECT 'comment' AS kind, comment_id AS text_id, publish_time FROM replies WHERE content <> '' UNION ALL
+  SELECT 'article', article_id, publish_time FROM articles WHERE content <> '')
+SELECT kind, text_id, publish_time FROM x WHERE {inside('publish_time', EARLY, days=4)}
+ORDER BY publish_time DESC, kind, text_id LIMIT 30 OFFSET 30""")(
+    lambda t: filters.page(sets.all_texts(t.replies, t.articles, as_of=EARLY, days=4),
+                           [F.col("publish_time").desc(), F.col("kind"), F.col("text_id")], 2, 30)
+    .select("kind", "text_id", "publish_time"))
+
+check("f01_recent_texts_total", f"""
+SELECT count(*) AS total, CAST(ceil(count(*) / 30.0) AS BIGINT) AS total_pages FROM (
+  SELECT publish_time FROM replies WHERE content <> '' UNION ALL SELECT publish_time FROM articles WHERE content <> '')
+WHERE {inside('publish_time', EARLY, days=4)}""")(
+    lambda t: filters.page_count(sets.all_texts(t.replies, t.articles, as_of=EARLY, days=4), 30))
+
 check("f03_distinct_texts", "SELECT DISTINCT content FROM articles WHERE trim(content) <> ''")(
     lambda t: sets.distinct_texts(t.articles))
 
@@ -614,19 +673,23 @@ SELECT min(comment_id) AS comment_id, event_id, user_id, content FROM live_comme
     .select("comment_id", "event_id", "user_id", "content"))
 
 check("f05_distinct_by_id", """
-SELECT comment_id, publish_time, like_count, content FROM (
-  SELECT *, row_number() OVER (PARTITION BY comment_id ORDER BY publish_time DESC, like_count DESC, content DESC) AS r
-  FROM comments WHERE content <> '') WHERE r = 1""")(
-    lambda t: sets.distinct_by_id(t.comments, "comment_id").select("comment_id", "publish_time", "like_count", "content"))
+SELECT * EXCLUDE (r) FROM (
+  SELECT *, row_number() OVER (PARTITION BY comment_id ORDER BY publish_time DESC, like_count DESC, content DESC,
+    event_id DESC, user_id DESC, location DESC, sentiment_score DESC, tie DESC) AS r
+  FROM comments WHERE content <> '') WHERE r = 1""")(lambda t: sets.distinct_by_id(t.comments, "comment_id"))
 
 check("f06_active_dates", """
 SELECT DISTINCT CAST(CAST(publish_time AS DATE) AS VARCHAR) AS date FROM comments WHERE content <> ''""")(
     lambda t: sets.active_dates(t.comments))
 
-check("f07_recent_or_wider", """
-SELECT article_id, publish_time FROM articles WHERE publish_time >= TIMESTAMP '2023-08-04'""")(
+check("f07_recent_or_wider", f"""
+SELECT article_id, publish_time FROM articles WHERE {inside('publish_time', LIVE, days=180)}""")(
     lambda t: sets.recent_or_wider(t.articles, LIVE, days=1, least=10**9).select("article_id", "publish_time"))
 
+check("f07_recent_enough", f"""
+SELECT article_id, publish_time FROM articles WHERE {inside('publish_time', EARLY, days=4)}""")(
+    lambda t: sets.recent_or_wider(t.articles, EARLY, days=4, least=3).select("article_id", "publish_time"))
+
 check("f07_recent_fallback", """
-SELECT article_id, publish_time FROM articles WHERE publish_time >= TIMESTAMP '2023-08-01'""")(
+SELECT article_id, publish_time FROM articles WHERE publish_time BETWEEN TIMESTAMP '2023-08-01' AND TIMESTAMP '2024-07-31'""")(
     lambda t: sets.recent_or_wider(t.articles, "2024-07-31", days=7).select("article_id", "publish_time"))

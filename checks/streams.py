@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import check
-from murmur.operators import metrics
+from checks.textual import CAL, scored_sql
+from murmur.operators import metrics, sets
 from murmur.sources import readers, writers
 from murmur.streaming import decode, ingest, live, tables
 from murmur.streaming.folders import shared_folder
@@ -44,12 +45,12 @@ def send(t, rows, size=100):
     return readers.file_stream(t.spark, folder)
 
 
-def streamed(t, *kinds, refresh=True):
+def streamed(t, *kinds, **options):
     """Sends the messages of the kinds through their streams, one after the other; returns the table root."""
     root, marks = shared_folder(t.spark, "tables"), shared_folder(t.spark, "marks")
     made = {"event": event_messages, "article": article_messages, "comment": comment_messages}
     for kind in kinds:
-        ingest.run(t.spark, {kind: send(t, made[kind](t))}, root, marks, available_now=True, refresh=refresh)
+        ingest.run(t.spark, {kind: send(t, made[kind](t))}, root, marks, available_now=True, **options)
     return root
 
 
@@ -62,10 +63,10 @@ check("a02_decoded_events", """
 SELECT title, strftime(crawl_time, '%Y-%m-%d %H:%M:%S') AS crawl_time, heat FROM hot_events""")(
     lambda t: decode.decode(writers.envelopes(event_messages(t), SENT), "event").select("title", "crawl_time", "heat"))
 
-check("a09_envelope_sizes", "SELECT count(*) AS n FROM articles")(
-    lambda t: writers.envelopes(article_messages(t), SENT, 50)
-    .select(F.explode(F.from_json("value", "send_time string, data array<string>")["data"]).alias("x"))
-    .agg(F.count(F.lit(1)).alias("n")))
+check("a09_envelope_sizes", "SELECT count(*) AS n, 50 AS largest, true AS none_empty FROM articles")(
+    lambda t: writers.envelopes(article_messages(t).coalesce(1), SENT, 50)
+    .select(F.size(F.from_json("value", "send_time string, data array<string>")["data"]).alias("x"))
+    .agg(F.sum("x").alias("n"), F.max("x").alias("largest"), (F.min("x") > 0).alias("none_empty")))
 
 check("a10_keyed_messages", "SELECT title AS key, heat FROM hot_events")(
     lambda t: writers.keyed_messages(event_messages(t), "title", SENT)
@@ -122,14 +123,22 @@ FROM comments WHERE like_count > 10""")(
         .withColumn("publish_time", F.when(F.col("like_count") > 10, F.col("publish_time"))), "comment")
     .select("comment_id", "publish_time", "location"))
 
+def known_events(t):
+    """Events of another store: some ids that messages bear are not among them, but every title is."""
+    some = t.hot_events.filter("id % 6 <> 0").select("id", "title")
+    titles = t.hot_events.groupBy("title").agg(F.min("id").alias("id")).select("id", "title")
+    return some.unionByName(titles.join(some, "id", "left_anti"))
+
+
 check("c02_resolved_titles", """
-SELECT m.comment_id, m.tie, coalesce(own_id, e.known_id) AS event_id FROM messages m
+SELECT m.comment_id, m.tie, coalesce(o.id, e.known_id) AS event_id FROM messages m
 LEFT JOIN (SELECT title, min(id) AS known_id FROM hot_events GROUP BY 1) e ON e.title = m.hot_title
-WHERE coalesce(own_id, e.known_id) IS NOT NULL""", {"messages": MESSAGES})(
+LEFT JOIN (SELECT id FROM hot_events WHERE id % 6 <> 0 UNION SELECT min(id) FROM hot_events GROUP BY title) o ON o.id = m.own_id
+WHERE coalesce(o.id, e.known_id) IS NOT NULL""", {"messages": MESSAGES})(
     lambda t: ingest.resolved(
         t.comments.select("comment_id", "tie", hot_title().alias("hot_title"),
                           F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("event_id")),
-        readers.event_titles(t.hot_events))
+        known_events(t))
     .filter(F.col("event_id") != F.xxhash64("hot_title")).select("comment_id", "tie", "event_id"))
 
 check("c04_unseen_titles", """
@@ -144,49 +153,79 @@ FROM live_comments""")(
         "CASE WHEN like_count <> 9 THEN publish_time END")).withColumn(
         "publish_time", F.expr("CASE WHEN event_id % 7 <> 0 THEN publish_time END"))))
 
-check("j01_event_stream", """
-SELECT title, max(crawl_time) AS crawl_time, arg_max(heat, (crawl_time, heat)) AS heat, CAST(0.5 AS DECIMAL(4,3)) AS sentiment_score
-FROM hot_events GROUP BY 1""")(lambda t: tables.read_events(t.spark, streamed(t, "event")).drop("id"))
+TITLE_SCORE = scored_sql("names", "title", "0.5e0")
+check("j01_event_stream", f"""
+WITH names AS (SELECT title, max(crawl_time) AS crawl_time, arg_max(heat, (crawl_time, heat)) AS heat FROM hot_events GROUP BY 1)
+SELECT title, crawl_time, heat, CAST(score AS DECIMAL(4,3)) AS sentiment_score FROM ({TITLE_SCORE})""")(
+    lambda t: tables.read_events(t.spark, streamed(t, "event"), CAL).drop("id"))
 
 
 def streamed_articles(t):
-    root = streamed(t, "event", "article", refresh=False)
+    root = streamed(t, "event", "article")
     events = tables.read_events(t.spark, root).select(F.col("id").alias("event_id"), "title")
     return (tables.read_table(t.spark, root, "articles").join(events, "event_id")
-            .select("article_id", "title", "author", "like_count", "sentiment_score", "publish_time"))
+            .select("article_id", "title", "author", "content", "like_count", "sentiment_score", "publish_time"))
 
 
 check("j02_article_stream", """
-SELECT CAST(article_id AS STRING) AS article_id, concat('topic ', author) AS title, author, CAST(like_count AS INT) AS like_count,
+SELECT CAST(article_id AS STRING) AS article_id, concat('topic ', author) AS title, author, content, CAST(like_count AS INT) AS like_count,
        sentiment_score, publish_time FROM articles""")(streamed_articles)
 
+# Of the messages of one comment the first places it, the last gives its score; equal ones are ordered by all fields.
+PLACED = "(publish_time, like_count, sentiment_score, content, own_id, user_id, location)"
+FINAL = f"""
+SELECT CAST(comment_id AS STRING) AS comment_id, arg_max(like_count, {PLACED}) AS like_count,
+       arg_max(sentiment_score, {PLACED}) AS sentiment_score, arg_min(content, {PLACED}) AS content, min(publish_time) AS publish_time,
+       arg_min(location, {PLACED}) AS location, 'unknown' AS username, arg_min(hot_title, {PLACED}) AS hot_title,
+       arg_min(own_id, (publish_time, like_count, sentiment_score, content, coalesce(own_id, -1), user_id, location)) AS own_id
+FROM messages GROUP BY 1"""
+
+
+def with_titles(t, root):
+    events = tables.read_events(t.spark, root).select(F.col("id").alias("event_id"), "title")
+    return (tables.read_table(t.spark, root, "comments").join(events, "event_id", "left")
+            .select("comment_id", "content", "like_count", "sentiment_score", "publish_time", "location", "username", "title"))
+
 
-def streamed_comments(t):
-    return tables.read_table(t.spark, streamed(t, "comment", refresh=False), "comments").select(
-        "comment_id", "content", "like_count", "sentiment_score", "publish_time", "location", "username")
+check("j03_comment_stream", f"SELECT * EXCLUDE (hot_title, own_id), hot_title AS title FROM ({FINAL})", {"messages": MESSAGES})(
+    lambda t: with_titles(t, streamed(t, "comment")))
 
 
-check("j03_comment_stream", f"""
-SELECT CAST(comment_id AS STRING) AS comment_id,
-       arg_max(like_count, {LAST}) AS like_count, arg_max(sentiment_score, {LAST}) AS sentiment_score,
-       arg_min(content, {LAST}) AS content, min(publish_time) AS publish_time, arg_min(location, (publish_time, like_count, sentiment_score, content, location)) AS location,
-       'unknown' AS username
-FROM comments GROUP BY 1""")(streamed_comments)
+def against_another_store(t):
+    """Every streamed comment with its event, and whether that store or this one has the event."""
+    spark = t.spark
+    root = streamed(t, "comment", known=lambda _: t.hot_events.select("id", "title"))
+    here = tables.read_events(spark, root).select(F.col("id").alias("event_id"), F.lit(True).alias("is_here"))
+    there = t.hot_events.select(F.col("id").alias("event_id"), F.lit(True).alias("is_there")).distinct()
+    rows = tables.read_table(spark, root, "comments").join(here, "event_id", "left").join(there, "event_id", "left")
+    stub = F.col("is_here").isNotNull() & F.col("is_there").isNull()
+    return rows.select("comment_id", F.when(~stub, F.col("event_id")).alias("event_id"),
+                       F.coalesce("is_here", "is_there", F.lit(False)).alias("has_event"))
 
 
-def streamed_scores(t):
-    """Event scores after the comment stream, for events that came as messages or stubs."""
-    return tables.read_events(t.spark, streamed(t, "event", "comment")).select("title", "heat", "sentiment_score")
+check("j03_known_events", f"""
+SELECT c.comment_id, coalesce(e.id, n.id) AS event_id, true AS has_event FROM ({FINAL}) c
+LEFT JOIN hot_events e ON e.id = c.own_id LEFT JOIN (SELECT title, min(id) AS id FROM hot_events GROUP BY 1) n ON n.title = c.hot_title""",
+      {"messages": MESSAGES})(against_another_store)
 
 
-check("j06_refreshed_events", f"""
-WITH last AS (SELECT comment_id, arg_min(own_id, {LAST}) AS own_id, arg_min(hot_title, {LAST}) AS hot_title,
-                arg_max(sentiment_score, {LAST}) AS s FROM messages GROUP BY 1),
-byname AS (SELECT hot_title AS title, CAST(round(CAST(sum(s) AS DOUBLE) / count(*), 3) AS DECIMAL(4,3)) AS s FROM last WHERE own_id IS NULL GROUP BY 1),
+def streamed_scores(t, *compacted):
+    """Event scores after the streams, for events that came as messages or stubs."""
+    root = streamed(t, "event", "comment")
+    for table in compacted:
+        tables.compact(t.spark, root, table)
+    return tables.read_events(t.spark, root, CAL).select("title", "heat", "sentiment_score")
+
+
+REFRESHED = f"""
+WITH byname AS (SELECT hot_title AS title, CAST(round(CAST(sum(sentiment_score) AS DOUBLE) / count(*), 3) AS DECIMAL(4,3)) AS s
+                FROM ({FINAL}) GROUP BY 1),
 names AS (SELECT title, arg_max(heat, (crawl_time, heat)) AS heat FROM hot_events GROUP BY 1
-          UNION ALL SELECT DISTINCT hot_title, 0 FROM messages WHERE own_id IS NULL AND hot_title NOT IN (SELECT title FROM hot_events))
-SELECT n.title, n.heat, coalesce(b.s, 0.5) AS sentiment_score FROM names n LEFT JOIN byname b USING (title)""",
-      {"messages": MESSAGES})(streamed_scores)
+          UNION ALL SELECT DISTINCT hot_title, 0 FROM ({FINAL}) WHERE hot_title NOT IN (SELECT title FROM hot_events))
+SELECT n.title, n.heat, coalesce(b.s, CAST(n.score AS DECIMAL(4,3))) AS sentiment_score FROM ({TITLE_SCORE}) n LEFT JOIN byname b USING (title)"""
+check("j06_refreshed_events", REFRESHED, {"messages": MESSAGES})(streamed_scores)
+check("j06_refreshed_after_compaction", REFRESHED, {"messages": MESSAGES})(
+    lambda t: streamed_scores(t, "events", "comments", "event_sums", "comments"))
 
 
 def replayed(t):
@@ -196,7 +235,7 @@ def replayed(t):
     writers.publish_files(writers.envelopes(comment_messages(t), SENT), folder)
     rows = decode.clean(decode.decode(t.spark.read.text(folder), "comment"), "comment")
     for epoch in (0, 0, 1):
-        ingest.save_texts(rows, epoch, root, "comment", refresh=False)
+        ingest.save_texts(rows, epoch, root, "comment")
     return tables.read_table(t.spark, root, "comments").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("like_count").cast("bigint")).alias("likes"))
 
@@ -218,6 +257,7 @@ def streamed_rank(t):
     root, marks = shared_folder(t.spark, "tables"), shared_folder(t.spark, "marks")
     rows = event_messages(t).withColumn("rank", F.lit(1))
     ingest.start_rank(send(t, rows), root, marks, available_now=True).awaitTermination()
+    tables.compact(t.spark, root, "rank")
     return ingest.read_rank(t.spark, root).select("title", "heat", "crawl_time")
 
 
@@ -228,10 +268,10 @@ SELECT DISTINCT title, heat, crawl_time FROM hot_events WHERE crawl_time = (SELE
 def live_stream(t):
     """The live comments as a stream of JSON lines."""
     folder = shared_folder(t.spark, "live")
-    rows = t.live_comments.select("comment_id", "event_id", "content", "like_count", "sentiment_score",
+    rows = t.live_comments.select("comment_id", "event_id", "user_id", "content", "like_count", "sentiment_score",
                                   F.col("publish_time").cast("string").alias("publish_time"))
     rows.write.json(folder)
-    schema = ("comment_id long, event_id long, content string, like_count int, sentiment_score decimal(4,3), "
+    schema = ("comment_id long, event_id long, user_id long, content string, like_count int, sentiment_score decimal(4,3), "
               "publish_time timestamp_ntz")
     return t.spark.readStream.schema(schema).json(folder)
 
@@ -258,10 +298,11 @@ def streamed_distinct(t):
     rows = decode.distinct_stream(twice.unionByName(live_stream(t)), "comment_id", delay="40 days")
     (rows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", marks)
      .trigger(availableNow=True).start().awaitTermination())
-    return t.spark.read.parquet(out).select("comment_id", "event_id", "like_count")
+    return t.spark.read.parquet(out).withColumn("publish_time", F.col("publish_time").cast("timestamp_ntz")).select(
+        "comment_id", "event_id", "user_id", "content", "like_count", "sentiment_score", "publish_time")
 
 
-check("f05_distinct_stream", "SELECT comment_id, event_id, like_count FROM live_comments WHERE content <> ''")(streamed_distinct)
+check("f05_distinct_stream", "SELECT comment_id, event_id, user_id, content, like_count, sentiment_score, publish_time FROM live_comments WHERE content <> ''")(streamed_distinct)
 
 check("a08_stub_events", """
 SELECT hot_title AS title, CAST(0 AS BIGINT) AS heat, min(publish_time) AS crawl_time FROM messages
@@ -337,7 +378,7 @@ def saved_in_two(t, rows, kind, cut):
         if kind == "event":
             ingest.save_events(batch, epoch, root)
         else:
-            ingest.save_texts(batch, epoch, root, kind, refresh=False)
+            ingest.save_texts(batch, epoch, root, kind)
     return root
 
 
@@ -380,41 +421,35 @@ def named_messages(t):
 
 check("c03_message_id_first", "SELECT comment_id, tie, own_id AS event_id FROM messages WHERE own_id IS NOT NULL",
       {"messages": MESSAGES})(
-    lambda t: ingest.resolved(named_messages(t).withColumn("own_id", F.col("event_id")), readers.event_titles(t.hot_events))
+    lambda t: ingest.resolved(named_messages(t).withColumn("own_id", F.col("event_id")), t.hot_events.select("id", "title"))
     .filter("own_id IS NOT NULL").select("comment_id", "tie", "event_id"))
 
 
 def resolved_titles(t):
     """Rows without an own id, with the title of the event, known or stub, they were resolved to."""
-    known = readers.event_titles(t.hot_events)
+    known, other = readers.event_titles(t.hot_events), t.hot_events.select("id", "title")
     rows = named_messages(t).filter("event_id IS NULL")
     stubs = ingest.stub_events(rows, known).select(F.col("title").alias("hot_title"), F.xxhash64("title").alias("known_id"))
     ids = known.unionByName(stubs).select(F.col("known_id").alias("event_id"), F.col("hot_title").alias("title"))
-    return ingest.resolved(rows, known).join(ids, "event_id").select("comment_id", "tie", "title")
+    return ingest.resolved(rows, other).join(ids, "event_id").select("comment_id", "tie", "title")
 
 
 check("c05_resolved_in_one_pass", "SELECT comment_id, tie, hot_title AS title FROM messages WHERE own_id IS NULL",
       {"messages": MESSAGES})(resolved_titles)
 
 
-def united(t):
-    known = readers.event_titles(t.hot_events)
-    rows = named_messages(t)
-    seen = rows.join(known, "hot_title", "left_semi").withColumn("is_stub", F.lit(False))
-    new = rows.join(known, "hot_title", "left_anti").withColumn("is_stub", F.lit(True))
-    return seen.unionByName(new).select("comment_id", "tie", "hot_title", "is_stub")
-
-
 check("f02_united_rows", """
 SELECT comment_id, tie, hot_title, hot_title NOT IN (SELECT title FROM hot_events) AS is_stub FROM messages""",
-      {"messages": MESSAGES})(united)
+      {"messages": MESSAGES})(
+    lambda t: sets.stubs_and_known(named_messages(t), readers.event_titles(t.hot_events))
+    .select("comment_id", "tie", "hot_title", "is_stub"))
 
 
 def three_streams(t):
     """Events, articles and comments at the same time, each with its own checkpoint."""
     root, marks = shared_folder(t.spark, "tables"), shared_folder(t.spark, "marks")
     sources = {"event": send(t, event_messages(t)), "article": send(t, article_messages(t)), "comment": send(t, comment_messages(t))}
-    ingest.run(t.spark, sources, root, marks, available_now=True, refresh=False)
+    ingest.run(t.spark, sources, root, marks, available_now=True)
     counts = metrics.row_count(tables.read_events(t.spark, root)).withColumn("kind", F.lit("events"))
     for kind in ("articles", "comments"):
         counts = counts.unionByName(metrics.row_count(tables.read_table(t.spark, root, kind)).withColumn("kind", F.lit(kind)))
@@ -423,7 +458,7 @@ def three_streams(t):
 
 check("j05_three_streams", """
 SELECT 'events' AS kind, count(*) AS n FROM (SELECT title FROM hot_events UNION SELECT concat('topic ', author) FROM articles
-  UNION SELECT hot_title FROM messages WHERE own_id IS NULL)
+  UNION SELECT hot_title FROM messages)
 UNION ALL SELECT 'articles', count(DISTINCT article_id) FROM articles
 UNION ALL SELECT 'comments', count(DISTINCT comment_id) FROM comments""", {"messages": MESSAGES})(three_streams)
 
@@ -433,7 +468,7 @@ def capped(t):
     folder, root = shared_folder(t.spark, "messages"), shared_folder(t.spark, "tables")
     writers.publish_files(writers.envelopes(article_messages(t).repartition(4, "article_id"), SENT), folder)
     source = readers.file_stream(t.spark, folder, max_files=2)
-    ingest.run(t.spark, {"article": source}, root, shared_folder(t.spark, "marks"), available_now=True, refresh=False)
+    ingest.run(t.spark, {"article": source}, root, shared_folder(t.spark, "marks"), available_now=True)
     return tables.read_table(t.spark, root, "articles").select("article_id", "author", "like_count")
 
 

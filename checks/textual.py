@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import check
-from checks.relational import LIVE, RULES, CASES
+from checks.relational import AS_OF, CASES, EARLY, LIVE, RULES, before, inside, on
 from murmur.functions import scalars, times, words
 from murmur.operators import joins, keywords, metrics, ranking, sets, text
 
@@ -55,7 +55,11 @@ FROM (SELECT word, count(*) AS n, count(DISTINCT c) AS df FROM (
 
 def top_sql(texts: str, k: int, col: str = "content", stops=()) -> str:
     cut = f"WHERE word NOT IN {tup(stops)}" if stops else ""
-    return f"SELECT * FROM (SELECT * FROM ({weights_sql(texts, col)}) ORDER BY weight DESC, word LIMIT {k}) {cut}"
+    return f"SELECT * FROM (SELECT * FROM ({weights_sql(texts, col)}) {cut} ORDER BY weight DESC, word LIMIT {k})"
+
+
+DATES = (f"generate_series(DATE '{before(LIVE, days=29)[:10]}', DATE '{LIVE[:10]}', INTERVAL 1 DAY) d(d)")
+RECENT = inside("publish_time", LIVE, days=30)
 
 
 ALL_TEXTS = """
@@ -185,8 +189,8 @@ SELECT article_id, coalesce(trim(list_filter(string_split(translate(content, '
 check("g12_plain_words", r"""
 SELECT word, count(*) AS n FROM (
   SELECT unnest(regexp_split_to_array(translate(content, '，。！？,."', '       '), '\s+')) AS word FROM articles)
-WHERE length(word) >= 2 AND word <> 'the' GROUP BY 1 ORDER BY n DESC, word LIMIT 20""")(
-    lambda t: t.articles.select(F.explode(scalars.plain_words(F.col("content"), "the")).alias("word"))
+WHERE length(word) >= 2 AND word NOT IN ('the', 'and', 'of') GROUP BY 1 ORDER BY n DESC, word LIMIT 20""")(
+    lambda t: t.articles.select(F.explode(scalars.plain_words(F.col("content"), "the", ["and", "of"])).alias("word"))
     .groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "word").limit(20))
 
 check("g13_words", f"""
@@ -212,10 +216,10 @@ LEFT JOIN live_comments c ON CAST(c.publish_time AS DATE) = CAST(d.d AS DATE) GR
     lambda t: times.calendar(t.spark, "2023-12-30", "2024-01-31").join(
         metrics.daily(t.live_comments, F.count(F.lit(1)).alias("n")), "date", "left").fillna(0, ["n"]))
 
-check("g16_time_factor", """
-SELECT id, round(greatest(exp(-0.1e0 * (epoch_us(TIMESTAMP '2001-08-01') - epoch_us(crawl_time)) / 3.6e9 / 24.0e0), 0.1e0), 6) AS factor
-FROM hot_events""")(
-    lambda t: t.hot_events.select("id", F.round(times.time_factor(F.col("crawl_time"), "2001-08-01"), 6).alias("factor")))
+check("g16_time_factor", f"""
+SELECT id, round(least(greatest(exp(-0.1e0 * (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(crawl_time)) / 3.6e9 / 24.0e0), 0.1e0), 1.0e0), 6)
+  AS factor FROM hot_events""")(
+    lambda t: t.hot_events.select("id", F.round(times.time_factor(F.col("crawl_time"), AS_OF), 6).alias("factor")))
 
 # ---- scores of texts
 
@@ -238,10 +242,9 @@ FROM scored_articles""", EXTRA)(
 check("h03_keywords", f"SELECT word, round(weight, 6) AS weight FROM ({top_sql('all_texts', 50, stops=STOPS)})", EXTRA)(
     lambda t: rounded(text.keywords(texts_of(t), 50, stopwords=STOPS), "weight"))
 
-check("h03_keywords_filter_first", f"""
-SELECT word, round(weight, 6) AS weight FROM ({weights_sql('all_texts')}) WHERE word NOT IN {tup(STOPS)}
-ORDER BY weight DESC, word LIMIT 50""", EXTRA)(
-    lambda t: text.keywords(texts_of(t), 50, stopwords=STOPS, filter_first=True)
+check("h03_keywords_filter_last", f"""
+SELECT word, round(weight, 6) AS weight FROM ({top_sql('all_texts', 50)}) WHERE word NOT IN {tup(STOPS)}""", EXTRA)(
+    lambda t: text.keywords(texts_of(t), 50, stopwords=STOPS, filter_first=False)
     .select("word", F.round("weight", 6).alias("weight")))
 
 check("h04_word_counts", f"""
@@ -270,10 +273,18 @@ WITH k AS ({top_sql('all_texts', 30, stops=STOPS)}), s AS ({polarity_sql('all_te
 SELECT s.keyword, round(k.weight * 100, 6) AS frequency, s.sentiment FROM k JOIN s ON s.keyword = k.word""", EXTRA)(
     lambda t: keywords.report(texts_of(t), 30, STOPS, 6))
 
+RESCORED = f"""
+WITH k AS ({top_sql('all_texts', 30, stops=STOPS)}), s AS ({polarity_sql('scored_texts', '(SELECT word AS keyword FROM k)')})
+SELECT s.keyword, round(k.weight * 100, 6) AS frequency, s.sentiment FROM k JOIN s ON s.keyword = k.word"""
+check("h06_keyword_report_rescored", RESCORED, EXTRA)(lambda t: keywords.report(scored_texts(t), 30, STOPS, 6, "score"))
+
+check("h06_keyword_report_page", f"""
+SELECT * FROM ({RESCORED}) ORDER BY frequency DESC, keyword LIMIT 7 OFFSET 7""", EXTRA)(
+    lambda t: keywords.report_page(keywords.report(scored_texts(t), 30, STOPS, 6, "score"), 2, 7))
+
 TIMELINE = f"""
 SELECT CAST(CAST(d.d AS DATE) AS VARCHAR) AS date, k.keyword, count(x.text_id) AS n
-FROM generate_series(DATE '2024-01-02', DATE '2024-01-31', INTERVAL 1 DAY) d(d) CROSS JOIN {WORD_LIST} k
-LEFT JOIN (SELECT * FROM all_texts WHERE publish_time >= TIMESTAMP '2024-01-01') x
+FROM {DATES} CROSS JOIN {WORD_LIST} k LEFT JOIN (SELECT * FROM all_texts WHERE {RECENT}) x
   ON CAST(x.publish_time AS DATE) = CAST(d.d AS DATE) AND contains(lower(x.content), lower(k.keyword)) GROUP BY 1, 2"""
 check("h07_timeline", TIMELINE, EXTRA)(lambda t: keywords.timeline(texts_of(t), WORDS, LIVE, 30))
 
@@ -290,16 +301,16 @@ check("h08_burst_words", f"""
 SELECT keyword, total, round(cv, 6) AS cv FROM ({VARIATION}) WHERE cv > 0.5 AND total > 5 ORDER BY cv DESC, keyword LIMIT 5""", EXTRA)(
     lambda t: keywords.burst_words(keywords.timeline(texts_of(t), WORDS, LIVE, 30), digits=6))
 check("h08_longtail_words", f"""
-SELECT keyword, total, round(cv, 6) AS cv FROM ({VARIATION}) WHERE cv < 0.4 AND total > 3 ORDER BY total DESC, keyword LIMIT 5""", EXTRA)(
-    lambda t: keywords.longtail_words(keywords.timeline(texts_of(t), WORDS, LIVE, 30), below=0.4, digits=6))
+SELECT keyword, total, round(cv, 6) AS cv FROM ({VARIATION}) WHERE cv < 5 AND total > 3 ORDER BY total DESC, keyword LIMIT 5""", EXTRA)(
+    lambda t: keywords.longtail_words(keywords.timeline(texts_of(t), WORDS, LIVE, 30), below=5, digits=6))
 
 check("h09_burst_points", """
 SELECT date, n, prev_n, round(CAST(n AS DOUBLE) / prev_n, 6) AS change_rate, 'burst' AS type FROM (
   SELECT date, n, lag(n) OVER (ORDER BY date) AS prev_n, count(*) OVER () AS days FROM (
     SELECT CAST(CAST(publish_time AS DATE) AS VARCHAR) AS date, count(*) AS n FROM all_texts
-    WHERE contains(lower(content), 'idiot') GROUP BY 1))
-WHERE days >= 3 AND prev_n > 0 AND CAST(n AS DOUBLE) / prev_n >= 1.5""", EXTRA)(
-    lambda t: keywords.burst_points(texts_of(t), "idiot", threshold=1.5, digits=6))
+    WHERE contains(lower(content), 'that') GROUP BY 1))
+WHERE days >= 3 AND prev_n > 0 AND CAST(n AS DOUBLE) / prev_n >= 1.1""", EXTRA)(
+    lambda t: keywords.burst_points(texts_of(t), "that", threshold=1.1, digits=6))
 
 check("h10_cooccurrence", f"""
 SELECT a.keyword AS source, b.keyword AS target, count(*) AS n FROM all_texts
@@ -312,6 +323,9 @@ SELECT s.keyword, round(k.weight, 6) AS value, s.sentiment, CAST(greatest(15, le
 FROM k JOIN s ON s.keyword = k.word"""
 check("h10_network_nodes", NODES, EXTRA)(lambda t: keywords.network_nodes(texts_of(t), 20, STOPS, 6))
 
+check("h10_network_nodes_rescored", NODES.replace("JOIN all_texts ON", "JOIN scored_texts ON").replace("sentiment_score", "score"), EXTRA)(
+    lambda t: keywords.network_nodes(scored_texts(t), 20, STOPS, 6, "score"))
+
 check("h10_network_links", f"""
 WITH k AS ({top_sql('all_texts', 20, stops=STOPS)})
 SELECT a.word AS source, b.word AS target, count(*) AS n FROM all_texts
@@ -320,20 +334,27 @@ GROUP BY 1, 2 HAVING count(*) >= 2""", EXTRA)(lambda t: keywords.network_links(t
 
 check("h11_drivers", f"""
 WITH hit AS (SELECT * FROM all_texts WHERE contains(lower(content), 'worthless')),
-k AS (SELECT * FROM ({top_sql('hit', 20)}) WHERE word <> 'worthless' ORDER BY weight DESC, word LIMIT 10),
+k AS ({top_sql('hit', 10, stops=['worthless'])}),
 s AS ({polarity_sql('hit', '(SELECT word AS keyword FROM k)', 'sentiment_score')})
 SELECT s.keyword, round(k.weight, 6) AS weight, CASE WHEN positive_count > negative_count THEN 'positive' ELSE 'negative' END AS sentiment,
        positive_count, negative_count FROM k JOIN s ON s.keyword = k.word WHERE positive_count + negative_count > 0""", EXTRA)(
     lambda t: keywords.drivers(texts_of(t), "worthless"))
 
+check("h11_drivers_rescored", f"""
+WITH hit AS (SELECT * FROM scored_texts WHERE contains(lower(content), 'worthless')),
+k AS ({top_sql('hit', 10, stops=['worthless'])}), s AS ({polarity_sql('hit', '(SELECT word AS keyword FROM k)')})
+SELECT s.keyword, round(k.weight, 6) AS weight, CASE WHEN positive_count > negative_count THEN 'positive' ELSE 'negative' END AS sentiment,
+       positive_count, negative_count FROM k JOIN s ON s.keyword = k.word WHERE positive_count + negative_count > 0""", EXTRA)(
+    lambda t: keywords.drivers(scored_texts(t), "worthless", score="score"))
+
 check("h11_driver_bands", """
 SELECT count(*) FILTER (sentiment_score > 0.6) AS positive_count, count(*) FILTER (sentiment_score BETWEEN 0.4 AND 0.6) AS neutral_count,
        count(*) FILTER (sentiment_score < 0.4) AS negative_count, count(*) AS total FROM all_texts WHERE contains(lower(content), 'worthless')""",
       EXTRA)(lambda t: keywords.driver_bands(texts_of(t), "worthless"))
 
 check("h12_opinions", """
-WITH pool AS (SELECT * FROM all_texts WHERE contains(lower(content), 'that') ORDER BY publish_time DESC, kind, text_id LIMIT 30),
-top AS (SELECT * FROM pool WHERE length(content) >= 10 ORDER BY publish_time DESC, kind, text_id LIMIT 10),
+WITH top AS (SELECT * FROM all_texts WHERE contains(lower(content), 'that') AND length(content) >= 10
+  ORDER BY publish_time DESC, kind, text_id LIMIT 10),
 s AS (SELECT *, coalesce(trim(list_filter(string_split(translate(content, '！？!?', '。。..'), '。'),
         lambda s: contains(s, 'that') AND length(s) >= 10)[1]), left(content, 100)) AS sentence FROM top)
 SELECT kind, text_id, CASE WHEN length(sentence) > 200 THEN left(sentence, 200) || '...' ELSE sentence END AS summary,
@@ -341,25 +362,27 @@ SELECT kind, text_id, CASE WHEN length(sentence) > 200 THEN left(sentence, 200)
        CAST(publish_time AS VARCHAR) AS publish_time FROM s""", EXTRA)(
     lambda t: keywords.opinions(texts_of(t), "that"))
 
-check("h14_sentiment_by_date", """
+check("h14_sentiment_by_date", f"""
 SELECT CAST(CAST(d.d AS DATE) AS VARCHAR) AS date, count(*) FILTER (x.score > 0.6) AS positive_count,
        count(*) FILTER (x.score BETWEEN 0.4 AND 0.6) AS neutral_count, count(*) FILTER (x.score < 0.4) AS negative_count
-FROM generate_series(DATE '2024-01-02', DATE '2024-01-31', INTERVAL 1 DAY) d(d)
-LEFT JOIN (SELECT * FROM scored_texts WHERE publish_time >= TIMESTAMP '2024-01-01') x
+FROM {DATES} LEFT JOIN (SELECT * FROM scored_texts WHERE {RECENT}) x
   ON CAST(x.publish_time AS DATE) = CAST(d.d AS DATE) GROUP BY 1""", EXTRA)(
     lambda t: keywords.sentiment_by_date(scored_texts(t), LIVE, 30, "score"))
 
-check("h15_compare", f"""
-WITH x AS (SELECT *, CAST(CAST(publish_time AS DATE) AS VARCHAR) AS date FROM all_texts)
+COMPARED = f"""
+WITH x AS (SELECT *, CAST(CAST(publish_time AS DATE) AS VARCHAR) AS date FROM all_texts WHERE {{}})
 SELECT d.date, k.keyword, count(x.text_id) AS n, CAST(sum(count(x.text_id)) OVER (PARTITION BY k.keyword) AS BIGINT) AS total
 FROM (SELECT DISTINCT date FROM x) d CROSS JOIN {WORD_LIST} k LEFT JOIN x ON x.date = d.date AND contains(lower(x.content), lower(k.keyword))
-GROUP BY 1, 2""", EXTRA)(lambda t: keywords.compare(texts_of(t), WORDS))
+GROUP BY 1, 2"""
+check("h15_compare", COMPARED.format("true"), EXTRA)(lambda t: keywords.compare(texts_of(t), WORDS))
+check("h15_compare_recent", COMPARED.format(inside("publish_time", EARLY, days=4)), EXTRA)(
+    lambda t: keywords.compare(texts_of(t), WORDS, EARLY, 4))
 
-check("h16_keyword_trend", """
+check("h16_keyword_trend", f"""
 SELECT CAST(CAST(publish_time AS DATE) AS VARCHAR) AS date, count(*) FILTER (sentiment_score > 0.1) AS positive_count,
        count(*) FILTER (sentiment_score BETWEEN -0.1 AND 0.1) AS neutral_count,
        count(*) FILTER (sentiment_score < -0.1) AS negative_count, count(*) AS total
-FROM all_texts WHERE contains(lower(content), 'nicht') AND publish_time >= TIMESTAMP '2024-01-01' GROUP BY 1""", EXTRA)(
+FROM all_texts WHERE contains(lower(content), 'nicht') AND {RECENT} GROUP BY 1""", EXTRA)(
     lambda t: keywords.keyword_trend(texts_of(t), "nicht", LIVE, 30))
 
 check("h17_co_words", r"""
@@ -370,14 +393,14 @@ WHERE length(name) >= 2 AND name <> 'rod' GROUP BY 1 ORDER BY n DESC, name LIMIT
     lambda t: keywords.co_words(t.articles, t.hot_events, "rod"))
 
 check("h18_hot_words", f"""
-WITH hottest_titles AS (SELECT title FROM hot_events WHERE crawl_time >= TIMESTAMP '2001-07-02' ORDER BY heat DESC, id LIMIT 200)
-SELECT word, round(weight, 6) AS weight FROM ({top_sql('hottest_titles', 20, 'title', STOPS)})""")(
-    lambda t: rounded(keywords.hot_words(t.hot_events, "2001-08-01", 30, stopwords=STOPS), "weight"))
+WITH recent_titles AS (SELECT title FROM hot_events WHERE {inside('crawl_time', AS_OF, days=30)})
+SELECT word, round(weight, 6) AS weight FROM ({top_sql('recent_titles', 20, 'title', STOPS)})""")(
+    lambda t: rounded(keywords.hot_words(t.hot_events, AS_OF, 30, stopwords=STOPS), "weight"))
 
 check("h19_word_cloud", f"""
-WITH recent AS (SELECT * FROM articles WHERE publish_time >= TIMESTAMP '2024-01-24')
+WITH recent AS (SELECT * FROM articles WHERE {inside('publish_time', EARLY, days=7)})
 SELECT word, round(weight, 6) AS weight, round(weight * 1000, 3) AS frequency FROM ({top_sql('recent', 50, stops=STOPS)})""")(
-    lambda t: rounded(keywords.word_cloud(t.articles, LIVE, 7, 50, STOPS, digits=3), "weight"))
+    lambda t: rounded(keywords.word_cloud(t.articles, EARLY, 7, 50, STOPS, digits=3), "weight"))
 
 check("h20_high_risk_words", f"""
 WITH low AS (SELECT * FROM replies WHERE sentiment_score < 0.3 AND content <> ''),
@@ -386,24 +409,25 @@ SELECT word, round(weight, 6) AS weight, CAST(row_number() OVER (ORDER BY weight
        round(1.0e0 - (row_number() OVER (ORDER BY weight DESC, word) - 1) * 0.05e0, 2) AS display_weight FROM k""")(
     lambda t: rounded(keywords.high_risk_words(t.replies, stopwords=STOPS), "weight"))
 
-check("h21_keywords_per_event", f"""
-WITH src AS (SELECT event_id, content FROM replies UNION ALL SELECT id, title FROM hot_events
-             WHERE id IN (SELECT event_id FROM replies)),
+PER_EVENT = f"""
+SELECT event_id, word, round(weight, 6) AS weight, position FROM (
+WITH src AS (SELECT event_id, content FROM replies UNION ALL SELECT id, title FROM hot_events),
 docs AS (SELECT DISTINCT event_id, c FROM (SELECT event_id, {clean_sql('content')} AS c FROM src) WHERE c <> ''),
 tok AS (SELECT event_id, c, unnest({words_sql('c')}) AS word FROM docs),
 cnt AS (SELECT event_id, word, count(*) AS n, count(DISTINCT c) AS df FROM tok GROUP BY 1, 2),
 w AS (SELECT event_id, word, CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY event_id) AS DOUBLE)
         * ln(CAST((SELECT count(*) FROM docs) + 1 AS DOUBLE) / CAST(sum(df) OVER (PARTITION BY word) + 1 AS DOUBLE)) AS weight FROM cnt)
-SELECT event_id, word, round(weight, 6) AS weight, position FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY event_id ORDER BY weight DESC, word) AS INT) AS position FROM w) WHERE position <= 30""")(
-    lambda t: rounded(text.keywords_per_event(keywords.texts_with_titles(
-        joins_events(t.hot_events, t.replies), t.replies)), "weight"))
-
+SELECT *, CAST(row_number() OVER (PARTITION BY event_id ORDER BY weight DESC, word) AS INT) AS position FROM w) WHERE position <= 30"""
+check("h21_keywords_per_event", PER_EVENT)(
+    lambda t: rounded(text.keywords_per_event(keywords.texts_with_titles(t.hot_events, t.replies)), "weight"))
 
-def joins_events(events, rows):
-    """Events that some row belongs to."""
-    ids = rows.select(F.col("event_id").alias("_id")).distinct()
-    return events.join(ids, events["id"] == ids["_id"], "left_semi")
+check("h21_keywords_per_event_stops", f"""
+SELECT * FROM (
+  SELECT event_id, word, CAST(row_number() OVER (PARTITION BY event_id ORDER BY weight DESC, word) AS INT) AS position FROM (
+  {PER_EVENT.replace("WHERE position <= 30", "WHERE word NOT IN " + tup(["widget", "the"])).replace("round(weight, 6) AS weight", "weight")})
+) WHERE position <= 3""")(
+    lambda t: text.keywords_per_event(keywords.texts_with_titles(t.hot_events, t.replies), 3, stopwords=["widget", "the"])
+    .select("event_id", "word", "position"))
 
 
 # ---- reports built on scores and keywords
@@ -416,15 +440,15 @@ LEFT JOIN (SELECT event_id, round(CAST(sum(sentiment_score) AS DOUBLE) / count(s
                                        F.col("score"), 6).select("id", "sentiment_score"))
 
 check("d40_landing_stats", f"""
-WITH recent_titles AS (SELECT title FROM hot_events WHERE crawl_time >= TIMESTAMP '2001-07-25'),
+WITH recent_titles AS (SELECT title FROM hot_events WHERE {inside('crawl_time', AS_OF, days=7)}),
 k AS ({top_sql('recent_titles', 20, 'title', STOPS)})
-SELECT (SELECT count(*) FROM comments WHERE CAST(publish_time AS DATE) = DATE '2001-08-01') AS today_comments,
+SELECT (SELECT count(*) FROM comments WHERE {on('publish_time', AS_OF)}) AS today_comments,
        (SELECT count(DISTINCT e.id) FROM hot_events e LEFT JOIN comments c ON c.event_id = e.id
-        WHERE CAST(e.crawl_time AS DATE) = DATE '2001-08-01' AND e.heat >= 1000
+        WHERE {on('e.crawl_time', AS_OF)} AND e.heat >= 1000
           AND (c.sentiment_score < 0.4 OR c.sentiment_score IS NULL)) AS risk_count, (SELECT count(*) FROM k) AS burst_count""")(
     lambda t: text.landing_stats(t.hot_events, t.comments,
-                                 joins.risky_or_silent_events(t.hot_events, t.comments, "2001-08-01", 1000),
-                                 "2001-08-01", stopwords=STOPS))
+                                 joins.risky_or_silent_events(t.hot_events, t.comments, AS_OF, 1000),
+                                 AS_OF, stopwords=STOPS))
 
 check("d41_overview", """
 SELECT (SELECT count(*) FROM hot_events) AS total_events, count(*) AS total_comments,

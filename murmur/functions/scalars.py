@@ -17,8 +17,6 @@ PLACE_MARKER = "来自"
 POST_DATE = r"(\d{2})-(\d{1,2})-(\d{1,2})"
 POST_DATE_TIME = POST_DATE + r" (\d{1,2}):(\d{2})"
 WORD_BREAKS = "，。！？,.\""
-CO_WORD_STOPS = ("的是", "是的", "这个", "那个", "什么", "怎么", "如何", "为什么", "因为", "所以",
-                 "但是", "而且", "或者", "如果")
 HIGH_HEAT = 1000
 
 # A small default rule table (category, pattern); the first match wins. Callers bring their own for real use.
@@ -122,7 +120,7 @@ def post_time(raw: Column) -> Column:
         return (F.when(text.rlike(POST_DATE_TIME), timed)
                 .when(text.rlike(POST_DATE), F.concat(date(POST_DATE), F.lit(" 00:00"))))
 
-    return bound(F.regexp_replace(F.regexp_replace(raw, r"[\n\t\r<>\"'\\/]", ""), SPACES, " "), stamp)
+    return bound(F.regexp_replace(raw, SPACES, " "), stamp)
 
 
 def time_part(raw: Column, marker: str = PLACE_MARKER) -> Column:
@@ -153,10 +151,12 @@ def key_sentence(text: Column, keyword: str, least: int = 10) -> Column:
     return F.coalesce(F.trim(F.get(hits, F.lit(0))), F.substring(text, 1, 100))
 
 
-def plain_words(text: Column, keyword: str, stops: Sequence[str] = CO_WORD_STOPS) -> Column:
-    """Split on spaces and common marks; words of two characters or more that are not the keyword."""
+def plain_words(text: Column, keyword: str, stops: Sequence[str] = ()) -> Column:
+    """Split on spaces and common marks; words of two characters or more that are neither the keyword nor among the
+    stop words of the caller."""
     words = F.split(F.translate(text, WORD_BREAKS, " " * len(WORD_BREAKS)), SPACES)
-    return F.filter(words, lambda w: (F.length(w) >= 2) & (w != F.lit(keyword)) & ~w.isin(list(stops)))
+    dropped = [keyword, *stops]
+    return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(dropped))
 
 
 def category(clean_title: Column, rules: Sequence[tuple[str, str]] = DEFAULT_RULES, other: str = "other") -> Column:

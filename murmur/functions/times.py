@@ -24,8 +24,14 @@ def moment(value: str | dt.date | dt.datetime) -> Column:
 
 
 def since(column: Column, as_of, **ago) -> Column:
-    """column >= as_of - ago, with ago in datetime.timedelta terms (days=7, hours=24)."""
-    return column >= moment(as_datetime(as_of) - dt.timedelta(**ago))
+    """From as_of - ago to as_of, both ends included, with ago in datetime.timedelta terms (days=7, hours=24). What lies
+    after as_of is outside, so a replay at an earlier as_of sees what was there then."""
+    return (column >= moment(as_datetime(as_of) - dt.timedelta(**ago))) & (column <= moment(as_of))
+
+
+def until(column: Column, as_of) -> Column:
+    """Up to as_of, or without a time."""
+    return column.isNull() | (column <= moment(as_of))
 
 
 def on_day(column: Column, day) -> Column:
@@ -69,7 +75,7 @@ def hours_between(later: Column, earlier: Column) -> Column:
 
 
 def time_factor(column: Column, as_of, when_null: float = 0.5, decay: float = DEFAULT_DECAY) -> Column:
-    """Exponential decay by day, never below 0.1."""
-    hours = hours_between(moment(as_of), column)
+    """Exponential decay by day, never below 0.1; 1 for what lies after as_of."""
+    hours = F.greatest(hours_between(moment(as_of), column), F.lit(0.0))
     aged = F.greatest(F.exp(F.lit(-decay) * hours / F.lit(24.0)), F.lit(0.1))
     return F.when(column.isNull(), F.lit(when_null)).otherwise(aged)

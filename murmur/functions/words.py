@@ -23,10 +23,6 @@ LENGTH_DECAY = 0.01
 MAX_ADJUSTMENT = 0.15
 NO_WORDS_SCORE = 0.5
 
-# A word list up to this size is folded into the expression as a hash set; see `scored_by_join` beyond it.
-MAX_INLINE_WORDS = 50_000
-
-
 @dataclass(frozen=True)
 class Lexicon:
     """Word lists used while scoring and counting. Callers may bring their own."""
@@ -99,11 +95,10 @@ def adjusted_score(base: Column, n_words: Column, pos: Column, neg: Column, cal:
 
 def with_score(df: DataFrame, base: Column, text: str = "content", out: str = "score",
                cal: Calibration | None = None) -> DataFrame:
-    """Adds the calibrated score of a text column. No shuffle; the whole text is scored."""
+    """Adds the calibrated score of a text column. No shuffle; the whole text is scored. The word lists are part of the
+    expression, as hash sets; lists that are kept as a table go through scored_by_join."""
     cal = cal or Calibration()
     lex = cal.lexicon
-    if sum(map(len, (lex.positive, lex.negative, lex.stopwords))) > MAX_INLINE_WORDS:
-        raise ValueError("word lists of this size belong in a table: use scored_by_join")
     return (df
             .withColumn("_words", words_of(F.col(text), lex.stopwords))
             .withColumn("_hits", F.filter("_words", lambda w: member(w, lex.positive + lex.negative)))
@@ -116,24 +111,30 @@ def with_score(df: DataFrame, base: Column, text: str = "content", out: str = "s
 
 def scored_by_join(df: DataFrame, key: str, base: Column, lexicon: DataFrame, text: str = "content",
                    cal: Calibration | None = None) -> DataFrame:
-    """(key, score) with the word lists as a table (word, kind) of any size, kind in pos / neg / stop.
+    """(key, score), a row for every row of df, with the word lists as a table (word, kind) of any size, kind in pos /
+    neg / stop.
 
-    Words are counted per text before the join, and the join strategy is left to the planner, which
-    broadcasts the table only while its measured size allows it.
+    Words are counted once for each distinct text, known by its hash, and combined before the join, so a word that
+    every text holds is one row per text; the join strategy is left to the planner.
     """
     cal = cal or Calibration()
     kinds = lexicon.groupBy("word").agg(*[F.max((F.col("kind") == k).cast("int")).alias(k)
                                           for k in ("pos", "neg", "stop")])
-    words = df.select(key, base.alias("_base"), F.explode_outer(words_of(F.col(text))).alias("word"))
-    counted = words.groupBy(key, "_base", "word").agg(F.count("word").alias("n"))
+    rows = df.select(F.col(key), base.alias("_base"),
+                     F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_hash"), F.col(text).alias("_text"))
+    texts = rows.select("_hash", "_text").dropDuplicates(["_hash"])
+    words = texts.select("_hash", F.explode(words_of(F.col("_text"))).alias("word"))
+    counted = words.groupBy("_hash", "word").agg(F.count("word").alias("n"))
     kept = counted.join(kinds, "word", "left").withColumn(
         "n", F.when(F.coalesce(F.col("stop"), F.lit(0)) == 1, 0).otherwise(F.col("n")))
-    per_text = kept.groupBy(key, "_base").agg(
+    per_text = kept.groupBy(F.col("_hash").alias("_of")).agg(
         F.sum("n").alias("n"),
         F.sum(F.col("n") * F.coalesce("pos", F.lit(0))).alias("pos"),
         F.sum(F.col("n") * F.coalesce("neg", F.lit(0))).alias("neg"))
-    return per_text.select(key, adjusted_score(F.col("_base"), F.col("n"), F.col("pos"), F.col("neg"), cal)
-                           .alias("score"))
+    zero = F.lit(0).cast("bigint")
+    n, pos, neg = (F.coalesce(c, zero) for c in ("n", "pos", "neg"))
+    return (rows.select(key, "_base", "_hash").join(per_text, F.col("_hash") == F.col("_of"), "left")
+            .select(key, adjusted_score(F.col("_base"), n, pos, neg, cal).alias("score")))
 
 
 def log_idf(n_texts: Column, df: Column) -> Column:

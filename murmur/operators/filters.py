@@ -27,6 +27,19 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     return out.offset(skip).limit(size) if skip else out.limit(size)
 
 
+def page_after(df: DataFrame, time: str, key: str, last_time, last_key, size: int) -> DataFrame:
+    """The page, newest first, that follows the row with the given time and key. No task keeps more than `size` rows,
+    however deep the page lies."""
+    stamp, at = F.col(time), times.moment(last_time)
+    rest = df.filter((stamp <= at) & ((stamp < at) | (F.col(key) > F.lit(last_key))))
+    return rest.orderBy(*newest(time, key)).limit(size)
+
+
+def valid_count(df: DataFrame, text: str = "content") -> DataFrame:
+    """One row: rows with valid content, and all rows."""
+    return df.agg(F.count_if(scalars.valid_content(F.col(text))).alias("valid"), F.count(F.lit(1)).alias("total"))
+
+
 def page_count(df: DataFrame, size: int) -> DataFrame:
     """One row: total rows and number of pages."""
     total = F.count(F.lit(1))

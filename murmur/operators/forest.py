@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from murmur.operators import scoring
+from murmur.streaming.folders import stored
 
 # Size of the forest and share of rows taken as anomalous.
 TREES = 100
@@ -115,16 +116,20 @@ def _samples(df: DataFrame, key: str, columns: Sequence[str], n_rows: int, trees
 def fit(df: DataFrame, key: str, columns: Sequence[str], trees: int = TREES, sample: int = SAMPLE,
         contamination: float = CONTAMINATION, seed: int = SEED) -> Forest | None:
     """Grows the forest and sets the cutoff; None when there are too few rows."""
-    names = list(columns)
-    rows = df.select(key, *names).persist()  # read three times below
+    rows = df.select(key, *columns).persist()  # read three times below
     try:
-        return _fit(rows, key, names, trees, sample, contamination, seed)
+        forest, n_rows = grown(rows, key, columns, trees, sample, seed), rows.count()
+        if forest is None:
+            return None
+        return replace(forest, cutoff=cutoff(score(rows, forest), n_rows, contamination))
     finally:
         rows.unpersist()
 
 
-def _fit(df: DataFrame, key: str, names: list[str], trees: int, sample: int, contamination: float,
-         seed: int) -> Forest | None:
+def grown(df: DataFrame, key: str, columns: Sequence[str], trees: int = TREES, sample: int = SAMPLE,
+          seed: int = SEED) -> Forest | None:
+    """The forest without a cutoff; None when there are too few rows."""
+    names = list(columns)
     n_rows = df.count()
     if n_rows < FEWEST_ROWS:
         return None
@@ -149,8 +154,7 @@ def _fit(df: DataFrame, key: str, names: list[str], trees: int, sample: int, con
                               ("right", 0, np.int64), ("path", 0.0, float)):
         arrays[name] = np.full((len(made), wide), empty, dtype=kind)
         arrays[name][place, nodes["node"].to_numpy()] = nodes[name].to_numpy()
-    forest = Forest(tuple(names), scale=mean_path(size) or 1.0, **arrays)
-    return Forest(**{**forest.__dict__, "cutoff": cutoff(score(df, forest), n_rows, contamination)})
+    return Forest(tuple(names), scale=mean_path(size) or 1.0, **arrays)
 
 
 def score(df: DataFrame, forest: Forest) -> DataFrame:
@@ -167,29 +171,52 @@ def score(df: DataFrame, forest: Forest) -> DataFrame:
     return df.withColumn("raw_score", raw(*[F.col(c).cast("double") for c in names]))
 
 
+COARSE = 1000  # steps of a score in the first count
+
+
 def cutoff(scored: DataFrame, n_rows: int, contamination: float) -> float:
-    """The score below which the given share of rows lies, interpolated between ranks. Exact: rows are counted
-    by rounded score (at most a million values), and ranks are read from the running counts."""
+    """The score below which the given share of rows lies, interpolated between ranks. Exact: rows are counted by score
+    in steps of a thousandth, then the scores of the step that holds a rank are counted as they are, a thousand rounded
+    values at most. The driver gets a thousand counts each time, and no task sorts the scores."""
     place = contamination * (n_rows - 1)
-    counted = scored.groupBy("raw_score").agg(F.count(F.lit(1)).alias("n"))
-    running = counted.withColumn("upto", F.sum("n").over(Window.orderBy("raw_score")))
-    low, high = running.agg(
-        F.min(F.when(F.col("upto") > math.floor(place), F.col("raw_score"))),
-        F.min(F.when(F.col("upto") > math.ceil(place), F.col("raw_score")))).first()
+    step = F.floor(F.col("raw_score") * COARSE)
+    coarse = scored.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()
+    fine: dict[int, list] = {}
+
+    def at(rank: int) -> float:
+        before = 0
+        for s, n in sorted(coarse):
+            if before + n > rank:
+                break
+            before += n
+        if s not in fine:
+            fine[s] = sorted(scored.filter(step == s).groupBy("raw_score").agg(F.count(F.lit(1)).alias("n")).collect())
+        for value, n in fine[s]:
+            before += n
+            if before > rank:
+                break
+        return value
+
+    low, high = at(math.floor(place)), at(math.ceil(place))
     return low + (high - low) * (place - math.floor(place))
 
 
 def detect(events: DataFrame, comments: DataFrame, as_of=None, days: int | None = None, trees: int = TREES,
            contamination: float = CONTAMINATION, seed: int = SEED) -> DataFrame:
-    """Anomalous events with score below 0, severity, reasons and signals, most isolated first."""
-    rows = scoring.standardised(scoring.features(events, comments, as_of, days))
+    """Anomalous events with score below 0, severity, reasons and signals, most isolated first. The features are
+    computed once and stored, a row for each event; so are the scores."""
+    features = stored(scoring.features(events, comments, as_of, days), "features")
+    rows = scoring.standardised(features)
     z = [f"z_{c}" for c in scoring.FEATURES]
-    forest = fit(rows, "id", z, trees, SAMPLE, contamination, seed)
+    rows = stored(rows, "standardised")
+    forest = grown(rows, "id", z, trees, SAMPLE, seed)
     if forest is None:
         flagged = rows.filter(F.lit(False)).withColumn("anomaly_score", F.lit(0.0))
     else:
-        value = F.round(F.col("raw_score") - F.lit(forest.cutoff), SCORE_DIGITS)
-        flagged = score(rows, forest).withColumn("anomaly_score", value).drop("raw_score").filter("anomaly_score < 0")
+        scored = stored(score(rows, forest), "scores")
+        cut = cutoff(scored, scored.count(), contamination)
+        value = F.round(F.col("raw_score") - F.lit(cut), SCORE_DIGITS)
+        flagged = scored.withColumn("anomaly_score", value).drop("raw_score").filter("anomaly_score < 0")
     found = scoring.signals(scoring.reasons(flagged))
     return (found.withColumn("severity", scoring.severity(F.col("anomaly_score"))).drop(*z)
             .orderBy(F.col("anomaly_score").asc(), F.col("id").asc()))

@@ -113,40 +113,36 @@ def keyword_hits(df: DataFrame, keywords, text: str = "content", ignore_case: bo
             .withColumn("keyword", F.explode(F.filter("_keys", found))).drop("_keys", "_body"))
 
 
-GRAM = 3
+GRAM = 6
 
 
 def keyword_hits_by_join(df: DataFrame, key: str, keywords: DataFrame, text: str = "content") -> DataFrame:
-    """(key, keyword) for a keyword table of any size; a keyword may be any substring.
+    """(key, keyword) for a keyword table of any size, a row for every row of df and keyword found in it; a keyword may
+    be any substring.
 
-    A keyword can only be in a text that holds the keyword's first characters. The distinct short pieces of each
-    text meet the keywords in an equal join on that beginning, and the few candidates are tested on the text.
+    A keyword can only be in a text that holds the keyword's first characters, GRAM of them or all. The distinct pieces
+    of each text meet the keywords in an equal join on that beginning, so a piece that many texts share brings only
+    texts that nearly hold the keyword. Candidates are found and tested once for each distinct text, known by its
+    hash, and then given to all rows with that text, whatever their keys.
     """
     starts = (keywords.select("keyword").filter(F.col("keyword") != "").distinct()
               .withColumn("gram", F.substring("keyword", 1, GRAM)))
-
-    sizes = [r[0] for r in starts.select(F.length("gram")).distinct().collect()]  # 1, 2, 3 at most
-
-    def pieces(n: int) -> Column:
-        last = F.size("_chars") - n
-        parts = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-                            lambda i: F.concat(*[F.get(F.col("_chars"), i + j) for j in range(n)]))
-        return F.when(last >= 0, parts).otherwise(F.array().cast("array<string>"))
-
-    bodies = df.select(F.col(key), F.col(text).alias("_body"))
-    rows = bodies.select(key, F.split("_body", "").alias("_chars"))
-    grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *[pieces(n) for n in sizes]))
-    found = rows.select(key, F.explode(grams).alias("gram")).join(starts, "gram").select(key, "keyword")
-    return found.join(bodies, key).filter(F.contains(F.col("_body"), F.col("keyword"))).select(key, "keyword")
-
-
-def sized_keyword_hits(df: DataFrame, key: str, keywords: DataFrame, text: str = "content",
-                       inline: int = 200) -> DataFrame:
-    """(key, keyword) by the cheaper of the two ways: a short table becomes literals of the scan, a longer one
-    is joined. The size is looked at, not assumed."""
-    some = keywords.select("keyword").filter(F.col("keyword") != "").distinct().limit(inline + 1).collect()
-    if len(some) > inline:
-        return keyword_hits_by_join(df, key, keywords, text)
-    if not some:
-        return df.select(key, F.lit(None).cast("string").alias("keyword")).filter(F.lit(False))
-    return keyword_hits(df.select(key, text), [r["keyword"] for r in some], text).select(key, "keyword")
+    lengths = F.sort_array(F.array_distinct(F.collect_set(F.length("gram"))))
+    sizes = starts.agg(lengths.alias("n")).scalar()  # 1 to GRAM at most
+
+    body = F.col(text)
+    rows = df.select(F.col(key), F.md5(body.cast("binary")).alias("_hash"), body.alias("_body"))
+    bodies = rows.filter(F.col("_body").isNotNull()).select("_hash", "_body").dropDuplicates(["_hash"])
+
+    def pieces(n: Column) -> Column:
+        last = F.length("_body") - n + 1
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
+                                             lambda i: F.substring(F.col("_body"), i, n))
+                      ).otherwise(F.array().cast("array<string>"))
+
+    grams = F.array_distinct(F.flatten(F.transform(F.col("_sizes"), pieces)))
+    cut = bodies.withColumn("_sizes", sizes).select("_hash", F.explode(grams).alias("gram"))
+    near = cut.join(starts, "gram").select(F.col("_hash").alias("_of"), "keyword").distinct()
+    found = (near.join(bodies, F.col("_of") == F.col("_hash")).filter(F.contains(F.col("_body"), F.col("keyword")))
+             .select("_of", "keyword"))
+    return rows.select(key, "_hash").join(found, F.col("_hash") == F.col("_of")).select(key, "keyword")

@@ -2,7 +2,7 @@
 
 Texts are rows (event_id, text_id, content, publish_time, sentiment_score). Keywords are a list, or a top-k
 table (word, weight) such as the result of text.keywords. They become one literal array, so every text is read
-once whatever the number of words.
+once. The score column is an argument: the stored one, or one that words.with_score gives anew.
 """
 
 from __future__ import annotations
@@ -20,24 +20,17 @@ Keywords = Sequence[str] | DataFrame
 SCORE = "sentiment_score"
 
 
-MAX_KEYWORDS = 1000
-
-
 def as_list(keywords: Keywords) -> list[str]:
-    """The keywords ascending. A table is a top-k result: its words, at most MAX_KEYWORDS, become literals, so
-    the containment tests are part of the scan. Longer tables go through joins.keyword_hits_by_join."""
+    """The keywords ascending. A table is a top-k result: its words become literals, so the containment tests are part
+    of the scan. A vocabulary in a table belongs in joins.keyword_hits_by_join."""
     if isinstance(keywords, DataFrame):
-        keywords = [r["word"] for r in keywords.select("word").limit(MAX_KEYWORDS + 1).collect()]
-    words = sorted(set(keywords))
-    if len(words) > MAX_KEYWORDS:
-        raise ValueError("too many keywords for one scan: use joins.keyword_hits_by_join")
-    return words
+        keywords = [r["word"] for r in keywords.select("word").collect()]
+    return sorted(set(keywords))
 
 
 def fixed(top: DataFrame) -> DataFrame:
-    """A top-k result as a local table, so that later steps do not compute it again."""
-    rows = top.limit(MAX_KEYWORDS).collect()
-    return top.sparkSession.createDataFrame(rows, top.schema)
+    """A top-k result, k rows, as a local table, so that later steps do not compute it again."""
+    return top.sparkSession.createDataFrame(top.collect(), top.schema)
 
 
 def as_array(keywords: Keywords) -> Column:
@@ -60,14 +53,21 @@ def polarity(texts: DataFrame, keywords: Keywords, score: str = SCORE, band: ban
                              .when((n > p) & (n > u), "negative").otherwise("neutral"))
 
 
-def report(texts: DataFrame, k: int = 30, stopwords: Sequence[str] = (), digits: int = 2) -> DataFrame:
+def report(texts: DataFrame, k: int = 30, stopwords: Sequence[str] = (), digits: int = 2,
+           score: str = SCORE) -> DataFrame:
     """Keywords of the texts with frequency (weight x 100) and polarity."""
     top = fixed(text.keywords(texts, k, stopwords=stopwords))
-    kinds = polarity(texts, top).select(F.col("keyword"), "sentiment")
+    kinds = polarity(texts, top, score).select(F.col("keyword"), "sentiment")
     return (top.withColumnRenamed("word", "keyword").join(kinds, "keyword")
             .select("keyword", F.round(F.col("weight") * 100, digits).alias("frequency"), "sentiment"))
 
 
+def report_page(rows: DataFrame, number: int, size: int, sentiment: str | None = None) -> DataFrame:
+    """One page of a report, most frequent first, optionally of one polarity. filters.page_count gives the total."""
+    kept = rows if sentiment is None else rows.filter(F.col("sentiment") == sentiment)
+    return filters.page(kept, [F.col("frequency").desc(), F.col("keyword").asc()], number, size)
+
+
 def calendar_of(texts: DataFrame, as_of, days: int) -> DataFrame:
     """The last `days` dates up to as_of."""
     end = times.as_datetime(as_of)
@@ -140,25 +140,24 @@ def cooccurrence(texts: DataFrame, keywords: Keywords, least: int = 2) -> DataFr
     """(source, target, n): in how many texts two keywords occur together.
 
     Texts are first grouped by the set of keywords they hold, so pairs are formed once per distinct set and not
-    once per text. A set has at most as many members as there are keywords.
+    once per text. Pairs are formed as rows, one member of the set after the other.
     """
     rows = texts.select("content").withColumn("_keys", as_array(keywords))
     present = rows.select(F.filter("_keys", lambda k: F.contains(F.col("content"), k)).alias("present"))
     grouped = present.filter(F.size("present") > 1).groupBy("present").agg(F.count(F.lit(1)).alias("n"))
 
-    def partners(a: Column, i: Column) -> Column:
-        rest = F.slice(F.col("present"), i + 2, F.size("present"))
-        return F.transform(rest, lambda b: F.struct(a.alias("source"), b.alias("target")))
-
-    pairs = grouped.select(F.explode(F.flatten(F.transform("present", partners))).alias("p"), "n")
-    counted = pairs.groupBy(F.col("p.source").alias("source"), F.col("p.target").alias("target")).agg(F.sum("n").alias("n"))
+    members = grouped.select("present", "n", F.posexplode("present").alias("i", "source"))
+    rest = F.slice(F.col("present"), F.col("i") + 2, F.size("present"))
+    pairs = members.select("n", "source", F.explode(rest).alias("target"))
+    counted = pairs.groupBy("source", "target").agg(F.sum("n").alias("n"))
     return counted.filter(F.col("n") >= least)
 
 
-def network_nodes(texts: DataFrame, k: int = 30, stopwords: Sequence[str] = (), digits: int = 4) -> DataFrame:
+def network_nodes(texts: DataFrame, k: int = 30, stopwords: Sequence[str] = (), digits: int = 4,
+                  score: str = SCORE) -> DataFrame:
     """Keywords as nodes: weight, polarity, and a display size between 15 and 60."""
     top = fixed(text.keywords(texts, k, stopwords=stopwords))
-    kinds = polarity(texts, top).select("keyword", "sentiment")
+    kinds = polarity(texts, top, score).select("keyword", "sentiment")
     size = F.greatest(F.lit(15), F.least(F.lit(60), F.floor(F.col("weight") * 100).cast("int")))
     return (top.join(kinds, top["word"] == kinds["keyword"])
             .select("keyword", F.round("weight", digits).alias("value"), "sentiment", size.alias("size")))
@@ -168,12 +167,12 @@ def network_links(texts: DataFrame, k: int = 30, stopwords: Sequence[str] = (),
     return cooccurrence(texts, text.keywords(texts, k, stopwords=stopwords), least)
 
 
-def drivers(texts: DataFrame, keyword: str, pool: int = 20, k: int = 10, stopwords: Sequence[str] = (),
+def drivers(texts: DataFrame, keyword: str, k: int = 10, stopwords: Sequence[str] = (),
             score: str = SCORE, digits: int = 6) -> DataFrame:
-    """Words that weigh most in the texts with the keyword, with the positive and negative texts that hold them."""
+    """The k other words that weigh most in the texts with the keyword, with the positive and negative texts that hold
+    them."""
     hits = texts.filter(filters.contains(F.col("content"), keyword))
-    words = fixed(text.keywords(hits, pool, stopwords=stopwords).filter(F.col("word") != keyword)
-                  .orderBy(F.col("weight").desc(), "word").limit(k))
+    words = fixed(text.keywords(hits, k, stopwords=[*stopwords, keyword.lower()]))
     counts = polarity(hits, words, score)
     p, n = F.col("positive_count"), F.col("negative_count")
     return (words.join(counts, words["word"] == counts["keyword"]).filter(p + n > 0)
@@ -189,11 +188,10 @@ def driver_bands(texts: DataFrame, keyword: str, score: str = SCORE) -> DataFram
 
 def opinions(texts: DataFrame, keyword: str, k: int = 10, score: str = SCORE, least: int = 10,
              longest: int = 200) -> DataFrame:
-    """Newest texts with the keyword: key sentence, label, time. The 3k newest are looked at."""
+    """The k newest texts with the keyword that are long enough: key sentence, label, time."""
     hits = texts.filter(filters.contains(F.col("content"), keyword))
-    pool = hits.orderBy(F.col("publish_time").desc(), "kind", "text_id").limit(3 * k)
-    usable = pool.filter(F.length("content") >= least)
-    top = usable.orderBy(F.col("publish_time").desc(), "kind", "text_id").limit(k)
+    usable = hits.filter(F.length("content") >= least)
+    top = usable.orderBy(F.col("publish_time").desc(), "kind", "text_id", "content").limit(k)
     sentence = scalars.key_sentence(F.col("content"), keyword)
     return top.select("kind", "text_id", scalars.clip(sentence, longest).alias("summary"),
                       bands.label(F.col(score), bands.T4).alias("sentiment"),
@@ -229,18 +227,20 @@ def keyword_trend(texts: DataFrame, keyword: str, as_of=None, days: int | None =
     return metrics.daily(hits, *bands.counts(F.col(SCORE), band), F.count(F.lit(1)).alias("total"))
 
 
-def co_words(articles: DataFrame, events: DataFrame, keyword: str, k: int = 20) -> DataFrame:
+def co_words(articles: DataFrame, events: DataFrame, keyword: str, k: int = 20,
+             stopwords: Sequence[str] = ()) -> DataFrame:
     """Frequent plain words in articles, and titles, of events titled with the keyword."""
     rows = joins.articles_of_titled(articles, events, filters.titled(events, keyword))
     body = F.concat(F.coalesce("content", F.lit("")), F.lit(" "), F.coalesce("title", F.lit("")))
-    found = rows.select(F.explode(scalars.plain_words(body, keyword)).alias("name"))
+    found = rows.select(F.explode(scalars.plain_words(body, keyword, stopwords)).alias("name"))
     return found.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "name").limit(k)
 
 
-def hot_words(events: DataFrame, as_of, days: int = 7, pool: int = 200, k: int = 20,
+def hot_words(events: DataFrame, as_of, days: int = 7, pool: int | None = None, k: int = 20,
               stopwords: Sequence[str] = ()) -> DataFrame:
-    """Keywords of the hottest titles of the period."""
-    return text.keywords(ranking.hottest(events, pool, as_of, days), k, "title", stopwords)
+    """Keywords of the titles of the period; `pool` looks at the hottest titles only."""
+    rows = events.filter(times.since(F.col("crawl_time"), as_of, days=days))
+    return text.keywords(rows if pool is None else ranking.hottest(rows, pool), k, "title", stopwords)
 
 
 def word_cloud(texts: DataFrame, as_of=None, days: int | None = None, k: int = 50,

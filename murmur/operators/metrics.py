@@ -185,6 +185,12 @@ def daily(df: DataFrame, *aggregates: Column, time: str = "publish_time") -> Dat
     return df.filter(F.col(time).isNotNull()).groupBy(times.day(F.col(time)).alias("date")).agg(*aggregates)
 
 
+def titled_by_day(events: DataFrame, keyword: str, band: bands.Band = bands.T4) -> DataFrame:
+    """Per date: events whose title holds the keyword, and how many of them are positive, neutral, negative."""
+    return daily(filters.titled(events, keyword), _count().alias("n"), *bands.counts(F.col(SCORE), band),
+                 time="crawl_time")
+
+
 def last_active_days(by_day: DataFrame, n: int, date: str = "date") -> DataFrame:
     """The n latest dates that have data. `by_day` holds one row per date."""
     return by_day.orderBy(F.col(date).desc()).limit(n)
@@ -258,20 +264,26 @@ def period_bands(comments: DataFrame, as_of, days: int = 30, band: bands.Band =
 
 
 def daily_history(comments: DataFrame, as_of=None, days: int | None = None, digits: int = 6) -> DataFrame:
-    """Mean score and count by publication date, crawl date where the first is missing."""
+    """Mean score and count by publication date, crawl date where the first is missing; up to as_of where it is
+    given, and not older than `days`."""
     stamps = [F.col(c) for c in ("publish_time", "crawl_time") if c in comments.columns]
     rows = comments.filter(F.col(SCORE).isNotNull())
     if days is not None:
         recent = [times.since(c, as_of, days=days) for c in stamps]
         rows = rows.filter(recent[0] | recent[1] if len(recent) == 2 else recent[0])
+    elif as_of is not None:
+        rows = rows.filter(times.until(F.coalesce(*stamps), as_of))
     return rows.groupBy(F.coalesce(*[times.day(c) for c in stamps]).alias("date")).agg(
         F.round(numbers.mean_score(F.col(SCORE)), digits).alias("avg_sentiment"), _count().alias("comment_count"))
 
 
 def event_features(events: DataFrame, comments: DataFrame, as_of=None, days: int | None = None,
                    digits: int = 6) -> DataFrame:
-    """Per event: comment count, mean score, mean likes; only events crawled in the last days."""
-    rows = events if days is None else events.filter(times.since(F.col("crawl_time"), as_of, days=days))
+    """Per event: comment count, mean score, mean likes; only events crawled up to as_of, in the last days."""
+    rows = events
+    if as_of is not None:
+        crawled = F.col("crawl_time")
+        rows = events.filter(times.until(crawled, as_of) if days is None else times.since(crawled, as_of, days=days))
     stats = joins.per_event(comments, _count().alias("comment_count"),
                             F.round(numbers.mean_score(F.col(SCORE)), digits).alias("avg_sentiment"),
                             F.round(numbers.mean(F.col("like_count")), digits).alias("avg_likes"))
@@ -322,8 +334,8 @@ def deep_stats(comments: DataFrame, beyond: float = 0.1, digits: int = 6) -> Dat
 
 
 def daily_availability(comments: DataFrame, as_of, windows=(7, 14, 30, 60, 90, 180)) -> DataFrame:
-    """How many days with data lie in each trailing window."""
-    by_day = daily_history(comments)
+    """How many days with data lie in each window that ends at as_of."""
+    by_day = daily_history(comments, as_of)
     last = times.as_datetime(as_of)
     return by_day.agg(*[F.count_if(F.col("date") >= (last - dt.timedelta(days=w)).date().isoformat())
                         .alias(f"days_{w}") for w in windows])

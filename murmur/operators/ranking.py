@@ -37,17 +37,24 @@ def with_category(events: DataFrame, rules: Sequence[tuple[str, str]] = scalars.
     return rows.withColumn("category", scalars.category(F.col("_clean"), rules, other)).drop("_clean")
 
 
-def heat_rank_of_category(events: DataFrame, rules, name: str | None, k: int, pool: int = 1000) -> DataFrame:
-    """The hottest of one category, or of all, among the `pool` hottest events."""
-    rows = with_category(hottest(events, pool), rules)
+def _among(events: DataFrame, pool: int | None) -> DataFrame:
+    """All events, or the `pool` hottest."""
+    return events if pool is None else hottest(events, pool)
+
+
+def heat_rank_of_category(events: DataFrame, rules, name: str | None, k: int, pool: int | None = None) -> DataFrame:
+    """The hottest of one category, or of all; `pool` looks at the hottest events only."""
+    rows = with_category(_among(events, pool), rules)
     if name is not None:
         rows = rows.filter(F.col("category") == name)
     return rows.orderBy(*hottest_first()).limit(k)
 
 
-def heat_rank_per_category(events: DataFrame, rules, k: int, pool: int = 1000) -> DataFrame:
+def heat_rank_per_category(events: DataFrame, rules, k: int, pool: int | None = None) -> DataFrame:
+    """The k hottest of every category. The rank filter also runs before the shuffle, so a task sends k rows for a
+    category at most."""
     order = Window.partitionBy("category").orderBy(*hottest_first())
-    rows = with_category(hottest(events, pool), rules)
+    rows = with_category(_among(events, pool), rules)
     return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
 
 
@@ -56,10 +63,11 @@ def category_counts(events: DataFrame, rules=scalars.DEFAULT_RULES) -> DataFrame
     return with_category(titled, rules).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-def category_heat(events: DataFrame, rules=scalars.DEFAULT_RULES, pool: int = 1000, digits: int = 2) -> DataFrame:
-    """Count, total and mean heat of every category among the hottest events, empty categories kept."""
+def category_heat(events: DataFrame, rules=scalars.DEFAULT_RULES, pool: int | None = None,
+                  digits: int = 2) -> DataFrame:
+    """Count, total and mean heat of every category, empty categories kept."""
     names = [name for name, _ in rules] + ["other"]
-    seen = with_category(hottest(events, pool), rules).groupBy("category").agg(
+    seen = with_category(_among(events, pool), rules).groupBy("category").agg(
         F.count(F.lit(1)).alias("n"), numbers.sum_or_zero(F.col("heat")).alias("total_heat"))
     every = events.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("category"))
     filled = every.join(seen, "category", "left").fillna(0, ["n", "total_heat"])
@@ -105,10 +113,11 @@ def opinions_on(events: DataFrame, articles: DataFrame, keyword: str, k: int = 2
                 preview: int = 200) -> DataFrame:
     """Articles of events titled with the keyword, hottest event and most liked first."""
     rows = joins.articles_of_titled(articles, events, filters.titled(events, keyword))
-    top = rows.orderBy(F.col("heat").desc(), F.col("like_count").desc(), F.col("article_id").asc()).limit(k)
+    usable = rows.filter(F.length("content") > longer_than)
+    top = usable.orderBy(F.col("heat").desc(), F.col("like_count").desc(), F.col("article_id").asc(),
+                         F.col("event_id").asc(), F.col("content").asc()).limit(k)
     score = F.coalesce("sentiment_score", F.lit(0.5).cast("decimal(4,3)"))
-    return (top.filter(F.length("content") > longer_than)
-            .select("article_id", scalars.clip(F.col("content"), preview).alias("summary"),
+    return (top.select("article_id", scalars.clip(F.col("content"), preview).alias("summary"),
                     bands.label(score, bands.T4).alias("sentiment"),
                     F.col("publish_time").cast("string").alias("publish_time")))
 
@@ -137,7 +146,7 @@ def hot_cards(events: DataFrame, comments: DataFrame, k: int = 6, digits: int =
 
 def monitored(monitors: DataFrame, user_id, k: int = 50) -> DataFrame:
     return (monitors.filter(F.col("user_id") == user_id)
-            .orderBy(F.col("created_at").desc(), F.col("keyword").asc()).limit(k))
+            .orderBy(F.col("created_at").desc(), F.col("keyword").asc(), F.col("id").asc()).limit(k))
 
 
 def present(pairs: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -61,10 +61,13 @@ def influence(events: DataFrame, comments: DataFrame, as_of, per_comment_polariz
 
 
 def influential(events: DataFrame, comments: DataFrame, as_of, k: int = 10, days: int | None = None,
-                digits: int = 2) -> DataFrame:
-    """The k most influential among the 3k hottest events."""
-    pool = ranking.hottest(events, 3 * k, as_of, days)
-    scored = influence(pool, comments, as_of, prune=True, digits=digits)
+                digits: int = 2, pool: int | None = None) -> DataFrame:
+    """The k most influential events, of the last days; `pool` looks at the hottest events only."""
+    if pool is not None:
+        rows = ranking.hottest(events, pool, as_of, days)
+    else:
+        rows = events if days is None else events.filter(times.since(F.col("crawl_time"), as_of, days=days))
+    scored = influence(rows, comments, as_of, prune=pool is not None or days is not None, digits=digits)
     return scored.orderBy(F.col("influence_score").desc(), F.col("heat").desc(), F.col("id").asc()).limit(k)
 
 
@@ -94,15 +97,19 @@ def features(events: DataFrame, comments: DataFrame, as_of=None, days: int | Non
 
 
 def standardised(df: DataFrame, columns=FEATURES, digits: int | None = None) -> DataFrame:
-    """Adds z_<column>: distance from the mean in population deviations; 0 for a constant column."""
-    stats = df.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in columns],
-                            *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])).scalar()
-    out = df.withColumn("_s", stats)
+    """Adds z_<column>: distance from the mean in population deviations; 0 for a constant column. Sums are decimals, so
+    the last digit does not depend on the order of the rows."""
+    means = df.agg(F.struct(*[numbers.mean(F.col(c).cast("decimal(28,9)")).alias(c) for c in columns])).scalar()
+    out = df.withColumn("_m", means)
+    away = {c: F.col(c) - F.col(f"_m.{c}") for c in columns}
+    squares = out.agg(F.struct(*[numbers.mean((away[c] * away[c]).cast("decimal(38,12)")).alias(c)
+                                 for c in columns])).scalar()
+    out = out.withColumn("_v", squares)
     for c in columns:
-        spread = F.when(F.col(f"_s.s_{c}") > 0, F.col(f"_s.s_{c}")).otherwise(F.lit(1.0))
-        z = (F.col(c) - F.col(f"_s.m_{c}")) / spread
+        spread = F.when(F.col(f"_v.{c}") > 0, F.sqrt(F.col(f"_v.{c}"))).otherwise(F.lit(1.0))
+        z = away[c] / spread
         out = out.withColumn(f"z_{c}", z if digits is None else F.round(z, digits))
-    return out.drop("_s")
+    return out.drop("_m", "_v")
 
 
 def reasons(df: DataFrame, beyond: float = REASON_BEYOND) -> DataFrame:

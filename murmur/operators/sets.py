@@ -38,10 +38,12 @@ def without_duplicates(comments: DataFrame, keys=("event_id", "user_id", "conten
 
 
 def distinct_by_id(df: DataFrame, key: str) -> DataFrame:
-    """Valid rows, one per id: the newest, and among equals the one with most likes."""
+    """Valid rows, one per id: the newest, among equals the one with most likes, then the greatest in all columns."""
     valid = df.filter(scalars.valid_content(F.col("content")))
     rest = [c for c in df.columns if c != key]
-    best = F.max_by(F.struct(*rest), F.struct("publish_time", "like_count", "content")).alias("r")
+    first = ["publish_time", "like_count", "content"]
+    order = F.struct(*first, *[c for c in rest if c not in first])
+    best = F.max_by(F.struct(*rest), order).alias("r")
     return valid.groupBy(key).agg(best).select(key, *[F.col("r")[c].alias(c) for c in rest])
 
 
@@ -53,10 +55,32 @@ def active_dates(df: DataFrame, time: str = "publish_time") -> DataFrame:
 def recent_or_wider(df: DataFrame, as_of, days: int, fallback_days: int = 365, least: int = 100,
                     time: str = "publish_time") -> DataFrame:
     """Rows of the last `days`; of a wider window when there are fewer than `least`; of `fallback_days` when
-    there are none. One counting pass picks the window; the cut is a literal and reaches the scan."""
-    n = df.filter(times.since(F.col(time), as_of, days=days)).count()
-    if n == 0:
-        days = max(days, fallback_days)
-    elif n < least:
-        days = max(days * 2, 180)
-    return df.filter(times.since(F.col(time), as_of, days=days))
+    there are none. The count is part of the plan: nothing runs while it is built. The widest cut is a literal and
+    reaches the scan."""
+    stamp = F.col(time)
+    n = df.filter(times.since(stamp, as_of, days=days)).agg(F.count(F.lit(1))).scalar()
+    none, few = max(days, fallback_days), max(days * 2, 180)
+    length = F.when(n == 0, F.lit(none)).when(n < least, F.lit(few)).otherwise(F.lit(days))
+    fits = [(length == d) & times.since(stamp, as_of, days=d) for d in sorted({none, few, days})]
+    inside = fits[0]
+    for f in fits[1:]:
+        inside = inside | f
+    return df.filter(times.since(stamp, as_of, days=max(none, few, days)) & inside)
+
+
+def texts_of_events(events: DataFrame, comments: DataFrame, articles: DataFrame, keyword: str, as_of=None,
+                    days: int | None = None, k: int | None = None) -> DataFrame:
+    """Comments and articles of the given events that hold a keyword, newest first; the k newest where k is given."""
+    rows = all_texts(comments, articles, events, as_of, days)
+    hits = rows.filter(F.contains(F.lower("content"), F.lit(keyword.lower())))
+    if k is None:
+        return hits
+    return hits.orderBy(F.col("publish_time").desc(), "kind", "text_id", "content").limit(k)
+
+
+def stubs_and_known(rows: DataFrame, known: DataFrame, title: str = "hot_title") -> DataFrame:
+    """Rows whose title is known united with those whose title is not, told apart by is_stub. One join: the rows keep
+    their place."""
+    names = known.select(F.col(title).alias("_title")).distinct()
+    return (rows.join(names, F.col(title) == F.col("_title"), "left")
+            .withColumn("is_stub", F.col("_title").isNull()).drop("_title"))

@@ -79,9 +79,9 @@ def weighted_words(df: DataFrame, text: str = "content", idf: DataFrame | None =
 
 
 def keywords(df: DataFrame, k: int = 20, text: str = "content", stopwords: Sequence[str] = (),
-             filter_first: bool = False, **options) -> DataFrame:
-    """The k heaviest words. Stopwords are removed afterwards, so fewer than k may remain, unless
-    `filter_first` is set."""
+             filter_first: bool = True, **options) -> DataFrame:
+    """The k heaviest words that are no stopwords. With `filter_first=False` the stopwords are removed from the k
+    heaviest afterwards, so fewer than k may remain."""
     rows = weighted_words(df, text, **options)
     kept = ~words.member(F.col("word"), stopwords)
     if filter_first:
@@ -92,7 +92,7 @@ def keywords(df: DataFrame, k: int = 20, text: str = "content", stopwords: Seque
 
 def keywords_per_event(df: DataFrame, k: int = 30, event: str = "event_id", text: str = "content",
                        stopwords: Sequence[str] = ()) -> DataFrame:
-    """The k heaviest words of every event: share within the event, idf over all texts of the table."""
+    """The k heaviest words of every event that are no stopwords: share within the event, idf over all texts."""
     texts = clean_distinct(df, text, [event])
     n_texts = texts.agg(F.count_if(F.col("clean") != "")).scalar()
     counts = word_totals(texts, [event]).filter(F.col("word").isNotNull())
@@ -105,9 +105,10 @@ def keywords_per_event(df: DataFrame, k: int = 30, event: str = "event_id", text
     share = n.cast("double") / F.col("_words").cast("double")
     idf = F.when(held >= 0, words.log_idf(F.col("_n"), F.col("_df")))
     weighted = rows.select(event, "word", (share * idf).alias("weight"))
+    if stopwords:
+        weighted = weighted.filter(~words.member(F.col("word"), stopwords))
     order = Window.partitionBy(event).orderBy(F.col("weight").desc(), F.col("word").asc())
-    top = weighted.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
-    return top.filter(~words.member(F.col("word"), stopwords)) if stopwords else top
+    return weighted.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
 
 
 def newest_rows(df: DataFrame, n: int | None, key: str, time: str = "publish_time") -> DataFrame:

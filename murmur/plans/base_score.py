@@ -1,31 +1,55 @@
-"""A trained base score for texts: word counts into naive Bayes, fitted on a labelled table by Spark ML."""
+"""A trained base score for texts: multinomial naive Bayes over their words, learned from a labelled table.
+
+Every word has its own weight; nothing is hashed together. The model is a table (word, weight) of logarithms, of any
+size, and one number for texts without known words. Words of a text are counted before the join, and equal texts are
+scored once.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.words import words_of
 
-WORDS = "_words"
-
-
-def fit(labelled: DataFrame, text: str = "content", label: str = "quality", n_features: int = 1 << 16) -> PipelineModel:
-    """Learns from rows with label 0 or 1; rows without a label are left out."""
-    rows = (labelled.filter(F.col(label).isNotNull())
-            .select(words_of(F.col(text)).alias(WORDS), F.col(label).cast("double").alias("label")))
-    stages = [HashingTF(inputCol=WORDS, outputCol="features", numFeatures=n_features),
-              NaiveBayes(modelType="multinomial", smoothing=1.0)]
-    return Pipeline(stages=stages).fit(rows)
-
-
-def with_base(df: DataFrame, model: PipelineModel, text: str = "content", out: str = "base_score",
-              digits: int = 6) -> DataFrame:
-    """Adds the probability of label 1."""
-    kept = df.columns
-    scored = model.transform(df.withColumn(WORDS, words_of(F.col(text))))
-    return scored.select(*kept, F.round(vector_to_array("probability")[1], digits).alias(out))
+SMOOTHING = 1.0
+
+
+class Model(NamedTuple):
+    weights: DataFrame  # word, weight: log of its chance among texts of label 1 over that among label 0
+    prior: float        # log of the share of label 1 over that of label 0
+
+
+def fit(labelled: DataFrame, text: str = "content", label: str = "quality", smoothing: float = SMOOTHING) -> Model:
+    """Learns from rows with label 0 or 1; rows without a label are left out. Both labels must occur. The driver sees
+    one row of totals."""
+    rows = labelled.filter(F.col(label).isin(0, 1)).select(words_of(F.col(text)).alias("_words"), F.col(label).alias("_y"))
+    counts = (rows.select("_y", F.explode("_words").alias("word")).groupBy("word")
+              .agg(F.count_if(F.col("_y") == 1).alias("good"), F.count_if(F.col("_y") == 0).alias("bad")))
+    sums = counts.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"),
+                      F.count(F.lit(1)).alias("words")).first()
+    texts = rows.agg(F.count_if(F.col("_y") == 1).alias("good"), F.count_if(F.col("_y") == 0).alias("bad"))
+    share = texts.select((F.log(F.col("good").cast("double")) - F.log(F.col("bad").cast("double"))).alias("p")).first()["p"]
+    if share is None:
+        raise ValueError("both labels are needed")
+
+    def chance(n: str):
+        return F.log((F.col(n).cast("double") + smoothing) / F.lit(float(sums[n]) + smoothing * sums["words"]))
+
+    return Model(counts.select("word", (chance("good") - chance("bad")).alias("weight")), share)
+
+
+def with_base(df: DataFrame, model: Model, text: str = "content", out: str = "base_score", digits: int = 6) -> DataFrame:
+    """Adds the probability of label 1; words the model has not seen count for neither side. Sums are decimals, so the
+    order of the words does not matter."""
+    rows = df.withColumn("_hash", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    texts = rows.select("_hash", F.col(text).alias("_text")).dropDuplicates(["_hash"])
+    counted = (texts.select(F.col("_hash").alias("_of"), F.explode(words_of(F.col("_text"))).alias("word"))
+               .groupBy("_of", "word").agg(F.count(F.lit(1)).alias("n")))
+    part = (F.col("n") * F.col("weight")).cast("decimal(38,12)")
+    sums = counted.join(model.weights, "word").groupBy("_of").agg(F.sum(part).cast("double").alias("_sum"))
+    odds = F.coalesce("_sum", F.lit(0.0)) + F.lit(model.prior)
+    return (rows.join(sums, F.col("_hash") == F.col("_of"), "left")
+            .withColumn(out, F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-odds)), digits)).drop("_hash", "_of", "_sum"))

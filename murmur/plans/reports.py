@@ -12,8 +12,11 @@ from murmur.operators import (filters, forecast, forest, keywords, metrics, rank
 
 
 def summary(events: DataFrame, comments: DataFrame, as_of, days: int = 30, anomaly_days: int | None = 7,
-            ahead: int = 7) -> DataFrame:
-    """One row: totals, mood, band counts, most influential event, anomalies and forecast."""
+            ahead: int = 7, anomalies: DataFrame | None = None) -> DataFrame:
+    """One row: totals, mood, band counts, most influential event, anomalies and forecast, as they stood at as_of.
+    `anomalies` may be given, such as a stored result of forest.detect; else it is computed, once."""
+    events = events.filter(times.until(F.col("crawl_time"), as_of))
+    comments = comments.filter(times.until(F.col("publish_time"), as_of))
     score, names = F.col("sentiment_score"), ("positive", "neutral", "negative")
     recent = F.when(times.since(F.col("publish_time"), as_of, days=days), score)
     talk = comments.agg(
@@ -27,12 +30,12 @@ def summary(events: DataFrame, comments: DataFrame, as_of, days: int = 30, anoma
     best = scoring.influential(events, comments, as_of, 5)
     ordered = F.sort_array(F.collect_list(F.struct("influence_score", "heat", "title")), asc=False)
     base = base.withColumn("top_influential", best.agg(ordered).scalar())
-    odd = forest.detect(events, comments, as_of, anomaly_days)
+    odd = forest.detect(events, comments, as_of, anomaly_days) if anomalies is None else anomalies
     base = base.withColumn("anomalies", forest.severity_counts(odd).agg(
         F.first(F.struct("total", "high", "medium", "low"))).scalar())
-    worst = odd.limit(3).agg(F.sort_array(F.collect_list(F.struct("anomaly_score", "id", "title", "severity"))))
+    worst = odd.orderBy("anomaly_score", "id").limit(3).agg(F.sort_array(F.collect_list(F.struct("anomaly_score", "id", "title", "severity"))))
     base = base.withColumn("recent_anomalies", worst.scalar())
-    steps = forecast.forecast(metrics.daily_history(comments), ahead)
+    steps = forecast.forecast(metrics.daily_history(comments, as_of), ahead)
     base = base.withColumn("predictions", steps.agg(F.sort_array(F.collect_list(F.struct("step", "prediction")))).scalar())
     base = base.withColumn("current_trend", F.coalesce(steps.agg(F.max("current_trend")).scalar(), F.lit("flat")))
     return (base.withColumn("high_severity_count", F.col("anomalies.high"))
@@ -72,13 +75,11 @@ def one_row_per_text(texts: DataFrame, score: str) -> DataFrame:
 
 def hotword_profile(events: DataFrame, articles: DataFrame, keyword: str) -> dict[str, DataFrame]:
     """Timeline, bands, co-occurring words and opinions of the events titled with a keyword."""
-    titled = filters.titled(events, keyword)
-    by_day = metrics.daily(titled, F.count(F.lit(1)).alias("n"), *bands.counts(F.col("sentiment_score"), bands.T4),
-                           time="crawl_time").orderBy("date").limit(30)
+    by_day = metrics.titled_by_day(events, keyword)
     return {
         "timeline": by_day.select("date", "n"),
         "bands": by_day.drop("n"),
         "co_words": keywords.co_words(articles, events, keyword),
         "opinions": ranking.opinions_on(events, articles, keyword),
-        "total": by_day.agg(F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("total")),
+        "total": metrics.row_count(filters.titled(events, keyword), "total"),
     }

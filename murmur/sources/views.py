@@ -80,27 +80,24 @@ DUCK_VIEWS = {
 }
 
 
-# Text tables and the column they may be spread by.
+# Text tables and the column they are dealt out by where the caller asks for it.
 TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id"}
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Work on texts is bound by the processor, and one small file is read by one task. With fewer files than
-    cores the rows are spread first; a table of many files is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+TEXT_PARTS = "murmur.text.parts"
 
 
 class Tables:
-    """The tables of one directory and the views over them. Everything is lazy."""
+    """The tables of one directory and the views over them. Everything is lazy. Work on texts is bound by the
+    processor; `parts`, or the setting murmur.text.parts of the session, deals the text tables out into so many
+    partitions. Without it a table is read in the splits of its files, as is right for large ones."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, parts: int | None = None):
         self.spark = spark
         self.folder = folder
+        self.parts = parts or int(spark.conf.get(TEXT_PARTS, "0"))
 
     def raw(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
+        return df.repartition(self.parts, TEXT_TABLES[name]) if self.parts and name in TEXT_TABLES else df
 
     def _view(self, name: str) -> DataFrame:
         used = {t: self.raw(t) for t in TABLES if f" {t}" in SPARK_VIEWS[name]}

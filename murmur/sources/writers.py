@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,18 +97,15 @@ def to_jdbc(df: DataFrame, url: str, table: str, **options) -> None:
 
 
 def envelopes(df: DataFrame, send_time: str, size: int = 100) -> DataFrame:
-    """Rows as envelopes of at most `size` objects, one text value each. Rows are turned into JSON by Spark and
-    packed where they are, without a shuffle."""
-    items = df.select(F.to_json(F.struct(*df.columns)).alias("item"))
+    """Rows as envelopes of at most `size` objects, one text value each. Rows are numbered within their partition, and
+    those of one envelope are put together before the shuffle, so a row moves once, packed."""
+    items = df.select(F.to_json(F.struct(*df.columns)).alias("item")).filter("item <> '{}'")
+    number = F.monotonically_increasing_id()  # the partition in the upper bits, the row in the lower 33
+    packs = items.select("item", F.shiftright(number, 33).alias("part"),
+                         F.floor(number.bitwiseAND(F.lit((1 << 33) - 1)) / size).alias("pack"))
     head = f'{{"send_time": {json.dumps(send_time)}, "data": ['
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [i for i in batch["item"] if i and i != "{}"]
-            packed = [head + ",".join(texts[i:i + size]) + "]}" for i in range(0, len(texts), size)]
-            yield pd.DataFrame({"value": pd.Series(packed, dtype="object")})
-
-    return items.mapInPandas(pack, "value string")
+    body = F.array_join(F.collect_list("item"), ",")
+    return packs.groupBy("part", "pack").agg(F.concat(F.lit(head), body, F.lit("]}")).alias("value")).select("value")
 
 
 def keyed_messages(df: DataFrame, key: str, send_time: str) -> DataFrame:

@@ -1,17 +1,25 @@
-"""Where streams and reports put files that several executors share."""
+"""Where streams and reports put files that driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one the cluster names in spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, a temporary folder is taken."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder below the one that the session names in spark.checkpoint.dir. Where that is unset there is no folder
+    that all machines see, and this raises."""
+    base = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not base:
-        base = tempfile.mkdtemp(prefix="murmur-")
+        raise ValueError(f"set {SETTING} to a folder that driver and executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written once to a shared folder and read from there."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,7 +1,13 @@
 """The three upsert streams: events, articles, comments.
 
-Titles are resolved against the event table; unseen titles get a stub event whose id is a hash of the title, so
-a replay gives the same id. A batch reads the event titles once and writes each table once.
+Titles are resolved against the events. Where those are kept in this store, an event's id is a hash of its title, so a
+replay gives the same id and no join is made. Where they are kept in another store, `known` gives its events (id,
+title) to every batch: a message's own id counts if that store has it, else the title decides. Unseen titles get a
+stub event.
+
+Scores follow the batch. Beside its rows a batch of comments leaves the change of score sum and count for every event
+it touches; a comment that comes again takes off what it had added before. For that a batch looks at the earlier rows
+of its own comments, in the buckets where they lie, and at nothing else.
 """
 
 from __future__ import annotations
@@ -11,15 +17,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from murmur.functions import numbers
-from murmur.operators import joins
-from murmur.schemas import RANK_MESSAGE, SCORE
+from murmur.schemas import SCORE
+from murmur.sources.readers import event_titles
 from murmur.streaming import decode, tables
+from murmur.streaming.tables import latest_snapshot, read_rank  # noqa: F401
 
 TRIGGER = "5 seconds"
+Known = Callable[[SparkSession], DataFrame]
 
 
 def titles_of(rows: DataFrame) -> DataFrame:
@@ -39,59 +46,61 @@ def stub_events(rows: DataFrame, known: DataFrame) -> DataFrame:
                       F.lit(None).cast(SCORE).alias("sentiment_score"))
 
 
-def resolved(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Sets event_id: the message's own id, else the id of a known title, else the id its stub gets.
-
-    Without `known` the events are those of this store, whose ids are hashes of the title, and no join is made.
-    """
-    own = F.col("event_id") if "event_id" in rows.columns else F.lit(None).cast("bigint")
+def resolved(rows: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """Sets event_id. With the events (id, title) of another store: the message's own id if that store has it, else
+    the least id of the title there, else the id the title's stub gets. Without: the id that the title has here."""
     made = F.xxhash64("hot_title")
-    if known is None:
-        return rows.withColumn("event_id", F.coalesce(own, made))
-    seen = known.join(titles_of(rows), "hot_title", "left_semi")
-    return (rows.join(seen, "hot_title", "left")
-            .withColumn("event_id", F.coalesce(own, F.col("known_id"), made)).drop("known_id"))
-
-
-def refreshed(spark: SparkSession, root: str, touched: DataFrame) -> DataFrame:
-    """(id, score, seen): mean comment score of the touched events (id), and the last comment epoch it rests on.
-    The streams number their epochs on their own; `seen` tells which of two refreshed scores is the newer.
-
-    Only comments that some epoch places in a touched event are merged, in all their epochs; a comment counts for
-    the event it was first placed in. The rest of the log is read for its ids and not shuffled.
-    """
-    log = tables.read_log(spark, f"{root}/comments", tables.TABLES["comments"])
-    log = log.select("comment_id", "event_id", "sentiment_score", "epoch")
-    near = joins.only_events(log, touched).select("comment_id").distinct()
-    rows = log.join(near, "comment_id", "left_semi")
-    merged = tables.merged(rows, "comment_id", ["event_id"], ["sentiment_score", "epoch"], F.col("epoch"))
-    mean = F.round(numbers.mean_score(F.col("sentiment_score")), 3).cast(SCORE)
-    scores = joins.per_event(joins.only_events(merged, touched), mean.alias("score"), F.max("epoch").alias("seen"))
-    return scores.filter(F.col("score").isNotNull())
+    if events is None:
+        return rows.withColumn("event_id", made)
+    own = F.col("event_id") if "event_id" in rows.columns else F.lit(None).cast("bigint")
+    rows = rows.withColumn("_own", own)
+    ids = events.select(F.col("id").alias("_id")).distinct()
+    there = ids.join(rows.select(F.col("_own").alias("_id")).distinct(), "_id", "left_semi")
+    titles = event_titles(events).join(titles_of(rows), "hot_title", "left_semi")
+    return (rows.join(there, F.col("_own") == F.col("_id"), "left").join(titles, "hot_title", "left")
+            .withColumn("event_id", F.coalesce("_id", "known_id", made)).drop("_own", "_id", "known_id"))
+
+
+def changes(spark: SparkSession, root: str, rows: DataFrame, epoch: int) -> DataFrame:
+    """(id, total, n): what a batch of comments, one row each, changes in the score sums of its events. A comment counts
+    for the event it was first placed in, with its last score. Rows of this epoch or a later one are not looked at, so
+    a replay gives the same changes."""
+    score = numbers.wide_score(F.col("sentiment_score"))
+    placed = rows.withColumn("_bucket", tables.bucket("comment_id"))
+    touched = [r[0] for r in placed.select("_bucket").distinct().collect()]  # at most BUCKETS numbers
+    log = tables.read_texts_log(spark, root, "comments").filter(F.col("bucket").isin(touched))
+    log = log.filter((F.col("source") != "comment") | (F.col("epoch") < epoch))
+    log = log.select("comment_id", "event_id", "sentiment_score", "at").join(
+        rows.select("comment_id"), "comment_id", "left_semi")
+    old = (tables.merged(log, "comment_id", ["event_id"], ["sentiment_score"], F.col("at"))
+           .select("comment_id", F.col("event_id").alias("_event"), score.alias("_old")))
+    new = rows.select("comment_id", "event_id", score.alias("_new")).join(old, "comment_id", "left")
+    zero = F.lit(0).cast("decimal(8,3)")
+    step = F.coalesce("_new", zero) - F.coalesce("_old", zero)
+    count = F.col("_new").isNotNull().cast("int") - F.col("_old").isNotNull().cast("int")
+    return (new.groupBy(F.coalesce("_event", "event_id").alias("id"))
+            .agg(F.sum(step).cast("decimal(18,3)").alias("total"), F.sum(count).cast("bigint").alias("n")))
 
 
 def save_events(batch: DataFrame, epoch: int, root: str) -> None:
     order = F.struct("crawl_time", "heat", "sentiment_score")
     last = tables.merged(batch, "title", [], ["heat", "crawl_time", "sentiment_score"], order)
-    tables.write_epoch(last, f"{root}/events", "event", epoch)
+    tables.write_epoch(last.withColumn("told", F.lit(True)), f"{root}/events", "event", epoch)
 
 
-def save_texts(batch: DataFrame, epoch: int, root: str, kind: str, refresh: bool = True,
-               known: Callable[[SparkSession], DataFrame] | None = None) -> None:
-    """One batch of articles or comments: reduce, resolve, add stubs, upsert, refresh touched scores. `known`
-    gives the titles (hot_title, known_id) where events are kept in another store."""
+def save_texts(batch: DataFrame, epoch: int, root: str, kind: str, known: Known | None = None) -> None:
+    """One batch of articles or comments: reduce, resolve, add stubs, upsert, change the score sums."""
     spark, table = batch.sparkSession, f"{kind}s"
     batch = batch.persist()
     try:
-        other = known(spark) if known else None
-        titles = tables.known_titles(spark, root, kind, epoch) if other is None else other
-        unnamed = batch.filter(F.col("event_id").isNull()) if "event_id" in batch.columns else batch
-        rows = tables.reduced(resolved(batch, other), table).persist()
-        tables.write_epoch(stub_events(unnamed, titles), f"{root}/events", kind, epoch)
-        tables.write_epoch(rows, f"{root}/{table}", kind, epoch)
-        if refresh:
-            touched = rows.select(F.col("event_id").alias("id")).distinct()
-            tables.write_epoch(refreshed(spark, root, touched), f"{root}/event_scores", kind, epoch)
+        events = known(spark) if known else None
+        titles = tables.known_titles(spark, root, kind, epoch) if events is None else event_titles(events)
+        rows = tables.reduced(resolved(batch, events), table).persist()
+        named = rows.filter(F.col("event_id") == F.xxhash64("hot_title"))  # those no other store has placed
+        tables.write_epoch(stub_events(named, titles).withColumn("told", F.lit(False)), f"{root}/events", kind, epoch)
+        if kind == "comment":
+            tables.write_epoch(changes(spark, root, rows, epoch), f"{root}/event_sums", kind, epoch)
+        tables.write_texts(rows, root, table, kind, epoch)
         rows.unpersist()
     finally:
         batch.unpersist()
@@ -105,15 +114,16 @@ def quality_stream(rows: DataFrame, name: str) -> DataFrame:
 
 
 def start(messages: DataFrame, kind: str, root: str, checkpoint: str, available_now: bool = False,
-          trigger: str = TRIGGER, refresh: bool = True) -> StreamingQuery:
-    """Starts the stream of one kind: event, article or comment."""
+          trigger: str = TRIGGER, known: Known | None = None) -> StreamingQuery:
+    """Starts the stream of one kind: event, article or comment. `known` reads the events of another store, anew for
+    every batch."""
     rows = decode.clean(quality_stream(decode.decode(messages, kind), f"{kind}_quality"), kind)
 
     def save(batch: DataFrame, epoch: int) -> None:
         if kind == "event":
             save_events(batch, epoch, root)
         else:
-            save_texts(batch, epoch, root, kind, refresh)
+            save_texts(batch, epoch, root, kind, known)
 
     writer = (rows.writeStream.queryName(f"{kind}_{uuid.uuid4().hex}").outputMode("append")
               .option("checkpointLocation", f"{checkpoint}/{kind}").foreachBatch(save))
@@ -150,15 +160,3 @@ def start_rank(messages: DataFrame, root: str, checkpoint: str, available_now: b
               .foreachBatch(lambda batch, epoch: save_rank(batch, epoch, root)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)
     return writer.start()
-
-
-def latest_snapshot(ranks: DataFrame) -> DataFrame:
-    """The rows of the newest snapshot."""
-    return ranks.filter(F.col("crawl_time") == ranks.agg(F.max("crawl_time")).scalar())
-
-
-def read_rank(spark: SparkSession, root: str) -> DataFrame:
-    schema = T.StructType([f if f.name != "crawl_time" else T.StructField("crawl_time", T.TimestampNTZType())
-                           for f in RANK_MESSAGE.fields])
-    return latest_snapshot(tables.read_log(spark, f"{root}/rank", schema).drop("source", "epoch").distinct())
-

@@ -38,3 +38,9 @@ def start_rolling(comments: DataFrame, folder: str, checkpoint: str, available_n
               .option("path", folder).option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)
     return writer.start()
+
+
+def late_rows(query) -> int:
+    """Rows that came after the delay had passed over their window and were left out, as far as the query's recent
+    progress tells. The delay is an argument of rolling and of decode.distinct_stream."""
+    return sum(int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators)

@@ -3,11 +3,14 @@
 Each micro-batch writes one folder `source=<stream>/epoch=<n>` holding one row per key. Writing an epoch again
 replaces its folder, so a replay changes nothing; the cost of a write follows the batch, not the table. Reading
 merges the rows of a key: columns of the first insert keep their first value, the others take the last one.
+
+`compact` puts all epochs of a log into one, in place. It first notes which epochs it replaces and then writes the new
+one; from the moment that is complete, readers leave the replaced ones out, whether or not their folders are gone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmur import schemas
+from murmur.functions import words
 
 # What an upsert leaves as first inserted.
 KEEP_FIRST = {
@@ -25,25 +29,66 @@ KEYS = {"articles": "article_id", "comments": "comment_id"}
 TABLES = {"articles": schemas.ARTICLES, "comments": schemas.COMMENTS}
 EVENT_LOG = T.StructType([
     T.StructField("title", T.StringType()), T.StructField("heat", T.LongType()),
-    T.StructField("crawl_time", T.TimestampNTZType()), T.StructField("sentiment_score", schemas.SCORE)])
-SCORE_LOG = T.StructType([T.StructField("id", T.LongType()), T.StructField("score", schemas.SCORE),
-                          T.StructField("seen", T.LongType())])
+    T.StructField("crawl_time", T.TimestampNTZType()), T.StructField("sentiment_score", schemas.SCORE),
+    T.StructField("told", T.BooleanType())])  # a message told of it; else it is a stub
+SUM_LOG = T.StructType([T.StructField("id", T.LongType()), T.StructField("total", T.DecimalType(18, 3)),
+                        T.StructField("n", T.LongType())])
+RANK_LOG = T.StructType([f if f.name != "crawl_time" else T.StructField("crawl_time", T.TimestampNTZType())
+                         for f in schemas.RANK_MESSAGE.fields])
+BUCKETS = 64  # folders of an epoch of comments, by comment
+COMPACTED = "compacted"
+_REPLACED = T.StructType([T.StructField("source", T.StringType()), T.StructField("epoch", T.LongType())])
+
+
+def bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def write_epoch(df: DataFrame, folder: str, source: str, epoch: int, by: str | None = None) -> None:
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(f"{folder}/source={source}/epoch={epoch}")
+
+
+class _Files:
+    """The few file operations that compaction needs, through the file system of the path."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._system = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def there(self, path: str) -> bool:
+        return self._system.exists(self._path(path))
 
-def write_epoch(df: DataFrame, folder: str, source: str, epoch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{folder}/source={source}/epoch={epoch}")
+    def names(self, path: str) -> list[str]:
+        return sorted(str(s.getPath().getName()) for s in self._system.listStatus(self._path(path))) if self.there(path) else []
 
+    def delete(self, path: str) -> None:
+        self._system.delete(self._path(path), True)
 
-def read_log(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """All epochs with their source and number; empty before the first write."""
-    parts = T.StructType([T.StructField("source", T.StringType()), T.StructField("epoch", T.LongType())])
+
+def _folds(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the complete compactions of a log."""
+    files = _Files(spark, folder)
+    made = [int(n.split("=")[1]) for n in files.names(f"{folder}_folds") if n.startswith("fold=")]
+    return [n for n in made if files.there(f"{folder}/source={COMPACTED}/epoch={n}/_SUCCESS")]
+
+
+def read_log(spark: SparkSession, folder: str, schema: T.StructType, by: str | None = None) -> DataFrame:
+    """All epochs that count, with source, epoch and `at`, their order; empty before the first write."""
+    parts = T.StructType([T.StructField("source", T.StringType()), T.StructField("epoch", T.LongType())]
+                         + ([T.StructField(by, T.IntegerType())] if by else []))
     full = T.StructType(schema.fields + parts.fields)
     try:
-        return spark.read.schema(full).parquet(folder)
+        log = spark.read.schema(full).parquet(folder)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], full)
+        log = spark.createDataFrame([], full)
+    folds = _folds(spark, folder)
+    if folds:
+        gone = spark.read.schema(_REPLACED).parquet(*[f"{folder}_folds/fold={n}" for n in folds]).distinct()
+        log = log.join(gone, ["source", "epoch"], "left_anti").select(*full.names)
+    return log.withColumn("at", F.struct((F.col("source") != COMPACTED).alias("new"), "epoch"))
 
 
 def merged(log: DataFrame, key: str, first: Sequence[str], last: Sequence[str], order: Column) -> DataFrame:
@@ -61,16 +106,30 @@ def columns_of(table: str) -> tuple[str, list[str], list[str]]:
 
 
 def reduced(rows: DataFrame, table: str) -> DataFrame:
-    """A batch with one row per key, merged as the table is; later crawls win, then higher counts."""
+    """A batch with one row per key, merged as the table is; later crawls win, then higher counts, then the greater
+    row in all columns."""
     key, first, last = columns_of(table)
-    order = F.struct("crawl_time", "like_count", "publish_time", "sentiment_score", "content")
+    lead = ["crawl_time", "like_count", "publish_time", "sentiment_score", "content"]
+    order = F.struct(*lead, *[c for c in TABLES[table].names if c != key and c not in lead])
     return merged(rows, key, first, last, order).select(*TABLES[table].names)
 
 
+def _by(table: str) -> str | None:
+    return "bucket" if table == "comments" else None
+
+
+def write_texts(rows: DataFrame, root: str, table: str, source: str, epoch: int) -> None:
+    kept = rows.withColumn("bucket", bucket(KEYS[table])) if _by(table) else rows
+    write_epoch(kept, f"{root}/{table}", source, epoch, _by(table))
+
+
+def read_texts_log(spark: SparkSession, root: str, table: str) -> DataFrame:
+    return read_log(spark, f"{root}/{table}", TABLES[table], _by(table))
+
+
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     key, first, last = columns_of(table)
-    log = read_log(spark, f"{root}/{table}", TABLES[table])
-    return merged(log, key, first, last, F.col("epoch")).select(*TABLES[table].names)
+    return merged(read_texts_log(spark, root, table), key, first, last, F.col("at")).select(*TABLES[table].names)
 
 
 def known_titles(spark: SparkSession, root: str, source: str, epoch: int) -> DataFrame:
@@ -82,28 +141,74 @@ def known_titles(spark: SparkSession, root: str, source: str, epoch: int) -> Dat
     return titles.withColumn("known_id", F.xxhash64("hot_title"))
 
 
-def read_events(spark: SparkSession, root: str) -> DataFrame:
-    """Events by title. A stub stands until a message about the event arrives. The score is the refreshed one,
-    else the last one a message carried, else 0.5."""
+def _merged_events(spark: SparkSession, root: str) -> DataFrame:
+    """title, heat, crawl_time, sentiment_score, told: a stub stands until a message tells of the event."""
     log = read_log(spark, f"{root}/events", EVENT_LOG)
-    told = F.when(F.col("source") == "event", F.col("epoch"))
+    told = F.when(F.col("told"), F.col("at"))
     scored = F.when(F.col("sentiment_score").isNotNull(), told)
-    events = log.groupBy("title").agg(
-        F.max_by("crawl_time", told).alias("_told"), F.min("crawl_time").alias("_first"),
-        F.max_by("heat", told).alias("heat"), F.max_by("sentiment_score", scored).alias("_own"))
-    scores = read_log(spark, f"{root}/event_scores", SCORE_LOG)
-    fresh = scores.groupBy("id").agg(F.max_by("score", "seen").alias("_fresh"))
-    half = F.lit(0.5).cast(schemas.SCORE)
-    return (events.withColumn("id", F.xxhash64("title")).join(fresh, "id", "left")
-            .select("id", "title", F.coalesce("_told", "_first").alias("crawl_time"),
-                    F.coalesce("heat", F.lit(0).cast("bigint")).alias("heat"),
-                    F.coalesce("_fresh", "_own", half).alias("sentiment_score")))
-
-
-def compact(spark: SparkSession, root: str, target: str, table: str, epoch: int, parts: int | None = None) -> None:
-    """Writes the merged table as the one epoch of a new root, for the stream to go on from there. Rows lie in
-    ranges of event and key, so that a reader of few events skips most files and a hot event spans many."""
-    key = KEYS[table]
-    rows = read_table(spark, root, table)
-    spread = rows.repartitionByRange(parts, "event_id", key) if parts else rows.repartitionByRange("event_id", key)
-    write_epoch(spread, f"{target}/{table}", "compacted", epoch)
+    return log.groupBy("title").agg(
+        F.max_by("heat", told).alias("heat"),
+        F.coalesce(F.max_by("crawl_time", told), F.min("crawl_time")).alias("crawl_time"),
+        F.max_by("sentiment_score", scored).alias("sentiment_score"), F.bool_or("told").alias("told"))
+
+
+def _merged_sums(spark: SparkSession, root: str) -> DataFrame:
+    log = read_log(spark, f"{root}/event_sums", SUM_LOG)
+    return log.groupBy("id").agg(F.sum("total").cast("decimal(18,3)").alias("total"), F.sum("n").alias("n"))
+
+
+def comment_scores(spark: SparkSession, root: str) -> DataFrame:
+    """(id, score): the mean comment score of every event that has comments, from the sums that the batches left."""
+    mean = F.round(F.col("total").cast("double") / F.col("n").cast("double"), 3).cast(schemas.SCORE)
+    return _merged_sums(spark, root).filter("n > 0").select("id", mean.alias("score"))
+
+
+def read_events(spark: SparkSession, root: str, cal: words.Calibration | None = None) -> DataFrame:
+    """Events by title. The score is the mean of the comments, else the last one a message carried, else that of the
+    event's own title."""
+    events = _merged_events(spark, root).withColumn("id", F.xxhash64("title"))
+    fresh = comment_scores(spark, root).withColumnRenamed("score", "_fresh")
+    titled = words.with_score(events, F.lit(0.5), "title", "_title", cal)
+    return (titled.join(fresh, "id", "left")
+            .select("id", "title", "crawl_time", F.coalesce("heat", F.lit(0).cast("bigint")).alias("heat"),
+                    F.coalesce("_fresh", "sentiment_score", F.col("_title").cast(schemas.SCORE)).alias("sentiment_score")))
+
+
+def latest_snapshot(ranks: DataFrame) -> DataFrame:
+    """The rows of the newest snapshot."""
+    return ranks.filter(F.col("crawl_time") == ranks.agg(F.max("crawl_time")).scalar())
+
+
+def read_rank(spark: SparkSession, root: str) -> DataFrame:
+    return latest_snapshot(read_log(spark, f"{root}/rank", RANK_LOG).drop("source", "epoch", "at").distinct())
+
+
+# How each log is read as one epoch. Of the rank log only the newest snapshot is kept.
+_WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "articles": lambda spark, root: read_table(spark, root, "articles"),
+    "comments": lambda spark, root: read_table(spark, root, "comments").withColumn("bucket", bucket("comment_id")),
+    "events": _merged_events,
+    "event_sums": _merged_sums,
+    "rank": read_rank,
+}
+_SCHEMAS = {**TABLES, "events": EVENT_LOG, "event_sums": SUM_LOG, "rank": RANK_LOG}
+
+
+def compact(spark: SparkSession, root: str, table: str) -> None:
+    """Puts the epochs of one log into one, in place, and removes what that replaces. Run it while the log's stream is
+    between two batches. An epoch that is replayed afterwards stays replaced: the new one holds its rows."""
+    if table == "comments":  # first the sums: a replayed epoch finds no change to make once its comments are folded
+        compact(spark, root, "event_sums")
+    folder, files = f"{root}/{table}", _Files(spark, root)
+    present = []
+    for source in files.names(folder):
+        if source.startswith("source="):
+            present += [(source.split("=")[1], int(e.split("=")[1])) for e in files.names(f"{folder}/{source}")
+                        if e.startswith("epoch=")]
+    if not present:
+        return
+    number = max([0, *_folds(spark, folder)]) + 1
+    spark.createDataFrame(present, _REPLACED).coalesce(1).write.mode("overwrite").parquet(f"{folder}_folds/fold={number}")
+    write_epoch(_WHOLE[table](spark, root), folder, COMPACTED, number, _by(table))
+    for source, epoch in present:
+        files.delete(f"{folder}/source={source}/epoch={epoch}")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from murmur.functions import bands
+from murmur.functions import bands, words
 from murmur.operators import filters, forecast, forest, insights, joins, keywords, metrics, ranking, scoring, sets, text
 from murmur.plans import base_score, reports
 
@@ -156,8 +156,8 @@ def test_supplied_idf(spark):
 
 def test_stopwords_after_the_cut(spark):
     df = texts(spark, [("the the the cat", DAY, 0.5), ("dog", DAY, 0.5)])
-    assert [r.word for r in text.keywords(df, 1, stopwords=["the"]).collect()] == []
-    assert [r.word for r in text.keywords(df, 1, stopwords=["the"], filter_first=True).collect()] == ["cat"]
+    assert [r.word for r in text.keywords(df, 1, stopwords=["the"], filter_first=False).collect()] == []
+    assert [r.word for r in text.keywords(df, 1, stopwords=["the"]).collect()] == ["cat"]
 
 
 def test_word_weights_read_the_texts_once(spark, t):
@@ -245,12 +245,51 @@ def test_large_keyword_tables_use_the_join(spark, t):
     want = sorted((k, w) for k, b in bodies.items() for w in some if w and w in b)
     got = sorted((r.article_id, r.keyword) for r in joins.keyword_hits_by_join(df, "article_id", table).collect())
     assert got == want
-    small = sorted((r.article_id, r.keyword) for r in joins.sized_keyword_hits(df, "article_id", table.limit(5)).collect())
-    inside = {r.keyword for r in table.limit(5).collect()}
-    assert small == [(k, w) for k, w in want if w in inside]
-    assert joins.sized_keyword_hits(df, "article_id", table.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        keywords.as_list([str(i) for i in range(keywords.MAX_KEYWORDS + 1)])
+    assert joins.keyword_hits_by_join(df, "article_id", table.limit(0)).count() == 0
+    assert len(keywords.as_list([str(i) for i in range(3000)])) == 3000
+
+
+def test_both_keyword_ways_agree_on_repeated_keys_and_texts(spark):
+    rows = [(1, "red widget"), (1, "red widget"), (1, "blue rod"), (2, "red widget"), (3, None), (3, "")]
+    df = spark.createDataFrame(rows, "id long, content string")
+    some = ["red", "red widget", "w", "rod", "widgets"]
+    table = spark.createDataFrame([(w,) for w in some], "keyword string")
+    joined = sorted((r.id, r.keyword) for r in joins.keyword_hits_by_join(df, "id", table).collect())
+    inline = sorted((r.id, r.keyword) for r in joins.keyword_hits(df, some).collect())
+    assert joined == inline and joined.count((1, "red")) == 2
+
+
+def test_scores_by_table_keep_rows_with_equal_keys(spark):
+    df = spark.createDataFrame([(1, "good day", 0.5), (1, "bad day", 0.5), (1, "bad day", 0.5), (2, None, 0.9)],
+                               "id long, content string, base double")
+    lexicon = spark.createDataFrame([("good", "pos"), ("bad", "neg")], "word string, kind string")
+    got = sorted((r.id, r.score) for r in words.scored_by_join(df, "id", F.col("base"), lexicon).collect())
+    cal = words.Calibration(lexicon=words.Lexicon(("good",), ("bad",), ()))
+    want = sorted((r.id, r.score) for r in words.with_score(df, F.col("base"), cal=cal).collect())
+    assert got == want and len(got) == 4
+
+
+def test_windows_end_at_as_of(spark):
+    rows = [(i, 1, 1, "x", 1, 0.5, DAY + dt.timedelta(hours=h)) for i, h in enumerate((-50, -24, -1, 0, 1, 30))]
+    df = comments(spark, rows)
+    inside = df.filter(filters.times.since(F.col("publish_time"), DAY, hours=24))
+    assert sorted(r.comment_id for r in inside.collect()) == [1, 2, 3]
+    assert metrics.daily_availability(df, DAY, (1, 7)).first() == (2, 3)
+    factor = df.select(filters.times.time_factor(F.col("publish_time"), DAY).alias("f")).collect()
+    assert max(r.f for r in factor) == 1.0
+
+
+def test_no_event_is_left_out_of_category_heat(spark):
+    e = events(spark, [(i, "football" if i % 2 else "x", i, DAY, None) for i in range(1500)])
+    got = {r.category: r.n for r in ranking.category_heat(e).collect()}
+    assert got["sport"] == 750 and got["other"] == 750
+    assert sum(r.n for r in ranking.category_heat(e, pool=10).collect()) == 10
+
+
+def test_cutoff_of_ties_and_negative_scores(spark):
+    for raw in ([-0.5] * 30, [-0.9, -0.1] * 20 + [-0.123456], [-(i % 17) / 17 for i in range(200)]):
+        df = spark.createDataFrame([(round(v, 6),) for v in raw], "raw_score double")
+        assert forest.cutoff(df, len(raw), 0.05) == pytest.approx(np.percentile(np.round(raw, 6), 5))
 
 
 def test_default_categories(spark):

@@ -13,7 +13,7 @@ def plan(df):
 def test_time_filters_reach_the_scan(t):
     raw = t.raw("events")
     p = plan(raw.filter(filters.times.since(F.col("ts"), "2024-01-31", days=7)).select("event_id"))
-    assert "GreaterThanOrEqual(ts" in p and "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in p
+    assert "GreaterThanOrEqual(ts" in p and "LessThanOrEqual(ts" in p and "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in p
     p = plan(raw.filter(filters.times.between_days(F.col("ts"), "2024-01-02", "2024-01-03")))
     assert "GreaterThanOrEqual(ts" in p and "LessThan(ts" in p
 
@@ -55,10 +55,27 @@ def test_text_counting_reads_only_the_text(spark, t):
     assert "ReadSchema: struct<text:string>" in plan(text.word_counts(docs, 5, "text"))
 
 
-def test_many_files_are_not_spread(spark, tmp_path):
-    from murmur.sources.views import spread
-    folder = str(tmp_path / "many")
-    spark.range(100).repartition(8).write.parquet(folder)
-    assert "Exchange" not in plan(spread(spark.read.parquet(folder), "id"))
-    spark.range(100).coalesce(1).write.parquet(folder + "1")
-    assert "Exchange" in plan(spread(spark.read.parquet(folder + "1"), "id"))
+def test_text_tables_are_dealt_out_only_on_request(spark, t):
+    from murmur.sources.views import TEXT_PARTS, Tables
+    set_ = spark.conf.get(TEXT_PARTS)
+    spark.conf.unset(TEXT_PARTS)
+    try:
+        assert "Exchange" not in plan(Tables(spark, t.folder).raw("documents"))
+        assert "Exchange" in plan(Tables(spark, t.folder, 3).raw("documents"))
+    finally:
+        spark.conf.set(TEXT_PARTS, set_)
+
+
+def test_a_batch_reads_only_the_buckets_it_touches(spark, t, tmp_path):
+    from murmur.streaming import ingest, tables
+    root = str(tmp_path / "tables")
+    rows = t.comments.select(F.col("comment_id").cast("string").alias("comment_id"), F.lit("t").alias("hot_title"),
+                             *[F.lit(None).cast(f.dataType).alias(f.name) for f in tables.schemas.COMMENTS
+                               if f.name not in ("comment_id", "hot_title", "sentiment_score")],
+                             F.lit(0.5).cast(tables.schemas.SCORE).alias("sentiment_score"))
+    ingest.save_texts(rows, 0, root, "comment")
+    few = tables.reduced(ingest.resolved(rows.limit(2)), "comments")
+    p = plan(ingest.changes(spark, root, few, 1))
+    filters_ = [line for line in p.split("\n") if "PartitionFilters" in line and "bucket" in line]
+    assert filters_ and all("bucket" in line.split("PartitionFilters")[1] for line in filters_)
+    assert "ReadSchema: struct<event_id:bigint,comment_id:string,sentiment_score:decimal(4,3)>" in p

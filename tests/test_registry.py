@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import compare
+from checks.registry import ORACLES, QUERIES
 from murmur.sources.views import TABLES, Tables
 from tests.conftest import SMALL
 
@@ -22,13 +23,14 @@ def test_entry(spark):
     assert df.count() > 0 and "risk_level" in df.columns
 
 
-def test_every_sql_has_its_query():
+def test_every_query_has_its_sql():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_equals_its_sql(spark, duck, key):
-    text, _, fine = compare(spark, duck, key, entry.queries()[key], entry.oracle_sql().get(key), SMALL)
+    text, _, fine = compare(spark, duck, key, QUERIES[key], ORACLES[key], SMALL)
     assert fine, text
 
 

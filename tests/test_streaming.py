@@ -97,15 +97,26 @@ def test_comment_events_resolve(spark, run):
     root = run("comment", envelope(comment("1", "known"), comment("2", "new"), comment("3", "new", event_id=42)))
     events = {r.title: r for r in tables.read_events(spark, root).collect()}
     ids = {r.comment_id: r.event_id for r in tables.read_table(spark, root, "comments").collect()}
-    assert ids == {"1": events["known"].id, "2": events["new"].id, "3": 42}
+    assert ids == {"1": events["known"].id, "2": events["new"].id, "3": events["new"].id}  # 42 is no id of this store
     assert events["known"].heat == 7 and events["new"].heat == 0
 
 
 def test_titles_of_another_store_keep_their_ids(spark):
-    rows = spark.createDataFrame([("1", "known", None), ("2", "new", None), ("3", "known", 5)], "comment_id string, hot_title string, event_id long")
-    known = readers.event_titles(spark.createDataFrame([(11, "known"), (12, "known")], "id long, title string"))
+    rows = spark.createDataFrame([("1", "known", None), ("2", "new", None), ("3", "known", 5), ("4", "new", 12)],
+                                 "comment_id string, hot_title string, event_id long")
+    known = spark.createDataFrame([(11, "known"), (12, "known")], "id long, title string")
     got = {r.comment_id: r.event_id for r in ingest.resolved(rows, known).collect()}
-    assert got["1"] == 11 and got["3"] == 5 and got["2"] not in (11, 12, None)
+    assert got["1"] == 11 and got["3"] == 11 and got["4"] == 12 and got["2"] not in (5, 11, 12, None)
+
+
+def test_a_running_stream_resolves_against_another_store(spark, run):
+    def store(session):
+        return session.createDataFrame([(11, "known"), (12, "known")], "id long, title string")
+
+    root = run("comment", envelope(comment("1", "known"), comment("2", "new"), comment("3", "known", event_id=12)), known=store)
+    ids = {r.comment_id: r.event_id for r in tables.read_table(spark, root, "comments").collect()}
+    stubs = {r.title: r.id for r in tables.read_events(spark, root).collect()}
+    assert stubs == {"new": ids["2"]} and ids["1"] == 11 and ids["3"] == 12
 
 
 def test_scores_refresh_for_touched_events_only(spark, run):
@@ -134,7 +145,7 @@ def test_comment_counts_for_the_event_it_was_first_placed_in(spark, run):
 
 
 def test_stub_stands_until_its_event_arrives(spark, run):
-    run("comment", envelope(comment("1", "t", sentiment_score=0.9)), refresh=False)
+    run("comment", envelope(comment("1", "t", sentiment_score=0.9)))
     root = run("event", envelope(event("t", "2024-03-01 00:00:00", heat=99)))
     rows = tables.read_events(spark, root).collect()
     assert len(rows) == 1 and rows[0].heat == 99 and str(rows[0].crawl_time) == "2024-03-01 00:00:00"
@@ -165,14 +176,52 @@ def test_replayed_message_file_changes_nothing(spark, run):
     assert sorted(map(str, tables.read_table(spark, root, "comments").collect())) == before
 
 
-def test_compacted_table_reads_the_same(spark, run, tmp_path):
-    run("comment", envelope(comment("1", like_count=3), comment("2")))
-    root = run("comment", envelope(comment("1", like_count=8)))
-    target = str(tmp_path / "small")
-    tables.compact(spark, root, target, "comments", 1, 2)
-    names = tables.read_table(spark, root, "comments").columns
-    assert sorted(map(str, tables.read_table(spark, target, "comments").select(names).collect())) == \
-        sorted(map(str, tables.read_table(spark, root, "comments").collect()))
+def test_an_event_without_comments_has_the_score_of_its_title(spark, run):
+    root = run("event", envelope(event("a good day"), event("a bad day"), event("told", sentiment_score=0.1)))
+    got = {r.title: float(r.sentiment_score) for r in tables.read_events(spark, root).collect()}
+    assert got["a good day"] > 0.5 > got["a bad day"] and got["told"] == 0.1
+
+
+def test_compacted_logs_read_the_same_and_go_on(spark, run, tmp_path):
+    run("event", envelope(event("t", heat=5), event("u", heat=2, sentiment_score=0.4)))
+    run("comment", envelope(comment("1", like_count=3, sentiment_score=0.9), comment("2", "v")))
+    root = run("comment", envelope(comment("1", like_count=8, sentiment_score=0.2)))
+    run("article", envelope(article("a1", "t"), article("a2", "w")))
+
+    def state():
+        return [sorted(map(str, tables.read_table(spark, root, n).collect())) for n in ("comments", "articles")] + [
+            sorted(map(str, tables.read_events(spark, root).collect()))]
+
+    before = state()
+    for table in ("comments", "articles", "events", "comments"):
+        tables.compact(spark, root, table)
+        assert state() == before
+    left = sorted(p.name for p in (tmp_path / "tables" / "comments").rglob("epoch=*"))
+    assert left == ["epoch=2"]
+    run("comment", envelope(comment("1", like_count=9, sentiment_score=0.6), comment("3", "t", sentiment_score=0.2)))
+    got = {r.title: float(r.sentiment_score) for r in tables.read_events(spark, root).collect()}
+    assert got["t"] == 0.4 and got["u"] == 0.4
+    likes = {r.comment_id: r.like_count for r in tables.read_table(spark, root, "comments").collect()}
+    assert likes == {"1": 9, "2": 0, "3": 0}
+
+
+def test_an_epoch_replayed_after_compaction_changes_nothing(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    batch = decode.clean(decode.decode(lines(spark, envelope(comment("1", sentiment_score=0.9), comment("2", sentiment_score=0.1))), "comment"), "comment")
+    ingest.save_texts(batch, 0, root, "comment")
+    tables.compact(spark, root, "comments")
+    before = sorted(map(str, tables.read_events(spark, root).collect()))
+    ingest.save_texts(batch, 0, root, "comment")
+    assert sorted(map(str, tables.read_events(spark, root).collect())) == before
+    assert tables.read_table(spark, root, "comments").count() == 2
+
+
+def test_an_unfinished_compaction_does_not_count(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    batch = decode.clean(decode.decode(lines(spark, envelope(comment("1"))), "comment"), "comment")
+    ingest.save_texts(batch, 0, root, "comment")
+    spark.createDataFrame([("comment", 0)], "source string, epoch long").write.parquet(f"{root}/comments_folds/fold=1")
+    assert tables.read_table(spark, root, "comments").count() == 1
 
 
 def test_quality_counters(spark, tmp_path):
@@ -220,7 +269,9 @@ def test_late_rows_and_windows(spark, tmp_path):
     part("2.json", "2024-01-01 10:00:30", "2024-01-01 10:30:00")   # late but within the delay
     live.start_rolling(source, out, marks, True, delay="10 minutes").awaitTermination()
     part("3.json", "2024-01-01 10:00:40", "2024-01-01 11:30:00")   # too late: its window is out
-    live.start_rolling(source, out, marks, True, delay="10 minutes").awaitTermination()
+    last = live.start_rolling(source, out, marks, True, delay="10 minutes")
+    last.awaitTermination()
+    assert live.late_rows(last) == 1
     got = {r.start: r.n for r in spark.read.parquet(out).collect()}
     assert got["2024-01-01 10:00"] == 3 and got["2024-01-01 10:05"] == 1 and got["2024-01-01 10:30"] == 1
 
@@ -239,6 +290,53 @@ def test_kafka_source_needs_its_connector(spark):
         readers.kafka_stream(spark, "localhost:9092", "topic", max_offsets=100)
 
 
+def test_kafka_options(spark):
+    class Reader:
+        def __init__(self):
+            self.set, self.kind = {}, None
+
+        def format(self, kind):
+            self.kind = kind
+            return self
+
+        def option(self, key, value):
+            self.set[key] = value
+            return self
+
+        def options(self, **more):
+            self.set.update(more)
+            return self
+
+        def load(self):
+            return self
+
+        def select(self, column):
+            return self
+
+    class Session:
+        readStream = Reader()
+
+    got = readers.kafka_stream(Session(), "a:1,b:2", "topic", "earliest", 500, minPartitions=8)
+    assert got.kind == "kafka" and got.set == {
+        "kafka.bootstrap.servers": "a:1,b:2", "subscribe": "topic", "startingOffsets": "earliest", "failOnDataLoss": "false",
+        "maxOffsetsPerTrigger": 500, "minPartitions": 8}
+
+
+def test_a_shared_folder_must_be_named(spark):
+    from murmur.streaming.folders import SETTING, shared_folder
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            getConf = staticmethod(lambda: {})
+
+    with pytest.raises(ValueError, match=SETTING):
+        shared_folder(Session(), "x")
+    assert shared_folder(spark, "x").startswith(spark.conf.get(SETTING))
+
+
 def test_exports(spark, t, tmp_path):
     with pytest.raises(ValueError):
         writers.export_all({"events": t.hot_events}, "1900-01-01", "1900-01-02", str(tmp_path / "none"))
