@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 
 from murmur.llm.store import new_folder
 
-TOKENS = 3_000_000  # tokens that a task holds at a time
+TOKENS = 2_000_000  # tokens that a task counts at a time
+SCORED_TOKENS = 700_000  # tokens that a task scores at a time
 SHARDS_PER_PARTITION = 4
 HOT_SAMPLE = 2000  # documents
 HOT_WORDS = 1000
@@ -90,9 +91,22 @@ class _Numbers(dict):
     def hashes(self) -> np.ndarray:
         return np.fromiter(map(word_hash, self), np.uint64, len(self))
 
+    def of(self, text: str | None) -> np.ndarray:
+        """The beginning, the words and the end of a text as numbers."""
+        words = (text or "").encode().lower().split()
+        ids = np.empty(len(words) + 2, np.uint32)
+        ids[0], ids[-1] = 0, 1
+        ids[1:-1] = np.fromiter(map(self.__getitem__, words), np.uint32, len(words))
+        return ids
+
 
-def _tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def _paired(parts: list[np.ndarray]) -> np.ndarray:
+    """Each number of the texts with the one before it, but not across texts."""
+    ids = np.concatenate(parts)
+    pairs = ids[:-1].astype(np.uint64)
+    pairs <<= np.uint64(32)
+    pairs |= ids[1:]
+    return pairs[ids[1:] != 0]
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -123,11 +137,12 @@ def _unblob(blob: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def _sent(shard: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One blob of all columns for each shard; the columns are sorted by shard."""
+    """One blob of all columns for each shard. The last column tells where the rows lie, in the order of shard."""
+    *columns, order = columns
     at = _runs(shard)
     ends = np.append(at[1:], len(shard))
     for k in range(0, len(at), 64):
-        rows = [(int(shard[a]), _blob(*(c[a:b] for c in columns))) for a, b in zip(at[k:k + 64], ends[k:k + 64])]
+        rows = [(int(shard[a]), _blob(*(c[order[a:b]] for c in columns))) for a, b in zip(at[k:k + 64], ends[k:k + 64])]
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _BLOB)], schema=_BLOB)
 
 
@@ -137,28 +152,27 @@ def _pairs(hot: np.ndarray, shards: int):
         numbers, held, n = _Numbers(), [], 0
 
         def flush():
-            of = np.concatenate(held)
-            pairs = (of[:-1] << np.uint64(32)) | of[1:]
-            pairs = np.sort(pairs[of[1:] != 0])  # what runs from one text into the next is no pair
+            hashes = numbers.hashes()
+            numbers.clear()
+            pairs = _paired(held)
+            held.clear()
+            pairs.sort()
             at = _runs(pairs)
             count = np.diff(np.append(at, len(pairs))).astype("<u4")
-            pairs, hashes = pairs[at], numbers.hashes()
+            pairs = pairs[at]
             first, second = hashes[pairs >> np.uint64(32)], hashes[pairs & np.uint64(0xFFFFFFFF)]
-            shard = _pair_shard(first, second, hot, shards)
-            order = np.argsort(shard, kind="stable")
-            yield from _sent(shard[order], first[order], second[order], count[order])
+            del pairs, at
+            shard = _pair_shard(first, second, hot, shards).astype(np.uint32)
+            order = np.argsort(shard, kind="stable").astype(np.uint32)
+            yield from _sent(shard[order], first, second, count, order)
 
         for batch in batches:
             for text in batch.column(0):
-                words = _tokens(text.as_py())
-                ids = np.empty(len(words) + 2, np.uint64)
-                ids[0], ids[-1] = 0, 1
-                ids[1:-1] = np.fromiter(map(numbers.__getitem__, words), np.uint64, len(words))
-                held.append(ids)
-                n += len(ids)
+                held.append(numbers.of(text.as_py()))
+                n += len(held[-1])
                 if n >= TOKENS:
                     yield from flush()
-                    numbers, held, n = _Numbers(), [], 0
+                    numbers, n = _Numbers(), 0
         if held:
             yield from flush()
     return task
@@ -213,7 +227,7 @@ def _added_pairs(folder: str, word_shards: int):
             words = _sums(np.concatenate([u, w]), *(np.concatenate([a, zero[0]]) for a in (c, one, two, many)),
                           np.concatenate([zero[1], left]))
             yield from _sent(_word_shard(words[0], word_shards), words[0],
-                             *(np.asarray(a, "<u8") for a in words[1:]))
+                             *(np.asarray(a, "<u8") for a in words[1:]), np.arange(len(words[0])))
     return task
 
 
@@ -254,7 +268,7 @@ def _hot(texts: DataFrame, ids: DataFrame) -> list[int]:
 
     def count(batches):
         for frame in batches:
-            words = pd.Series([word_hash(w) for t in frame["text"] for w in _tokens(t)], dtype="uint64")
+            words = pd.Series([word_hash(w) for t in frame["text"] for w in (t or "").encode().lower().split()], dtype="uint64")
             yield words.astype("uint64").value_counts().rename_axis("word").reset_index(name="n").assign(
                 word=lambda f: f["word"].to_numpy(np.uint64).view(np.int64)).assign(n=lambda f: f["n"].astype("int64"))
 
@@ -347,16 +361,9 @@ _WORD_KINDS = ("<u8",) * 6
 _PAIR_KINDS = ("<u8", "<u4")
 
 
-def score_texts(model: Model, texts: list[list[bytes]]) -> dict[str, np.ndarray]:
-    """Of each text, given as its words: n_tokens, n_known, base_score and score."""
-    numbers = _Numbers()
-    parts = []
-    for words in texts:
-        ids = np.empty(len(words) + 2, np.uint64)
-        ids[0], ids[-1] = 0, 1
-        ids[1:-1] = np.fromiter(map(numbers.__getitem__, words), np.uint64, len(words))
-        parts.append(ids)
-    of, hashes = np.concatenate(parts), numbers.hashes()
+def score_texts(model: Model, numbers: _Numbers, parts: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """Of each text, given in numbers: n_tokens, n_known, base_score and score."""
+    hashes = numbers.hashes()
     c, one, two, many, left = (a.astype(np.float64) for a in _found(
         model, "words", _WORD_KINDS, hashes, _word_shard(hashes, model.word_shards)))
 
@@ -366,9 +373,14 @@ def score_texts(model: Model, texts: list[list[bytes]]) -> dict[str, np.ndarray]
     seen = c.copy()
     seen[1], seen[0] = c[0], 0  # a text ends as often as it begins
 
-    pairs = (of[:-1] << np.uint64(32)) | of[1:]
-    place = np.flatnonzero(of[1:] != 0)
-    different, where = np.unique(pairs[place], return_inverse=True)
+    pairs = _paired(parts)
+    order = np.argsort(pairs)
+    pairs = pairs[order]
+    new = np.concatenate([[True], pairs[1:] != pairs[:-1]])
+    different = pairs[new]
+    where = np.empty(len(pairs), np.uint32)
+    where[order] = np.cumsum(new) - 1
+    del pairs, order, new
     u, w = (different >> np.uint64(32)).astype(np.int64), (different & np.uint64(0xFFFFFFFF)).astype(np.int64)
     both, = _found(model, "pairs", _PAIR_KINDS, _pair_hash(hashes[u], hashes[w]),
                    _pair_shard(hashes[u], hashes[w], np.array(model.hot, np.uint64), model.pair_shards))
@@ -388,7 +400,7 @@ def score_texts(model: Model, texts: list[list[bytes]]) -> dict[str, np.ndarray]
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns of docs with n_tokens, n_known, base_score, score (log10 of the text's probability) and
-    perplexity, for every row. A task holds TOKENS tokens at a time."""
+    perplexity, for every row. A task holds SCORED_TOKENS tokens at a time."""
     kept = docs.select(*keep)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
     schema = ", ".join([*fields, "n_tokens long", "n_known long", "base_score double", "score double",
@@ -399,12 +411,12 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
         for batch in batches:
             column, start = batch.column(n_kept), 0
             while start < batch.num_rows:
-                texts, n, end = [], 0, start
-                while end < batch.num_rows and n < TOKENS:
-                    texts.append(_tokens(column[end].as_py()))
-                    n += len(texts[-1]) + 1
+                numbers, parts, n, end = _Numbers(), [], 0, start
+                while end < batch.num_rows and n < SCORED_TOKENS:
+                    parts.append(numbers.of(column[end].as_py()))
+                    n += len(parts[-1])
                     end += 1
-                of = score_texts(model, texts)
+                of = score_texts(model, numbers, parts)
                 of["perplexity"] = 10.0 ** np.minimum(-of["score"] / of["n_tokens"], 300.0)
                 names = ["n_tokens", "n_known", "base_score", "score", "perplexity"]
                 yield pa.RecordBatch.from_arrays(

@@ -102,6 +102,7 @@ def test_split_words_and_small_blocks_give_the_same(spark, monkeypatch):
     want = sorted((str(r.doc_id), round(r.score, 6)) for r in kn.scored(df, kn.trained(df)).collect())
     monkeypatch.setattr(kn, "HOT_SHARE", 2.0)  # no word is split
     monkeypatch.setattr(kn, "TOKENS", 500)
+    monkeypatch.setattr(kn, "SCORED_TOKENS", 300)
     assert sorted((str(r.doc_id), round(r.score, 6)) for r in kn.scored(df, kn.trained(df)).collect()) == want
 
 
