@@ -37,7 +37,7 @@ REACH = 3
 #: name: (numerator, factor, denominator, least interquartile range, lower fence, upper fence)
 MEASURES = {
     "symbols": ("n_symbols", 1000, "n_words", 30, False, True),
-    "word_length": ("word_chars", 100, "n_words", 60, True, True),
+    "word_length": ("word_chars", 100, "n_words", 200, True, True),
     "dup_lines": ("n_dup_lines", 1000, "n_words", 30, False, True),
     "capitals": ("n_capitals", 1000, "word_chars", 60, False, True),
 }

@@ -109,7 +109,7 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 m AS (
   SELECT r, lang, source, base_failed, unnest([
     {'name': 'symbols', 'v': n_symbols * 1000 // greatest(n_words, 1), 'spread': 30, 'low': false},
-    {'name': 'word_length', 'v': word_chars * 100 // greatest(n_words, 1), 'spread': 60, 'low': true},
+    {'name': 'word_length', 'v': word_chars * 100 // greatest(n_words, 1), 'spread': 200, 'low': true},
     {'name': 'dup_lines', 'v': n_dup_lines * 1000 // greatest(n_words, 1), 'spread': 30, 'low': false},
     {'name': 'capitals', 'v': n_capitals * 1000 // greatest(word_chars, 1), 'spread': 60, 'low': false}]) AS x
   FROM b),
