@@ -207,17 +207,17 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: one for each component, that of the least doc_id. Where an
-    id is null or stands in several rows, the rows are told apart by their component, and one of each stays."""
+    id is null or stands in several rows, the rows are told apart by their component, and one of each stays. The ids
+    that go are written, so Spark knows how many they are when it chooses the join; they are fewer than the rest."""
     ids = written(grouped(docs), "simhash-groups")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     firsts = ids.filter(first)
-    stay = written(ids.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"), F.bool_or(first)
-                   .alias("_first")).filter("_first"), "simhash-first")
-    clear = stay.filter("_id IS NOT NULL AND _rows = 1").select("_id")
-    others = stay.filter("_id IS NULL OR _rows > 1").select("_id")
-    plain = docs.join(clear, docs["doc_id"] == clear["_id"], "left_semi")
+    by_id = ids.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"), F.bool_or(first).alias("_first"))
+    gone = written(by_id.filter("_id IS NOT NULL AND (_rows > 1 OR NOT _first)").select("_id"), "simhash-gone")
+    others = written(by_id.filter("_first AND (_id IS NULL OR _rows > 1)").select("_id"), "simhash-others")
+    plain = docs.filter(docs["doc_id"].isNotNull()).join(gone, docs["doc_id"] == gone["_id"], "left_anti")
     roots = firsts.select(F.col("doc_id").alias("_at"), F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
-    doubled = docs.join(others, docs["doc_id"].eqNullSafe(others["_id"]), "left_semi")
+    doubled = written(docs.join(others, docs["doc_id"].eqNullSafe(others["_id"]), "left_semi"), "simhash-doubled")
     told = (doubled.withColumn("_of", _fingerprints("text"))
             .join(roots, (F.col("_of") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_at")))
             .dropDuplicates(["_root"]).drop("_of", "_at", "_fp", "_root"))
