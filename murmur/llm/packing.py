@@ -7,8 +7,8 @@ A task takes its tails in blocks. A block is one shard of the inverted index: it
 stand for words and parts of words, and its postings carry BM25 weights. The first unused tail seeds a sequence; its rarest
 terms retrieve unused neighbours, which fill the window greedily in the order of their scores, first those that fit
 as a whole. The best one left is cut to fill the rest, and its remainder stays in the block. Where the seed retrieves
-too little, its neighbours are asked in turn, and if nothing shares a term with any, the next unused tail is taken. Thus only the last sequence of a task is shorter than WIDTH; a
-sequence that a block cannot fill is handed to the next.
+too little, its neighbours are asked in turn, and if nothing shares a term with any, the next unused tail is taken.
+Thus only the last sequence of a task is shorter than WIDTH; a sequence that a block cannot fill is handed to the next.
 
 A block has at most BLOCK tails, so a task's memory is bounded, however many documents share one key. Texts pass
 once through Python, ids once through a shuffle, as 16-bit numbers.
@@ -71,7 +71,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, blob: int) -> Iterator[pa
 
 def _cutter(vocabulary: str, width: int, end: int):
     def cut(batches):
-        encode, last = encoder(vocabulary).ids, np.array([end], "<u2").tobytes()
+        encode, last = encoder(vocabulary).raw, np.array([end], "<u2").tobytes()
 
         def rows():
             for batch in batches:
@@ -116,11 +116,11 @@ class Index:
 
     def scores(self, tail: np.ndarray) -> np.ndarray:
         """The BM25 score of every tail of the block for the rarest terms of one."""
-        terms = np.unique(terms_of(tail))
-        at = np.searchsorted(self.terms, terms)
-        at = at[at < len(self.terms)] if not len(self.terms) else np.minimum(at, len(self.terms) - 1)
-        if not len(at):
+        terms = np.sort(terms_of(tail))
+        if not len(terms) or not len(self.terms):
             return np.zeros(self.n)
+        terms = terms[np.concatenate([[True], terms[1:] != terms[:-1]])]
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         at = at[self.terms[at] == terms]
         if len(at) > QUERY_TERMS:
             at = at[np.argsort(self.df[at], kind="stable")[:QUERY_TERMS]]

@@ -32,7 +32,7 @@ _DONE = "_SUCCESS"
 @F.pandas_udf(LongType())
 def _bpe_tokens(texts: pd.Series) -> pd.Series:
     of = encoder(VOCABULARY).ids
-    return pd.Series([len(of(t)) // 2 for t in texts], dtype="int64")
+    return pd.Series([len(of(t)) for t in texts], dtype="int64")
 
 
 def bpe_tokens(text: Column) -> Column:

@@ -1,42 +1,19 @@
-"""Token ids of whole texts by a public byte-level BPE, with a cache of pieces.
+"""Token ids of whole texts by a public byte-level BPE.
 
-The vocabulary cuts a text into pieces before it merges bytes, and a single space between two characters that are
-not white space always begins a piece. So a text may be cut there and its parts encoded alone; parts that come again
-are looked up. The merges are run by tiktoken on the ranks that belong to the tokenizer file; the tests hold the ids
-against the tokenizers library. A text that holds the name of a special token goes to that library as a whole.
+The merges are run by tiktoken on the ranks that belong to the tokenizer file; the tests hold the ids against the
+tokenizers library. A text that holds the name of a special token goes to that library.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-import re
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 VOCABULARY = "byte_bpe_50k.json"
 SPECIAL = "<|endoftext|>"
-CACHED = 300_000  # parts kept by a worker before it starts anew
-LONGEST = 64  # characters of a part that is kept
-
-_cut = re.compile(r"(?<=\S)(?= \S)").split
-
-
-class _Parts(dict):
-    """Ids of the parts of texts, as bytes of little-endian unsigned 16-bit numbers."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.encode(part), dtype="<u2").tobytes()
-        if len(part) <= LONGEST:
-            if len(self) >= CACHED:
-                self.clear()
-            self[part] = ids
-        return ids
 
 
 class Encoder:
@@ -52,20 +29,27 @@ class Encoder:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         if max(ranks.values()) > 65_535:
             raise ValueError("ids of this vocabulary need more than 16 bits")
-        merges = tiktoken.Encoding(vocabulary, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.parts = _Parts(merges.encode_ordinary)
+        self.plain = tiktoken.Encoding(vocabulary, pat_str=public.PATTERN, mergeable_ranks=ranks,
+                                       special_tokens={}).encode_ordinary
         self.whole = None
 
-    def ids(self, text: str | None) -> bytes:
-        """The ids of the text as little-endian unsigned 16-bit numbers; none for a null."""
+    def ids(self, text: str | None) -> array:
+        """The ids of the text as unsigned 16-bit numbers; none for a null."""
         if not text:
-            return b""
-        if SPECIAL in text:
-            if self.whole is None:
-                from tokenizers import Tokenizer
-                self.whole = Tokenizer.from_file(self.file)
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        return b"".join(map(self.parts.__getitem__, _cut(text)))
+            return array("H")
+        if SPECIAL not in text:
+            return array("H", self.plain(text))
+        if self.whole is None:
+            from tokenizers import Tokenizer
+            self.whole = Tokenizer.from_file(self.file)
+        return array("H", self.whole.encode(text, add_special_tokens=False).ids)
+
+    def raw(self, text: str | None) -> bytes:
+        """The ids as little-endian bytes."""
+        ids = self.ids(text)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 @lru_cache(maxsize=2)
