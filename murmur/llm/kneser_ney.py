@@ -34,14 +34,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.llm.store import new_folder
 
 TOKENS = 2_000_000  # tokens that a task counts at a time
 SCORED_TOKENS = 700_000  # tokens that a task scores at a time
-SHARDS_PER_PARTITION = 4
 HOT_SAMPLE = 2000  # documents
 HOT_WORDS = 1000
 HOT_SHARE = 0.0005  # of the sample's tokens
@@ -66,16 +65,28 @@ def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return x ^ (x >> _TURN)
 
 
-def _pair_shard(first: np.ndarray, second: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
+def shards_of(spark: SparkSession, partitions: int) -> list[int]:
+    """A number for each partition that Spark's hash deals there, so every task gets one shard, and a stage sends as many
+    blobs as it has tasks and shards."""
+    n = 20 * partitions + 200
+    while True:
+        rows = (spark.range(n).select("id", F.pmod(F.hash("id"), F.lit(partitions)).alias("p")).groupBy("p")
+                .agg(F.min("id").alias("id")).collect())
+        if len(rows) == partitions:
+            return [r["id"] for r in rows]
+        n *= 2
+
+
+def _pair_shard(first: np.ndarray, second: np.ndarray, hot: np.ndarray, shards: np.ndarray) -> np.ndarray:
     key = first * _MIX
     if len(hot):
         part = (second >> np.uint64(7)) % np.uint64(SPLIT) + np.uint64(1)
         key = key + np.where(np.isin(first, hot), part * _MIX, np.uint64(0))
-    return ((key ^ (key >> _TURN)) * _MIX >> np.uint64(33)) % np.uint64(shards)
+    return shards[((key ^ (key >> _TURN)) * _MIX >> np.uint64(33)) % np.uint64(len(shards))]
 
 
-def _word_shard(words: np.ndarray, shards: int) -> np.ndarray:
-    return (words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)  # in the order of the hashes
+def _word_shard(words: np.ndarray, shards: np.ndarray) -> np.ndarray:
+    return shards[(words >> np.uint64(32)) % np.uint64(len(shards))]
 
 
 class _Numbers(dict):
@@ -146,7 +157,7 @@ def _sent(shard: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _BLOB)], schema=_BLOB)
 
 
-def _pairs(hot: np.ndarray, shards: int):
+def _pairs(hot: np.ndarray, shards: np.ndarray):
     """Texts to blobs of (first word, second word, count) by shard."""
     def task(batches):
         numbers, held, n = _Numbers(), [], 0
@@ -162,7 +173,7 @@ def _pairs(hot: np.ndarray, shards: int):
             pairs = pairs[at]
             first, second = hashes[pairs >> np.uint64(32)], hashes[pairs & np.uint64(0xFFFFFFFF)]
             del pairs, at
-            shard = _pair_shard(first, second, hot, shards).astype(np.uint32)
+            shard = _pair_shard(first, second, hot, shards)
             order = np.argsort(shard, kind="stable").astype(np.uint32)
             yield from _sent(shard[order], first, second, count, order)
 
@@ -204,7 +215,7 @@ def _put(folder: str, name: str, data: bytes) -> None:
     files.move(own, f"{path}/{name}")
 
 
-def _added_pairs(folder: str, word_shards: int):
+def _added_pairs(folder: str, shards: np.ndarray):
     """Shards of pairs: stores each, and sends on what it knows of words. Counts of counts travel under shard -1."""
     def task(batches):
         for shard, blobs in _shards_of(batches):
@@ -226,8 +237,9 @@ def _added_pairs(folder: str, word_shards: int):
             zero = np.zeros(len(w), np.uint64), np.zeros(len(u), np.uint64)
             words = _sums(np.concatenate([u, w]), *(np.concatenate([a, zero[0]]) for a in (c, one, two, many)),
                           np.concatenate([zero[1], left]))
-            yield from _sent(_word_shard(words[0], word_shards), words[0],
-                             *(np.asarray(a, "<u8") for a in words[1:]), np.arange(len(words[0])))
+            to = _word_shard(words[0], shards)
+            order = np.argsort(to, kind="stable")
+            yield from _sent(to[order], words[0], *(np.asarray(a, "<u8") for a in words[1:]), order)
     return task
 
 
@@ -280,11 +292,10 @@ def _hot(texts: DataFrame, ids: DataFrame) -> list[int]:
 
 
 class Model:
-    """Where the arrays lie, how many shards there are, and the totals. Small: it goes to the workers with the task."""
+    """Where the arrays lie, the numbers of the shards, and the totals. Small: it goes to the workers with the task."""
 
-    def __init__(self, folder: str, pair_shards: int, word_shards: int, hot: list[int], totals: dict[str, int]):
-        self.folder, self.pair_shards, self.word_shards, self.hot = folder, pair_shards, word_shards, hot
-        self.totals = totals
+    def __init__(self, folder: str, shards: np.ndarray, hot: list[int], totals: dict[str, int]):
+        self.folder, self.shards, self.hot, self.totals = folder, shards, hot, totals
         n = totals
         self.pair_discounts = discounts(n["n1"], n["n2"], n["n3"], n["n4"])
         self.word_discounts = discounts(n["m1"], n["m2"], n["m3"], n["m4"])
@@ -308,7 +319,7 @@ def trained(docs: DataFrame, folder: str | None = None) -> Model:
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "kneser-ney")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = SHARDS_PER_PARTITION * partitions
+    shards = np.array(shards_of(spark, partitions), np.int64)
     h = F.xxhash64(F.col("doc_id").cast("string")).alias("h")
     hot = _hot(docs.select(h, "text"), docs.select(h))
     pairs = docs.select("text").mapInArrow(_pairs(np.array(hot, np.uint64), shards), "shard long, blob binary")
@@ -317,7 +328,7 @@ def trained(docs: DataFrame, folder: str | None = None) -> Model:
     totals = (words.repartition(partitions, "shard").sortWithinPartitions("shard")
               .mapInArrow(_added_words(folder), ", ".join(f"{t} long" for t in _TOTALS))
               .agg(*[F.coalesce(F.sum(t), F.lit(0)).alias(t) for t in _TOTALS]).first().asDict())
-    return Model(folder, shards, shards, hot, totals)
+    return Model(folder, shards, hot, totals)
 
 
 @lru_cache(maxsize=4096)
@@ -365,7 +376,7 @@ def score_texts(model: Model, numbers: _Numbers, parts: list[np.ndarray]) -> dic
     """Of each text, given in numbers: n_tokens, n_known, base_score and score."""
     hashes = numbers.hashes()
     c, one, two, many, left = (a.astype(np.float64) for a in _found(
-        model, "words", _WORD_KINDS, hashes, _word_shard(hashes, model.word_shards)))
+        model, "words", _WORD_KINDS, hashes, _word_shard(hashes, model.shards)))
 
     D, d = model.pair_discounts, model.word_discounts
     lower = np.maximum(left - d[np.minimum(left, 3).astype(np.int64)], 0) / max(model.totals["pairs"], 1) + model.uniform
@@ -383,7 +394,7 @@ def score_texts(model: Model, numbers: _Numbers, parts: list[np.ndarray]) -> dic
     del pairs, order, new
     u, w = (different >> np.uint64(32)).astype(np.int64), (different & np.uint64(0xFFFFFFFF)).astype(np.int64)
     both, = _found(model, "pairs", _PAIR_KINDS, _pair_hash(hashes[u], hashes[w]),
-                   _pair_shard(hashes[u], hashes[w], np.array(model.hot, np.uint64), model.pair_shards))
+                   _pair_shard(hashes[u], hashes[w], np.array(model.hot, np.uint64), model.shards))
     both = both.astype(np.float64)
     chance = (np.maximum(both - D[np.minimum(both, 3).astype(np.int64)], 0) / np.maximum(c[u], 1)
               + given[u] * lower[w])
