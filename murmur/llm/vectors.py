@@ -26,7 +26,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm.graph import components, joined_labels
@@ -39,13 +39,19 @@ LEAST_PIVOTS, MOST_PIVOTS = 32, 4096
 BLOCK = 2000
 
 
+def _vector(df: DataFrame) -> Column:
+    """The embedding as it is stored, with one zero for both signs. Floats stay floats on their way through shuffles;
+    the cosine is computed in doubles."""
+    kind = df.schema["embedding"].dataType.elementType
+    return F.transform("embedding", lambda x: x + F.lit(0).cast(kind))
+
+
 def _usable(df: DataFrame) -> DataFrame:
-    """label, vector (array<double>) and how many there are, of equal vectors one row; numbered by `node`."""
-    vector = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))  # one zero for both signs
+    """vec_id, label and vector of the rows that may have links."""
     fit = (F.col("label").isNotNull() & (F.size("vector") > 0)
            & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
            & F.exists("vector", lambda x: x != 0))
-    return df.select("vec_id", "label", vector.alias("vector")).filter(fit)
+    return df.select("vec_id", "label", _vector(df).alias("vector")).filter(fit)
 
 
 def pivots(entries: DataFrame, count: int) -> dict[int, np.ndarray]:
@@ -59,7 +65,8 @@ def pivots(entries: DataFrame, count: int) -> dict[int, np.ndarray]:
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
-    rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # so no square is too large or too small
+    rows = rows.astype(np.float64)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)  # so no square is too large or too small
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
@@ -147,7 +154,8 @@ def linked(entries: DataFrame, cosine: float = COSINE, prefix: int = PREFIX, sha
     reference = pivots(entries, pivot_count(largest))
     described = written(entries.mapInPandas(
         _describer(reference, prefix),
-        f"node long, label {dict(entries.dtypes)['label']}, vector array<double>, copies long, pivots array<int>")
+        f"node long, label {dict(entries.dtypes)['label']}, vector {dict(entries.dtypes)['vector']}, copies long, "
+        "pivots array<int>")
         .withColumn("length", F.size("vector")), "vectors-described")
     listed = described.withColumn("pivot", F.explode("pivots"))
     lists = written(listed.groupBy("label", "length", "pivot").agg(F.count(F.lit(1)).alias("n")), "vectors-lists")
@@ -177,8 +185,7 @@ def grouped(vectors: DataFrame, cosine: float = COSINE, prefix: int = PREFIX, sh
     names = of_entries.groupBy("root").agg(F.min("first").alias("component_id"))
     named = written(of_entries.join(names, "root").select(
         F.col("label").alias("l"), F.col("vector").alias("v"), "n_links", "component_id"), "vectors-named")
-    rows = vectors.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
-                          .alias("vector"))
+    rows = vectors.select("vec_id", "label", _vector(vectors).alias("vector"))
     return rows.join(named, (F.col("label") == F.col("l")) & (F.col("vector") == F.col("v")), "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")
