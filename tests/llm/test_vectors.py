@@ -96,6 +96,23 @@ def test_recall_of_the_index(spark):
     assert all(g[1] <= by[g[0]] for g in got)
 
 
+@pytest.mark.parametrize("d, cosine", [(32, 0.95), (64, 0.94), (64, 0.98)])
+def test_recall_of_a_dense_group(spark, d, cosine):
+    """A third of the rows of a label are near one centre; their links are counted in matrices."""
+    rng = np.random.default_rng(d)
+    centre = rng.normal(size=d)
+    centre /= np.linalg.norm(centre)
+    noise = rng.normal(size=(1400, d))
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    all_rows = np.vstack([np.sqrt(cosine) * centre + np.sqrt(1 - cosine) * noise, rng.normal(size=(2800, d))])
+    all_rows = all_rows.astype(np.float32)[rng.permutation(4200)]
+    unit = all_rows.astype(float) / np.linalg.norm(all_rows.astype(float), axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    got = {r[0]: r[1] for r in result(vectors.grouped(table(spark, [(k, v.tolist(), 1) for k, v in enumerate(all_rows)])))}
+    found = np.array([got[k] for k in range(4200)])
+    assert want.sum() > 100_000 and (found <= want).all() and found.sum() >= 0.99 * want.sum()
+
+
 def test_empty_and_unusable_tables(spark):
     assert vectors.grouped(table(spark, [])).count() == 0
     rows = [(1, None, None), (2, [0.0], 1)]
