@@ -1,8 +1,9 @@
 """Secrets in texts: three fixed patterns, and character models of random strings against ordinary identifiers.
 
 The models are Markov chains of first order over the characters of identifiers, one counted from random strings and one
-from ordinary words. A run of such characters that no pattern has found is a secret where the logarithm of the
-likelihood ratio, per step, is at least LEAST_RATIO. The labelled samples are bounded: SAMPLE documents with the least
+from ordinary words. What the patterns find is cut out of the runs of such characters, and a part that is left is a
+secret where the logarithm of the likelihood ratio is at least LEAST_RATIO per step; a part of fewer than SURE_STEPS
+needs a larger sum, by as much as it is shorter, and no length is left out. The labelled samples are bounded: SAMPLE documents with the least
 hash of their id. What the patterns find there is random, together with RANDOM strings drawn by a seeded generator
 from the alphabets of keys, so a corpus without secrets trains too; all other runs of the sample are ordinary. Pairs
 of characters are counted in Spark, and the driver gets at most two counts for each pair of the alphabet.
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "random")
 BASE_KINDS = KINDS[:3]
-MIN_RUN = 20
-LEAST_RATIO = 0.5  # natural logarithm, mean over the steps of a run
+LEAST_RATIO = 0.5  # natural logarithm, mean over the steps of a part
+SURE_STEPS = 19  # from here on the mean decides
 SAMPLE = 2000
 RANDOM = 3000
 SEED = 20
@@ -44,9 +45,8 @@ _MIN_VALUE = 6
 _KEYS = ("password", "passwd", "secret", "token", "api")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 _WORDS = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
-_PLACE = np.full(128, -1, np.int64)
+_PLACE = np.full(129, -1, np.int64)  # the last place stands for all that is not ASCII
 _PLACE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 _N = len(ALPHABET)
 
@@ -72,18 +72,21 @@ def _steps(run: str) -> np.ndarray:
 
 
 def spans_of(text: str | None, ratio: np.ndarray, least: float = LEAST_RATIO) -> list[tuple[int, int, int]]:
-    """The spans of the patterns, and the runs outside them that the models take for random."""
+    """The spans of the patterns, and the parts of runs outside them that the models take for random."""
     if not text:
         return []
     found = base_spans(text)
-    more = []
-    for m in _RUN.finditer(text):
-        a, b = m.span()
-        if any(start < b and a < end for start, _, end in found):
-            continue
-        steps = ratio[_steps(m.group())]
-        if steps.mean() >= least:
-            more.append((a, 3, b))
+    at = _PLACE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 128)]
+    for start, _, end in found:
+        at[start:end] = -1
+    inside = np.concatenate([[False], at >= 0, [False]])
+    starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    joined = inside[1:-2] & inside[2:-1]
+    sums = np.concatenate([[0.0], np.cumsum(np.where(joined, ratio[at[:-1] * _N + at[1:]], 0.0))])
+    steps = ends - starts - 1
+    needed = least * np.maximum(steps, SURE_STEPS ** 2 / np.maximum(steps, 1))
+    random = sums[ends - 1] - sums[starts] >= needed
+    more = [(a, 3, b) for a, b in zip(starts[random].tolist(), ends[random].tolist())]
     return sorted(found + more) if more else found
 
 
