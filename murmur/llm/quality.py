@@ -10,6 +10,10 @@ same in nearly all texts does not reject the next value. A pair of language and
 takes the fences of its language, a language with fewer those of all. The fences are joined to the texts, and a text
 beyond one of them is rejected. Only texts that pass the base rules are counted.
 
+SPREAD lets the lower fence of word_length fall below any text where the quartile is under 700, as in most spaced
+languages, so a text of single letters is within it. `floor` is a percentage of the lower quartile that a lower fence does
+not go below; `judged` has none unless it is given, `accepted` takes FLOOR.
+
 Everything is a DataFrame expression. A text never leaves its row: windows of a text are compared by a 64-bit hash
 inside the row, and only the measures are shuffled, as counts.
 
@@ -34,6 +38,7 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MIN_DOCS = 50
 REACH = 3
+FLOOR = 50  # percent of the lower quartile
 #: name: (numerator, factor, denominator, least interquartile range, lower fence, upper fence)
 MEASURES = {
     "symbols": ("n_symbols", 1000, "n_words", 30, False, True),
@@ -113,7 +118,7 @@ def sketches(measured: DataFrame) -> DataFrame:
             .groupBy("lang", "source", "m.measure", "m.step").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
+def _fences(sketch: DataFrame, keys: list[str], floor: int) -> DataFrame:
     """Low and high fence of every measure, and the number of texts, one row for each value of the keys."""
     by = [*keys, "measure"]
     merged = sketch.groupBy(*by, "step").agg(F.sum("n").alias("n"))
@@ -126,19 +131,20 @@ def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     for name, (_, _, _, spread, low, high) in MEASURES.items():
         here = F.col("measure") == name
         reach = REACH * F.greatest(F.col("q3") - F.col("q1"), F.lit(spread))
-        columns.append(F.max(F.when(here, F.col("q1") - reach if low else F.lit(-1).cast("long"))).alias(f"low_{name}"))
+        lowest = F.greatest(F.col("q1") - reach, F.expr(f"q1 * {floor} div 100"))
+        columns.append(F.max(F.when(here, lowest if low else F.lit(-1).cast("long"))).alias(f"low_{name}"))
         columns.append(F.max(F.when(here, F.col("q3") + reach if high else F.lit(2 ** 62))).alias(f"high_{name}"))
     return ends.groupBy(*keys).agg(*columns) if keys else ends.agg(*columns)
 
 
-def thresholds(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def thresholds(sketch: DataFrame, min_docs: int = MIN_DOCS, floor: int = 0) -> DataFrame:
     """One row for each language and source with the fences that hold for it."""
     bounds = [f"{side}_{name}" for name in MEASURES for side in ("low", "high")]
     pairs, langs = (
-        _fences(sketch, keys).select(*[F.col(c).alias(f"k{k}_{c}") for c in keys],
+        _fences(sketch, keys, floor).select(*[F.col(c).alias(f"k{k}_{c}") for c in keys],
                                      F.struct("docs", *bounds).alias(f"f{k}"))
         for k, keys in enumerate((["lang", "source"], ["lang"])))
-    row = _fences(sketch, []).first().asDict()  # the fences of all texts: one row
+    row = _fences(sketch, [], floor).first().asDict()  # the fences of all texts: one row
     every = F.struct(*[F.lit(row[c]).cast("long").alias(c) for c in ("docs", *bounds)])
     joined = pairs.join(langs, F.col("k0_lang").eqNullSafe(F.col("k1_lang")), "left")
     chosen = (F.when(F.col("f0.docs") >= min_docs, F.col("f0")).when(F.col("f1.docs") >= min_docs, F.col("f1"))
@@ -147,10 +153,11 @@ def thresholds(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
                          chosen.alias("fence"))
 
 
-def judged(docs: DataFrame, min_docs: int = MIN_DOCS, keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
+def judged(docs: DataFrame, min_docs: int = MIN_DOCS, keep: tuple[str, ...] = ("doc_id", "lang", "source"),
+           floor: int = 0) -> DataFrame:
     """The features of every document with `kept`: it passes the base rules and lies within all fences."""
     measured = written(features(docs, keep), "quality-features")
-    fences = written(thresholds(sketches(measured), min_docs), "quality-fences")
+    fences = written(thresholds(sketches(measured), min_docs, floor), "quality-fences")
     joined = measured.join(fences, measured["lang"].eqNullSafe(fences["t_lang"])
                            & measured["source"].eqNullSafe(fences["t_source"]), "left")
     beyond = reduce(or_, [(value < F.col(f"fence.low_{name}")) | (value > F.col(f"fence.high_{name}"))
@@ -159,8 +166,8 @@ def judged(docs: DataFrame, min_docs: int = MIN_DOCS, keep: tuple[str, ...] = ("
     return joined.withColumn("kept", kept).drop("t_lang", "t_source", "fence")
 
 
-def accepted(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def accepted(docs: DataFrame, min_docs: int = MIN_DOCS, floor: int = FLOOR) -> DataFrame:
     """The rows of the documents that the rules accept, with all their columns. Rows are told apart by a number
     written beside them, so equal ids do no harm."""
     numbered = docs.select("text", "lang", "source", F.struct("*").alias("_row"))
-    return judged(numbered, min_docs, ("lang", "source", "_row")).filter("kept").select("_row.*")
+    return judged(numbered, min_docs, ("lang", "source", "_row"), floor).filter("kept").select("_row.*")

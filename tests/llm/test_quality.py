@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -58,6 +59,15 @@ def test_sketches_merge_by_adding(spark):
     assert sorted(map(tuple, merged)) == sorted(map(tuple, both))
 
 
+def test_a_text_of_single_letters_is_rejected(spark):
+    rows = [(k, prose(k, 60), "en", "a") for k in range(80)]
+    letters = random.Random(4).choices("abcdefghijklmnopqrstuvwxyz", k=120)
+    rows += [(200, " ".join(letters), "en", "a"), (201, " ".join(x + "ation" for x in letters[:30]), "en", "a"),
+             (202, "We go up to see it as the sun sets over old hill towns", "en", "a")]
+    kept = {r.doc_id for r in quality.accepted(docs(spark, rows)).collect()}
+    assert kept == {*range(80), 201, 202}
+
+
 def test_accepted_passes_rows_on(spark):
     rows = odd_rows() + [(30 + k, prose(k, 60), "en", "a") for k in range(60)]
     df = docs(spark, rows)
