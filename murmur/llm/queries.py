@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import kneser_ney, mixing, packing, quality, rollups, secret_scan, sharding, simhash, urls, vectors
+from murmur.llm import (hard_negatives, kneser_ney, mixing, packing, quality, rollups, secret_scan, sharding, simhash, urls,
+                        vectors)
 from murmur.llm.store import new_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +210,31 @@ SELECT doc_id, size, source_size, target, CAST(size * whole
 """)
 def op10_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents")).select("doc_id", *mixing.RESULT)
+
+
+@query("op11_hard_negatives", r"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r AND len(a.q) = len(b.q)),
+p AS (
+  SELECT a, anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST) AS place FROM s WHERE same),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.a, place ORDER BY s.score DESC, s.vec_id NULLS LAST) AS INT) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+  WHERE place <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+""")
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    items = table(spark, folder, "embeddings").select(
+        "vec_id", moved.alias("label"), hard_negatives.quantised(F.col("embedding")).alias("vector"),
+        (F.col("vec_id") % 100 == 0).alias("anchor"))
+    return hard_negatives.mined(items).drop("positive_rank")

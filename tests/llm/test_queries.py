@@ -34,6 +34,7 @@ COLUMNS = {
     "op8": "page_id bigint, host string, path string, rule string, verdict string",
     "op9": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
     "op10": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op11": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
 }
 
 
