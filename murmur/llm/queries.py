@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import (hard_negatives, kneser_ney, mixing, packing, quality, rollups, secret_scan, sharding, simhash, urls,
-                        vectors)
+from murmur.llm import (alignment, hard_negatives, kneser_ney, mixing, packing, quality, rollups, secret_scan, sharding, simhash,
+                        urls, vectors)
 from murmur.llm.store import new_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,3 +238,10 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
         "vec_id", moved.alias("label"), hard_negatives.quantised(F.col("embedding")).alias("vector"),
         (F.col("vec_id") % 100 == 0).alias("anchor"))
     return hard_negatives.mined(items).drop("positive_rank")
+
+
+@query("op12_aligned_tokens")
+def op12_aligned_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """SQL has no tokenizer: tested byte by byte."""
+    return alignment.compared(table(spark, folder, "documents")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
