@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import (alignment, hard_negatives, kneser_ney, mixing, packing, quality, rollups, secret_scan, sharding, simhash,
-                        urls, vectors)
+from murmur.llm import (alignment, hard_negatives, kneser_ney, mixing, packing, quality, rollups, sanitisation, secret_scan,
+                        sharding, simhash, urls, vectors)
 from murmur.llm.store import new_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -245,3 +245,17 @@ def op12_aligned_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """SQL has no tokenizer: tested byte by byte."""
     return alignment.compared(table(spark, folder, "documents")).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op13_disclosing_terms")
+def op13_disclosing_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """SQL gives no places of matches: tested against plain loops."""
+    found = sanitisation.scanned(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    return found.select("doc_id", *[number(k) for k in sanitisation.BASE_KINDS],
+                        F.sha2(sanitisation.written_spans(base), 256).alias("base_sha256"),
+                        sanitisation.written_spans(F.col("spans")).alias("spans"), number("term"))
