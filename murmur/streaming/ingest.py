@@ -6,8 +6,8 @@ title) to every batch: a message's own id counts if that store has it, else the
 stub event.
 
 Scores follow the batch. Beside its rows a batch of comments leaves the change of score sum and count for every event
-it touches; a comment that comes again takes off what it had added before. For that a batch looks at the earlier rows
-of its own comments, in the buckets where they lie, and at nothing else.
+it touches; a comment that comes again takes off what it had added before. For that a batch looks up the earlier rows of
+its own comments by their keys (tables.earlier_rows), and of the known titles only those that it names.
 """
 
 from __future__ import annotations
@@ -66,12 +66,8 @@ def changes(spark: SparkSession, root: str, rows: DataFrame, epoch: int) -> Data
     for the event it was first placed in, with its last score. Rows of this epoch or a later one are not looked at, so
     a replay gives the same changes."""
     score = numbers.wide_score(F.col("sentiment_score"))
-    placed = rows.withColumn("_bucket", tables.bucket("comment_id"))
-    touched = [r[0] for r in placed.select("_bucket").distinct().collect()]  # at most BUCKETS numbers
-    log = tables.read_texts_log(spark, root, "comments").filter(F.col("bucket").isin(touched))
-    log = log.filter((F.col("source") != "comment") | (F.col("epoch") < epoch))
-    log = log.select("comment_id", "event_id", "sentiment_score", "at").join(
-        rows.select("comment_id"), "comment_id", "left_semi")
+    log = (tables.earlier_rows(spark, root, "comments", rows, "comment", epoch)
+           .select("comment_id", "event_id", "sentiment_score", "at"))
     old = (tables.merged(log, "comment_id", ["event_id"], ["sentiment_score"], F.col("at"))
            .select("comment_id", F.col("event_id").alias("_event"), score.alias("_old")))
     new = rows.select("comment_id", "event_id", score.alias("_new")).join(old, "comment_id", "left")
@@ -84,23 +80,32 @@ def changes(spark: SparkSession, root: str, rows: DataFrame, epoch: int) -> Data
 
 def save_events(batch: DataFrame, epoch: int, root: str) -> None:
     order = F.struct("crawl_time", "heat", "sentiment_score")
-    last = tables.merged(batch, "title", [], ["heat", "crawl_time", "sentiment_score"], order)
-    tables.write_epoch(last.withColumn("told", F.lit(True)), f"{root}/events", "event", epoch)
+    last = tables.merged(batch, "title", [], ["heat", "crawl_time", "sentiment_score"], order).persist()
+    try:
+        known = tables.known_titles(batch.sparkSession, root, last.select(F.col("title").alias("hot_title")), "event", epoch)
+        tables.write_epoch(last.withColumn("told", F.lit(True)), f"{root}/events", "event", epoch)
+        tables.write_titles(last.join(known, F.col("title") == F.col("hot_title"), "left_anti"), root, "event", epoch)
+    finally:
+        last.unpersist()
 
 
 def save_texts(batch: DataFrame, epoch: int, root: str, kind: str, known: Known | None = None) -> None:
     """One batch of articles or comments: reduce, resolve, add stubs, upsert, change the score sums."""
     spark, table = batch.sparkSession, f"{kind}s"
-    batch = batch.persist()
+    events = known(spark) if known else None
+    batch = batch if events is None else batch.persist()  # else it is read once, into rows
     try:
-        events = known(spark) if known else None
-        titles = tables.known_titles(spark, root, kind, epoch) if events is None else event_titles(events)
         rows = tables.reduced(resolved(batch, events), table).persist()
         named = rows.filter(F.col("event_id") == F.xxhash64("hot_title"))  # those no other store has placed
-        tables.write_epoch(stub_events(named, titles).withColumn("told", F.lit(False)), f"{root}/events", kind, epoch)
+        titles = (tables.known_titles(spark, root, titles_of(named), kind, epoch) if events is None
+                  else event_titles(events))
+        stubs = stub_events(named, titles).withColumn("told", F.lit(False)).persist()
+        tables.write_epoch(stubs, f"{root}/events", kind, epoch)
+        tables.write_titles(stubs, root, kind, epoch)
         if kind == "comment":
             tables.write_epoch(changes(spark, root, rows, epoch), f"{root}/event_sums", kind, epoch)
         tables.write_texts(rows, root, table, kind, epoch)
+        stubs.unpersist()
         rows.unpersist()
     finally:
         batch.unpersist()
@@ -149,7 +154,8 @@ def run(spark: SparkSession, sources: dict[str, DataFrame], root: str, checkpoin
 
 
 def save_rank(batch: DataFrame, epoch: int, root: str) -> None:
-    tables.write_epoch(batch, f"{root}/rank", "rank", epoch)
+    named = batch.withColumn("taken", tables.taken(F.col("crawl_time")))
+    tables.write_epoch(named, f"{root}/rank", "rank", epoch, "taken")
 
 
 def start_rank(messages: DataFrame, root: str, checkpoint: str, available_now: bool = False,

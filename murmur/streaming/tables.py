@@ -4,16 +4,22 @@ Each micro-batch writes one folder `source=<stream>/epoch=<n>` holding one row p
 replaces its folder, so a replay changes nothing; the cost of a write follows the batch, not the table. Reading
 merges the rows of a key: columns of the first insert keep their first value, the others take the last one.
 
+Files of articles and comments are sorted by key, carry a Bloom filter of it, and have small pages with an index, so the
+rows of a batch's keys are found by a filter on the key: files without such a key are left out after a look at their filter,
+and of the others only the pages that may hold one are read. Titles that have an event are a log of their own, one row for
+each at the time it was new, in folders by hash; a batch opens the folders of its own titles.
+
 `compact` puts all epochs of a log into one, in place. It first notes which epochs it replaces and then writes the new
 one; from the moment that is complete, readers leave the replaced ones out, whether or not their folders are gone.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,17 +41,35 @@ SUM_LOG = T.StructType([T.StructField("id", T.LongType()), T.StructField("total"
                         T.StructField("n", T.LongType())])
 RANK_LOG = T.StructType([f if f.name != "crawl_time" else T.StructField("crawl_time", T.TimestampNTZType())
                          for f in schemas.RANK_MESSAGE.fields])
-BUCKETS = 64  # folders of an epoch of comments, by comment
+TITLE_LOG = T.StructType([T.StructField("title", T.StringType())])
+SLOTS = 64  # folders of new titles, by hash
+FEW_KEYS = 5000  # keys of a batch that become a filter of the scan; more are joined
+PAGE_ROWS = 500  # rows of a page in files that are sorted by key
 COMPACTED = "compacted"
 _REPLACED = T.StructType([T.StructField("source", T.StringType()), T.StructField("epoch", T.LongType())])
 
 
-def bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+def slot(title: str) -> Column:
+    return F.pmod(F.xxhash64(title), F.lit(SLOTS)).cast("int")
+
+
+def taken(crawl_time: Column) -> Column:
+    """The name of a rank snapshot, in the order of time."""
+    return F.date_format(crawl_time, "yyyyMMddHHmmssSSSSSS")
+
 
+def keyed(df: DataFrame, key: str) -> DataFrameWriter:
+    """A writer of files in which rows can be looked up by a key. df is sorted by it within its partitions."""
+    return (df.write.option(f"parquet.bloom.filter.enabled#{key}", "true")
+            .option("parquet.bloom.filter.adaptive.enabled", "true")  # a filter as small as its keys allow, 512 bytes or more
+            .option(f"parquet.bloom.filter.candidates.number#{key}", "12")
+            .option(f"parquet.bloom.filter.fpp#{key}", "1e-6")  # so that thousands of keys seldom match by chance
+            .option(f"parquet.enable.dictionary#{key}", "false").option("parquet.page.row.count.limit", str(PAGE_ROWS)))
 
-def write_epoch(df: DataFrame, folder: str, source: str, epoch: int, by: str | None = None) -> None:
-    writer = df.write.mode("overwrite")
+
+def write_epoch(df: DataFrame, folder: str, source: str, epoch: int, by: str | None = None, key: str | None = None) -> None:
+    """Writes one epoch: in folders by a column, or in files that can be searched by a key."""
+    writer = (keyed(df.sortWithinPartitions(key), key) if key else df.write).mode("overwrite")
     (writer.partitionBy(by) if by else writer).parquet(f"{folder}/source={source}/epoch={epoch}")
 
 
@@ -76,7 +100,7 @@ def _folds(spark: SparkSession, folder: str) -> list[int]:
 def read_log(spark: SparkSession, folder: str, schema: T.StructType, by: str | None = None) -> DataFrame:
     """All epochs that count, with source, epoch and `at`, their order; empty before the first write."""
     parts = T.StructType([T.StructField("source", T.StringType()), T.StructField("epoch", T.LongType())]
-                         + ([T.StructField(by, T.IntegerType())] if by else []))
+                         + ([T.StructField(by, T.IntegerType() if by == "slot" else T.StringType())] if by else []))
     full = T.StructType(schema.fields + parts.fields)
     try:
         log = spark.read.schema(full).parquet(folder)
@@ -114,17 +138,22 @@ def reduced(rows: DataFrame, table: str) -> DataFrame:
     return merged(rows, key, first, last, order).select(*TABLES[table].names)
 
 
-def _by(table: str) -> str | None:
-    return "bucket" if table == "comments" else None
-
-
 def write_texts(rows: DataFrame, root: str, table: str, source: str, epoch: int) -> None:
-    kept = rows.withColumn("bucket", bucket(KEYS[table])) if _by(table) else rows
-    write_epoch(kept, f"{root}/{table}", source, epoch, _by(table))
+    write_epoch(rows, f"{root}/{table}", source, epoch, key=KEYS[table])
 
 
 def read_texts_log(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return read_log(spark, f"{root}/{table}", TABLES[table], _by(table))
+    return read_log(spark, f"{root}/{table}", TABLES[table])
+
+
+def earlier_rows(spark: SparkSession, root: str, table: str, rows: DataFrame, source: str, epoch: int) -> DataFrame:
+    """The rows of the log that have the key of one of `rows`, of epochs that the given one of a stream follows. Up to
+    FEW_KEYS keys go to the driver and into the scan, as a filter that Parquet applies to its files and pages."""
+    key = KEYS[table]
+    keys = rows.select(key).distinct()
+    wanted = [r[0] for r in keys.limit(FEW_KEYS + 1).collect()]
+    log = read_texts_log(spark, root, table).filter((F.col("source") != source) | (F.col("epoch") < epoch))
+    return log.filter(F.col(key).isin(wanted)) if len(wanted) <= FEW_KEYS else log.join(keys, key, "left_semi")
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -132,13 +161,22 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return merged(read_texts_log(spark, root, table), key, first, last, F.col("at")).select(*TABLES[table].names)
 
 
-def known_titles(spark: SparkSession, root: str, source: str, epoch: int) -> DataFrame:
-    """(hot_title, known_id) as the given epoch of a stream finds them: without that epoch's own stubs, so that a
-    replay sees what the first run saw and does not read the folder it replaces."""
-    log = read_log(spark, f"{root}/events", EVENT_LOG)
+def known_titles(spark: SparkSession, root: str, titles: DataFrame, source: str, epoch: int) -> DataFrame:
+    """(hot_title, known_id) of those of the titles (hot_title) that have an event, as the given epoch of a stream finds
+    them: without that epoch's own, so that a replay sees what the first run saw and does not read the folder it
+    replaces. The driver gets the numbers of the titles' folders, SLOTS at most."""
+    titles = titles.select("hot_title").distinct()
+    slots = [r[0] for r in titles.select(slot("hot_title")).distinct().collect()]
+    log = read_log(spark, f"{root}/titles", TITLE_LOG, "slot").filter(F.col("slot").isin(slots))
     before = log.filter((F.col("source") != source) | (F.col("epoch") < epoch))
-    titles = before.select(F.col("title").alias("hot_title")).distinct()
-    return titles.withColumn("known_id", F.xxhash64("hot_title"))
+    there = before.join(titles, F.col("title") == F.col("hot_title"), "left_semi").select(F.col("title").alias("hot_title"))
+    return there.distinct().withColumn("known_id", F.xxhash64("hot_title"))
+
+
+def write_titles(titles: DataFrame, root: str, source: str, epoch: int) -> None:
+    """Adds titles (title) that are new in this epoch."""
+    placed = titles.select("title").distinct().withColumn("slot", slot("title")).repartition("slot")
+    write_epoch(placed, f"{root}/titles", source, epoch, "slot")
 
 
 def _merged_events(spark: SparkSession, root: str) -> DataFrame:
@@ -179,19 +217,28 @@ def latest_snapshot(ranks: DataFrame) -> DataFrame:
     return ranks.filter(F.col("crawl_time") == ranks.agg(F.max("crawl_time")).scalar())
 
 
+def _ranks(spark: SparkSession, root: str) -> DataFrame:
+    return read_log(spark, f"{root}/rank", RANK_LOG, "taken").drop("source", "epoch", "at").distinct()
+
+
 def read_rank(spark: SparkSession, root: str) -> DataFrame:
-    return latest_snapshot(read_log(spark, f"{root}/rank", RANK_LOG).drop("source", "epoch", "at").distinct())
+    """The newest snapshot. The folders tell which that is, and only those of its time are read."""
+    ranks = _ranks(spark, root)
+    known = [m.group(1) for m in (re.search(r"/taken=(\d+)/", f) for f in ranks.inputFiles()) if m]
+    return (ranks.filter(F.col("taken") == max(known)) if known else ranks.filter(F.lit(False))).drop("taken")
 
 
-# How each log is read as one epoch. Of the rank log only the newest snapshot is kept.
+# How each log is read as one epoch.
 _WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "articles": lambda spark, root: read_table(spark, root, "articles"),
-    "comments": lambda spark, root: read_table(spark, root, "comments").withColumn("bucket", bucket("comment_id")),
+    "articles": lambda spark, root: read_table(spark, root, "articles").repartitionByRange("article_id"),
+    "comments": lambda spark, root: read_table(spark, root, "comments").repartitionByRange("comment_id"),
     "events": _merged_events,
     "event_sums": _merged_sums,
-    "rank": read_rank,
+    "rank": _ranks,
+    "titles": lambda spark, root: (read_log(spark, f"{root}/titles", TITLE_LOG, "slot").select("title", "slot")
+                                   .distinct().repartition("slot")),
 }
-_SCHEMAS = {**TABLES, "events": EVENT_LOG, "event_sums": SUM_LOG, "rank": RANK_LOG}
+_BY = {"titles": "slot", "rank": "taken"}
 
 
 def compact(spark: SparkSession, root: str, table: str) -> None:
@@ -209,6 +256,8 @@ def compact(spark: SparkSession, root: str, table: str) -> None:
         return
     number = max([0, *_folds(spark, folder)]) + 1
     spark.createDataFrame(present, _REPLACED).coalesce(1).write.mode("overwrite").parquet(f"{folder}_folds/fold={number}")
-    write_epoch(_WHOLE[table](spark, root), folder, COMPACTED, number, _by(table))
+    write_epoch(_WHOLE[table](spark, root), folder, COMPACTED, number, _BY.get(table), KEYS.get(table))
     for source, epoch in present:
         files.delete(f"{folder}/source={source}/epoch={epoch}")
+    if table == "events":  # then the titles: a replayed epoch makes no stub for a title once it is folded
+        compact(spark, root, "titles")

@@ -66,16 +66,108 @@ def test_text_tables_are_dealt_out_only_on_request(spark, t):
         spark.conf.set(TEXT_PARTS, set_)
 
 
-def test_a_batch_reads_only_the_buckets_it_touches(spark, t, tmp_path):
+def bytes_read(spark, action):
+    """What the file system has read more after an action."""
+    statistics = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getGlobalStorageStatistics()
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    settings.set("parquet.hadoop.vectored.io.enabled", "false")  # such reads are not counted
+    try:
+        before = statistics.get("file").getLong("bytesRead")
+        action()
+        return statistics.get("file").getLong("bytesRead") - before
+    finally:
+        settings.unset("parquet.hadoop.vectored.io.enabled")
+
+
+def comment_rows(spark, first, count, step=1):
+    """Comments of the stored form, by number."""
+    from murmur.streaming import tables
+    made = {"comment_id": F.sha1(F.col("id").cast("string")), "hot_title": F.lit("t"), "event_id": F.lit(1),
+            "content": F.repeat(F.sha1(F.col("id").cast("string")), F.lit(3)), "sentiment_score": F.lit(0.5)}
+    return spark.range(first, first + count * step, step).select("id", *[
+        made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in tables.schemas.COMMENTS])
+
+
+def test_a_batch_reads_what_it_needs_of_the_comments(spark, tmp_path):
+    """200 epochs of 1,000 comments; a batch of 1,000 of which 20 have come before, in 20 epochs."""
+    from murmur.streaming import ingest, tables
+    root = str(tmp_path / "tables")
+    log = comment_rows(spark, 0, 200_000).withColumn("source", F.lit("comment")).withColumn(
+        "epoch", F.floor(F.col("id") / 1000)).drop("id")
+    tables.keyed(log.repartition(8, "epoch").sortWithinPartitions("epoch", "comment_id"), "comment_id").partitionBy(
+        "source", "epoch").parquet(f"{root}/comments")
+    batch = comment_rows(spark, 0, 20, 10_007).unionByName(comment_rows(spark, 1_000_000, 980)).drop("id").persist()
+    assert batch.count() == 1000
+
+    def changed():
+        row = ingest.changes(spark, root, batch, 200).collect()
+        assert [(r.id, int(r.n)) for r in row] == [(1, 980)]  # the other 20 had the same score before
+
+    looked_up = bytes_read(spark, changed)
+    whole = bytes_read(spark, lambda: tables.read_texts_log(spark, root, "comments").select(
+        "comment_id", "event_id", "sentiment_score").write.format("noop").mode("overwrite").save())
+    p = plan(ingest.changes(spark, root, batch, 200))
+    assert "In(comment_id" in p and "ReadSchema: struct<event_id:bigint,comment_id:string,sentiment_score:decimal(4,3)>" in p
+    assert looked_up < whole / 3, (looked_up, whole)
+
+    files = spark.read.parquet(f"{root}/comments")  # rows that leave the scan: pages of the 20, nothing of other files
+    keys = [r[0] for r in batch.select("comment_id").collect()]
+    found = files.filter(F.col("comment_id").isin(keys))
+    found.collect()
+    assert rows_of_scan(found._jdf.queryExecution().executedPlan()) <= 20 * 2 * tables.PAGE_ROWS
+
+
+def rows_of_scan(node):
+    """How many rows the scan below a node has given."""
+    while not node.nodeName().startswith("Scan"):
+        node = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.children().head()
+    return node.metrics().apply("numOutputRows").value()
+
+
+def test_few_and_many_keys_find_the_same(spark, tmp_path, monkeypatch):
+    from murmur.streaming import tables
+    root = str(tmp_path / "tables")
+    for epoch in range(3):
+        tables.write_texts(comment_rows(spark, 50 * epoch, 100).drop("id"), root, "comments", "comment", epoch)
+    batch = comment_rows(spark, 60, 30).unionByName(comment_rows(spark, 500, 10)).drop("id")
+
+    def found():
+        return sorted((r.comment_id, r.epoch) for r in tables.earlier_rows(spark, root, "comments", batch, "comment", 2).collect())
+
+    few = found()
+    monkeypatch.setattr(tables, "FEW_KEYS", 5)
+    assert found() == few and len(few) == 60
+
+
+def test_a_batch_opens_the_folders_of_its_titles(spark, tmp_path):
+    from murmur.streaming import tables
+    root = str(tmp_path / "tables")
+    titles = spark.range(5000).select(F.concat(F.lit("title "), "id").alias("title"))
+    for epoch in range(2):
+        tables.write_titles(titles.filter(F.expr(f"length(title) % 2 = {epoch}")), root, "comment", epoch)
+    asked = titles.limit(10).unionByName(spark.createDataFrame([("new",)], "title string")).withColumnRenamed("title", "hot_title")
+    known = tables.known_titles(spark, root, asked, "comment", 2)
+    assert known.count() == 10
+    p = plan(known)
+    assert "PartitionFilters" in p and "slot" in p.split("PartitionFilters")[1].split("\n")[0]
+    slots = {r[0] for r in asked.select(tables.slot("hot_title")).collect()}
+    files = tables.read_log(spark, f"{root}/titles", tables.TITLE_LOG, "slot").filter(F.col("slot").isin(sorted(slots)))
+    assert files.rdd.getNumPartitions() <= 2 * 11 and len(slots) <= 11
+
+
+def test_the_newest_rank_snapshot_is_found_by_its_folder(spark, tmp_path):
     from murmur.streaming import ingest, tables
     root = str(tmp_path / "tables")
-    rows = t.comments.select(F.col("comment_id").cast("string").alias("comment_id"), F.lit("t").alias("hot_title"),
-                             *[F.lit(None).cast(f.dataType).alias(f.name) for f in tables.schemas.COMMENTS
-                               if f.name not in ("comment_id", "hot_title", "sentiment_score")],
-                             F.lit(0.5).cast(tables.schemas.SCORE).alias("sentiment_score"))
-    ingest.save_texts(rows, 0, root, "comment")
-    few = tables.reduced(ingest.resolved(rows.limit(2)), "comments")
-    p = plan(ingest.changes(spark, root, few, 1))
-    filters_ = [line for line in p.split("\n") if "PartitionFilters" in line and "bucket" in line]
-    assert filters_ and all("bucket" in line.split("PartitionFilters")[1] for line in filters_)
-    assert "ReadSchema: struct<event_id:bigint,comment_id:string,sentiment_score:decimal(4,3)>" in p
+    rows = "'t' AS title, 1 AS rank, CAST('u' AS STRING) AS url, 5L AS heat"
+    for epoch, day in enumerate((3, 9, 5)):
+        batch = spark.range(1).select(F.expr(f"TIMESTAMP_NTZ'2024-01-0{day} 10:00:00' AS crawl_time"), *[
+            F.expr(x) for x in rows.split(", ")])
+        ingest.save_rank(batch.select(*[F.col(f.name).cast(f.dataType) for f in tables.RANK_LOG]), epoch, root)
+    for _ in range(2):
+        newest = tables.read_rank(spark, root)
+        assert [str(r.crawl_time) for r in newest.collect()] == ["2024-01-09 10:00:00"]
+        p = plan(newest)
+        assert "taken" in p.split("PartitionFilters")[1].split("\n")[0] and "max(" not in p
+        tables.compact(spark, root, "rank")
+    every = tables.read_log(spark, f"{root}/rank", tables.RANK_LOG, "taken")
+    assert every.select("taken").distinct().count() == 3
