@@ -6,15 +6,18 @@ stays, found in a balanced tree of bins ordered by room. `pack` opens as few bin
 
 The packing runs over a bounded list, whatever the table: a group of at least 1/LARGE of all bytes is an item of its
 own, so there are at most LARGE of them, and the smaller groups are gathered by a hash of their text into SMALL items.
-A group larger than an even share gets a bin to itself, and the others are levelled without it.
+A group larger than an even share gets a bin to itself, and the others are levelled without it. With a capacity in place
+of a number of shards, the list grows with the number of shards: groups of at least 1/FINE of the capacity are items,
+and the smaller ones are gathered into bundles of a quarter of that on average, so few shards are left with room.
 
 Sizes and hashes are computed where a text lies; only those are shuffled, summed before the shuffle, so one text with a
-third of all rows is a few rows. Slots are numbered within chunks of a shard, by a hash of the row's id, and the chunks
-are laid end to end, so no task sorts a whole shard.
+third of all rows is a few rows. Slots are numbered within short stretches of the partitions that the rows lie in, and
+the stretches of a shard are laid end to end, so no task sorts a whole shard, and rows that are alike are no key.
 
 Defined results: a null text has size 1 and is in one group with no other text than null; null and repeated ids are
 rows like any others; rows that nothing tells apart get different slots; an empty table gives no rows; other columns
-are not read, whatever their names.
+are not read, whatever their names. A very long text is measured whole, in the JVM; groups of equal size are told apart
+by their place in the list, the large ones first, by hash.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from murmur.llm.store import written
 SHARDS = 8
 SMALL = 4096
 LARGE = 1024
-CHUNKS = 256
+PIECE_BITS = 14  # rows numbered together, as a power of two
+FINE = 16  # with a capacity, groups from a sixteenth of it on are items of their own
 
 
 class _Bin:
@@ -162,49 +166,74 @@ def _group() -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, the group of the text as 16 bytes, and the group's small item."""
+    """doc_id, size, text_crc32 and the group of the text as 16 bytes."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return (docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
-                        F.crc32(text).alias("text_crc32"), _group().alias("group"))
-            .withColumn("small", F.pmod(F.xxhash64("group"), F.lit(SMALL)).cast("int")))
+    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
+                       F.crc32(text).alias("text_crc32"), _group().alias("group"))
 
 
-def assigned(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of every row of docs (doc_id, text); the shards' bytes are near
-    equal, and equal texts share a shard."""
+def assigned(docs: DataFrame, shards: int = SHARDS, capacity: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of every row of docs (doc_id, text); equal texts share a shard. The bytes
+    of the shards are near equal; or, with a capacity, none holds more bytes, unless one group alone does, and they are as
+    few as best fit decreasing makes them."""
+    return slotted(placed(docs, shards, capacity).select("doc_id", "size", "text_crc32", "shard"))
+
+
+def placed(docs: DataFrame, shards: int = SHARDS, capacity: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, group and shard of every row of docs."""
     spark = docs.sparkSession
     rows = written(measured(docs), "shards-rows")
-    groups = written(rows.groupBy("group", "small").agg(F.sum("size").alias("bytes")), "shards-groups")
+    groups = written(rows.groupBy("group").agg(F.sum("size").alias("bytes")), "shards-groups")
     total = groups.agg(F.sum("bytes")).first()[0] or 0
-    large = groups.filter(F.col("bytes") * LARGE >= F.lit(total)).collect()  # at most LARGE
+    if capacity is None:
+        least, bundles = F.col("bytes") * LARGE >= F.lit(total), SMALL
+    else:
+        least, bundles = F.col("bytes") * FINE >= F.lit(capacity), max(1, 4 * FINE * total // capacity)
+    small = F.pmod(F.xxhash64("group"), F.lit(bundles)).cast("int")
+    large = groups.filter(least).orderBy("group").collect()  # at most LARGE, or FINE for each shard
     alone = spark.createDataFrame([(bytes(r["group"]), k) for k, r in enumerate(large)], "group binary, item int")
-    rest = (groups.join(alone, "group", "left_anti").groupBy("small").agg(F.sum("bytes").alias("bytes"))
-            .collect())  # at most SMALL
+    rest = (groups.join(alone, "group", "left_anti").groupBy(small.alias("small")).agg(F.sum("bytes").alias("bytes"))
+            .orderBy("small").collect())  # at most SMALL, or 4 * FINE for each shard
     sizes = [r["bytes"] for r in large] + [r["bytes"] for r in rest]
-    bins = level(sizes, shards)
+    bins = level(sizes, shards) if capacity is None else pack(sizes, capacity)
     own = spark.createDataFrame([(bytes(r["group"]), b) for r, b in zip(large, bins)], "group binary, own int")
     many = spark.createDataFrame([(r["small"], b) for r, b in zip(rest, bins[len(large):])], "small int, many int")
-    placed = (rows.join(own, "group", "left").join(many, "small", "left")
-              .select("doc_id", "size", "text_crc32", F.coalesce("own", "many").alias("shard"),
-                      F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(CHUNKS)).cast("int").alias("chunk")))
-    return slotted(placed)
+    return (rows.withColumn("small", small).join(own, "group", "left").join(many, "small", "left")
+            .select("doc_id", "size", "text_crc32", "group", F.coalesce("own", "many").alias("shard")))
 
 
 def slotted(placed: DataFrame) -> DataFrame:
-    """Rows (doc_id, size, text_crc32, shard, chunk) with a slot, counted without gaps from 0 in each shard."""
-    placed = written(placed, "shards-placed")
-    counts = placed.groupBy("shard", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    within = Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "size")
-    return (placed.withColumn("at", F.row_number().over(within)).join(starts, ["shard", "chunk"])
-            .withColumn("slot", (F.col("start") + F.col("at") - 1).cast("long")).drop("at", "start", "chunk"))
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """The documents as Parquet files below path, a folder for each shard. Rows are told apart by id and text."""
-    keys = assigned(docs, shards).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"),
-                                         "shard").distinct()
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    same = docs["doc_id"].eqNullSafe(keys["_id"]) & (F.crc32(text) == keys["_crc"])
-    docs.drop("shard").join(keys, same).drop("_id", "_crc").write.partitionBy("shard").parquet(path)
+    """Rows (doc_id, size, text_crc32, shard) with a slot, counted without gaps from 0 in each shard. The rows are
+    written in their partitions, and a row's number there says how many of its shard come before it: numbers are dealt
+    by a partition and shard at a time, so rows that are all alike are split like any others."""
+    numbered = written(placed.withColumn("_row", F.monotonically_increasing_id()), "shards-placed")
+    piece = F.shiftright("_row", PIECE_BITS)  # neighbours of one partition, 2^PIECE_BITS at most
+    counts = numbered.groupBy("shard", piece.alias("piece")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("part", F.shiftright("piece", 33 - PIECE_BITS))
+    parts = counts.groupBy("shard", "part").agg(F.sum("n").alias("all"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = parts.withColumn("begin", F.coalesce(F.sum("all").over(before), F.lit(0))).drop("all")
+    inside = Window.partitionBy("shard", "part").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (counts.withColumn("step", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(begins, ["shard", "part"])
+              .select("shard", "piece", (F.col("begin") + F.col("step")).alias("start")))
+    within = Window.partitionBy("shard", "piece").orderBy("_row")
+    return (numbered.withColumn("piece", piece).withColumn("at", F.row_number().over(within))
+            .join(starts, ["shard", "piece"])
+            .select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("at") - 1).cast("long").alias("slot")))
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, capacity: int | None = None) -> None:
+    """The documents as Parquet files below path, a folder for each shard; every row once, whatever its id. Equal texts
+    share a shard, so the 16 bytes of a text tell it."""
+    own, at = _free(docs, "group"), _free(docs, "shard")
+    keys = placed(docs, shards, capacity).groupBy(F.col("group").alias(own)).agg(F.first("shard").alias(at))
+    joined = docs.join(keys, _group() == F.col(own)).drop(own)
+    joined.drop("shard").withColumnRenamed(at, "shard").write.partitionBy("shard").parquet(path)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, or a longer one that docs has no column of."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -102,3 +102,51 @@ def test_written_shards_hold_every_row(spark):
     sharding.write_shards(docs(spark, rows), path)
     got = spark.read.parquet(path).select("doc_id", "text").collect()
     assert sorted(map(str, [(r.doc_id, r.text) for r in got])) == sorted(map(str, [r[:2] for r in rows]))
+
+
+def test_written_once_although_ids_are_null_and_checksums_meet(spark):
+    """Two texts with one CRC-32, both without an id."""
+    first, second = next(pair for pair in meeting())
+    rows = [(None, t, "en", "a") for t in (first, second, first, "other")] + [(1, first, "en", "a"), (1, first, "en", "a")]
+    path = new_folder(spark, "test")
+    table = docs(spark, rows).withColumnRenamed("fp", "group").withColumnRenamed("size", "group_")
+    sharding.write_shards(table, path)
+    back = spark.read.parquet(path)
+    assert sorted(str((r.doc_id, r.text)) for r in back.collect()) == sorted(str(r[:2]) for r in rows)
+    assert {"group", "group_"} <= set(back.columns)
+
+
+def meeting():
+    seen = {}
+    for k in range(400_000):
+        text = f"text {k * 2654435761 % (1 << 32):x} {k}"
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        if other != text:
+            yield other, text
+
+
+def test_slots_where_a_third_of_all_rows_are_alike(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE_BITS", 5)
+    rows = [(None, "same", "en", "a")] * 900 + [(k, prose(k, 8), "en", "a") for k in range(1800)]
+    check_slots = defaultdict(list)
+    got = sharding.assigned(docs(spark, rows)).collect()
+    for r in got:
+        check_slots[r.shard].append(r.slot)
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in check_slots.values())
+
+
+def test_no_shard_is_above_the_capacity(spark):
+    rng = random.Random(9)
+    rows = [(k, prose(k % 900, rng.choice([5, 20, 300])), "en", "a") for k in range(1500)]
+    for capacity in (20_000, 60_000):
+        got = sharding.assigned(docs(spark, rows), capacity=capacity).collect()
+        load, groups = defaultdict(int), defaultdict(set)
+        for r in got:
+            load[r.shard] += r["size"]
+            groups[r.text_crc32].add(r.shard)
+        total = sum(load.values())
+        assert len(got) == len(rows) and all(len(g) == 1 for g in groups.values())
+        assert max(load.values()) <= capacity and len(load) <= 1.05 * total / capacity + 1
+    alone = sharding.assigned(docs(spark, [(1, "x" * 500, None, None), (2, "y", None, None)]), capacity=100).collect()
+    assert len({r.shard for r in alone}) == 2
+    assert sharding.assigned(docs(spark, []), capacity=100).count() == 0
