@@ -11,14 +11,14 @@ takes the fences of its language, a language with fewer those of all. The fences
 beyond one of them is rejected. Only texts that pass the base rules are counted.
 
 SPREAD lets the lower fence of word_length fall below any text where the quartile is under 700, as in most spaced
-languages, so a text of single letters is within it. `floor` is a percentage of the lower quartile that a lower fence does
-not go below; `judged` has none unless it is given, `accepted` takes FLOOR.
+languages. A lower fence therefore does not go below FLOOR percent of the lower quartile, so a text of single letters is
+beyond it.
 
 Everything is a DataFrame expression. A text never leaves its row: windows of a text are compared by a 64-bit hash
 inside the row, and only the measures are shuffled, as counts.
 
 Defined results: a null text has no words and fails the base; a null language or source is a value of its own; repeated
-rows are judged alike; an empty table gives no rows; further columns are left out of the features, whatever their
+rows are judged alike; a value equal to a fence is within it; a very long text is judged whole, in its row; an empty table gives no rows; further columns are left out of the features, whatever their
 names, and `accepted` passes all columns of the input on.
 """
 
@@ -137,7 +137,7 @@ def _fences(sketch: DataFrame, keys: list[str], floor: int) -> DataFrame:
     return ends.groupBy(*keys).agg(*columns) if keys else ends.agg(*columns)
 
 
-def thresholds(sketch: DataFrame, min_docs: int = MIN_DOCS, floor: int = 0) -> DataFrame:
+def thresholds(sketch: DataFrame, min_docs: int = MIN_DOCS, floor: int = FLOOR) -> DataFrame:
     """One row for each language and source with the fences that hold for it."""
     bounds = [f"{side}_{name}" for name in MEASURES for side in ("low", "high")]
     pairs, langs = (
@@ -154,7 +154,7 @@ def thresholds(sketch: DataFrame, min_docs: int = MIN_DOCS, floor: int = 0) -> D
 
 
 def judged(docs: DataFrame, min_docs: int = MIN_DOCS, keep: tuple[str, ...] = ("doc_id", "lang", "source"),
-           floor: int = 0) -> DataFrame:
+           floor: int = FLOOR) -> DataFrame:
     """The features of every document with `kept`: it passes the base rules and lies within all fences."""
     measured = written(features(docs, keep), "quality-features")
     fences = written(thresholds(sketches(measured), min_docs, floor), "quality-fences")

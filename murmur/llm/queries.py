@@ -127,7 +127,7 @@ q AS (
     quantile_disc(step, 0.25) AS q1, quantile_disc(step, 0.75) AS q3
   FROM levels GROUP BY level, a, c, name),
 fence AS (
-  SELECT level, a, c, name, docs, CASE WHEN low THEN q1 - 3 * greatest(q3 - q1, spread) ELSE -1 END AS lo,
+  SELECT level, a, c, name, docs, CASE WHEN low THEN greatest(q1 - 3 * greatest(q3 - q1, spread), q1 * 50 // 100) ELSE -1 END AS lo,
     q3 + 3 * greatest(q3 - q1, spread) AS hi FROM q),
 beyond AS (
   SELECT s.r, bool_or(s.v < CASE WHEN f0.docs >= 50 THEN f0.lo WHEN f1.docs >= 50 THEN f1.lo ELSE f2.lo END
