@@ -12,7 +12,7 @@ Each text is scanned whole, once, in the place where it lies; nothing is shuffle
 
 Defined results: a null text is an empty one, without spans; spans are in code points, end exclusive, by start and then
 kind; repeated rows and null ids are scanned like any others; an empty table gives no rows; `scanned` passes all columns
-on, and replaces one called spans.
+on, and replaces one called spans; `cleaned` passes all on.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmur.llm.masks import cut
+
 KINDS = ("assign", "access", "hex", "random")
 BASE_KINDS = KINDS[:3]
 LEAST_RATIO = 0.5  # natural logarithm, mean over the steps of a part
@@ -105,12 +107,17 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not text:
                 continue
             spans = base_spans(text)
-            for _, _, end in spans:
-                value = re.search(r"[A-Za-z0-9+/_=-]+$", text[:end][-200:])
-                if value and len(value.group()) >= 16:
-                    np.add.at(counts[1], _steps(value.group()), 1)
+            for start, _, end in spans:
+                found = text[start:end]
+                value = found[len(found.rstrip(ALPHABET)):]
+                if len(value) >= 16:
+                    np.add.at(counts[1], _steps(value), 1)
+            k, until = 0, 0  # the spans that begin before a word ends, and how far they reach
             for m in _WORDS.finditer(text):
-                if not any(a < m.end() and m.start() < b for a, _, b in spans):
+                while k < len(spans) and spans[k][0] < m.end():
+                    until = max(until, spans[k][2])
+                    k += 1
+                if until <= m.start():
                     np.add.at(counts[0], _steps(m.group()), 1)
     kind, pair = np.nonzero(counts)
     yield pd.DataFrame({"kind": kind, "pair": pair, "n": counts[kind, pair]})
@@ -151,18 +158,17 @@ def written_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
-    """The text with the mask in the place of every span; spans that touch or overlap have one mask together."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
+def cleaned(docs: DataFrame, mask: str = MASK, sample: int = SAMPLE, least: float = LEAST_RATIO) -> DataFrame:
+    """docs with the mask in the place of every secret of their texts; spans that touch or overlap have one mask together.
+    All columns pass on, whatever their names."""
+    ratio = trained(docs, sample)
 
-    def grow(joined: Column, s: Column) -> Column:
-        last = F.element_at(joined, -1)
-        apart = (F.size(joined) == 0) | (F.get(joined, F.size(joined) - 1)["end"] < s["start"])
-        return F.when(apart, F.concat(joined, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-                      ).otherwise(F.concat(F.slice(joined, 1, F.size(joined) - 1), F.array(F.struct(
-                          last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))))
+    @F.pandas_udf("string")
+    def put(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            spans = spans_of(text, ratio, least)
+            out.append(cut(text, [s[0] for s in spans], [s[2] for s in spans], lambda *_: mask))
+        return pd.Series(out, dtype=object)
 
-    whole = F.reverse(F.aggregate(spans, none, grow))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(
-        whole, text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(mask),
-                                           F.substring(t, s["end"] + 1, F.length(t)))))
+    return docs.withColumn("text", put(F.col("text")))

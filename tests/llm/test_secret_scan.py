@@ -4,7 +4,7 @@ import string
 
 import pytest
 
-from murmur.llm import secret_scan
+from murmur.llm import masks, secret_scan
 from tests.llm.helpers import docs, odd_rows, prose
 
 HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
@@ -92,8 +92,9 @@ def test_scanned_keeps_rows_and_base_spans(spark, corpus):
 
 
 def test_masks_stand_for_every_span(spark, corpus):
-    out = secret_scan.scanned(corpus).select("text", "spans", secret_scan.masked(
-        secret_scan.F.col("text"), secret_scan.F.col("spans")).alias("clean")).collect()
+    found = secret_scan.scanned(corpus)
+    out = found.select("text", "spans", masks.masked(found["text"], found["spans"], "[SECRET]").alias("clean")).collect()
+    assert sorted(map(str, [r.clean for r in out])) == sorted(str(r.text) for r in secret_scan.cleaned(corpus).collect())
     for r in out:
         want, at = "", 0
         for s in sorted(r.spans, key=lambda s: (s.start, -s.end)):
@@ -108,3 +109,34 @@ def test_masks_stand_for_every_span(spark, corpus):
 def test_a_table_without_ids_or_texts(spark):
     got = secret_scan.scanned(docs(spark, [(None, None, None, None), (None, "token=abcdef", None, None)])).collect()
     assert sorted(len(r.spans) for r in got) == [0, 1]
+
+
+def test_many_spans_in_one_text_take_linear_time(spark):
+    text = "password: hunter22 and " * 16_000
+    out = secret_scan.cleaned(docs(spark, [(1, text, "en", "a")])).first().text
+    assert out == "[SECRET] and " * 16_000
+
+
+def test_random_spans_equal_a_plain_sum_of_ratios(corpus):
+    """Every maximal run outside base spans, its ratios added one by one."""
+    ratio, rng = secret_scan.trained(corpus), random.Random(3)
+    letters = list("abcXYZ019+/_=- .é") + ["password: abc123", HEX[:26], "the", "ation", "Zq9xK2vB7nM4tR8w"]
+    found = 0
+    for _ in range(300):
+        text = "".join(rng.choices(letters, k=30))
+        base, want, run = brute(text), [], []
+        for k, c in enumerate(text + " "):
+            if c in secret_scan.ALPHABET and k < len(text) and not any(a <= k < b for a, _, b in base):
+                run.append(k)
+                continue
+            if run:
+                steps = list(zip(run, run[1:]))
+                total = sum(ratio[secret_scan.ALPHABET.index(text[a]) * 67 + secret_scan.ALPHABET.index(text[b])] for a, b in steps)
+                needed = 0.5 * max(len(steps), 19 ** 2 / max(len(steps), 1))
+                if abs(total - needed) > 1e-6 and total >= needed:
+                    want.append((run[0], 3, run[-1] + 1))
+            run = []
+        got = [s for s in secret_scan.spans_of(text, ratio) if s[1] == 3]
+        assert got == want, text
+        found += len(got)
+    assert found > 20 and len(secret_scan.ALPHABET) == 67
