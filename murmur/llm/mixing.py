@@ -137,3 +137,12 @@ def repeated(mix: DataFrame) -> DataFrame:
     kept = [c for c in mix.columns if c not in RESULT]
     return (mix.withColumn("_text", F.explode(texts)).drop("text").withColumnRenamed("_text", "text")
             .select(*kept))
+
+
+def repetitions(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs (doc_id, source, text, ...) as often as the mix takes them, with their columns and no others,
+    whatever their names; a fractional repetition holds the first words."""
+    others = [c for c in docs.columns if c != "text"]
+    packed = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
+    taken = repeated(mixed(packed, **options))
+    return taken.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

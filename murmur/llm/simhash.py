@@ -217,8 +217,8 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     others = written(by_id.filter("_first AND (_id IS NULL OR _rows > 1)").select("_id"), "simhash-others")
     plain = docs.filter(docs["doc_id"].isNotNull()).join(gone, docs["doc_id"] == gone["_id"], "left_anti")
     roots = firsts.select(F.col("doc_id").alias("_at"), F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
-    doubled = written(docs.join(others, docs["doc_id"].eqNullSafe(others["_id"]), "left_semi"), "simhash-doubled")
-    told = (doubled.withColumn("_of", _fingerprints("text"))
-            .join(roots, (F.col("_of") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_at")))
-            .dropDuplicates(["_root"]).drop("_of", "_at", "_fp", "_root"))
+    doubled = written(docs.join(others, docs["doc_id"].eqNullSafe(others["_id"]), "left_semi")
+                      .select("doc_id", _fingerprints("text").alias("of"), F.struct("*").alias("row")), "simhash-doubled")
+    told = (doubled.join(roots, (F.col("of") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_at")))
+            .dropDuplicates(["_root"]).select("row.*"))
     return plain.unionByName(told)

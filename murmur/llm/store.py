@@ -11,9 +11,12 @@ PREFIX = "murmur-llm-"
 
 
 def base_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where that is unset, as in tests on one machine, one is made."""
+    """The folder of spark.checkpoint.dir. Where that is unset one is made on one machine, as in tests; a cluster has no
+    folder then that all its machines see, and this raises."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix=PREFIX)
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -1,10 +1,11 @@
 import numpy as np
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from murmur.llm import secret_scan
 from tests.conftest import SMALL
-from tests.llm.helpers import docs, odd_rows
+from tests.llm.helpers import docs, odd_rows, prose
 from tests.llm.test_packing import check
 from tests.llm.test_simhash import brute_fingerprint, brute_groups
 
@@ -58,3 +59,18 @@ def test_odd_rows_and_an_empty_table_pass(spark):
         for _, stage in corpus_pipeline.STAGES:
             df = corpus_pipeline.written(stage(spark, df, SMALL), "test-pipeline")
         assert df.count() >= len(rows) // 8
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    """Names that the operators use themselves, on documents that stay: with null and repeated ids, too."""
+    names = ["_root", "_of", "_fp", "_at", "_text", "_id", "row", "of", "spans", "size", "taken", "target", "source_size", "root", "fp"]
+    rows = odd_rows() + [(30 + k, prose(k, 60) + " password: hunter22", "en", "a") for k in range(40)]
+    df = docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    for n in names:
+        df = df.withColumn(n, F.concat(F.lit(f"{n} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    columns, taken = df.columns, df
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        taken = corpus_pipeline.written(stage(spark, taken, SMALL), "test-pipeline")
+        assert sorted(taken.columns) == sorted(columns), name
+        got = taken.collect()
+        assert len(got) > 20 and all(r[n] == f"{n} {'none' if r.doc_id is None else r.doc_id}" for r in got for n in names)
