@@ -7,7 +7,6 @@ columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from murmur.llm import mixing, packing, quality, secret_scan, simhash
 from murmur.llm.store import written
@@ -25,14 +24,12 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; a mask stands in the place of each secret."""
-    found = secret_scan.scanned(docs)
-    clean = secret_scan.masked(F.col("text"), F.col("spans"))
-    return found.select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return secret_scan.cleaned(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; a fractional repetition holds the first words."""
-    return mixing.repeated(mixing.mixed(docs))
+    return mixing.repetitions(docs)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
