@@ -268,17 +268,7 @@ ON k.keyword <> '' AND contains(a.content, k.keyword)""")(
 MANY = """
 SELECT DISTINCT substr(content, CAST(i AS INT), CAST(n AS INT)) AS keyword FROM (SELECT DISTINCT content FROM comments) c,
   range(1, 9) p(i), range(1, 30) l(n)"""
-check("c14_keyword_hits_of_comments", f"""
-SELECT c.comment_id, k.keyword, count(*) AS n FROM comments c JOIN ({MANY}) k ON k.keyword <> '' AND contains(c.content, k.keyword)
-WHERE c.event_id % 50 = 0 GROUP BY 1, 2""")(
-    lambda t: joins.keyword_hits_by_join(
-        t.comments.filter("event_id % 50 = 0"), "comment_id",
-        t.comments.select("content").distinct().select("content", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("i"))
-        .select("content", "i", F.explode(F.sequence(F.lit(1), F.lit(29))).alias("n"))
-        .select(F.expr("substring(content, i, n)").alias("keyword")))
-    .groupBy("comment_id", "keyword").agg(F.count(F.lit(1)).alias("n")))
-
-# The same keywords over all comments: rows and different ids of each. Texts repeat, so the SQL tests each text once.
+# Rows and different ids of each keyword over all comments. Texts repeat, so the SQL tests each text once.
 check("c14_keyword_hits_of_all_comments", f"""
 SELECT h.keyword, count(*) AS n, count(DISTINCT c.comment_id) AS n_ids
 FROM (SELECT d.content, k.keyword FROM (SELECT DISTINCT content FROM comments) d
@@ -706,3 +696,19 @@ SELECT article_id, publish_time FROM articles WHERE {inside('publish_time', EARL
 check("f07_recent_fallback", """
 SELECT article_id, publish_time FROM articles WHERE publish_time BETWEEN TIMESTAMP '2023-08-01' AND TIMESTAMP '2024-07-31'""")(
     lambda t: sets.recent_or_wider(t.articles, "2024-07-31", days=7).select("article_id", "publish_time"))
+
+
+# Every pair of a comment's id and a keyword, folded to one row for each id: their number and their letters.
+check("c14_keyword_hits_of_comments", f"""
+WITH h AS (
+  SELECT d.content, k.keyword FROM (SELECT DISTINCT content FROM comments) d
+  JOIN ({MANY}) k ON k.keyword <> '' AND contains(d.content, k.keyword)),
+t AS (SELECT content, count(*) AS n, sum(length(keyword)) AS letters FROM h GROUP BY 1)
+SELECT c.comment_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(letters) AS BIGINT) AS letters
+FROM comments c JOIN t ON t.content = c.content GROUP BY 1""")(
+    lambda t: joins.keyword_hits_by_join(
+        t.comments, "comment_id",
+        t.comments.select("content").distinct().select("content", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("i"))
+        .select("content", "i", F.explode(F.sequence(F.lit(1), F.lit(29))).alias("n"))
+        .select(F.expr("substring(content, i, n)").alias("keyword")))
+    .groupBy("comment_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("keyword")).alias("letters")))

@@ -127,10 +127,10 @@ def fit(df: DataFrame, key: str, columns: Sequence[str], trees: int = TREES, sam
 
 
 def grown(df: DataFrame, key: str, columns: Sequence[str], trees: int = TREES, sample: int = SAMPLE,
-          seed: int = SEED) -> Forest | None:
-    """The forest without a cutoff; None when there are too few rows."""
+          seed: int = SEED, n_rows: int | None = None) -> Forest | None:
+    """The forest without a cutoff; None when there are too few rows. n_rows is their number, where that is known."""
     names = list(columns)
-    n_rows = df.count()
+    n_rows = df.count() if n_rows is None else n_rows
     if n_rows < FEWEST_ROWS:
         return None
     size = min(sample, n_rows)
@@ -206,15 +206,14 @@ def detect(events: DataFrame, comments: DataFrame, as_of=None, days: int | None
     """Anomalous events with score below 0, severity, reasons and signals, most isolated first. The features are
     computed once and stored, a row for each event; so are the scores."""
     features = stored(scoring.features(events, comments, as_of, days), "features")
-    rows = scoring.standardised(features)
     z = [f"z_{c}" for c in scoring.FEATURES]
-    rows = stored(rows, "standardised")
-    forest = grown(rows, "id", z, trees, SAMPLE, seed)
+    n_rows, rows = scoring.counted_and_standardised(features)
+    forest = grown(rows, "id", z, trees, SAMPLE, seed, n_rows)
     if forest is None:
         flagged = rows.filter(F.lit(False)).withColumn("anomaly_score", F.lit(0.0))
     else:
         scored = stored(score(rows, forest), "scores")
-        cut = cutoff(scored, scored.count(), contamination)
+        cut = cutoff(scored, n_rows, contamination)
         value = F.round(F.col("raw_score") - F.lit(cut), SCORE_DIGITS)
         flagged = scored.withColumn("anomaly_score", value).drop("raw_score").filter("anomaly_score < 0")
     found = scoring.signals(scoring.reasons(flagged))

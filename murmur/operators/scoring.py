@@ -99,19 +99,39 @@ def features(events: DataFrame, comments: DataFrame, as_of=None, days: int | Non
 def standardised(df: DataFrame, columns=FEATURES, digits: int | None = None) -> DataFrame:
     """Adds z_<column>: distance from the mean in population deviations; 0 for a constant column. Sums are decimals, so
     the last digit does not depend on the order of the rows."""
-    means = df.agg(F.struct(*[numbers.mean(F.col(c).cast("decimal(28,9)")).alias(c) for c in columns])).scalar()
+    means = df.agg(F.struct(*[_mean(c).alias(c) for c in columns])).scalar()
     out = df.withColumn("_m", means)
-    away = {c: F.col(c) - F.col(f"_m.{c}") for c in columns}
-    squares = out.agg(F.struct(*[numbers.mean((away[c] * away[c]).cast("decimal(38,12)")).alias(c)
-                                 for c in columns])).scalar()
+    squares = out.agg(F.struct(*[_mean_square(c, F.col(f"_m.{c}")).alias(c) for c in columns])).scalar()
     out = out.withColumn("_v", squares)
     for c in columns:
-        spread = F.when(F.col(f"_v.{c}") > 0, F.sqrt(F.col(f"_v.{c}"))).otherwise(F.lit(1.0))
-        z = away[c] / spread
-        out = out.withColumn(f"z_{c}", z if digits is None else F.round(z, digits))
+        out = out.withColumn(f"z_{c}", _z(c, F.col(f"_m.{c}"), F.col(f"_v.{c}"), digits))
     return out.drop("_m", "_v")
 
 
+def _mean(c: str) -> Column:
+    return numbers.mean(F.col(c).cast("decimal(28,9)"))
+
+
+def _mean_square(c: str, mean: Column) -> Column:
+    away = F.col(c) - mean
+    return numbers.mean((away * away).cast("decimal(38,12)"))
+
+
+def _z(c: str, mean: Column, square: Column, digits: int | None) -> Column:
+    z = (F.col(c) - mean) / F.when(square > 0, F.sqrt(square)).otherwise(F.lit(1.0))
+    return z if digits is None else F.round(z, digits)
+
+
+def counted_and_standardised(df: DataFrame, columns=FEATURES) -> tuple[int, DataFrame]:
+    """The number of rows, and the same as `standardised` with means and deviations put in as numbers: two jobs that give
+    one row each, after which df is read once by whatever reads the result. For a table that is stored."""
+    means = df.agg(F.count(F.lit(1)).alias("_n"), *[_mean(c).alias(c) for c in columns]).first()
+    at = {c: F.lit(means[c]).cast("double") for c in columns}
+    squares = df.agg(*[_mean_square(c, at[c]).alias(c) for c in columns]).first()
+    zs = [_z(c, at[c], F.lit(squares[c]).cast("double"), None).alias(f"z_{c}") for c in columns]
+    return means["_n"], df.select("*", *zs)
+
+
 def reasons(df: DataFrame, beyond: float = REASON_BEYOND) -> DataFrame:
     """Adds `anomaly_types`: which of the first four features lie beyond the bound."""
     def far(c: str) -> Column:
