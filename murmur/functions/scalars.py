@@ -19,18 +19,6 @@ POST_DATE_TIME = POST_DATE + r" (\d{1,2}):(\d{2})"
 WORD_BREAKS = "，。！？,.\""
 HIGH_HEAT = 1000
 
-# A small default rule table (category, pattern); the first match wins. Callers bring their own for real use.
-DEFAULT_RULES = (
-    ("society", "社会|民生|交通|天气|community|traffic|weather|accident"),
-    ("politics", "政策|政府|外交|government|policy|election|minister"),
-    ("economy", "经济|股市|金融|就业|econom|market|bank|price"),
-    ("entertainment", "娱乐|电影|音乐|明星|movie|music|celebrity|concert"),
-    ("sport", "体育|足球|篮球|奥运|sport|football|basketball|olympic"),
-    ("technology", "科技|人工智能|手机|芯片|tech|software|phone|chip"),
-    ("health", "健康|医院|疫苗|疾病|health|hospital|vaccine|disease"),
-    ("education", "教育|学校|高考|大学|education|school|university|exam"),
-)
-
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with the value computed once although the body names it several times."""
@@ -159,8 +147,9 @@ def plain_words(text: Column, keyword: str, stops: Sequence[str] = ()) -> Column
     return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(dropped))
 
 
-def category(clean_title: Column, rules: Sequence[tuple[str, str]] = DEFAULT_RULES, other: str = "other") -> Column:
-    """First rule whose pattern is found in the cleaned title, ignoring case."""
+def category(clean_title: Column, rules: Sequence[tuple[str, str]], other: str = "other") -> Column:
+    """First rule (category, pattern) whose pattern is found in the cleaned title, ignoring case. The caller brings the
+    rules."""
     out = None
     for name, pattern in rules:
         hit = clean_title.rlike("(?i)" + pattern)

@@ -30,7 +30,7 @@ def heat_ranking(events: DataFrame, comments: DataFrame, k: int) -> DataFrame:
     return joins.with_counts(hottest(events, k), prune=True, comment_count=comments)
 
 
-def with_category(events: DataFrame, rules: Sequence[tuple[str, str]] = scalars.DEFAULT_RULES,
+def with_category(events: DataFrame, rules: Sequence[tuple[str, str]],
                   other: str = "other") -> DataFrame:
     """Adds the category of the title, cleaned once for all rules."""
     rows = events.withColumn("_clean", scalars.clean_text(F.col("title")))
@@ -58,12 +58,12 @@ def heat_rank_per_category(events: DataFrame, rules, k: int, pool: int | None =
     return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
 
 
-def category_counts(events: DataFrame, rules=scalars.DEFAULT_RULES) -> DataFrame:
+def category_counts(events: DataFrame, rules) -> DataFrame:
     titled = events.filter(F.trim("title") != "")
     return with_category(titled, rules).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-def category_heat(events: DataFrame, rules=scalars.DEFAULT_RULES, pool: int | None = None,
+def category_heat(events: DataFrame, rules, pool: int | None = None,
                   digits: int = 2) -> DataFrame:
     """Count, total and mean heat of every category, empty categories kept."""
     names = [name for name, _ in rules] + ["other"]

@@ -10,6 +10,8 @@ from murmur.functions import bands, words
 from murmur.operators import filters, forecast, forest, insights, joins, keywords, metrics, ranking, scoring, sets, text
 from murmur.plans import base_score, reports
 
+TOPICS = [("sport", "football|足球"), ("technology", "phone|手机"), ("never met", "zzzz")]
+
 DAY = dt.datetime(2024, 1, 10)
 COMMENT = "comment_id long, event_id long, user_id long, content string, like_count int, sentiment_score decimal(4,3), publish_time timestamp_ntz"
 EVENT = "id long, title string, heat long, crawl_time timestamp_ntz, sentiment_score decimal(4,3)"
@@ -281,9 +283,9 @@ def test_windows_end_at_as_of(spark):
 
 def test_no_event_is_left_out_of_category_heat(spark):
     e = events(spark, [(i, "football" if i % 2 else "x", i, DAY, None) for i in range(1500)])
-    got = {r.category: r.n for r in ranking.category_heat(e).collect()}
+    got = {r.category: r.n for r in ranking.category_heat(e, TOPICS).collect()}
     assert got["sport"] == 750 and got["other"] == 750
-    assert sum(r.n for r in ranking.category_heat(e, pool=10).collect()) == 10
+    assert sum(r.n for r in ranking.category_heat(e, TOPICS, pool=10).collect()) == 10
 
 
 def test_cutoff_of_ties_and_negative_scores(spark):
@@ -292,10 +294,10 @@ def test_cutoff_of_ties_and_negative_scores(spark):
         assert forest.cutoff(df, len(raw), 0.05) == pytest.approx(np.percentile(np.round(raw, 6), 5))
 
 
-def test_default_categories(spark):
+def test_categories_by_rules(spark):
     e = events(spark, [(1, "足球 决赛", 1, DAY, None), (2, "New PHONE", 1, DAY, None), (3, "nothing", 1, DAY, None), (4, " ", 1, DAY, None)])
-    assert {r.category: r.n for r in ranking.category_counts(e).collect()} == {"sport": 1, "technology": 1, "other": 1}
-    assert ranking.category_heat(e).count() == 9
+    assert {r.category: r.n for r in ranking.category_counts(e, TOPICS).collect()} == {"sport": 1, "technology": 1, "other": 1}
+    assert ranking.category_heat(e, TOPICS).count() == 4
 
 
 def test_band_bounds_are_arguments(spark, talk):
