@@ -25,7 +25,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ from murmur.llm.store import new_folder, written
 FIRST, SECOND = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 LINKS = 4_000_000
 SHARD_PAIRS = 1 << 19
-WIDTH = 4  # of the first comparison of a run
+WIDTH = 8  # of the first comparison of a run
 _KINDS = ("<u4", "<u8", "|u1")
 _ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a_ids binary, b_ids binary, path binary"
 _WEIGHED = ["n_best", "count_sum"]
@@ -62,22 +61,41 @@ class Tokenizers:
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         if max(len(self.a_bytes), len(self.b_bytes)) > 65_536:
             raise ValueError("ids of these vocabularies need more than 16 bits")
-        self.a_sizes, self.b_sizes = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
-        self.a_names, self.b_names = [str(i) for i in range(len(self.a_bytes))], [str(i) for i in range(len(self.b_bytes))]
+        self.a_flat, self.a_starts, self.a_sizes = _flat(self.a_bytes)
+        self.b_flat, self.b_starts, self.b_sizes = _flat(self.b_bytes)
+        # the parts of the text of the groups: an id of the first side within its group, or its last there; the same for
+        # the second side
+        self.parts = ([f"{i}{end}" for i in range(len(self.a_bytes)) for end in ",|"]
+                      + [f"{i}{end}" for i in range(len(self.b_bytes)) for end in ",;"])
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def ids(self, text: str | None) -> tuple[list[int], list[int]]:
-        """The ids on both sides; none where they do not give back the text."""
+    def ids(self, text: str | None):
+        """The ids on both sides and where each ends; none where they do not give back the text."""
+        none = np.empty(0, np.int64)
         if not text:
-            return [], []
-        a, b = self.a(" " + text), self.b.encode(text)
+            return none, none, none, none
+        a, b = np.array(self.a(" " + text), np.int64), np.array(self.b.encode(text), np.int64)
         whole = b" " + text.encode()
-        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
-            return [], []
-        return a, b
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        for ids, ends, flat, starts, sizes in ((a, a_ends, self.a_flat, self.a_starts, self.a_sizes),
+                                               (b, b_ends, self.b_flat, self.b_starts, self.b_sizes)):
+            if not len(ids) or ends[-1] != len(whole):
+                return none, none, none, none
+            size = sizes[ids]
+            place = np.repeat(starts[ids] - (ends - size), size)
+            place += np.arange(len(whole))
+            if flat[place].tobytes() != whole:
+                return none, none, none, none
+        return a, b, a_ends, b_ends
+
+
+def _flat(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens in one array, where each begins, and their sizes."""
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
 @lru_cache(maxsize=2)
@@ -98,12 +116,14 @@ def runs(a_ends: list[int], b_ends: list[int]):
             if not width or a_ends[i:i + width] != b_ends[j:j + width]:
                 break
             i, j, width = i + width, j + width, 2 * width
-        while width > 1:  # the difference is among the next `width`
+        while width > WIDTH:  # the difference is among the next `width`
             half = width // 2
             if a_ends[i:i + half] == b_ends[j:j + half]:
                 i, j, width = i + half, j + half, width - half
             else:
                 width = half
+        while i < n_a and a_ends[i] == b_ends[j]:
+            i, j = i + 1, j + 1
         if i > start:
             yield start, j - (i - start), i - start, None
         if i < n_a:
@@ -123,24 +143,31 @@ def runs(a_ends: list[int], b_ends: list[int]):
             yield *at, 0, path
 
 
+def _groups(a: np.ndarray, b: np.ndarray, path: np.ndarray, parts: list[str], second: int) -> str:
+    """The ids of each group as text, `a1,a2|b1` and so on, joined by semicolons; parts of the second side begin at
+    `second`."""
+    a_last, b_last = path[path & 1 == 1] == 3, path[path > 1] == 3
+    a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+    a_end, b_end = np.flatnonzero(a_last) + 1, np.flatnonzero(b_last) + 1
+    b_start = np.concatenate([[0], b_end[:-1]])
+    order = np.empty(len(a) + len(b), np.int64)
+    order[np.arange(len(a)) + b_start[a_group]] = 2 * a + a_last
+    order[np.arange(len(b)) + a_end[b_group]] = second + 2 * b + b_last
+    return "".join(map(parts.__getitem__, order.tolist()))[:-1]
+
+
 def aligned_text(text: str | None, both: Tokenizers) -> tuple:
     """n_a, n_b, n_groups, n_links, hash of the groups, ids of both sides and the path of one text."""
-    a, b = both.ids(text)
-    if not a:
+    a, b, a_ends, b_ends = both.ids(text)
+    if not len(a):
         return 0, 0, 0, 0, "", b"", b"", b""
-    a_ends = list(accumulate(map(both.a_sizes.__getitem__, a)))
-    b_ends = list(accumulate(map(both.b_sizes.__getitem__, b)))
-    a_names, b_names = list(map(both.a_names.__getitem__, a)), list(map(both.b_names.__getitem__, b))
-    path, groups = bytearray(), []
-    for i, j, n, inner in runs(a_ends, b_ends):
-        if inner is None:
-            path += b"\x03" * n
-            groups += [f"{x}|{y}" for x, y in zip(a_names[i:i + n], b_names[j:j + n])]
-        else:
-            path += inner
-            groups.append(",".join(a_names[i:i + 1 + inner.count(1)]) + "|" + ",".join(b_names[j:j + 1 + inner.count(2)]))
-    return (len(a), len(b), len(groups), len(path), hashlib.sha256(";".join(groups).encode()).hexdigest(),
-            np.array(a, "<u2").tobytes(), np.array(b, "<u2").tobytes(), bytes(path))
+    path, n_groups = bytearray(), 0
+    for _, _, n, inner in runs(a_ends.tolist(), b_ends.tolist()):
+        path += b"\x03" * n if inner is None else inner
+        n_groups += n or 1
+    groups = _groups(a, b, np.frombuffer(path, np.uint8), both.parts, 2 * len(both.a_bytes))
+    return (len(a), len(b), n_groups, len(path), hashlib.sha256(groups.encode()).hexdigest(),
+            a.astype("<u2").tobytes(), b.astype("<u2").tobytes(), bytes(path))
 
 
 def aligned(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), first: str = FIRST, second: str = SECOND) -> DataFrame:
