@@ -209,6 +209,8 @@ def _asker(index: Index, probe: int, second: bool):
             for row, of in zip(frame.itertuples(index=False), floors):
                 q = None if row.wide else _rows([row.q], row.length)[0]
                 known = None if not second else {} if of is None else dict(of)
+                if known:  # what lies below a floor is beaten by what the first round has found
+                    row = row._replace(lows=[max(low, known.get(k, low)) for k, low in enumerate(row.lows)])
                 cells = list(index.asked(q, row.length, row.wide, row.lows, row.highs, known, probe))
                 rows.extend([row] * len(cells))
                 places.extend(cells)
