@@ -5,7 +5,9 @@ linked where at most RADIUS bits differ. The index has an upper part that Spark
 
 Upper part: the bits are cut into four blocks, and two fingerprints within two bits agree in at least two of them. So
 each of the six masks of two blocks is an upper node for every pattern under it, and a fingerprint goes to the six
-nodes whose pattern it shares; no link is lost.
+nodes whose pattern it shares; no link is lost. A node of more than BLOCK fingerprints is dealt out as three: its other 32
+bits are cut into three parts, and two fingerprints within two bits agree in at least one of them. A part node fixes 42 bits
+or more, so it has at most 2^22 fingerprints (32 MB), whatever the table holds.
 
 Lower part: within a node the fingerprints are sorted by Gray rank, so neighbours differ in few bits. Runs of FAN of
 them form a node that keeps the bits all of them share, as a mask and a pattern; runs of nodes form a node above, which
@@ -13,8 +15,7 @@ takes over the bits that its children share. A search goes down from the top and
 differing bits under the masks; a whole group is dropped once the sum is beyond RADIUS.
 
 A task emits no pairs: links are joined to groups on the spot, and each fingerprint gives one link to the first of its
-group. A task holds whole upper nodes of at least BLOCK fingerprints together, so its memory follows its largest upper node; a
-fingerprint has at most 2,080 others within two bits, whatever the copies, as equal ones are one row before.
+group. A task holds whole nodes, up to BLOCK fingerprints and one node together; a fingerprint has at most 2,080 others within two bits, whatever the copies, as equal ones are one row before.
 
 Defined results: a null text is an empty one; a text without words has fingerprint zero and is linked like any other;
 a null doc_id never names a component, unless all of it are null; an empty table gives no rows; other columns are not
@@ -28,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -42,6 +43,7 @@ FAN = 16
 BLOCK = 100_000
 QUERIES = 20_000  # fingerprints that are searched at a time
 MASKS = [sum(0xFFFF << (16 * b) for b in pair) for pair in combinations(range(4), RADIUS)]
+PARTS = 3  # of the bits that a mask leaves free; one more than RADIUS
 
 _BYTE = np.arange(8) * 256
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -182,13 +184,36 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", _fingerprints("text").alias("fp"))
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def part_masks(mask: int) -> list[int]:
+    """The mask with each of the PARTS of the bits it leaves free added."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    cuts = [len(free) * k // PARTS for k in range(PARTS + 1)]
+    return [mask | sum(1 << b for b in free[a:z]) for a, z in zip(cuts, cuts[1:])]
+
+
+def _node(number: int, mask: int) -> Column:
+    key = F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+    return F.struct(F.lit(number).alias("mask"), key.alias("key"))
+
+
+def nodes(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(mask, key, fp): distinct fingerprints (fp) with the nodes of the upper part they belong to. The large nodes are
+    counted and written, at most one for each `block` rows, so Spark knows their size when it joins them."""
+    plain = distinct.select(F.explode(F.array(*[_node(k, m) for k, m in enumerate(MASKS)])).alias("n"), "fp").select(
+        "n.mask", "n.key", "fp")
+    large = written(plain.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > block),
+                    "simhash-large")
+    parts = F.array(*[F.array(*[_node(len(MASKS) + PARTS * k + part, m) for part, m in enumerate(part_masks(mask))])
+                      for k, mask in enumerate(MASKS)])
+    own = F.array(F.struct("mask", "key"))
+    dealt = F.when(F.col("_size").isNull(), own).otherwise(F.get(parts, F.col("mask")))
+    return (plain.join(large, ["mask", "key"], "left").select(F.explode(dealt).alias("n"), "fp")
+            .select("n.mask", "n.key", "fp"))
+
+
+def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """From distinct fingerprints (fp): links (a, b) that join exactly those within RADIUS bits into one component."""
-    nodes = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key"))
-        for k, m in enumerate(MASKS)]))
-    dealt = distinct.select(nodes.alias("n"), "fp").select("n.mask", "n.key", "fp")
-    return (dealt.repartition("mask", "key").sortWithinPartitions("mask", "key")
+    return (nodes(distinct, block).repartition("mask", "key").sortWithinPartitions("mask", "key")
             .mapInPandas(_linker, "a long, b long"))
 
 

@@ -95,6 +95,26 @@ def test_links_cover_one_large_family(spark):
     assert {r.node for r in rooted} == set(signed) and {r.root for r in rooted} == {min(signed)}
 
 
+def test_a_large_node_is_split_and_loses_no_link(spark):
+    """A third of the fingerprints share 32 bits: their node is dealt out by parts, with the links of all pairs."""
+    rng = np.random.default_rng(7)
+    family = {0x0123456700000000 | int(x) for x in rng.integers(0, 2 ** 32, 150)}
+    family |= {v ^ (1 << int(b)) ^ (1 << int(c)) for v in list(family)[:60] for b, c in [rng.integers(0, 32, 2)] if b != c}
+    others = {int(x) for x in rng.integers(0, 2 ** 63, 300)}
+    others |= {v ^ (1 << int(rng.integers(0, 64))) for v in list(others)[:60]}
+    values = sorted(family | others)
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    dealt = simhash.nodes(df, 40).groupBy("mask", "key").count().collect()
+    assert max(r["count"] for r in dealt) <= 40 and any(r["mask"] >= len(simhash.MASKS) for r in dealt)
+    got = {r.node & (2 ** 64 - 1): r.root for r in components(simhash.links(df, 40)).collect()}
+    want = brute_groups([(k, v) for k, v in enumerate(values)])
+    linked = {w for w in want if want.count(w) > 1}
+    assert {v for v, w in zip(values, want) if w in linked} == set(got)
+    for w in linked:
+        assert len({got[v] for v, of in zip(values, want) if of == w}) == 1
+    assert len(set(got.values())) == len(linked)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(5000, 5000)]
     random.Random(1).shuffle(chain)
