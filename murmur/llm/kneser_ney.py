@@ -11,7 +11,7 @@ Counting. A task gives the words of its texts numbers of its own, sorts pairs of
 once for a few million tokens, as arrays of 64-bit word hashes. A pair goes to a shard by its first word. Words that
 are frequent in a bounded sample of documents are split over many shards by their second word; the sample decides where
 counts are added, not what is counted. A shard adds its pairs up and stores them as a sorted array of hashes with
-counts; what it knows of single words goes to a second set of shards, which stores the word table. The driver gets one
+counts; their number grows with the text, so what a task holds does not; what it knows of single words goes to a second set of shards, which stores the word table. The driver gets one
 row of totals.
 
 Scoring. A worker maps the arrays of the model and looks up the different pairs of a few million tokens in the order of
@@ -41,6 +41,7 @@ from murmur.llm.store import new_folder
 
 TOKENS = 2_000_000  # tokens that a task counts at a time
 SCORED_TOKENS = 700_000  # tokens that a task scores at a time
+SHARD_CHARS = 32_000_000  # characters of text for a shard
 HOT_SAMPLE = 2000  # documents
 HOT_WORDS = 1000
 HOT_SHARE = 0.0005  # of the sample's tokens
@@ -314,11 +315,17 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
                             for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])
 
 
-def trained(docs: DataFrame, folder: str | None = None) -> Model:
-    """Counts all texts of docs (doc_id, text) and stores the model."""
+def shard_count(docs: DataFrame, chars: int = SHARD_CHARS) -> int:
+    """One shard for so many characters of text, at least as many as shuffles have partitions."""
+    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // chars))
+
+
+def trained(docs: DataFrame, folder: str | None = None, chars: int = SHARD_CHARS) -> Model:
+    """Counts all texts of docs (doc_id, text) and stores the model, in shards of `chars` characters of text each."""
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "kneser-ney")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = shard_count(docs, chars)
     shards = np.array(shards_of(spark, partitions), np.int64)
     h = F.xxhash64(F.col("doc_id").cast("string")).alias("h")
     hot = _hot(docs.select(h, "text"), docs.select(h))

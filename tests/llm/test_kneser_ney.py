@@ -106,6 +106,17 @@ def test_split_words_and_small_blocks_give_the_same(spark, monkeypatch):
     assert sorted((str(r.doc_id), round(r.score, 6)) for r in kn.scored(df, kn.trained(df)).collect()) == want
 
 
+def test_shards_grow_with_the_text_and_give_the_same(spark):
+    df = docs(spark, corpus())
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chars = sum(len(r[1] or "") for r in corpus()) // (3 * least)
+    few, many = kn.trained(df), kn.trained(df, chars=chars)
+    assert len(few.shards) == least and 3 * least <= len(many.shards) <= 3 * least + 2
+    want = sorted((str(r.doc_id), round(r.score, 6)) for r in kn.scored(df, few).collect())
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in kn.scored(df, many).collect()) == want
+    assert kn.shard_count(docs(spark, [])) == least
+
+
 def test_no_training_documents_and_no_rows(spark):
     df = docs(spark, odd_rows())
     model = kn.trained(df.filter("doc_id > 1000000"))
