@@ -8,7 +8,7 @@ from checks.registry import check
 from checks.textual import CAL, scored_sql
 from murmur.operators import metrics, sets
 from murmur.sources import readers, writers
-from murmur.streaming import decode, ingest, live, tables
+from murmur.streaming import decode, histories, ingest, live, tables
 from murmur.streaming.folders import shared_folder
 
 SENT = "2024-01-31 00:00:00"
@@ -228,6 +228,40 @@ check("j06_refreshed_after_compaction", REFRESHED, {"messages": MESSAGES})(
     lambda t: streamed_scores(t, "events", "comments", "event_sums", "comments"))
 
 
+def revised_history(t):
+    """The history after three batches: the likes and scores of all comments, other ones, and the first again."""
+    root, spark = shared_folder(t.spark, "tables"), t.spark
+    for epoch, lag in enumerate((0, 1, 2)):
+        shift = F.lit(lag % 2)
+        later = comment_messages(t).withColumn("like_count", F.col("like_count") + 7 * shift).withColumn(
+            "sentiment_score", F.when((shift == 0) | (F.col("like_count") % 3 > 0), 1 - F.col("sentiment_score")))
+        folder = shared_folder(spark, "messages")
+        writers.publish_files(writers.envelopes(later, SENT), folder)
+        ingest.save_texts(decode.clean(decode.decode(spark.read.text(folder), "comment"), "comment"), epoch, root, "comment")
+        if epoch == 1:
+            tables.compact(spark, root, "comments")
+    return tables.read_history(spark, root)
+
+
+check("d14_hourly_history_of_stream", f"""
+SELECT strftime(publish_time, '%Y-%m-%d %H:00') AS hour, round(CAST(sum(coalesce(sentiment_score, 0.5)) AS DOUBLE) / count(*), 6) AS avg_sentiment,
+       CAST(count(*) + sum(like_count) AS BIGINT) AS spread FROM ({FINAL}) GROUP BY 1""", {"messages": MESSAGES})(
+    lambda t: histories.hourly(tables.read_history(t.spark, streamed(t, "comment")), digits=6))
+
+check("d16_sentiment_trend_of_stream", f"""
+SELECT CAST(CAST(publish_time AS DATE) AS VARCHAR) AS date, round(CAST(sum(sentiment_score) AS DOUBLE) / count(sentiment_score), 6) AS avg_sentiment,
+       strftime(CAST(publish_time AS DATE), '%m-%d') AS label
+FROM ({FINAL}) WHERE content <> '' GROUP BY CAST(publish_time AS DATE) ORDER BY 1 DESC LIMIT 30""", {"messages": MESSAGES})(
+    lambda t: histories.trend(tables.read_history(t.spark, streamed(t, "comment")), 30, 6))
+
+# Of a comment's messages in a batch of revised ones, the last by crawl, which here is its publication, gives likes and score.
+check("d26_daily_history_of_revised_stream", f"""
+SELECT CAST(CAST(publish_time AS DATE) AS VARCHAR) AS date, round(CAST(sum(s) AS DOUBLE) / count(s), 6) AS avg_sentiment, count(s) AS comment_count
+FROM (SELECT min(publish_time) AS publish_time, arg_max(1 - sentiment_score, (publish_time, like_count, 1 - sentiment_score, content)) AS s
+      FROM messages GROUP BY comment_id) GROUP BY 1 HAVING count(s) > 0""", {"messages": MESSAGES})(
+    lambda t: histories.daily(revised_history(t)))
+
+
 def replayed(t):
     """The same epoch written twice gives the table of writing it once."""
     root = shared_folder(t.spark, "tables")

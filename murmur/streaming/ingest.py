@@ -5,8 +5,8 @@ replay gives the same id and no join is made. Where they are kept in another sto
 title) to every batch: a message's own id counts if that store has it, else the title decides. Unseen titles get a
 stub event.
 
-Scores follow the batch. Beside its rows a batch of comments leaves the change of score sum and count for every event
-it touches; a comment that comes again takes off what it had added before. For that a batch looks up the earlier rows of
+Scores and histories follow the batch. Beside its rows a batch of comments leaves the change of score sum and count for
+every event it touches, and of the counts, sums and bands of every hour (streaming.histories reads them); a comment that comes again takes off what it had added before. For that a batch looks up the earlier rows of
 its own comments by their keys (tables.earlier_rows), and of the known titles only those that it names.
 """
 
@@ -15,11 +15,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from murmur.functions import numbers
+from murmur.functions import bands, numbers, scalars
 from murmur.schemas import SCORE
 from murmur.sources.readers import event_titles
 from murmur.streaming import decode, tables
@@ -61,21 +61,45 @@ def resolved(rows: DataFrame, events: DataFrame | None = None) -> DataFrame:
             .withColumn("event_id", F.coalesce("_id", "known_id", made)).drop("_own", "_id", "known_id"))
 
 
-def changes(spark: SparkSession, root: str, rows: DataFrame, epoch: int) -> DataFrame:
-    """(id, total, n): what a batch of comments, one row each, changes in the score sums of its events. A comment counts
-    for the event it was first placed in, with its last score. Rows of this epoch or a later one are not looked at, so
-    a replay gives the same changes."""
-    score = numbers.wide_score(F.col("sentiment_score"))
+def steps(spark: SparkSession, root: str, rows: DataFrame, epoch: int) -> DataFrame:
+    """What each comment of a batch, one row each, changes: id, hour and valid of the event, hour and kind of content it
+    was first placed in, and a signed step for each measure of the history. Rows of this epoch or a later one are not
+    looked at, so a replay gives the same steps."""
+    placed, counted = ["event_id", "publish_time", "content"], ["sentiment_score", "like_count"]
     log = (tables.earlier_rows(spark, root, "comments", rows, "comment", epoch)
-           .select("comment_id", "event_id", "sentiment_score", "at"))
-    old = (tables.merged(log, "comment_id", ["event_id"], ["sentiment_score"], F.col("at"))
-           .select("comment_id", F.col("event_id").alias("_event"), score.alias("_old")))
-    new = rows.select("comment_id", "event_id", score.alias("_new")).join(old, "comment_id", "left")
-    zero = F.lit(0).cast("decimal(8,3)")
-    step = F.coalesce("_new", zero) - F.coalesce("_old", zero)
-    count = F.col("_new").isNotNull().cast("int") - F.col("_old").isNotNull().cast("int")
-    return (new.groupBy(F.coalesce("_event", "event_id").alias("id"))
-            .agg(F.sum(step).cast("decimal(18,3)").alias("total"), F.sum(count).cast("bigint").alias("n")))
+           .select("comment_id", *placed, *counted, "at"))
+    old = tables.merged(log, "comment_id", placed, counted, F.col("at"))
+    both = (rows.select("comment_id", F.struct(*placed, *counted).alias("new"))
+            .join(old.select("comment_id", F.struct(*placed, *counted).alias("old")), "comment_id", "left"))
+    place = F.coalesce("old", "new")
+    after, before = _measures(F.col("new")), _measures(F.col("old"))
+    return both.select(
+        place["event_id"].alias("id"), F.date_trunc("hour", place["publish_time"]).cast("timestamp_ntz").alias("hour"),
+        F.coalesce(scalars.valid_content(place["content"]), F.lit(False)).alias("valid"),
+        *[(after[c] - before[c]).alias(c) for c in tables.HISTORY_MEASURES])
+
+
+def _measures(comment: Column) -> dict[str, Column]:
+    """What one comment, a struct that may be null, adds to each measure."""
+    score = comment["sentiment_score"]
+    bits = {"n": comment.isNotNull(), "scored": score.isNotNull(), "positive": bands.is_positive(score),
+            "neutral": bands.is_neutral(score), "negative": bands.is_negative(score)}
+    found = {c: F.coalesce(bit, F.lit(False)).cast("bigint") for c, bit in bits.items()}
+    found["total"] = F.coalesce(numbers.wide_score(score), F.lit(0).cast("decimal(8,3)"))
+    found["likes"] = F.coalesce(comment["like_count"], F.lit(0)).cast("bigint")
+    return found
+
+
+def changes(steps: DataFrame) -> DataFrame:
+    """(id, total, n): the change of score sum and count for every event of a batch."""
+    return steps.groupBy("id").agg(F.sum("total").cast("decimal(18,3)").alias("total"), F.sum("scored").alias("n"))
+
+
+def history_changes(steps: DataFrame) -> DataFrame:
+    """The change of the history for every event, hour and kind of content of a batch; what changes nothing is left out."""
+    sums = [F.sum(c).cast(tables.HISTORY_LOG[c].dataType).alias(c) for c in tables.HISTORY_MEASURES]
+    return (steps.groupBy("id", "hour", "valid").agg(*sums)
+            .filter(F.greatest(*[F.abs(c) for c in tables.HISTORY_MEASURES]) > 0))
 
 
 def save_events(batch: DataFrame, epoch: int, root: str) -> None:
@@ -103,7 +127,10 @@ def save_texts(batch: DataFrame, epoch: int, root: str, kind: str, known: Known
         tables.write_epoch(stubs, f"{root}/events", kind, epoch)
         tables.write_titles(stubs, root, kind, epoch)
         if kind == "comment":
-            tables.write_epoch(changes(spark, root, rows, epoch), f"{root}/event_sums", kind, epoch)
+            made = steps(spark, root, rows, epoch).persist()
+            tables.write_epoch(changes(made), f"{root}/event_sums", kind, epoch)
+            tables.write_epoch(history_changes(made), f"{root}/comment_history", kind, epoch)
+            made.unpersist()
         tables.write_texts(rows, root, table, kind, epoch)
         stubs.unpersist()
         rows.unpersist()

@@ -39,6 +39,10 @@ EVENT_LOG = T.StructType([
     T.StructField("told", T.BooleanType())])  # a message told of it; else it is a stub
 SUM_LOG = T.StructType([T.StructField("id", T.LongType()), T.StructField("total", T.DecimalType(18, 3)),
                         T.StructField("n", T.LongType())])
+HISTORY_MEASURES = ["n", "scored", "total", "likes", "positive", "neutral", "negative"]
+HISTORY_LOG = T.StructType([
+    T.StructField("id", T.LongType()), T.StructField("hour", T.TimestampNTZType()), T.StructField("valid", T.BooleanType()),
+    *[T.StructField(c, T.DecimalType(18, 3) if c == "total" else T.LongType()) for c in HISTORY_MEASURES]])
 RANK_LOG = T.StructType([f if f.name != "crawl_time" else T.StructField("crawl_time", T.TimestampNTZType())
                          for f in schemas.RANK_MESSAGE.fields])
 TITLE_LOG = T.StructType([T.StructField("title", T.StringType())])
@@ -195,6 +199,14 @@ def _merged_sums(spark: SparkSession, root: str) -> DataFrame:
     return log.groupBy("id").agg(F.sum("total").cast("decimal(18,3)").alias("total"), F.sum("n").alias("n"))
 
 
+def read_history(spark: SparkSession, root: str) -> DataFrame:
+    """What is known of the comments of every event and hour, added up from the changes that the batches left: their
+    number, those with a score and its exact sum, likes, and the three bands. `valid` tells apart those with content."""
+    log = read_log(spark, f"{root}/comment_history", HISTORY_LOG)
+    sums = [F.sum(c).cast(HISTORY_LOG[c].dataType).alias(c) for c in HISTORY_MEASURES]
+    return log.groupBy("id", "hour", "valid").agg(*sums).filter("n <> 0")
+
+
 def comment_scores(spark: SparkSession, root: str) -> DataFrame:
     """(id, score): the mean comment score of every event that has comments, from the sums that the batches left."""
     mean = F.round(F.col("total").cast("double") / F.col("n").cast("double"), 3).cast(schemas.SCORE)
@@ -234,6 +246,7 @@ _WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "comments": lambda spark, root: read_table(spark, root, "comments").repartitionByRange("comment_id"),
     "events": _merged_events,
     "event_sums": _merged_sums,
+    "comment_history": read_history,
     "rank": _ranks,
     "titles": lambda spark, root: (read_log(spark, f"{root}/titles", TITLE_LOG, "slot").select("title", "slot")
                                    .distinct().repartition("slot")),
@@ -246,6 +259,7 @@ def compact(spark: SparkSession, root: str, table: str) -> None:
     between two batches. An epoch that is replayed afterwards stays replaced: the new one holds its rows."""
     if table == "comments":  # first the sums: a replayed epoch finds no change to make once its comments are folded
         compact(spark, root, "event_sums")
+        compact(spark, root, "comment_history")
     folder, files = f"{root}/{table}", _Files(spark, root)
     present = []
     for source in files.names(folder):

@@ -5,8 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from murmur.functions import bands
+from murmur.operators import metrics
 from murmur.sources import readers, writers
-from murmur.streaming import decode, ingest, live, tables
+from murmur.streaming import decode, histories, ingest, live, tables
 
 
 def envelope(*rows, send_time="2024-01-31 00:00:00"):
@@ -168,6 +170,39 @@ def test_replayed_epoch_changes_nothing(spark, tmp_path):
     assert likes == {"1": 5, "2": 4}
 
 
+def test_histories_of_the_stream_equal_those_of_its_comments(spark, run):
+    """Revised, repeated and replayed comments: the history has each once, where it was first placed, as it is last."""
+    first = [comment(str(k), f"t{k % 3}", publish=f"2023-12-{29 + k % 3} {k % 24:02d}:30", like_count=k, content="x" * (k % 4),
+                     **({"sentiment_score": k % 11 / 10} if k % 5 else {})) for k in range(40)]
+    root = run("comment", envelope(*first))
+    run("comment", envelope(comment("1", "t2", publish="2024-01-03 10:00", like_count=50, sentiment_score=0.95, content="moved"),
+                            comment("5", "t0", like_count=2, sentiment_score=0.1), *first[10:14]))
+    run("comment", envelope(comment("1", "t2", like_count=3), comment("new", "t9", publish="2024-01-02 00:00", sentiment_score=0.7)))
+
+    def agree():
+        rows, history = tables.read_table(spark, root, "comments").drop("crawl_time"), tables.read_history(spark, root)
+        pairs = [(histories.hourly(history), metrics.hourly_history(rows)), (histories.daily(history), metrics.daily_history(rows)),
+                 (histories.trend(history, 3), metrics.sentiment_trend(rows, 3)),
+                 (histories.daily_bands(history), metrics.daily(rows, F.count(F.lit(1)).alias("n"), *bands.counts(F.col("sentiment_score")))),
+                 (histories.daily(history, "2023-12-30", "2023-12-31"),
+                  metrics.daily_history(rows.filter("publish_time >= '2023-12-30' AND publish_time < '2024-01-01'")))]
+        for ours, plain in pairs:
+            assert sorted(map(tuple, ours.select(*plain.columns).collect())) == sorted(map(tuple, plain.collect())) != []
+        per_event = histories.event_days(history).groupBy("id").agg(F.sum("n").alias("n"), F.sum("likes").alias("likes"))
+        want = rows.filter("publish_time IS NOT NULL").groupBy("event_id").agg(F.count(F.lit(1)), F.sum("like_count"))
+        assert sorted(map(tuple, per_event.collect())) == sorted(map(tuple, want.collect()))
+
+    agree()
+    for table in ("comments", "comment_history"):
+        tables.compact(spark, root, table)
+        agree()
+    run("comment", envelope(comment("1", "t2", like_count=8, sentiment_score=0.4), *first[:5]))
+    agree()
+    assert not any("/comments/" in f for f in tables.read_history(spark, root).inputFiles())
+    empty = tables.read_history(spark, f"{root}-none")
+    assert histories.hourly(empty).count() == histories.trend(empty).count() == 0
+
+
 def test_replayed_message_file_changes_nothing(spark, run):
     text = envelope(comment("1", like_count=3), comment("2"))
     root = run("comment", text)
