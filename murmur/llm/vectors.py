@@ -1,15 +1,25 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Pivots are reference vectors from a bounded sample of the table, no two of them within a cosine of APART, so a dense
-group holds few, whatever its share of the rows. A vector is described by its PREFIX nearest pivots in order,
-and stands in the inverted list of each of them. Two vectors with the same label that share at least SHARED pivots, or
-the nearest one, are candidates, and every candidate is verified by its cosine in double precision. The number of pivots
-grows with the square root of the vectors of the largest label, so the lists, and the work for a vector, grow with the
-root as well. A dense group shares its nearest pivot and is compared whole.
+Nearness is measured between unit vectors less the centre of their label, so a common direction, which text encoders
+give to all vectors, does not put every vector beside the same pivots. Centres are means of a bounded sample. A centre is
+taken off only as far as two vectors at the threshold stay near one another (SPREAD): of a label that is one dense group,
+hardly at all.
+
+Pivots are vectors of the same sample, no two of them within a cosine of APART, so a dense group holds few,
+whatever its share of the rows. A vector is described by its PREFIX nearest pivots in order. Two vectors with the same
+label that share at least SHARED pivots, or the nearest one, are candidates, and every candidate is verified by the
+cosine of the raw vectors in double precision. The number of pivots grows with the square root of the vectors of the
+largest label, so the lists, and the work for a vector, grow with the root as well, up to MOST_PIVOTS. A group that is
+dense for the threshold shares its nearest pivot and is compared whole, as nearly all its pairs are links to count.
+
+Pivots are numbered by how often the sample has them, the rarest first. A vector stands in the inverted lists of its first
+PREFIX - SHARED + 1 pivots by number and of its nearest one: two vectors that share SHARED pivots meet in the list of
+the least of them, and longer lists hold fewer.
 
 Equal vectors of a label are one entry before, with their number. A list is worked on in blocks of at most BLOCK
 entries: an entry goes to every pair of blocks that holds its own, so no task needs a whole list, and no pair of a long
-list is left out. A pair that shares several lists is counted in the one of the least shared pivot. A task compares a
+list is left out. A pair that shares several lists is counted in the one of the least shared pivot, or of the nearest one if it shares
+fewer than SHARED. A task compares a
 pair of blocks as matrices and gives for each entry the number of its links, copies counted, and one link to the first
 of its group, so no pairs are emitted.
 
@@ -17,7 +27,7 @@ The index finds candidates by their neighbourhood, so it may miss links; vectors
 their nearest pivots, and the tests measure the recall against brute force, also for a dense group of a third of the rows. Links below the threshold are never given.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and those without a label,
-have no links; vectors of other lengths than their label's pivots are compared with those of their length only;
+have no links; vectors are compared with those of their length only, each length with pivots of its own;
 repeated rows count as vectors of their own; a null vec_id names no component unless all in it are null; an empty table
 gives no rows; other columns are not read, whatever their names.
 """
@@ -25,6 +35,7 @@ gives no rows; other columns are not read, whatever their names.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -36,9 +47,11 @@ from murmur.llm.store import written
 
 COSINE = 0.93
 PREFIX = 10
-SHARED = 4
+SHARED = 3
 LEAST_PIVOTS, MOST_PIVOTS = 32, 4096
-APART = 0.6  # two pivots have a lower cosine
+APART = 0.86  # two pivots have a lower cosine, before centring
+SPREAD = 0.25  # at least what centring leaves of a unit vector, squared: a pair at a cosine of 0.93 keeps 0.72
+LEAST_SAMPLE = 32  # vectors of a label in the sample, for a centre of its own
 OVERSAMPLE = 4  # sampled vectors for each pivot
 BLOCK = 2000
 
@@ -58,28 +71,63 @@ def _usable(df: DataFrame) -> DataFrame:
     return df.select("vec_id", "label", _vector(df).alias("vector")).filter(fit)
 
 
-def pivots(entries: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """The pivots of each vector length, as unit rows: from the entries with the least hash, those APART from the ones
-    before, at most `count` of a length, and at most MOST_PIVOTS. The sample is all that the driver sees of the vectors."""
-    count = min(count, MOST_PIVOTS)
-    rows = entries.select("vector").orderBy(F.xxhash64("vector"), "node").limit(OVERSAMPLE * count).collect()
-    by_length: dict[int, list] = {}
-    for (vector,) in rows:
-        by_length.setdefault(len(vector), []).append(vector)
-    return {n: apart(_unit(np.array(v)), count) for n, v in by_length.items()}
+class Reference(NamedTuple):
+    pivots: np.ndarray  # unit rows after centring, the rarest of the sample first
+    centres: dict[int, np.ndarray]  # by the hash of a label
+    centre: np.ndarray  # of the labels that the sample holds too few of
 
 
-def apart(unit: np.ndarray, count: int) -> np.ndarray:
-    """The first rows of which no two have a cosine of APART or more, at most `count`."""
-    kept = np.empty((min(count, len(unit)), unit.shape[1]))
-    n = 0
-    for row in unit:
-        if n == len(kept):
+def references(entries: DataFrame, count: int, prefix: int = PREFIX) -> dict[int, Reference]:
+    """Pivots and centres for each vector length, from the entries with the least hash: pivots that are APART from the
+    ones before, at most `count` of a length, and at most MOST_PIVOTS. The sample, OVERSAMPLE times as many vectors, is all
+    that the driver sees of them."""
+    count = min(count, MOST_PIVOTS)
+    rows = (entries.select("place", "vector").orderBy(F.xxhash64("vector"), "node").limit(OVERSAMPLE * count)
+            .collect())
+    by_length: dict[int, list] = {}
+    for place, vector in rows:
+        by_length.setdefault(len(vector), []).append((place, vector))
+    out = {}
+    for length, some in by_length.items():
+        places, unit = np.array([p for p, _ in some]), _unit(np.array([v for _, v in some]))
+        known, n = np.unique(places, return_counts=True)
+        centres = {int(p): centre_of(unit[places == p]) for p in known[n >= LEAST_SAMPLE]}
+        rest = centre_of(unit) if len(unit) >= LEAST_SAMPLE else np.zeros(length)
+        moved = centred(unit, places, centres, rest)
+        chosen = moved[apart(unit, count)]
+        used = np.bincount(nearest(moved, chosen, prefix).ravel(), minlength=len(chosen))
+        out[length] = Reference(chosen[np.argsort(used, kind="stable")], centres, rest)
+    return out
+
+
+def centre_of(unit: np.ndarray) -> np.ndarray:
+    """The mean of unit rows, shortened so that SPREAD of their squared length is left without it."""
+    mean = unit.mean(axis=0)
+    common = float(mean @ mean)
+    if common > 1 - SPREAD:
+        mean = mean * (1 - math.sqrt(1 - (1 - SPREAD) / common))
+    return mean
+
+
+def centred(unit: np.ndarray, places: np.ndarray, centres: dict[int, np.ndarray], rest: np.ndarray) -> np.ndarray:
+    """Unit rows less the centre of their label, as unit rows; a row that lies in the centre stays as it is."""
+    less = np.stack([centres.get(int(p), rest) for p in places])
+    moved = unit - less
+    still = np.abs(moved).max(axis=1) < 1e-6
+    moved[still] = unit[still]
+    return _unit(moved)
+
+
+def apart(unit: np.ndarray, count: int) -> list[int]:
+    """The places of the first rows of which no two have a cosine of APART or more, at most `count`."""
+    kept, rows = [], np.empty((min(count, len(unit)), unit.shape[1]))
+    for k, row in enumerate(unit):
+        if len(kept) == len(rows):
             break
-        if not n or (kept[:n] @ row).max() < APART:
-            kept[n] = row
-            n += 1
-    return kept[:n]
+        if not kept or (rows[:len(kept)] @ row).max() < APART:
+            rows[len(kept)] = row
+            kept.append(k)
+    return kept
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -96,23 +144,34 @@ def nearest(unit: np.ndarray, reference: np.ndarray, prefix: int = PREFIX) -> np
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(like, top, 1), axis=1, kind="stable"), 1)
 
 
-def _describer(reference: dict[int, np.ndarray], prefix: int):
+def _describer(reference: dict[int, Reference], prefix: int, shared: int):
     def describe(batches):
         for frame in batches:
             for length, part in frame.groupby(frame["vector"].map(len), sort=False):
                 if length in reference:
+                    ref = reference[length]
                     for start in range(0, len(part), 4096):
                         some = part.iloc[start:start + 4096]
-                        near = nearest(_unit(np.stack(some["vector"].to_numpy())), reference[length], prefix)
-                        yield some.assign(pivots=list(near.astype(np.int32)))
+                        unit = centred(_unit(np.stack(some["vector"].to_numpy())), some["place"].to_numpy(),
+                                       ref.centres, ref.centre)
+                        near = nearest(unit, ref.pivots, prefix).astype(np.int32)
+                        yield some.assign(pivots=list(near), lists=[lists_of(row, shared) for row in near])
                 else:  # no pivot has this length: one list holds them all
-                    yield part.assign(pivots=[np.array([-1], np.int32)] * len(part))
+                    none = [np.array([-1], np.int32)] * len(part)
+                    yield part.assign(pivots=none, lists=none)
     return describe
 
 
+def lists_of(near: np.ndarray, shared: int) -> np.ndarray:
+    """The pivots in whose lists a vector stands: the nearest, and by number all but the last ones that are too few to be
+    all that a candidate shares."""
+    some = np.sort(near)[:len(near) - min(shared, len(near)) + 1]
+    return some if near[0] in some else np.append(some, near[0])
+
+
 def compare(left: pd.DataFrame, right: pd.DataFrame, pivot: int, same: bool, cosine: float, shared: int):
-    """Two blocks of the list of one pivot: links of each entry, copies counted, and the links as places (i, j). Only
-    pairs whose least shared pivot is this one count."""
+    """Two blocks of the list of one pivot: links of each entry, copies counted, and the links as places (i, j). Pairs with
+    enough shared pivots count if this is the least of them, other pairs if it is the nearest of both."""
     m = 2 + max(int(p.max()) for f in (left, right) for p in f["pivots"])
 
     def holds(frame):
@@ -122,11 +181,10 @@ def compare(left: pd.DataFrame, right: pd.DataFrame, pivot: int, same: bool, cos
         return out
 
     a, b = holds(left), holds(right)
-    common = a @ b.T
+    enough = a @ b.T >= np.minimum(shared, np.minimum(a.sum(1)[:, None], b.sum(1)[None, :]))
     lower = a[:, :pivot + 1] @ b[:, :pivot + 1].T
-    enough = np.minimum(shared, np.minimum(a.sum(1)[:, None], b.sum(1)[None, :]))
-    first, second = (np.array([p[0] for p in f["pivots"]]) for f in (left, right))
-    i, j = np.nonzero(((common >= enough) | (first[:, None] == second[None, :])) & (lower == 0))
+    first, second = (np.array([p[0] for p in f["pivots"]]) == pivot for f in (left, right))
+    i, j = np.nonzero(np.where(enough, lower == 0, first[:, None] & second[None, :]))
     if same:
         i, j = i[i < j], j[i < j]
     x, y = np.stack(left["vector"].to_numpy()), np.stack(right["vector"].to_numpy())
@@ -170,13 +228,14 @@ def linked(entries: DataFrame, cosine: float = COSINE, prefix: int = PREFIX, sha
     """From entries (node, label, vector, copies): node, n (links to other entries, copies counted) and `to` (one entry
     of its group), a row for every list in which the node has a link."""
     largest = entries.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    reference = pivots(entries, pivot_count(largest))
+    entries = entries.withColumn("place", F.xxhash64("label"))
+    reference = references(entries, pivot_count(largest), prefix)
     described = written(entries.mapInPandas(
-        _describer(reference, prefix),
+        _describer(reference, prefix, shared),
         f"node long, label {dict(entries.dtypes)['label']}, vector {dict(entries.dtypes)['vector']}, copies long, "
-        "pivots array<int>")
+        "place long, pivots array<int>, lists array<int>").drop("place")
         .withColumn("length", F.size("vector")), "vectors-described")
-    listed = described.withColumn("pivot", F.explode("pivots"))
+    listed = described.withColumn("pivot", F.explode("lists")).drop("lists")
     lists = written(listed.groupBy("label", "length", "pivot").agg(F.count(F.lit(1)).alias("n")), "vectors-lists")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     placed = (listed.join(lists.withColumn("blocks", blocks).drop("n"), ["label", "length", "pivot"])

@@ -113,6 +113,73 @@ def test_recall_of_a_dense_group(spark, d, cosine):
     assert want.sum() > 100_000 and (found <= want).all() and found.sum() >= 0.99 * want.sum()
 
 
+@pytest.mark.parametrize("common, cones", [(0.75, 1), (0.85, 1), (0.75, 3)])
+def test_vectors_with_a_common_direction(spark, monkeypatch, common, cones):
+    """Vectors around one direction, or a few, as text encoders give them: links are found, and lists stay short."""
+    rng = np.random.default_rng(cones)
+    n, d = 2500, 64
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    base = unit(np.sqrt(common) * unit(rng.normal(size=(cones, d)))[rng.integers(0, cones, n)]
+                + np.sqrt(1 - common) * unit(rng.normal(size=(n, d))))
+    away = rng.normal(size=(n, d))
+    away = unit(away - (away * base).sum(axis=1, keepdims=True) * base)
+    c = rng.uniform(0.93, 0.99, size=(n, 1))
+    all_rows = np.vstack([base, c * base + np.sqrt(1 - c * c) * away]).astype(np.float32)[rng.permutation(2 * n)]
+    exact = unit(all_rows.astype(float))
+    want = (exact @ exact.T >= 0.93).sum(axis=1) - 1
+    df = table(spark, [(k, v.tolist(), 1) for k, v in enumerate(all_rows)])
+    got = {r[0]: r[1] for r in result(vectors.grouped(df))}
+    found = np.array([got[k] for k in range(2 * n)])
+    assert want.sum() >= 4900 and (found <= want).all() and found.sum() >= 0.95 * want.sum()
+
+    entries = df.selectExpr("vec_id AS node", "embedding AS vector", "xxhash64(label) AS place")
+    count = vectors.pivot_count(2 * n)
+    ref = vectors.references(entries, count)[d]
+    places = np.full(2 * n, next(iter(ref.centres)))
+    near = vectors.nearest(vectors.centred(exact, places, ref.centres, ref.centre), ref.pivots)
+    lists = np.bincount(np.concatenate([vectors.lists_of(row, vectors.SHARED) for row in near]))
+    assert len(ref.pivots) == count and len(near) == 2 * n
+    assert (lists.astype(float) ** 2).sum() < 0.75 * (2 * n) ** 2  # all in one list: 1 and more
+
+
+@pytest.mark.parametrize("cosine", [0.9, 0.95])
+def test_recall_of_a_dense_label(spark, cosine):
+    rng = np.random.default_rng(11)
+    centre, noise = vectors._unit(rng.normal(size=(1, 64))), vectors._unit(rng.normal(size=(1200, 64)))
+    all_rows = (np.sqrt(cosine) * centre + np.sqrt(1 - cosine) * noise).astype(np.float32)
+    exact = vectors._unit(all_rows)
+    want = (exact @ exact.T >= 0.93).sum(axis=1) - 1
+    got = result(vectors.grouped(table(spark, [(k, v.tolist(), 1) for k, v in enumerate(all_rows)])))
+    found = np.array([n for _, n in sorted((r[0], r[1]) for r in got)])
+    assert want.sum() > 1000 and (found <= want).all() and found.sum() >= 0.95 * want.sum()
+
+
+def test_centring_keeps_a_dense_label_together():
+    rng = np.random.default_rng(5)
+    centre, noise = vectors._unit(rng.normal(size=(1, 32))), vectors._unit(rng.normal(size=(400, 32)))
+    dense = vectors._unit(np.sqrt(0.95) * centre + np.sqrt(0.05) * noise)
+    taken = vectors.centre_of(dense)
+    assert abs(((dense - taken) ** 2).sum(axis=1).mean() - vectors.SPREAD) < 0.01
+    wide = vectors._unit(np.sqrt(0.5) * centre + np.sqrt(0.5) * noise)
+    assert np.allclose(vectors.centre_of(wide), wide.mean(axis=0))
+    one = vectors.centred(dense[:1], np.array([7]), {7: dense[0]}, np.zeros(32))
+    assert np.allclose(one, dense[:1])
+
+
+def test_lists_hold_every_pair_that_shares_enough():
+    rng = np.random.default_rng(6)
+    rows = [rng.permutation(14)[:10].astype(np.int32) for _ in range(60)]
+    for a in rows:
+        for b in rows:
+            both = set(a.tolist()) & set(b.tolist())
+            if len(both) >= 4:
+                assert min(both) in vectors.lists_of(a, 4) and min(both) in vectors.lists_of(b, 4)
+    assert vectors.lists_of(np.array([3], np.int32), 4).tolist() == [3]
+
+
 def test_empty_and_unusable_tables(spark):
     assert vectors.grouped(table(spark, [])).count() == 0
     rows = [(1, None, None), (2, [0.0], 1)]
