@@ -302,3 +302,16 @@ def test_categories_by_rules(spark):
 
 def test_band_bounds_are_arguments(spark, talk):
     assert metrics.band_counts(talk, bands.T5).first()[:3] == (4, 1, 0)
+
+
+def test_counts_of_keywords_equal_those_of_the_hits(spark, monkeypatch):
+    rows = [(1, "red widget"), (1, "red widget"), (1, "blue rod"), (2, "red widget"), (3, None), (3, ""), (None, "red rod"),
+            *[(4, f"red {i}") for i in range(9)], (5, "red 1"), (5, "red 2"), (6, "red 2"), (6, "red 1")]
+    df = spark.createDataFrame(rows, "id long, content string")
+    table = spark.createDataFrame([(w,) for w in ("red", "red widget", "w", "rod", "1", "2", "none", "")], "keyword string")
+    hits = joins.keyword_hits_by_join(df, "id", table).groupBy("keyword").agg(F.count(F.lit(1)), F.countDistinct("id"))
+    want = sorted(tuple(r) for r in hits.collect())
+    for few in (64, 3):  # with the key of nine texts among the sets, and by itself
+        monkeypatch.setattr(joins, "FEW_TEXTS", few)
+        assert sorted(tuple(r) for r in joins.keyword_counts_by_join(df, "id", table).collect()) == want
+    assert ("red", 18, 5) in want
