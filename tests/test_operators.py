@@ -325,3 +325,20 @@ def test_few_pieces_of_a_long_text_go_to_the_join_with_keywords(spark):
     assert joins.marked_pieces(texts, starts).count() < 20
     got = joins.keyword_hits_by_join(texts.select(F.lit(1).alias("id"), F.col("_body").alias("content")), "id", starts)
     assert sorted(r.keyword for r in got.collect()) == sorted(w for w in words_ if w in body)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_lists_are_counted_without_sending_texts(spark):
+    df = spark.createDataFrame([(1, "good the good bad", 0.5), (1, "good the good bad", 0.1), (2, "", 0.5), (3, None, 0.5),
+                                (4, "the", 0.9), (5, "stop good stop", 0.5), (6, "plain words", 0.7)], "id long, content string, base double")
+    lists = [("good", "pos"), ("bad", "neg"), ("the", "stop"), ("stop", "stop"), ("stop", "pos")]
+    scored = words.scored_by_join(df, "id", F.col("base"), spark.createDataFrame(lists, "word string, kind string"))
+    assert "first(_text" not in plan_of(scored) and "first(content" not in plan_of(scored)
+    cal = words.Calibration(lexicon=words.Lexicon(("good",), ("bad",), ("the", "stop")))
+    want = sorted((r.id, r.score) for r in words.with_score(df, F.col("base"), cal=cal).collect())
+    assert sorted((r.id, r.score) for r in scored.collect()) == want and len(want) == 7
+    got = df.filter("id = 5").select(words.counted(F.split("content", " ")).alias("c")).first().c
+    assert [tuple(r) for r in got] == [("good", 1), ("stop", 2)]
