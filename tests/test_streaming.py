@@ -111,6 +111,17 @@ def test_titles_of_another_store_keep_their_ids(spark):
     assert got["1"] == 11 and got["3"] == 11 and got["4"] == 12 and got["2"] not in (5, 11, 12, None)
 
 
+def test_rows_without_an_own_id_are_not_one_group(spark):
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("comment_id"), F.lit("known").alias("hot_title"),
+                                    F.when(F.col("id") < 500, F.col("id") % 5).alias("event_id"))
+    keyed = rows.select(F.col("event_id").isNull().alias("none"), ingest.own_key(F.col("event_id"), rows.columns).alias("k"))
+    kinds = {r.none: r.n for r in keyed.groupBy("none").agg(F.count_distinct("k").alias("n")).collect()}
+    assert kinds[True] > 500 and kinds[False] == 5
+    known = spark.createDataFrame([(11, "known"), (3, "other")], "id long, title string")
+    got = ingest.resolved(rows, known)
+    assert {r.event_id: r["count"] for r in got.groupBy("event_id").count().collect()} == {11: 1900, 3: 100}
+
+
 def test_a_running_stream_resolves_against_another_store(spark, run):
     def store(session):
         return session.createDataFrame([(11, "known"), (12, "known")], "id long, title string")
@@ -285,6 +296,19 @@ def test_envelopes_round_trip(spark):
     assert writers.envelopes(df.limit(0), "now").count() == 0
 
 
+def test_envelopes_are_put_together_where_the_rows_are(spark, tmp_path):
+    df = spark.range(0, 250, 1, 3).select(F.col("id").cast("string").alias("title"), F.lit("2024-01-01 00:00:00").alias("crawl_time"))
+    packed = writers.envelopes(df, "now", 40)
+    assert "Exchange" not in packed._jdf.queryExecution().executedPlan().toString()
+    sizes = sorted(len(json.loads(r.value)["data"]) for r in packed.collect())
+    assert sum(sizes) == 250 and sizes.count(40) == 6 and min(sizes) > 0
+    writers.publish_files(packed, str(tmp_path / "out"))
+    plain = sum(len(r.value.encode()) for r in packed.collect())
+    assert 0 < sum(f.stat().st_size for f in (tmp_path / "out").glob("part-*")) < plain / 2
+    back = decode.decode(spark.read.text(str(tmp_path / "out")), "event").select("title", "crawl_time")
+    assert sorted(back.collect()) == sorted(df.collect())
+
+
 def test_keyed_messages(spark):
     df = spark.createDataFrame([("a", "2024-01-01 00:00:00"), (None, "x")], "title string, crawl_time string")
     got = writers.keyed_messages(df, "title", "now").collect()
