@@ -307,6 +307,8 @@ def test_envelopes_are_put_together_where_the_rows_are(spark, tmp_path):
     assert 0 < sum(f.stat().st_size for f in (tmp_path / "out").glob("part-*")) < plain / 2
     back = decode.decode(spark.read.text(str(tmp_path / "out")), "event").select("title", "crawl_time")
     assert sorted(back.collect()) == sorted(df.collect())
+    writers.publish_files(packed.coalesce(1), str(tmp_path / "few"), per_file=2)
+    assert len(list((tmp_path / "few").glob("part-*"))) == 5
 
 
 def test_keyed_messages(spark):
