@@ -404,3 +404,54 @@ def test_exports(spark, t, tmp_path):
     assert writers.export_all({"events": t.hot_events}, "1990-01-01", "2030-01-01", str(tmp_path / "all")) == ["events"]
     back = spark.read.option("header", True).csv(str(tmp_path / "all" / "events"))
     assert back.count() == t.hot_events.count() and back.columns == ["id", "title", "crawl_time", "heat", "sentiment_score"]
+
+
+def test_a_merge_sorts_rows_in_the_task_of_their_key_only(spark, tmp_path):
+    """Before, all columns were sorted in the map tasks too, and two or three copies of them were sent."""
+    root, text = str(tmp_path / "tables"), envelope(comment("1", like_count=1), comment("1", like_count=4), comment("2"))
+    batch = decode.clean(decode.decode(lines(spark, text), "comment"), "comment")
+    ingest.save_texts(batch, 0, root, "comment")
+
+    def below_exchange(df):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+        return plan[plan.index("Exchange hashpartitioning(comment_id"):]
+
+    for df in (tables.reduced(ingest.resolved(batch), "comments"), tables.read_table(spark, root, "comments")):
+        assert "Aggregate" not in below_exchange(df) and "Sort" not in below_exchange(df)
+    narrow = tables.read_table(spark, root, "comments").select("like_count")._jdf.queryExecution().executedPlan().toString()
+    assert "like_count" in narrow and "content" not in narrow and "hot_title" not in narrow
+
+
+def test_envelopes_that_fit_are_parsed_once_and_read_the_same(spark):
+    odd = [envelope(comment("1", like_count=3, content="a \"b\" 好"), comment("2", user_id=7, location={"x": [1, 2.50]})), envelope(),
+           envelope(comment("3", like_count="many"), comment("4", like_count=2.5), comment("5", sentiment_score="0.5")),
+           json.dumps({"data": comment("6")}), json.dumps({"data": [json.dumps(comment("7")), [comment("8")], comment("9")]}),
+           json.dumps({"data": [comment("10"), None, {}]}), envelope(comment("11"))[:-3], envelope(comment("12")) + " junk", "[]", "", None]
+    got = decode.decode(spark.createDataFrame([(x,) for x in odd], "value string"), "comment")
+    alone = spark.createDataFrame([(x,) for x in odd], "value string").select(F.col("value").alias("body"))
+    many, one = (F.from_json("body", s)["data"] for s in (decode.schemas.ENVELOPE, decode.schemas.ENVELOPE_ONE))
+    items = alone.select(F.explode(F.coalesce(many, F.when(F.ltrim(one).startswith("{"), F.array(one)))).alias("item"))
+    plain = items.select(F.inline(F.array(F.from_json("item", decode.schemas.COMMENT_MESSAGE))))
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    assert {"1", "3", "6", "7", "12"} <= {r.comment_id for r in got.collect()}
+
+
+def test_a_batch_reads_its_rows_once_for_sums_and_history(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    for epoch, score in enumerate((0.9, 0.1)):
+        rows = [comment(str(k), f"t{k % 2}", publish=f"2023-12-31 {k:02d}:00", sentiment_score=score) for k in range(8)]
+        ingest.save_texts(decode.clean(decode.decode(lines(spark, envelope(*rows)), "comment"), "comment"), epoch, root, "comment")
+    summed = spark.read.parquet(f"{root}/event_sums")
+    assert sorted((int(r.n), float(r.total)) for r in summed.collect()) == [(0, -3.2), (0, -3.2), (4, 3.6), (4, 3.6)]
+
+
+def test_a_second_compaction_moves_no_rows(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "tables")
+    for epoch in (0, 1):
+        text = envelope(*[comment(str(k), like_count=k + epoch) for k in range(50)])
+        ingest.save_texts(decode.clean(decode.decode(lines(spark, text), "comment"), "comment"), epoch, root, "comment")
+    tables.compact(spark, root, "comments")
+    before = sorted(map(str, tables.read_table(spark, root, "comments").collect()))
+    monkeypatch.delitem(tables._WHOLE, "comments")  # the merge, which deals the rows out
+    tables.compact(spark, root, "comments")
+    assert sorted(map(str, tables.read_table(spark, root, "comments").collect())) == before and len(before) == 50
