@@ -342,3 +342,17 @@ def test_words_of_lists_are_counted_without_sending_texts(spark):
     assert sorted((r.id, r.score) for r in scored.collect()) == want and len(want) == 7
     got = df.filter("id = 5").select(words.counted(F.split("content", " ")).alias("c")).first().c
     assert [tuple(r) for r in got] == [("good", 1), ("stop", 2)]
+
+
+def test_keywords_with_stopwords_count_words_in_one_pass(spark):
+    """A filter on the word went below one of the two uses of the counts, so words were split and counted twice."""
+    texts = spark.createDataFrame([("b b a the",), ("b c the",), ("b c the",), ("",), (None,)], "content string")
+    counts = {r.word: (r.n, r.texts) for r in text.word_totals(text.clean_distinct(texts)).filter("word IS NOT NULL").collect()}
+    assert counts == {"b": (3, 2), "a": (1, 1), "c": (1, 1), "the": (2, 2)}
+    top = text.keywords(texts, 5, stopwords=["the"])
+    rows = top.collect()
+    assert {r.word for r in rows} == {"a", "b", "c"}
+    lines = top._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    tests = [line for line in lines if "Filter" in line and "= the" in line]
+    assert tests and all("CASE WHEN" in line for line in tests)
+    assert not any("size(_words" in line for line in lines if "Filter" in line)  # which would clean the texts twice
