@@ -311,6 +311,21 @@ def test_envelopes_are_put_together_where_the_rows_are(spark, tmp_path):
     assert len(list((tmp_path / "few").glob("part-*"))) == 5
 
 
+def test_each_object_of_an_envelope_is_written_once(spark):
+    """Before, a filter on the objects became one on their columns, which wrote every object a second time."""
+    df = spark.range(0, 250, 1, 1).select(F.when(F.col("id") % 5 > 0, F.concat(F.lit("好 "), "id")).alias("title"))
+    packed = writers.envelopes(df, "now", 30)
+    assert packed._jdf.queryExecution().executedPlan().toString().count("StructsToJsonEvaluator") == 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # envelopes go on over batches, and end within one
+    try:
+        for size, least in ((30, 7), (3, 67)):
+            sent = [json.loads(r.value)["data"] for r in writers.envelopes(df, "now", size).collect()]
+            assert len(sent) == least and all(len(x) == size for x in sent[:-1])
+            assert [x["title"] for part in sent for x in part] == [f"好 {k}" for k in range(250) if k % 5]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_keyed_messages(spark):
     df = spark.createDataFrame([("a", "2024-01-01 00:00:00"), (None, "x")], "title string, crawl_time string")
     got = writers.keyed_messages(df, "title", "now").collect()
