@@ -1,9 +1,11 @@
 """Physical plans: what reaches the scan, what is joined how, what stays out of Python."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from murmur.functions import words
-from murmur.operators import filters, joins, keywords, metrics, ranking, scoring, sets, text
+from murmur.operators import filters, insights, joins, keywords, metrics, ranking, scoring, sets, text
 
 
 def plan(df):
@@ -173,3 +175,43 @@ def test_the_newest_rank_snapshot_is_found_by_its_folder(spark, tmp_path):
         tables.compact(spark, root, "rank")
     every = tables.read_log(spark, f"{root}/rank", tables.RANK_LOG, "taken")
     assert every.select("taken").distinct().count() == 3
+
+
+def test_keywords_per_event_clean_each_text_once(spark, tmp_path):
+    """Before, idf read the texts without the test for an event that the joins had put into all other uses."""
+    rows = [(1, "red sea"), (1, "red fox"), (2, "red"), (None, "fox"), (None, " fox "), (None, "")]
+    spark.createDataFrame(rows, "event_id long, content string").write.parquet(str(tmp_path / "texts"))
+    words_of = text.keywords_per_event(spark.read.parquet(str(tmp_path / "texts")))
+    assert "PushedFilters: []" not in plan(words_of)
+    n_texts, held = 4, {"red": 3, "sea": 1, "fox": 2}  # of texts without an event one is blank, two are equal when cleaned
+    want = {(e, w): n / total * math.log((n_texts + 1) / (held[w] + 1))
+            for e, w, n, total in ((1, "red", 2, 4), (1, "sea", 1, 4), (1, "fox", 1, 4), (2, "red", 1, 1))}
+    got = {(r.event_id, r.word): r.weight for r in words_of.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_influence_and_features_read_the_comments_once(spark, t):
+    both = scoring.influence(t.hot_events, t.comments, "2001-08-01").join(
+        scoring.features(t.hot_events, t.comments).select("id", F.struct("comment_count", "avg_sentiment", "avg_likes").alias("x")), "id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else a plan tells of shared steps only after it has run
+    try:
+        assert plan(both).count("partial_count(1)") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_words_of_insights_are_not_sorted_again(t):
+    top = text.keywords_per_event(keywords.texts_with_titles(t.hot_events, t.replies))
+    p = plan(insights.event_insights(t.hot_events, t.comments, top_words=top).select("id", "key_findings"))
+    assert "collect_list" not in p and "date_format" not in p
+
+
+def test_influence_counts_missing_scores_as_half(spark):
+    said = [(1, None, None), (1, 3, "0.9"), (2, None, None)]
+    comments = spark.createDataFrame(said, "event_id long, like_count int, sentiment_score string").withColumn(
+        "sentiment_score", F.col("sentiment_score").cast("decimal(4,3)"))
+    events = spark.createDataFrame([(1,), (2,), (3,)], "id long").withColumns(
+        {"heat": F.lit(0), "crawl_time": F.lit("2024-01-01").cast("timestamp_ntz")})
+    got = {r.id: (r.comment_count, round(r.sentiment_factor, 9), round(r.engagement_factor, 9))
+           for r in scoring.influence(events, comments, "2024-01-02").collect()}
+    assert got == {1: (2, 0.7, 0.15), 2: (1, 0.5, 0.0), 3: (0, 0.5, 0.0)}
