@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from murmur.functions import bands, words
+from murmur.functions import bands, marks, words
 from murmur.operators import filters, forecast, forest, insights, joins, keywords, metrics, ranking, scoring, sets, text
 from murmur.plans import base_score, reports
 
@@ -344,6 +344,14 @@ def test_words_of_lists_are_counted_without_sending_texts(spark):
     assert [tuple(r) for r in got] == [("good", 1), ("stop", 2)]
 
 
+def test_marks_of_many_values_let_few_others_pass(spark):
+    values = spark.range(200_000).select(F.concat(F.lit("keyword "), "id").alias("v"))
+    bits = marks.of(values, "v")
+    assert values.filter(marks.is_marked(F.col("v"), bits)).count() == 200_000
+    others = spark.range(200_000).select(F.concat(F.lit("other "), "id").alias("v"))
+    assert others.filter(marks.is_marked(F.col("v"), bits)).count() < 200  # about 9,300 with one bit of 4 million
+
+
 def test_keywords_with_stopwords_count_words_in_one_pass(spark):
     """A filter on the word went below one of the two uses of the counts, so words were split and counted twice."""
     texts = spark.createDataFrame([("b b a the",), ("b c the",), ("b c the",), ("",), (None,)], "content string")
