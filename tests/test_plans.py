@@ -128,6 +128,56 @@ def rows_of_scan(node):
     return node.metrics().apply("numOutputRows").value()
 
 
+def test_a_first_batch_sends_no_comment_to_look_for_earlier_ones(spark, tmp_path):
+    from murmur.streaming import ingest, tables
+    root, batch = str(tmp_path / "tables"), comment_rows(spark, 0, 10).drop("id")
+    steps = ingest.steps(spark, root, batch, 0)
+    assert "Join" not in plan(steps) and "Exchange" not in plan(steps)
+    tables.write_texts(batch, root, "comments", "comment", 0)
+    assert "Join" not in plan(ingest.steps(spark, root, batch, 0))  # a replay looks at no epoch but earlier ones
+    later = ingest.steps(spark, root, batch, 1).agg(F.sum("n").alias("n")).first()
+    assert "Join" in plan(ingest.steps(spark, root, batch, 1)) and later.n == 0
+
+
+def test_rows_without_an_own_id_are_not_sent_to_meet_events_by_it(spark):
+    from murmur.streaming import ingest
+    events = spark.createDataFrame([(7, "a"), (3, "a"), (9, "b")], "id long, title string")
+    rows = spark.createDataFrame([("1", "a", 9), ("2", "a", 5), ("3", "a", None), ("4", "new", None), ("5", "b", 7)],
+                                 "comment_id string, hot_title string, event_id long")
+    want = sorted(tuple(r) for r in ingest.resolved(rows, events).select("comment_id", "event_id").collect())
+    got = ingest.placed(rows, events, ingest.titles_there(rows, events)).select("comment_id", "event_id")
+    assert sorted(tuple(r) for r in got.collect()) == want and ("3", 3) in want and ("1", 9) in want and ("2", 3) in want
+    assert "_own" not in plan(ingest.resolved(rows.drop("event_id"), events))
+
+
+def test_a_batch_leaves_no_shuffle_files_and_no_second_copy(spark, tmp_path):
+    import os
+    import time
+
+    from murmur.streaming import ingest, tables
+    from murmur.streaming.folders import CLEANUP
+    root, before = str(tmp_path / "tables"), spark.conf.get(CLEANUP, None)
+    batch = spark.range(20_000).select(*[
+        {"comment_id": F.sha1(F.col("id").cast("string")), "hot_title": F.concat(F.lit("t"), F.col("id") % 9),
+         "content": F.sha2(F.col("id").cast("string"), 512), "publish_time": F.lit("2024-01-10"), "crawl_time": F.lit("2024-01-10")}.get(
+             f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in tables.schemas.COMMENTS if f.name != "event_id"])
+
+    def kept():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+    were = kept()
+    ingest.save_texts(batch, 0, root, "comment")
+    for _ in range(20):
+        if kept() - were < 1_000_000:
+            break
+        time.sleep(0.5)
+    assert kept() - were < 1_000_000  # a batch is 3.4 MB of keys and texts, sent once
+    assert spark.conf.get(CLEANUP, None) == before
+    assert not os.path.exists(f"{root}/comments_staged/source=comment/epoch=0")
+    assert tables.read_table(spark, root, "comments").count() == 20_000
+
+
 def test_few_and_many_keys_find_the_same(spark, tmp_path, monkeypatch):
     from murmur.streaming import tables
     root = str(tmp_path / "tables")
