@@ -225,6 +225,26 @@ def test_trained_score_follows_labels(t):
     assert got[1] > got[0]
 
 
+def test_trained_score_sends_neither_texts_nor_words(spark):
+    """Before, each different word of each text was sent three times."""
+    rows = [(1, "good good day", 1), (2, "bad day", 0), (3, "bad bad bad", 0), (4, None, None), (5, "", None), (6, "unseen words", None),
+            (7, "good bad day", None), (7, "good bad day", None), (None, "good unseen", None), (8, "good good day", 1)]
+    df = spark.createDataFrame(rows, "id long, content string, quality int")
+    model = base_score.fit(df)
+    scored = base_score.with_base(df, model)
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString() and scored.columns == [*df.columns, "base_score"]
+    weights = {r.word: r.weight for r in model.weights.collect()}
+    assert set(weights) == {"good", "bad", "day"}
+
+    def score(text):
+        return round(1 / (1 + np.exp(-(sum(weights.get(w, 0.0) for w in (text or "").split()) + model.prior))), 6)
+
+    got = [(r.id, r.content, r.base_score) for r in scored.collect()]
+    assert sorted(map(str, got)) == sorted(str((i, c, float(score(c)))) for i, c, _ in rows)
+    nothing = base_score.Model(model.weights.filter("word = ''"), model.prior)
+    assert {r.base_score for r in base_score.with_base(df, nothing).collect()} == {float(score(""))}
+
+
 def test_recommendations(spark):
     row = spark.createDataFrame([(0.3, 2, "down", "a very long title indeed", 90.0)],
                                 "avg_sentiment double, high_severity_count long, current_trend string, top_title string, top_influence double")
